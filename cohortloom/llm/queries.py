@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, line_dedup
+from . import decontaminate, exact_dedup, licenses, line_dedup, quality, secrets, sentencepiece, simhash, token_files
 from .common import read
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a vocabulary file of the installed package of public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode_documents(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_common_lines(read(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -26,6 +41,46 @@ FROM k LEFT JOIN f USING (key) GROUP BY r
 """
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return licenses.scan_licenses(docs, licenses.known(spark, licenses.KNOWN_TEXTS), licenses.known(spark, licenses.KNOWN_NOTICES))
+
+
+def _license_sql() -> str:
+    """The same normalisation in DuckDB."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+
+    def canonical(text: str) -> str:
+        lines = licenses.COPYRIGHT_LINE.replace("(?m)^", "").replace("[^\\S\\n]", "[ \\t\\f\\v\\r]")
+        out = f"' ' || trim(regexp_replace(regexp_replace(lower({text}), {quoted('(?m)^' + lines)}, ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+        for odd, usual in licenses.SPELLINGS.items():
+            out = f"replace({out}, {quoted(' ' + odd)}, {quoted(' ' + usual)})"
+        return f"trim({out})"
+
+    def known(texts: list[tuple[str, str]]) -> str:
+        rows = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in texts)
+        return f"SELECT sha256({canonical('t')}) AS digest, min(i) AS license_id FROM (VALUES {rows}) AS v(i, t) GROUP BY 1"
+
+    return f"""
+WITH texts AS ({known(licenses.KNOWN_TEXTS)}), notes AS ({known(licenses.KNOWN_NOTICES)}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+c AS (SELECT r, doc_id, {canonical('text')} AS c FROM d),
+l AS (SELECT DISTINCT r, unnest(string_split(text, chr(10))) AS line FROM d),
+n AS (SELECT r, array_to_string(list_sort(list(DISTINCT license_id)), ',') AS notices FROM l JOIN notes ON digest = sha256({canonical('line')}) GROUP BY r)
+SELECT doc_id, CASE WHEN c <> '' THEN sha256(c) END AS text_digest, license_id, coalesce(notices, '') AS notices
+FROM c LEFT JOIN texts ON c <> '' AND texts.digest = sha256(c) LEFT JOIN n USING (r)
+"""
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=13)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -37,9 +92,18 @@ FROM documents d JOIN g ON g.text = coalesce(d.text, '')
 """
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(read(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op6_license_scan": _license_sql(), "op8_exact_dedup": OP8_SQL}
