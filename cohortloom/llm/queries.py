@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, licenses, line_dedup, quality, secrets, sentencepiece, simhash, token_files
+from . import decontaminate, exact_dedup, licenses, line_dedup, quality, secrets, sentencepiece, simhash, substrings, token_files
 from .common import read
 
 
@@ -45,6 +45,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3)
 
 
+def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read(spark, sf_dir, "documents"), length=50)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return licenses.scan_licenses(docs, licenses.known(spark, licenses.KNOWN_TEXTS), licenses.known(spark, licenses.KNOWN_NOTICES))

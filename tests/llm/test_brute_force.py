@@ -76,6 +76,30 @@ def test_op4(spark, sf, docs):
     assert {i: (r.fingerprint, r.component_id) for i, r in got.items()} == {i: (f"{fps[i]:016x}", find(i)) for i in ids}
 
 
+def brute_repeats(texts, length=50):
+    """(n_bytes, n_removed, n_spans, kept_sha256) by id."""
+    seen, out = {}, {}
+    for i, text in texts.items():
+        raw = text.encode()
+        for k in range(len(raw) - length + 1):
+            s = raw[k : k + length]
+            seen[s] = min(seen.get(s, i), i)
+    for i, text in texts.items():
+        raw = text.encode()
+        gone = np.zeros(len(raw) + 1, bool)
+        for k in range(len(raw) - length + 1):
+            if seen[raw[k : k + length]] < i:
+                gone[k : k + length] = True
+        spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0])
+        out[i] = (len(raw), int(gone.sum()), spans, sha(bytes(b for b, g in zip(raw, gone, strict=False) if not g)))
+    return out
+
+
+def test_op5(spark, sf, docs):
+    got = q.op5_repeated_substrings(spark, sf).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == brute_repeats(docs)
+
+
 def test_op7(spark, sf, docs):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

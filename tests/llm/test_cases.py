@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cohortloom.llm import components, decontaminate, exact_dedup, licenses, line_dedup, quality, secrets, sentencepiece, simhash, token_files
+from cohortloom.llm import components, decontaminate, exact_dedup, licenses, line_dedup, quality, secrets, sentencepiece, simhash, substrings, token_files
 from cohortloom.llm.queries import tokenizer_file
 
 
@@ -119,6 +119,43 @@ def test_secrets(odd_docs, no_docs):
     assert secrets.find_secrets(text.replace(" user", " " * 900 + " user"), reach=50)[1][0][0] == "weak_id"
 
 
+def test_repeated_substrings(spark, odd_docs, no_docs):
+    from test_brute_force import brute_repeats
+
+    got = substrings.remove_repeats(odd_docs).collect()
+    texts = {r.doc_id: r.text or "" for r in odd_docs.collect() if r.doc_id is not None}
+    assert len(got) == odd_docs.count()
+    assert {r.doc_id: tuple(r)[1:] for r in got if r.doc_id is not None} == brute_repeats(texts)
+    assert all(r.n_removed == 0 for r in got if r.doc_id is None)
+    assert substrings.remove_repeats(no_docs).count() == 0
+    rng = np.random.default_rng(4)
+    base = "".join(rng.choice(list("ab"), 400))
+    texts = {i: "".join(rng.choice(list("ab\0é"), 30)) + base[a : a + 120] + "ab" * 40 + base[b : b + 70] + "a" * 130 for i, (a, b) in enumerate(rng.integers(0, 300, (60, 2)).tolist())}
+    df = spark.createDataFrame([*texts.items(), (7, texts[7]), (99, "one"), (99, "two")], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.remove_repeats(df, bucket_bytes=1000).collect()}
+    assert {i: got[i] for i in texts} == brute_repeats(texts)
+
+
+def test_repeat_groups():
+    """All maximal repeats, against their definition."""
+    rng = np.random.default_rng(6)
+    segments = list({bytes(rng.choice([97, 98], n).astype(np.uint8)) for n in rng.integers(8, 40, 12).tolist()})
+    tree = substrings.RepeatGroups(segments, 8)
+    got = {(deep, frozenset(zip(tree.segment[a:b].tolist(), tree.offset[a:b].tolist(), strict=True))) for deep, a, b in tree.groups(8)}
+    at: dict = {}
+    for k, s in enumerate(segments):
+        for i in range(len(s)):
+            for j in range(i + 8, len(s) + 1):
+                at.setdefault(s[i:j], set()).add((k, i))
+    want = set()
+    for text, found in at.items():
+        sides = {segments[k][i - 1] if i else (k,) for k, i in found}
+        ends = {segments[k][i + len(text)] if i + len(text) < len(segments[k]) else (k,) for k, i in found}
+        if len(found) > 1 and len(sides) > 1 and len(ends) > 1:
+            want.add((len(text), frozenset(found)))
+    assert got == want
+
+
 def test_licenses(spark, odd_docs, no_docs):
     texts, notes = licenses.known(spark, licenses.KNOWN_TEXTS), licenses.known(spark, licenses.KNOWN_NOTICES)
     assert licenses.scan_licenses(no_docs, texts, notes).count() == 0
