@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import pick, text_of, written
 
 GRAM = 24
+#: Buckets at least, for tasks to share; a document's spans come from as many buckets at most.
+MIN_BUCKETS = 64
 #: Bytes of text handled at a time.
 BATCH = 1 << 22
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -377,7 +379,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["id"], *(pa.array([o[k] for o in out], t) for k, t in enumerate(types))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 1 << 23, keep_text: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 1 << 25, keep_text: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that stay) for every row; ids are whole numbers."""
     if not GRAM <= length - 8:
         raise ValueError(f"strings must have {GRAM + 8} bytes or more")
@@ -387,7 +389,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 1 << 2
     first = hashed.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.sum("n").alias("n"))
     first, _ = written(first, "first-copies")
     total = first.agg(F.sum("n")).first()[0] or 0
-    buckets = max(8, -(-total // bucket_bytes))
+    buckets = max(MIN_BUCKETS, -(-total // bucket_bytes))
     copies = hashed.join(first.where("copies > 1").select("h1", "h2", "first"), ["h1", "h2"]).where(F.col("id") > F.col("first")).where(F.col("n") >= length).select("id", F.lit(True).alias("copy")).distinct()
     shared = hashed.groupBy("id").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("id", F.lit(True).alias("shared"))
     odd, _ = written(copies.join(shared, "id", "full"), "marks")
