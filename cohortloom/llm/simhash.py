@@ -177,12 +177,12 @@ def similar_edges(nodes: DataFrame, similarity: float) -> DataFrame:
 
     The radius is one, so half of it is none for one side and one for the other: all emit
     their short fingerprints, those of odd parity their 24 variants too. A variant links its members to one of those whose own
-    fingerprint it is, chosen by a hash that differs between fingerprints.
+    fingerprint it is, chosen by one of four hashes, so a document has few different partners.
     """
     own = nodes.select("node", F.posexplode("short").alias("family", "word"))
     flips = own.where(F.bit_count("word") % 2 == 1).select("node", "family", F.explode(F.array(*[F.col("word").bitwiseXOR(F.lit(1 << b)) for b in range(SHORT_BITS)])).alias("word"))
     key = (F.shiftleft(F.col("family").cast("long"), 32) + F.col("word")).alias("variant")
-    hubs = own.select(key, "node", F.xxhash64("node", "family").alias("order")).groupBy("variant").agg(F.min_by("node", F.struct("order", "node")).alias("hub"))
+    hubs = own.select(key, "node", F.xxhash64("node", F.col("family") % 4).alias("order")).groupBy("variant").agg(F.min_by("node", F.struct("order", "node")).alias("hub"))
     met = own.unionByName(flips).select(key, "node").join(hubs, "variant").where("node <> hub").select("node", "hub").distinct()
     sigs = nodes.select("node", "sig")
     both = met.join(sigs, "node").join(sigs.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
