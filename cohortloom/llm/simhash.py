@@ -10,7 +10,8 @@ fingerprint, instead of all pairs, and distances are verified. A variant has 1,0
 
 Equal fingerprints are grouped first. Only fingerprints that can have a link emit their ball: two
 within three bits agree in at least five of their eight bytes, so one that shares no five
-bytes with another (56 keys each, counted before they are joined) has none. Components are found over
+bytes with another (56 keys each, counted before they are joined) has none. The joins on variants are sort-merge
+joins by hint: Spark estimates exploded rows by their source and would broadcast them. Components are found over
 edges (a number of rows in proportion to the fingerprints).
 
 For a similarity (``one_of_each``) 64 bits and three flips are too few: texts whose 5-word shingles have a
@@ -91,7 +92,7 @@ def may_link(fps: DataFrame) -> DataFrame:
     masks = [_as_long(sum(0xFF << 8 * b for b in kept)) for kept in combinations(range(8), BYTES_AGREE)]
     keys = fps.select("fp", F.posexplode(_long_array(masks)).alias("which", "mask")).select("fp", F.xxhash64("which", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return keys.join(shared, "key", "left_semi").select("fp").distinct()
+    return keys.join(shared.hint("merge"), "key", "left_semi").select("fp").distinct()
 
 
 def ball_edges(fps: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def ball_edges(fps: DataFrame) -> DataFrame:
     even = fps.where(F.bit_count("fp") % 2 == 0)
     far = even.select("fp", F.explode(_long_array(two)).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     hubs = near.groupBy("variant").agg(F.min("fp").alias("hub"))
-    met = near.unionByName(far).join(hubs, "variant").where("fp <> hub").select("fp", "hub").distinct()
+    met = near.unionByName(far).join(hubs.hint("merge"), "variant").where("fp <> hub").select("fp", "hub").distinct()
     return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= RADIUS).select(F.col("fp").alias("u"), F.col("hub").alias("v"))
 
 
@@ -183,7 +184,7 @@ def similar_edges(nodes: DataFrame, similarity: float) -> DataFrame:
     flips = own.where(F.bit_count("word") % 2 == 1).select("node", "family", F.explode(F.array(*[F.col("word").bitwiseXOR(F.lit(1 << b)) for b in range(SHORT_BITS)])).alias("word"))
     key = (F.shiftleft(F.col("family").cast("long"), 32) + F.col("word")).alias("variant")
     hubs = own.select(key, "node", F.xxhash64("node", F.col("family") % 4).alias("order")).groupBy("variant").agg(F.min_by("node", F.struct("order", "node")).alias("hub"))
-    met = own.unionByName(flips).select(key, "node").join(hubs, "variant").where("node <> hub").select("node", "hub").distinct()
+    met = own.unionByName(flips).select(key, "node").join(hubs.hint("merge"), "variant").where("node <> hub").select("node", "hub").distinct()
     sigs = nodes.select("node", "sig")
     both = met.join(sigs, "node").join(sigs.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
     apart = sum((F.bit_count(F.col("sig")[k].bitwiseXOR(F.col("hub_sig")[k])) for k in range(SIGNATURE_WORDS)), F.lit(0))
