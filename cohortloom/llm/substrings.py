@@ -395,8 +395,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 1 << 2
     odd, _ = written(copies.join(shared, "id", "full"), "marks")
     samples = known.mapInArrow(_sampler(length, buckets), _SAMPLES)
     places = samples.groupBy("bucket").applyInPandas(_repeated, _PLACES).groupBy("id").agg(F.collect_list("places").alias("places"))
-    # the joins that deal out texts come first, on the bare table, so that both read one exchange
-    parts = known.join(places, "id").join(odd, "id", "left_anti").select("id", "places", "text")
+    # both joins that deal out texts are on the bare table, so that they read one exchange
+    parts = known.join(places.join(odd, "id", "left_anti"), "id").select("id", "places", "text")
     spans = parts.mapInArrow(_segmenter(length, buckets), _SEGMENTS).groupBy("bucket").applyInPandas(_removable(length), "id long, spans binary").groupBy("id").agg(F.collect_list("spans").alias("spans"))
     whole = known.join(spans, "id", "left").join(odd.where("copy and shared is null").select("id", "copy"), "id", "left").select("id", F.coalesce("copy", F.lit(False)).alias("copy"), "spans", "text")
     unknown = rows.where("id is null").select(F.col("id").cast("long").alias("id"), F.lit(False).alias("copy"), F.lit(None).cast("array<binary>").alias("spans"), "text")
