@@ -125,6 +125,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id"
 
 #: A signature is a fingerprint of four words; its bits are dealt, with a fixed seed, to 24 short fingerprints of 24 bits.
 SIGNATURE_WORDS, FAMILIES, SHORT_BITS = 4, 24, 24
+#: Families that are linked before the others meet.
+FIRST_FAMILIES = 4
 _DEALT = np.stack([np.random.default_rng(7 + f).choice(64 * SIGNATURE_WORDS, SHORT_BITS, replace=False) for f in range(FAMILIES)])
 
 
@@ -173,24 +175,45 @@ def max_distance(similarity: float) -> int:
     return int(64 * SIGNATURE_WORDS * np.arccos(cosine) / np.pi) + 5
 
 
-def similar_edges(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): links between nodes (node, sig, short), found where short fingerprints differ in at most one bit and verified on whole signatures.
+def meetings(nodes: DataFrame, families: range) -> DataFrame:
+    """(node, hub), distinct: nodes (node, part, short) whose short fingerprints of one of the families differ in at most one bit, in different parts.
 
     The radius is one, so half of it is none for one side and one for the other: all emit
     their short fingerprints, those of odd parity their 24 variants too. A variant links its members to one of those whose own
     fingerprint it is, chosen by one of four hashes, so a document has few different partners.
     """
-    own = nodes.select("node", F.posexplode("short").alias("family", "word"))
-    flips = own.where(F.bit_count("word") % 2 == 1).select("node", "family", F.explode(F.array(*[F.col("word").bitwiseXOR(F.lit(1 << b)) for b in range(SHORT_BITS)])).alias("word"))
+    every = nodes.select("node", "part", F.posexplode(F.slice("short", families.start + 1, len(families))).alias("at", "word")).withColumn("family", F.col("at") + families.start)
     key = (F.shiftleft(F.col("family").cast("long"), 32) + F.col("word")).alias("variant")
-    hubs = own.select(key, "node", F.xxhash64("node", F.col("family") % 4).alias("order")).groupBy("variant").agg(F.min_by("node", F.struct("order", "node")).alias("hub"))
-    met = own.unionByName(flips).select(key, "node").join(hubs.hint("merge"), "variant").where("node <> hub").select("node", "hub").distinct()
+    own = every.select(key, "node", "part", "family")
+    flips = every.where(F.bit_count("word") % 2 == 1).select("node", "part", "family", F.explode(F.array(*[F.col("word").bitwiseXOR(F.lit(1 << b)) for b in range(SHORT_BITS)])).alias("word"))
+    members = own.drop("family").unionByName(flips.select(key, "node", "part"))
+    chosen = F.min_by(F.struct("node", "part"), F.struct(F.xxhash64("node", F.col("family") % 4), "node"))
+    hubs = own.groupBy("variant").agg(chosen.alias("chosen")).select("variant", F.col("chosen.node").alias("hub"), F.col("chosen.part").alias("hub_part"))
+    apart = (F.col("node") != F.col("hub")) & ~F.coalesce(F.col("part") == F.col("hub_part"), F.lit(False))
+    return members.join(hubs.hint("merge"), "variant").where(apart).select("node", "hub").distinct()
+
+
+def verified(nodes: DataFrame, met: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): the pairs of met that are near enough on whole signatures."""
     sigs = nodes.select("node", "sig")
     both = met.join(sigs, "node").join(sigs.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
     apart = sum((F.bit_count(F.col("sig")[k].bitwiseXOR(F.col("hub_sig")[k])) for k in range(SIGNATURE_WORDS)), F.lit(0))
     return both.where(apart <= max_distance(similarity)).select(F.col("node").alias("u"), F.col("hub").alias("v"))
 
 
+def similar_edges(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): verified links between nodes (node, sig, short), enough to connect all that the short fingerprints bring together.
+
+    Members of a large group would each meet hubs in every family, and one link is enough. So the
+    first families are linked first; in the others only nodes meet that those links have not connected.
+    """
+    kind = nodes.schema["node"].dataType.simpleString()
+    first, _ = written(verified(nodes, meetings(nodes.select("node", F.lit(None).cast(kind).alias("part"), "short"), range(FIRST_FAMILIES)), similarity), "first-edges")
+    parts = connected_components(first).select("node", F.col("component").alias("part"))
+    parted, _ = written(nodes.select("node", "short").join(parts, "node", "left"), "parted-nodes")
+    return first.unionByName(verified(nodes, meetings(parted, range(FIRST_FAMILIES, FAMILIES)), similarity))
+
+
 def similar_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, component_id) of the documents that are not the smallest id of their component."""
     every, _ = written(signatures(docs.where(F.col(id_column).isNotNull()), shingle, id_column, text_column), "signatures")
