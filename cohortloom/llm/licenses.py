@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import pick, row_key, text_of
+from .common import pick, row_key, text_of, written
 
 #: Spellings that count as equal, in the order in which they are applied.
 SPELLINGS = {
@@ -40,20 +40,41 @@ KNOWN_NOTICES = [
 ]
 
 
-def canonical(text: Column) -> Column:
-    """The normalised text."""
-    lower = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    bare = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    spelled = bare
+def with_canonical(rows: DataFrame, kept: str = "") -> DataFrame:
+    """rows with ``text`` normalised; line ends stay if ``kept`` is a line end, and each line has a space at both ends.
+
+    Each step is a column that the next uses more than once; Spark doesn't merge such steps, so none runs twice.
+    """
+    others = [c for c in rows.columns if c != "text"]
+    text = F.col("text")
+    lower = rows.select(*others, F.lower(text).alias("text"))
+    marked = text.contains("copyright") | text.contains("(c)") | text.contains("©") | text.contains("all rights reserved")
+    unsigned = F.when(marked, F.regexp_replace(text, COPYRIGHT_LINE, " ")).otherwise(text)
+    bare = F.regexp_replace(unsigned, rf"[^\p{{L}}\p{{N}}{kept}]+", " ")
+    bare = F.replace(bare, F.lit(kept), F.lit(f" {kept} ")) if kept else F.trim(bare)
+    plain = lower.select(*others, F.concat(F.lit(" "), bare, F.lit(" ")).alias("text"))
+    spelled = text
     for odd, usual in SPELLINGS.items():
         spelled = F.replace(spelled, F.lit(f" {odd}"), F.lit(f" {usual}"))
-    return F.trim(F.when(bare.rlike(" (?:" + "|".join(SPELLINGS) + ")"), spelled).otherwise(bare))
+    return plain.select(*others, F.when(text.rlike(" (?:" + "|".join(SPELLINGS) + ")"), spelled).otherwise(text).alias("text"))
 
 
-def digest(text: Column) -> Column:
-    """SHA-256 of the normalised text; null if nothing is left."""
-    c = canonical(text)
-    return F.when(c != "", F.sha2(c, 256))
+def with_digest(rows: DataFrame, name: str) -> DataFrame:
+    """rows with, instead of ``text``, the SHA-256 of the normalised text; null if nothing is left."""
+    others = [c for c in rows.columns if c != "text"]
+    trimmed = with_canonical(rows).select(*others, F.trim("text").alias("text"))
+    return trimmed.select(*others, F.when(F.col("text") != "", F.sha2("text", 256)).alias(name))
+
+
+def line_digests(rows: DataFrame) -> DataFrame:
+    """rows with, instead of ``text``, the digest of each distinct normalised line that is not empty, one a row.
+
+    Texts are normalised whole, before lines are exploded.
+    """
+    others = [c for c in rows.columns if c != "text"]
+    lines = F.array_distinct(F.transform(F.split("text", "\n", -1), lambda line: F.trim(line)))
+    found = F.transform(F.filter(lines, lambda line: line != ""), lambda line: F.sha2(line, 256))
+    return with_canonical(rows, kept="\n").select(*others, F.explode(found).alias("digest"))
 
 
 def known(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
@@ -62,18 +83,18 @@ def known(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
 
 
 def digests(licenses: DataFrame) -> DataFrame:
-    """(digest, license_id), one row a digest."""
+    """(digest, license_id), one row a digest; a written table, so Spark knows its size when it picks a join."""
     rows = pick(licenses, license_id="license_id", text="text")
-    return rows.select("license_id", digest(text_of()).alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    every = with_digest(rows.select("license_id", text_of().alias("text")), "digest").where("digest is not null")
+    return written(every.groupBy("digest").agg(F.min("license_id").alias("license_id")), "license-digests")[0]
 
 
 def scan_licenses(docs: DataFrame, licenses: DataFrame, notices: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, text_digest, license_id (of the whole text, or null), notices (ids of notice lines, sorted and comma-joined) for every row."""
     rows = pick(docs, _id=id_column, text=text_column).select("_id", text_of().alias("text"))
     keyed = rows.select(*row_key(F.col("_id"), F.col("text")), "_id", "text")
-    lines = keyed.select("_k1", "_k2", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line"))
-    of_lines = lines.select("_k1", "_k2", digest(F.col("line")).alias("digest")).where("digest is not null")
+    of_lines = line_digests(keyed.select("_k1", "_k2", "text"))
     found = of_lines.join(digests(notices), "digest").groupBy("_k1", "_k2").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
-    whole = keyed.select("_k1", "_k2", "_id", digest(F.col("text")).alias("text_digest"))
+    whole = with_digest(keyed.select("_k1", "_k2", "_id", "text"), "text_digest")
     out = whole.join(digests(licenses).withColumnRenamed("digest", "text_digest"), "text_digest", "left").join(found, ["_k1", "_k2"], "left")
     return out.select(F.col("_id").alias(id_column), "text_digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
