@@ -4,7 +4,8 @@ Each text is split at \\n; a line's key is the line, stripped of ASCII white spa
 ends and with A-Z lower-cased, hashed to 128 bits. The distinct keys of each document are
 exploded and counted (one row per key and task reaches the shuffle, so a line that stands in a third
 of all documents costs no more than others). Lines of frequent keys are found by joining
-(document, position, hash) with the frequent hashes; the positions left are put back in order.
+(document, position, hash) with the frequent hashes, a written table, so that Spark knows its size and can
+split a hot line's rows; the positions left are put back in order.
 Texts shuffle once, to meet their dropped positions.
 
 Defined cases: a null or empty text is one empty line; keys shorter than ``min_chars`` are
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ASCII_SPACE, ascii_lower, pick, row_key, text_of
+from .common import ASCII_SPACE, ascii_lower, pick, row_key, text_of, written
 
 
 def line_keys(text: Column) -> Column:
@@ -36,7 +37,7 @@ def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, text (the lines that stay), n_lines, n_dropped for every row of docs."""
     rows = pick(docs, _id=id_column, text=text_column).select("_id", text_of().alias("text"))
-    frequent = frequent_lines(rows, min_docs, min_chars)
+    frequent, _ = written(frequent_lines(rows, min_docs, min_chars), "frequent-lines")
     keyed = F.transform(line_keys(F.col("text")), lambda k: F.when(F.char_length(k) >= min_chars, _hashed(k)))
     lines = rows.select(*row_key(F.col("_id"), F.col("text")), F.posexplode(keyed).alias("pos", "h")).select("_k1", "_k2", "pos", "h.h1", "h.h2").where("h1 is not null")
     hits = lines.join(frequent, ["h1", "h2"], "left_semi").groupBy("_k1", "_k2").agg(F.collect_set("pos").alias("drop"))
