@@ -82,7 +82,8 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     rows = possibly_repeated(flat, text).withColumn("_sha", F.unhex(F.sha2(text, 256)))
     alone = rows.where(~F.col("_maybe")).select(*flat.columns, "_sha", the_id.alias("_keep"), F.lit(1).cast("long").alias("_size"), F.lit(True).alias("_kept"))
     meet = rows.where("_maybe")
-    groups = meet.groupBy("_sha").agg(F.max(the_id).alias("_keep"), F.count("*").alias("_size"))
+    # written, so that the join reads an exchange on both sides and Spark can split a large group
+    groups, _ = written(meet.groupBy("_sha").agg(F.max(the_id).alias("_keep"), F.count("*").alias("_size")), "groups")
     turn = F.row_number().over(Window.partitionBy("_sha", the_id).orderBy(F.xxhash64(*others)))
     met = meet.withColumn("_turn", turn).join(groups, "_sha").select(*flat.columns, "_sha", "_keep", "_size", (the_id.eqNullSafe(F.col("_keep")) & (F.col("_turn") == 1)).alias("_kept"))
     both = alone.unionByName(met)
