@@ -116,7 +116,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id"
     ids = parts.join(groups.withColumnRenamed("fp", "node"), "node")
     least = ids.groupBy("component").agg(F.min("least").alias("component_id"))
     linked, _ = written(parts.join(least, "component").select(F.col("node").alias("fp"), "component_id"), "linked")
-    named = groups.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").cast(kind).alias("component_id"))
+    # written, so that the join reads an exchange on both sides and Spark can split a hot fingerprint
+    named, _ = written(groups.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").cast(kind).alias("component_id")), "named")
     out = every.join(named, "fp")
     return out.select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
