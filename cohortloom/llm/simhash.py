@@ -16,7 +16,7 @@ edges (a number of rows in proportion to the fingerprints).
 
 For a similarity (``one_of_each``) 64 bits and three flips are too few: texts whose 5-word shingles have a
 Jaccard similarity of 0.8 differ in about ten bits. There, 256 bits are dealt to 24 short fingerprints of
-24 bits, the ball hashing runs on each with radius one, and links are verified on all 256.
+24 bits, the ball hashing runs on each with radius one, and links are verified on the shingle sets themselves.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; a null id
 gets a component like others and counts as larger than all ids; rows that repeat each get a result.
@@ -131,15 +131,26 @@ FIRST_FAMILIES = 4
 _DEALT = np.stack([np.random.default_rng(7 + f).choice(64 * SIGNATURE_WORDS, SHORT_BITS, replace=False) for f in range(FAMILIES)])
 
 
-def signature(text: str | None, shingle: int) -> np.ndarray:
-    """256 majority bits of the word shingles' hashes, each hash mixed to four words."""
+def shingle_hashes(text: str | None, shingle: int) -> list[int]:
+    """XXH64 (seed 42) of the word shingles, in order; of the whole text if it has fewer words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1 if n > 1 else np.array([len(joined)])
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], 42) for a, b in zip(starts, ends[len(ends) - n :].tolist(), strict=True)]
+    return [digest(joined[a:b], 42) for a, b in zip(starts, ends[len(ends) - n :].tolist(), strict=True)]
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of the word shingles, ascending."""
+    return np.unique(np.array(shingle_hashes(text, shingle), np.uint64))
+
+
+def signature(text: str | None, shingle: int) -> np.ndarray:
+    """256 majority bits of the word shingles' hashes, each hash mixed to four words."""
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
     counts = np.zeros(64 * SIGNATURE_WORDS, np.int64)
     for at in range(0, n, 2048):
         h = np.array(hashes[at : at + 2048], np.uint64)
@@ -194,32 +205,50 @@ def meetings(nodes: DataFrame, families: range) -> DataFrame:
     return members.join(hubs.hint("merge"), "variant").where(apart).select("node", "hub").distinct()
 
 
-def verified(nodes: DataFrame, met: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): the pairs of met that are near enough on whole signatures."""
-    sigs = nodes.select("node", "sig")
-    both = met.join(sigs, "node").join(sigs.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-    apart = sum((F.bit_count(F.col("sig")[k].bitwiseXOR(F.col("hub_sig")[k])) for k in range(SIGNATURE_WORDS)), F.lit(0))
-    return both.where(apart <= max_distance(similarity)).select(F.col("node").alias("u"), F.col("hub").alias("v"))
+def shingle_sets(docs: DataFrame, shingle: int, id_column: str, text_column: str) -> DataFrame:
+    """node (the id), hashes (the distinct hashes of its shingles) for every row."""
+    rows = pick(docs, id=id_column, text=text_column)
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
+                sets = [shingle_set(t.as_py(), shingle).view(np.int64) for t in piece["text"]]
+                yield pa.RecordBatch.from_arrays([piece["id"], pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    return rows.mapInArrow(run, f"node {kind}, hashes array<bigint>")
+
+
+def verified(docs: DataFrame, met: DataFrame, shingle: int, similarity: float, id_column: str, text_column: str) -> DataFrame:
+    """(u, v): the pairs of met whose shingle sets have at least this Jaccard similarity. Only documents that meet are read."""
+    met, _ = written(met, "met")
+    nodes = met.select("node").unionByName(met.select(F.col("hub").alias("node"))).distinct()
+    some = pick(docs, _id=id_column, _text=text_column).join(nodes, F.col("_id") == F.col("node"), "left_semi")
+    sets, _ = written(shingle_sets(some, shingle, "_id", "_text"), "met-sets")
+    both = met.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("hashes").alias("hub_hashes")), "hub")
+    shared = F.size(F.array_intersect("hashes", "hub_hashes"))
+    return both.where(shared * (1 + similarity) >= similarity * (F.size("hashes") + F.size("hub_hashes")) - 1e-9).select(F.col("node").alias("u"), F.col("hub").alias("v"))
 
 
-def similar_edges(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): verified links between nodes (node, sig, short), enough to connect all that the short fingerprints bring together.
+def similar_edges(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, id_column: str, text_column: str) -> DataFrame:
+    """(u, v): verified links between nodes (node, sig, short; ids of docs), enough to connect all that the short fingerprints bring together.
 
     Members of a large group would each meet hubs in every family, and one link is enough. So the
     first families are linked first; in the others only nodes meet that those links have not connected.
     """
     kind = nodes.schema["node"].dataType.simpleString()
-    first, _ = written(verified(nodes, meetings(nodes.select("node", F.lit(None).cast(kind).alias("part"), "short"), range(FIRST_FAMILIES)), similarity), "first-edges")
+    first, _ = written(verified(docs, meetings(nodes.select("node", F.lit(None).cast(kind).alias("part"), "short"), range(FIRST_FAMILIES)), shingle, similarity, id_column, text_column), "first-edges")
     parts = connected_components(first).select("node", F.col("component").alias("part"))
     parted, _ = written(nodes.select("node", "short").join(parts, "node", "left"), "parted-nodes")
-    return first.unionByName(verified(nodes, meetings(parted, range(FIRST_FAMILIES, FAMILIES)), similarity))
+    return first.unionByName(verified(docs, meetings(parted, range(FIRST_FAMILIES, FAMILIES)), shingle, similarity, id_column, text_column))
 
 
 def similar_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, component_id) of the documents that are not the smallest id of their component."""
     every, _ = written(signatures(docs.where(F.col(id_column).isNotNull()), shingle, id_column, text_column), "signatures")
     nodes, _ = written(every.groupBy("sig", "short").agg(F.min("id").alias("node")), "signature-groups")
-    edges, _ = written(similar_edges(nodes, similarity), "similar-edges")
+    edges, _ = written(similar_edges(nodes, docs, shingle, similarity, id_column, text_column), "similar-edges")
     parts, _ = written(connected_components(edges), "similar-parts")
     named = nodes.select("sig", "node").join(parts, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
     return every.join(named, "sig").where("id > component_id").select("id", "component_id")
