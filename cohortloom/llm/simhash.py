@@ -15,8 +15,9 @@ joins by hint: Spark estimates exploded rows by their source and would broadcast
 edges (a number of rows in proportion to the fingerprints).
 
 For a similarity (``one_of_each``) 64 bits and three flips are too few: texts whose 5-word shingles have a
-Jaccard similarity of 0.8 differ in about ten bits. There, 256 bits are dealt to 24 short fingerprints of
-24 bits, the ball hashing runs on each with radius one, and links are verified on the shingle sets themselves.
+Jaccard similarity of 0.8 differ in about ten bits. There the links are exact: in one order of all shingles, sets of
+at least this similarity share a shingle of their first fifth (prefix filter), and pairs that share one are verified on
+the sets, as 64-bit hashes. Hubs link large groups; pairs that are still unconnected are all verified.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; a null id
 gets a component like others and counts as larger than all ids; rows that repeat each get a result.
@@ -30,9 +31,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import pick, text_of, written
+from .common import dropped, pick, text_of, written
 from .components import connected_components
 
 BITS, RADIUS, BYTES_AGREE = 64, 3, 5
@@ -124,11 +125,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id"
 
 # Similarity instead of a fixed radius ---------------------------------------------------
 
-#: A signature is a fingerprint of four words; its bits are dealt, with a fixed seed, to 24 short fingerprints of 24 bits.
-SIGNATURE_WORDS, FAMILIES, SHORT_BITS = 4, 24, 24
-#: Families that are linked before the others meet.
-FIRST_FAMILIES = 4
-_DEALT = np.stack([np.random.default_rng(7 + f).choice(64 * SIGNATURE_WORDS, SHORT_BITS, replace=False) for f in range(FAMILIES)])
+#: A signature, by which tests measure sketch distances, is a fingerprint of four words.
+SIGNATURE_WORDS = 4
+#: One document in so many is read for the frequent shingles: those of at least so many of them, so many at most.
+SAMPLED, FREQUENT, MOST_FREQUENT = 10, 2, 1 << 19
+#: Rounds of hubs before the pairs that are left are made.
+HUB_ROUNDS = 2
 
 
 def shingle_hashes(text: str | None, shingle: int) -> list[int]:
@@ -164,94 +166,171 @@ def signature(text: str | None, shingle: int) -> np.ndarray:
     return 2 * counts > n
 
 
-def signatures(docs: DataFrame, shingle: int, id_column: str, text_column: str) -> DataFrame:
-    """id, sig (four longs), short (24 short fingerprints) for every row."""
-    rows = pick(docs, id=id_column, text=text_column)
-    kind = rows.schema["id"].dataType.simpleString()
-    weights = 1 << np.arange(SHORT_BITS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = np.array([signature(t.as_py(), shingle) for t in batch["text"]], bool).reshape(-1, 64 * SIGNATURE_WORDS)
-            sig = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
-            short = (bits[:, _DEALT] @ weights).astype(np.int32)
-            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch["id"], lists(sig), lists(short)], names=["id", "sig", "short"])
-
-    return rows.mapInArrow(run, f"id {kind}, sig array<bigint>, short array<int>")
-
-
 def max_distance(similarity: float) -> int:
     """Differing bits of a signature at this Jaccard similarity: two sets of one size meet at a cosine of 2s / (1 + s)."""
     cosine = 2 * similarity / (1 + similarity)
     return int(64 * SIGNATURE_WORDS * np.arccos(cosine) / np.pi) + 5
 
 
-def meetings(nodes: DataFrame, families: range) -> DataFrame:
-    """(node, hub), distinct: nodes (node, part, short) whose short fingerprints of one of the families differ in at most one bit, in different parts.
+def _digest(hashes: np.ndarray) -> int:
+    """A set of hashes as one signed long, never negative."""
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) >> 1
 
-    The radius is one, so half of it is none for one side and one for the other: all emit
-    their short fingerprints, those of odd parity their 24 variants too. A variant links its members to one of those whose own
-    fingerprint it is, chosen by one of four hashes, so a document has few different partners.
+
+def frequent_shingles(docs: DataFrame, shingle: int, text_column: str) -> np.ndarray:
+    """Hashes of shingles that are frequent in a tenth of the documents, ascending by frequency.
+
+    They only decide the order in which shingles are compared: any order gives the same links, a good one fewer pairs.
+    """
+    some = pick(docs, text=text_column).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch["text"]:
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), shingle).view(np.int64))], names=["hash"])
+
+    often = some.mapInArrow(run, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    top = often.orderBy(F.desc("n"), "hash").limit(MOST_FREQUENT).toArrow()
+    return top["hash"].to_numpy()[::-1].copy()
+
+
+def prefixes(docs: DataFrame, shingle: int, similarity: float, frequent: np.ndarray, id_column: str, text_column: str) -> DataFrame:
+    """id, node (a digest of the shingle set), size (of the set), prefix (its first hashes in one order of all shingles) for every row.
+
+    Two sets that are similar enough share a hash of their prefixes: a prefix leaves out fewer hashes than any such pair shares.
+    The order is by hash, with the frequent shingles last.
     """
-    every = nodes.select("node", "part", F.posexplode(F.slice("short", families.start + 1, len(families))).alias("at", "word")).withColumn("family", F.col("at") + families.start)
-    key = (F.shiftleft(F.col("family").cast("long"), 32) + F.col("word")).alias("variant")
-    own = every.select(key, "node", "part", "family")
-    flips = every.where(F.bit_count("word") % 2 == 1).select("node", "part", "family", F.explode(F.array(*[F.col("word").bitwiseXOR(F.lit(1 << b)) for b in range(SHORT_BITS)])).alias("word"))
-    members = own.drop("family").unionByName(flips.select(key, "node", "part"))
-    chosen = F.min_by(F.struct("node", "part"), F.struct(F.xxhash64("node", F.col("family") % 4), "node"))
-    hubs = own.groupBy("variant").agg(chosen.alias("chosen")).select("variant", F.col("chosen.node").alias("hub"), F.col("chosen.part").alias("hub_part"))
-    apart = (F.col("node") != F.col("hub")) & ~F.coalesce(F.col("part") == F.col("hub_part"), F.lit(False))
-    return members.join(hubs.hint("merge"), "variant").where(apart).select("node", "hub").distinct()
-
-
-def shingle_sets(docs: DataFrame, shingle: int, id_column: str, text_column: str) -> DataFrame:
-    """node (the id), hashes (the distinct hashes of its shingles) for every row."""
     rows = pick(docs, id=id_column, text=text_column)
     kind = rows.schema["id"].dataType.simpleString()
+    by_hash = np.argsort(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent[by_hash], by_hash))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                sets = [shingle_set(t.as_py(), shingle).view(np.int64) for t in piece["text"]]
-                yield pa.RecordBatch.from_arrays([piece["id"], pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+                nodes, sizes, first = [], [], []
+                for text in piece["text"]:
+                    hashes = shingle_set(text.as_py(), shingle)
+                    nodes.append(_digest(hashes))
+                    sizes.append(len(hashes))
+                    hashes = hashes.view(np.int64)
+                    if len(known):
+                        place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                        hit = known[place] == hashes
+                        last = np.flatnonzero(hit)
+                        hashes = np.concatenate([hashes[~hit], hashes[last[np.argsort(rank[place[last]])]]])
+                    first.append(hashes[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1])
+                yield pa.RecordBatch.from_arrays([piece["id"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["id", "node", "size", "prefix"])
+
+    return rows.mapInArrow(run, f"id {kind}, node long, size int, prefix array<bigint>")
+
+
+def shared_keys(every: DataFrame) -> DataFrame:
+    """key, node, size for the hashes of prefixes that more than one node has, distinct. every: node, size, prefix."""
+    keys = every.select("node", "size", F.explode("prefix").alias("key"))
+    of_key = Window.partitionBy("key")
+    several = keys.select("*", F.min("node").over(of_key).alias("p"), F.max("node").over(of_key).alias("q")).where("p <> q")
+    return written(several.select("key", "node", "size").distinct(), "shared-keys")[0]
+
+
+def likely(met: DataFrame, similarity: float, part: float) -> DataFrame:
+    """(node, hub) of met (node, size, hub, hub_size; a row for each common hash of their prefixes) that can be similar enough.
+
+    One set has at least ``similarity`` times the hashes of the other.     Hashes that two sets share stand in both prefixes, or in one of the sets after its prefix: the first are counted, the
+    others are as many as there are at most. With a part below one, so much of the needed count is enough.
+    """
+    near = F.least("size", "hub_size") >= F.greatest("size", "hub_size") * similarity - 1e-9
+    counted = met.where(near).groupBy("node", "hub", "size", "hub_size").agg(F.count("*").alias("n"))
+    rest = F.greatest(*[F.ceil(F.col(c) * similarity - 1e-9) - 1 for c in ("size", "hub_size")])
+    needed = (F.col("size") + F.col("hub_size")) * (similarity / (1 + similarity)) - rest - 1e-6
+    return counted.where(F.col("n") >= needed * part).select("node", "hub")
+
+
+def hub_pairs(parted: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """(node, hub): for each key its members and one of them, chosen by a hash of this turn, in different parts."""
+    chosen = F.min_by(F.struct("node", "size", "part"), F.struct(F.xxhash64("node", F.lit(turn)), "node"))
+    hubs = parted.groupBy("key").agg(chosen.alias("h"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q")
+    hubs, _ = written(hubs.select("key", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.part").alias("hub_part")), "hubs")
+    # a key may have another hub, so not all common hashes are counted
+    return likely(parted.join(hubs.hint("merge"), "key").where("part <> hub_part"), similarity, 0.3)
+
+
+def left_pairs(parted: DataFrame, similarity: float) -> DataFrame:
+    """(node, hub): all pairs of a key that may be similar and are in different parts.
+
+    The members of a key outside its largest part meet all of its members, so a large part does not meet itself.
+    """
+    parts = parted.groupBy("key", "part").agg(F.count("*").alias("n"))
+    large, _ = written(parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("large"), F.count("*").alias("parts")).where("parts > 1").select("key", "large"), "largest-parts")
+    some, _ = written(parted.join(large.hint("merge"), "key"), "several-parts")
+    few = some.where("part <> large").select("key", F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("part").alias("hub_part"))
+    met = some.join(few.hint("merge"), "key").where("part <> hub_part AND (part = large OR node < hub)")
+    # one row for each common hash, whichever of the two is in the largest part of the key
+    pair = F.array_sort(F.array(F.struct("node", "size"), F.struct(F.col("hub").alias("node"), F.col("hub_size").alias("size"))))
+    ordered = met.select(pair.alias("x")).select(F.col("x")[0]["node"].alias("node"), F.col("x")[0]["size"].alias("size"), F.col("x")[1]["node"].alias("hub"), F.col("x")[1]["size"].alias("hub_size"))
+    return likely(ordered, similarity, 1)
+
+
+def shingle_sets(docs: DataFrame, shingle: int, text_column: str) -> DataFrame:
+    """node, hashes (the distinct hashes of its shingles) for every row."""
+    rows = pick(docs, text=text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = [shingle_set(t.as_py(), shingle) for t in batch.slice(at, 256)["text"]]
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    return rows.mapInArrow(run, f"node {kind}, hashes array<bigint>")
+    return rows.mapInArrow(run, "node long, hashes array<bigint>")
 
 
-def verified(docs: DataFrame, met: DataFrame, shingle: int, similarity: float, id_column: str, text_column: str) -> DataFrame:
-    """(u, v): the pairs of met whose shingle sets have at least this Jaccard similarity. Only documents that meet are read."""
-    met, _ = written(met, "met")
-    nodes = met.select("node").unionByName(met.select(F.col("hub").alias("node"))).distinct()
-    some = pick(docs, _id=id_column, _text=text_column).join(nodes, F.col("_id") == F.col("node"), "left_semi")
-    sets, _ = written(shingle_sets(some, shingle, "_id", "_text"), "met-sets")
+def verified(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): the pairs of met whose shingle sets have at least this Jaccard similarity."""
     both = met.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("hashes").alias("hub_hashes")), "hub")
     shared = F.size(F.array_intersect("hashes", "hub_hashes"))
     return both.where(shared * (1 + similarity) >= similarity * (F.size("hashes") + F.size("hub_hashes")) - 1e-9).select(F.col("node").alias("u"), F.col("hub").alias("v"))
 
 
-def similar_edges(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, id_column: str, text_column: str) -> DataFrame:
-    """(u, v): verified links between nodes (node, sig, short; ids of docs), enough to connect all that the short fingerprints bring together.
+def similar_edges(keys: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """(u, v): verified links, enough to connect all nodes that are similar enough. ``sets_of(met)`` gives the sets of the nodes of pairs.
 
-    Members of a large group would each meet hubs in every family, and one link is enough. So the
-    first families are linked first; in the others only nodes meet that those links have not connected.
+    Rounds of hubs link large groups by few pairs. What they leave unconnected meets in all pairs, so no link is missed.
     """
-    kind = nodes.schema["node"].dataType.simpleString()
-    first, _ = written(verified(docs, meetings(nodes.select("node", F.lit(None).cast(kind).alias("part"), "short"), range(FIRST_FAMILIES)), shingle, similarity, id_column, text_column), "first-edges")
-    parts = connected_components(first).select("node", F.col("component").alias("part"))
-    parted, _ = written(nodes.select("node", "short").join(parts, "node", "left"), "parted-nodes")
-    return first.unionByName(verified(docs, meetings(parted, range(FIRST_FAMILIES, FAMILIES)), shingle, similarity, id_column, text_column))
+    found = None
+    for turn in range(HUB_ROUNDS + 1):
+        if found is None:
+            parted = keys.withColumn("part", F.col("node"))
+        else:
+            parts, _ = written(connected_components(found), "parts")
+            joined = keys.join(parts.withColumnRenamed("component", "part"), "node", "left")
+            parted = joined.select("key", "node", "size", F.coalesce("part", "node").alias("part"))
+        met, _ = written(hub_pairs(parted, similarity, turn) if turn < HUB_ROUNDS else left_pairs(parted, similarity), "met")
+        new, _ = written(verified(met, sets_of(met), similarity), "similar-edges")
+        found = new if found is None else found.unionByName(new)
+    return found
 
 
 def similar_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, component_id) of the documents that are not the smallest id of their component."""
-    every, _ = written(signatures(docs.where(F.col(id_column).isNotNull()), shingle, id_column, text_column), "signatures")
-    nodes, _ = written(every.groupBy("sig", "short").agg(F.min("id").alias("node")), "signature-groups")
-    edges, _ = written(similar_edges(nodes, docs, shingle, similarity, id_column, text_column), "similar-edges")
-    parts, _ = written(connected_components(edges), "similar-parts")
-    named = nodes.select("sig", "node").join(parts, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
-    return every.join(named, "sig").where("id > component_id").select("id", "component_id")
+    some = docs.where(F.col(id_column).isNotNull())
+    every, path = written(prefixes(some, shingle, similarity, frequent_shingles(some, shingle, text_column), id_column, text_column), "prefixes")
+    keys = shared_keys(every)
+    nodes, _ = written(every.groupBy("node").agg(F.min("id").alias("least")), "nodes")
+    ids, _ = written(every.select("id", "node"), "node-ids")
+    dropped(docs.sparkSession, path)
+
+    def sets_of(met: DataFrame) -> DataFrame:
+        both = met.select("node").unionByName(met.select(F.col("hub").alias("node"))).distinct()
+        wanted, _ = written(nodes.join(both, "node").select(F.col("least").alias("_id")), "wanted")
+        return written(shingle_sets(pick(some, _id=id_column, _text=text_column).join(wanted, "_id", "left_semi"), shingle, "_text"), "sets")[0]
+
+    parts, _ = written(connected_components(similar_edges(keys, sets_of, similarity)), "similar-parts")
+    least = parts.join(nodes, "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = parts.join(least, "component").select("node", "component_id")
+    named, _ = written(nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "named")
+    return ids.join(named, "node").where("id > component_id").select("id", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -30,3 +30,33 @@ def test_threshold(spark):
     assert all(0.65 < jaccard(texts[i - 1], texts[i]) < 0.8 for i in texts if i % 2) and not near
     kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert kept == set(texts)
+
+
+def test_no_link_is_missed(spark, monkeypatch):
+    """Pairs and groups of at least 0.8, many of which share a passage with documents that are not similar to them."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage, texts = [word() for _ in range(250)], []
+    for k in range(150):
+        words = [word() for _ in range(60)] + (passage if k % 2 else [word() for _ in range(250)])
+        texts += [words] + [edited(words, rng.randrange(1, 9), rng) for _ in range(k % 3)]
+    texts = [" ".join(w) for w in texts]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    want = {i for i in root if top(i) == i}
+    assert 150 <= len(want) < len(texts)
+    for hubs in (3, 0):
+        monkeypatch.setattr(simhash, "HUB_ROUNDS", hubs, raising=False)
+        kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        assert kept == want
