@@ -77,11 +77,11 @@ def linked_spans(text: str, strong: list[Span], short: list[Span], reach: int) -
     names = [m.span() for m in _NAME.finditer(text)] if any(k in low for k in ("user", "login", "client", "access", "account")) else []
     weak_ids = [(a, b) for kind, a, b in short if kind == "access" and b - a >= 8] + names
     ids = [(a, b) for kind, a, b in strong if kind == "access"] + weak_ids
-    ends = [m.span() for m in _ENDPOINT.finditer(text)] if "://" in text or "." in text and (ids or short or strong) else []
-    if not ids and not ends:
-        return []
     weak_secrets = [(a, b) for kind, a, b in short if kind == "assign"] + [m.span() for m in _TOKEN.finditer(text)]
     secrets = [(a, b) for kind, a, b in strong if kind == "assign"] + weak_secrets
+    if not secrets:  # every weak span needs one
+        return []
+    ends = [m.span() for m in _ENDPOINT.finditer(text)] if "." in text or "://" in text else []
     taken, by_id, by_secret, by_end = _Intervals([(a, b) for _, a, b in strong]), _Intervals(ids), _Intervals(secrets), _Intervals(ends)
     found = [("weak_id", a, b) for a, b in weak_ids if by_secret.meets(a - reach, b + reach)]
     found += [("weak_secret", a, b) for a, b in weak_secrets if by_id.meets(a - reach, b + reach) or by_end.meets(a - reach, b + reach)]
