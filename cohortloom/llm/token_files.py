@@ -20,6 +20,7 @@ order of their text; null ids come first; an empty table gives no shards and no
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -43,12 +44,17 @@ _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 17
 _BYTE_CHARS = {b: 256 + k for k, b in enumerate(_HIDDEN)}
 
 
+#: str.split() cuts at these, the white space of tokenizers (Unicode White_Space) does not.
+_NO_SPACE = re.compile("[\x1c-\x1f]")
+
+
 class WordEncoder(dict):
     """Ids by a tokenizers file, for tokenizers that treat words between white space apart.
 
     The library encodes the words; their ids are remembered (2 * max_words of them at most).
     A full stop or comma after plain letters is a token of its own and looked up apart. It
-    holds for tokenizers whose pre-tokenizer drops white space, which is checked on the file.
+    holds for tokenizers whose pre-tokenizer drops white space, which is checked on the file. Texts with one of the four
+    control characters that are white space for Python alone are encoded whole.
     """
 
     def __init__(self, path: str, max_words: int = 250_000) -> None:
@@ -97,7 +103,8 @@ class WordEncoder(dict):
         """Unsigned 32-bit ids of each text."""
         if not self.by_word:
             return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        return [np.frombuffer(b"".join(map(self.__getitem__, (t or "").split())), "<u4") for t in texts]
+        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
+        return [whole(t) if t and _NO_SPACE.search(t) else np.frombuffer(b"".join(map(self.__getitem__, (t or "").split())), "<u4") for t in texts]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
