@@ -24,6 +24,13 @@ SPELLINGS = {
 }
 COPYRIGHT_LINE = r"(?m)^[^\S\n]*(?:copyright[ :(]|\(c\)|©|all rights reserved)[^\n]*$"
 
+#: What the operator drops: a line of COPYRIGHT_LINE that is a statement and not a line of a license text wrapped before
+#: "copyright notice" or an item "(c)". A statement has a year or a sign, or "copyright" and a name, not a word of prose.
+#: COPYRIGHT_LINE is the rule of the SQL, whose expressions have no look-ahead.
+_YEAR, _SIGN = r"(?=[^\n]*\b(?:19|20)\d\d\b)", r"[ :]*(?:\(c\)|©)"
+_PROSE = "a|an|and|any|applicable|are|as|assignment|at|be|by|can|claims?|disclaimers?|does|except|for|from|has|if|in|infringement|interests?|is|it|laws?|licen[cs]es?|licensors?|like|may|more|of|on|or|patent|permission|protection|provided|resulting|rights?|shall|statements?|status|such|that|the|then|this|those|to|treaty|under|unless|was|when|which|will|with|would|your?"
+COPYRIGHT_STATEMENT = rf"(?m)^[^\S\n]*(?:copyright(?=[ :(])(?![ :]*(?:notices?|holders?|owners?)\b)(?:{_SIGN}|{_YEAR}|(?![ :]*(?:{_PROSE})\b)(?=[ :]*[\p{{L}}<\[{{]))|\(c\)(?:(?=[^\S\n]*copyright)|{_YEAR})|©|all rights reserved)[^\n]*$"
+
 _NO_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
 _ISC_END = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
 #: Public license texts and notices.
@@ -49,7 +56,7 @@ def with_canonical(rows: DataFrame, kept: str = "") -> DataFrame:
     text = F.col("text")
     lower = rows.select(*others, F.lower(text).alias("text"))
     marked = text.contains("copyright") | text.contains("(c)") | text.contains("©") | text.contains("all rights reserved")
-    unsigned = F.when(marked, F.regexp_replace(text, COPYRIGHT_LINE, " ")).otherwise(text)
+    unsigned = F.when(marked, F.regexp_replace(text, COPYRIGHT_STATEMENT, " ")).otherwise(text)
     bare = F.regexp_replace(unsigned, rf"[^\p{{L}}\p{{N}}{kept}]+", " ")
     bare = F.replace(bare, F.lit(kept), F.lit(f" {kept} ")) if kept else F.trim(bare)
     plain = lower.select(*others, F.concat(F.lit(" "), bare, F.lit(" ")).alias("text"))
