@@ -51,7 +51,7 @@ def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return licenses.scan_licenses(docs, licenses.known(spark, licenses.KNOWN_TEXTS), licenses.known(spark, licenses.KNOWN_NOTICES))
+    return licenses.scan_licenses(docs, licenses.known(spark, licenses.more_texts()), licenses.known(spark, licenses.more_notices()))
 
 
 def _license_sql() -> str:

@@ -1,14 +1,17 @@
 """Known license texts, wrapped at many widths and signed, keep their digest."""
 
+import re
 import textwrap
 
 from cohortloom.llm import licenses
+from cohortloom.llm.queries import op6_license_scan
 
 SIGNED = ["Copyright (c) 2020 Jane Doe", "Copyright 2019-2021 The Authors", "Copyright Jane Doe", "(c) 2001 Jane Doe", "Copyright: Jane Doe", "(C) Copyright Jane Doe", "All rights reserved."]
 
 
 def wrapped(text, width):
-    return "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+    """Paragraphs wrapped anew, but for those with a license's own copyright line or a sample of one."""
+    return "\n\n".join(p if re.search(r"(?i)copyright \(c\)|\[yyyy\]", p) else textwrap.fill(p, width) for p in text.split("\n\n"))
 
 
 def found(spark, texts, rows):
@@ -23,3 +26,28 @@ def test_wrapped(spark):
     rows = [(name, wrapped(text, w)) for name, text in texts for w in range(30, 100)]
     rows += [(name, f"{line}\n\n{text}") for name, text in texts for line in SIGNED]
     assert found(spark, texts, rows) == []
+
+
+def test_query_knows_common_licenses(spark, tmp_path):
+    texts = dict(licenses.more_texts())
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "CC0-1.0", "Zlib", "BSL-1.0"} <= set(texts)
+    rows = [(name, wrapped(text, w)) for name, text in licenses.more_texts() for w in (43, 72, 80)]
+    rows += [(name, f"{text}\n\n# SPDX-License-Identifier: Apache-2.0") for name, text in [(None, "x = 1"), (None, "Licensed under the MPL")]]
+    rows += [(None, "Licensed under the BSD 3-Clause License\nmore text")]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string").write.parquet(path)
+    got = {r.doc_id: r for r in op6_license_scan(spark, str(tmp_path)).collect()}
+    assert [(n, t[:80]) for k, (n, t) in enumerate(rows) if got[k].license_id != n] == []
+    assert [got[k].notices for k in range(len(rows) - 3, len(rows))] == ["Apache-2.0", "Apache-2.0", "BSD-3-Clause"]
+
+
+def test_same_as_sql_on_tables(spark, sf):
+    """The SQL knows the first texts and notices only; the given tables have no others."""
+    import duckdb
+
+    from cohortloom.llm.queries import oracle_sql
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(oracle_sql()["op6_license_scan"]).fetchall()
+    assert sorted(map(tuple, op6_license_scan(spark, sf).collect()), key=repr) == sorted(want, key=repr)
