@@ -33,7 +33,7 @@ def test_op1(spark, sf, docs):
     assert len(got) == len(docs)
     for i in sorted(docs):
         ids = np.array(tokenizer.encode(docs[i], add_special_tokens=False).ids + [2], "<u4")
-        assert (got[i].doc_start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
 
 

@@ -225,9 +225,9 @@ def test_sentencepiece(odd_docs, no_docs):
 
 def test_token_files(spark, odd_docs, no_docs):
     path = tokenizer_file("word_bpe_49k.json")
-    got = sorted(token_files.round_trip(odd_docs, path, shard_tokens=500).collect(), key=lambda r: r.doc_start)
+    got = sorted(token_files.round_trip(odd_docs, path, shard_tokens=500).collect(), key=lambda r: r.start)
     assert len(got) == odd_docs.count() and [r.doc_id for r in got[:2]] == [None, None]
-    assert [r.doc_start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
     assert all(r.n_tokens == 1 for r in got if r.doc_id in (1, 2))
     assert token_files.round_trip(no_docs, path).count() == 0
 
