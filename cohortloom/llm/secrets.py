@@ -35,7 +35,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _NAME = re.compile(r"""(?:user(?:_?name)?|login|client_?id|access_?key_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", re.IGNORECASE | re.ASCII)
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{32,}={0,2}")
-_ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]*://[^\s\"'<>]+|\b(?:[a-z0-9-]+\.)+(?:com|net|org|io|cloud|internal|local)\b(?::[0-9]+)?", re.IGNORECASE | re.ASCII)
+#: Both look at a run of their characters from its start only, and give nothing back, so a run is read once.
+_URL = re.compile(r"(?<![a-z0-9+.-])[0-9+.-]*+([a-z][a-z0-9+.-]*+://[^\s\"'<>]++)", re.IGNORECASE | re.ASCII)
+_DOTTED = re.compile(r"(?<![a-z0-9_.-])[a-z0-9-]++\.[a-z0-9.-]*+", re.IGNORECASE | re.ASCII)
+_PORT = re.compile(r":[0-9]+", re.ASCII)
+#: Last labels of host names.
+_LAST_LABELS = ("com", "net", "org", "io", "cloud", "internal", "local")
 
 Span = tuple[str, int, int]
 
@@ -71,6 +76,32 @@ class _Intervals:
         return k > 0 and self.ends[k - 1] > a
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """URLs, and host names outside of them.
+
+    A host name is a part of a run of letters, digits, hyphens and points: labels without an empty one among them, up to the last that is one of _LAST_LABELS.
+    """
+    urls = [m.span(1) for m in _URL.finditer(text)] if "://" in text else []
+    low, inside, hosts = text.lower(), _Intervals(urls), []
+    if not any(f".{label}" in low for label in _LAST_LABELS):
+        return urls
+    for m in _DOTTED.finditer(text):
+        labels = m[0].lower().split(".")
+        last = next((k for k in range(len(labels) - 1, 0, -1) if labels[k] in _LAST_LABELS and labels[k - 1].strip("-")), 0)
+        if not last or (last == len(labels) - 1 and text[m.end() : m.end() + 1] == "_"):
+            continue
+        first = last
+        while first and labels[first - 1].strip("-"):
+            first -= 1
+        a = m.start() + sum(len(x) + 1 for x in labels[:first]) + len(labels[first]) - len(labels[first].lstrip("-"))
+        b = m.start() + sum(len(x) + 1 for x in labels[: last + 1]) - 1
+        if port := _PORT.match(text, b):
+            b = port.end()
+        if not inside.meets(a, b):
+            hosts.append((a, b))
+    return urls + hosts
+
+
 def linked_spans(text: str, strong: list[Span], short: list[Span], reach: int) -> list[Span]:
     """Weak parts with complementary parts in scope."""
     low = text.lower()
@@ -81,7 +112,7 @@ def linked_spans(text: str, strong: list[Span], short: list[Span], reach: int) -
     secrets = [(a, b) for kind, a, b in strong if kind == "assign"] + weak_secrets
     if not secrets:  # every weak span needs one
         return []
-    ends = [m.span() for m in _ENDPOINT.finditer(text)] if "." in text or "://" in text else []
+    ends = endpoints(text)
     taken, by_id, by_secret, by_end = _Intervals([(a, b) for _, a, b in strong]), _Intervals(ids), _Intervals(secrets), _Intervals(ends)
     found = [("weak_id", a, b) for a, b in weak_ids if by_secret.meets(a - reach, b + reach)]
     found += [("weak_secret", a, b) for a, b in weak_secrets if by_id.meets(a - reach, b + reach) or by_end.meets(a - reach, b + reach)]

@@ -390,7 +390,7 @@ def pack_flat(doc_ids: list[int | None], ids: np.ndarray, doc_lengths: list[int]
 _SHARD = "part int, shard int, first_id long, last_id long, n_docs long, n_tokens long, payload binary"
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, shard_tokens: int = 1 << 20, id_column: str = "doc_id", text_column: str = "text") -> None:
+def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, shard_tokens: int = 1 << 19, id_column: str = "doc_id", text_column: str = "text") -> None:
     """Encodes docs and writes the files of ``path``; ids of documents are whole numbers."""
     rows = pick(docs, id=id_column, text=text_column).select(F.col("id").cast("long").alias("id"), text_of().alias("text"))
 
@@ -462,7 +462,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return whole.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_tokens: int = 1 << 20) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_tokens: int = 1 << 19) -> DataFrame:
     """Writes the files to the shared folder and reads them back."""
     path = scratch_path(docs.sparkSession, "token-files")
     write_token_files(docs, tokenizer_path, path, end_id, shard_tokens)
