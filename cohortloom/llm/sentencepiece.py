@@ -8,8 +8,8 @@ tests hold them together.) The search reads characters one by one and keeps back
 where no piece crosses a boundary, all surviving paths meet there and their ids are committed; if
 pieces keep crossing, the surviving paths are followed back to the boundary that they share.
 
-A model whose pieces hold the blank only at their start can't cross into a new word, so words
-are committed one at a time, and the ids of words are remembered (a bounded number of them).
+A model whose pieces hold the blank only at their start can't cross into a new word, so the search commits at every
+word's end, and what it commits for a word is remembered (for a bounded number of words): each word is searched once.
 
 Defined cases: a null or empty text has no ids; decoding turns byte pieces that are no UTF-8
 into U+FFFD; a text that itself holds U+2581 decodes with spaces in its place.
@@ -20,10 +20,11 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from .common import pick
 
@@ -76,85 +77,67 @@ class Model:
 
 
 def viterbi(model: Model, chars: Iterable[str], window: int | None = None) -> Iterator[list[int]]:
-    """Lists of ids, each as soon as it is certain. Ties go to the longer last piece."""
-    limit = window or 4 * model.max_piece
-    ids, prefixes = model.ids, model.prefixes
+    """Lists of ids, each as soon as it is certain. Ties go to the longer last piece.
+
+    Characters are read ``window`` at a time. Back pointers are kept from the last committed boundary on, and are cut off there
+    when they are as many as the window.
+    """
+    longest, unknown = model.max_piece, model.unknown_score
+    limit = max(window or 4 * longest, longest + 1)
     source = iter(chars)
-    text = ""  # from the last committed boundary on
-    done = False
-    best: list[float | None] = [0.0]  # by boundary
-    back: list[tuple[int, int]] = [(0, -1)]  # by boundary: where its last piece starts, and its id
-    at = reach = 0
+    text = "".join(islice(source, limit))
+    more = len(text) == limit
+    best: list[float | None] = [0.0] + [None] * len(text)  # by boundary
+    back: list[tuple[int, int]] = [(0, -1)] * len(best)  # by boundary: where its last piece starts, and its id
+    at = reach = done = 0
+    n = len(text)
     while True:
-        while not done and len(text) < at + model.max_piece:  # what a piece from here may hold
-            got = next(source, None)
-            if got is None:
-                done = True
-            else:
-                text += got
-        if at >= len(text):
-            if at:
-                yield _committed(model, text, back, at)
+        if more and n < at + longest:  # what a piece from here may hold
+            got = "".join(islice(source, limit))
+            more = len(got) == limit
+            if done >= limit:
+                base = best[done] or 0.0
+                text, best, back = text[done:], [None if x is None else x - base for x in best[done:]], [(max(k - done, 0), i) for k, i in back[done:]]
+                at, reach, done = at - done, reach - done, 0
+            text += got
+            best += [None] * len(got)
+            back += [(0, -1)] * len(got)
+            n = len(text)
+        if at >= n:
+            if at > done:
+                yield _committed(model, text, back, done, at)
             return
-        while len(best) <= min(len(text), at + model.max_piece):
-            best.append(None)
-            back.append((0, -1))
-        here, end, single = best[at], at + 1, False
+        here = best[at]
         if here is not None:
-            while end <= len(text) and (piece := text[at:end]) in prefixes:
-                if piece in ids:
-                    number, score = ids[piece]
-                    if best[end] is None or here + score > best[end]:
-                        best[end], back[end] = here + score, (at, number)
-                    reach = max(reach, end)
-                    single |= end == at + 1
-                end += 1
+            level, single = model.trie, False
+            for end in range(at, n):
+                node = level.get(text[end])
+                if node is None:
+                    break
+                level, number, score = node
+                if number >= 0:
+                    single |= end == at
+                    score += here
+                    old = best[end + 1]
+                    if old is None or score > old:
+                        best[end + 1], back[end + 1] = score, (at, number)
+                    if end >= reach:
+                        reach = end + 1
             if not single:
-                score = here + model.unknown_score
+                score = here + unknown
                 if best[at + 1] is None or score > best[at + 1]:
                     best[at + 1], back[at + 1] = score, (at, -1)
                 reach = max(reach, at + 1)
         at += 1
         if reach == at:  # no piece crosses this boundary
             meet = at
-        elif at >= limit:
+        elif at - done >= limit:
             meet = _meeting(best, back, at, reach)
         else:
             continue
-        if meet:
-            yield _committed(model, text, back, meet)
-            base = best[meet]
-            text, best = text[meet:], [None if b is None else b - base for b in best[meet:]]
-            back = [(max(s - meet, 0), n) for s, n in back[meet:]]
-            at, reach = at - meet, reach - meet
-
-
-def viterbi_word(model: Model, text: str) -> list[int]:
-    """The same search over one word, held whole."""
-    n, unknown = len(text), model.unknown_score
-    best: list[float | None] = [None] * (n + 1)
-    back = [(0, -1)] * (n + 1)
-    best[0] = 0.0
-    for at in range(n):
-        here = best[at]
-        if here is None:
-            continue
-        level, single = model.trie, False
-        for end in range(at, n):
-            node = level.get(text[end])
-            if node is None:
-                break
-            level, number, score = node
-            if number >= 0:
-                single |= end == at
-                score += here
-                if best[end + 1] is None or score > best[end + 1]:
-                    best[end + 1], back[end + 1] = score, (at, number)
-        if not single:
-            score = here + unknown
-            if best[at + 1] is None or score > best[at + 1]:
-                best[at + 1], back[at + 1] = score, (at, -1)
-    return _committed(model, text, back, n)
+        if meet > done:
+            yield _committed(model, text, back, done, meet)
+            done = meet
 
 
 def _meeting(best: list, back: list[tuple[int, int]], at: int, reach: int) -> int:
@@ -167,21 +150,28 @@ def _meeting(best: list, back: list[tuple[int, int]], at: int, reach: int) -> in
     return min(alive.pop(), at)
 
 
-def _committed(model: Model, text: str, back: list[tuple[int, int]], end: int) -> list[int]:
+def _committed(model: Model, text: str, back: list[tuple[int, int]], first: int, end: int) -> list[int]:
+    """The ids from one committed boundary to the next."""
     out: list[list[int]] = []
-    while end > 0:
+    while end > first:
         start, number = back[end]
         out.append([number] if number >= 0 else model.unknown_ids(text[start:end]))
         end = start
     return [i for part in reversed(out) for i in part]
 
 
+#: Longer words are encoded like others but not remembered.
+LONG_WORD = 256
 #: Blanks stay with what follows.
 _words = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall
 
 
 class Encoder:
-    """Encodes texts; remembers the ids of at most 2 * max_words words of up to 64 characters."""
+    """Encodes texts; remembers the committed ids of at most 2 * max_words words.
+
+    All paths meet at a boundary that no piece crosses, so what the search commits before it depends on nothing after it
+    and can be remembered: words, if blanks stand at the start of pieces alone, and words without their last character if no piece holds it with the one before.
+    """
 
     def __init__(self, model: Model, max_words: int = 250_000) -> None:
         self.model, self.max_words = model, max_words
@@ -189,20 +179,23 @@ class Encoder:
         self.old: dict[str, bytes] = {}
 
     def _stream(self, text: str) -> bytes:
-        return np.array([i for ids in viterbi(self.model, text) for i in ids], "<u4").tobytes()
+        return array("I", chain.from_iterable(viterbi(self.model, text))).tobytes()
 
     def _word(self, word: str) -> bytes:
         """The ids of a word not lately met."""
-        if len(word) > 64:
-            return self._stream(word)
         ids = self.old.get(word)
         if ids is None and len(word) > 2 and word[-2:] not in self.model.pairs:  # a boundary that all paths share
-            ids = (self.young.get(word[:-1]) or self._word(word[:-1])) + self._word(word[-1])
+            points = len(word) - 1
+            while points > 2 and word[points - 2 : points] not in self.model.pairs:
+                points -= 1
+            head = word[:points]
+            ids = (self.young.get(head) or self._word(head)) + b"".join([self.young.get(c) or self._word(c) for c in word[points:]])
         elif ids is None:
-            ids = array("I", viterbi_word(self.model, word)).tobytes()
-        if len(self.young) >= self.max_words:
-            self.old, self.young = self.young, {}
-        self.young[word] = ids
+            ids = self._stream(word)
+        if len(word) <= LONG_WORD:
+            if len(self.young) >= self.max_words:
+                self.old, self.young = self.young, {}
+            self.young[word] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -272,8 +265,3 @@ def decode_documents(encoded: DataFrame, model_path: str, id_column: str = "doc_
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(texts, pa.string())], names=["id", "text"])
 
     return rows.mapInArrow(decode, f"id {kind}, text string").withColumnRenamed("id", id_column)
-
-
-def ids_digest(column: str = "ids"):
-    """A SHA-256 of the ids as text."""
-    return F.sha2(F.concat_ws(",", F.col(column).cast("array<string>")), 256)

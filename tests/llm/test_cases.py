@@ -177,13 +177,50 @@ def test_quality(spark, odd_docs, no_docs):
     assert all(r.score == 1 for r in quality.score_quality(odd_docs, none).collect())
 
 
-@pytest.mark.parametrize("window", [17, 20, 10**9])
+def whole_viterbi(model, text):
+    """Without a window: the best path to every boundary, then back from the end."""
+    best, back = [0.0] + [None] * len(text), [None] * (len(text) + 1)
+    for i in range(len(text)):
+        found = [(j, *model.ids[text[i:j]]) for j in range(i + 1, min(len(text), i + model.max_piece) + 1) if text[i:j] in model.ids]
+        if not found or found[0][0] > i + 1:
+            found.append((i + 1, -1, model.unknown_score))
+        for j, number, score in found:
+            if best[j] is None or best[i] + score > best[j]:
+                best[j], back[j] = best[i] + score, (i, number)
+    out, j = [], len(text)
+    while j:
+        i, number = back[j]
+        out[:0] = [number] if number >= 0 else model.unknown_ids(text[i:j])
+        j = i
+    return out
+
+
+@pytest.mark.parametrize("window", [1, 17, 20, None, 10**9])
 def test_viterbi_windows_agree(window):
     model = sentencepiece.Model(tokenizer_file("piece_bpe_32k.model"))
     rng = np.random.default_rng(2)
     for _ in range(60):
-        text = "".join(rng.choice(list("abt he er in▁\n日-="), rng.integers(1, 150)))
-        assert [i for ids in sentencepiece.viterbi(model, text, window) for i in ids] == sentencepiece.viterbi_word(model, text)
+        text = "".join(rng.choice(list("abt he er in▁\n日-="), rng.integers(1, 250)))
+        assert [i for ids in sentencepiece.viterbi(model, text, window) for i in ids] == whole_viterbi(model, text)
+
+
+def test_words_through_the_search(spark, sf):
+    """Remembered words give what the search gives for whole texts."""
+    model = sentencepiece.Model(tokenizer_file("piece_bpe_32k.model"))
+    own = sentencepiece.Encoder(model, max_words=300)
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(25).collect()] + ["a" * 900, "x" * 300 + "." * 90, "日本" * 200, "===--- !!! ...", "e\u0301 \u2581 b"]
+    for text in texts:
+        text = text[:3000]
+        marked = ("▁" if model.dummy_prefix else "") + text.replace(" ", "▁")
+        assert own.encode(text).tolist() == (whole_viterbi(model, marked) if text else [])
+
+
+def test_commits_come_early():
+    """Ids are given before the text is read to its end."""
+    model, read = sentencepiece.Model(tokenizer_file("piece_bpe_32k.model")), []
+    chars = (read.append(c) or c for c in "the words of a text▁" * 500)
+    next(sentencepiece.viterbi(model, chars))
+    assert len(read) <= 8 * model.max_piece
 
 
 def test_viterbi_against_the_library(spark, sf):
