@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -44,14 +46,6 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return flat.select([F.col(f"_c{at[old]}").alias(new) for new, old in columns.items()])
 
 
-def with_own(df: DataFrame, expressions: dict[str, Column], over) -> DataFrame:
-    """``over(frame)`` may use own columns of hidden names; the columns of df come back."""
-    n = len(df.columns)
-    flat = df.toDF(*[f"_c{i}" for i in range(n)])
-    out = over(flat, {name: F.col(f"_c{i}") for i, name in reversed(list(enumerate(df.columns)))})
-    return out.select([F.col(f"_c{i}") for i in range(n)]).toDF(*df.columns)
-
-
 def text_of(column: str | Column = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
@@ -76,8 +70,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_SCRATCH: dict[str, SparkSession] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/cohortloom/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's own folder, which is deleted when the driver's Python ends or by ``purge``."""
+    folder = f"{shared_folder(spark)}/cohortloom/{spark.sparkContext.applicationId}"
+    if folder not in _SCRATCH:
+        if not _SCRATCH:
+            atexit.register(_purge_all)
+        _SCRATCH[folder] = spark
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def purge(spark: SparkSession) -> None:
+    """Deletes this application's scratch tables: results that were not written elsewhere are lost."""
+    for folder in [f for f in _SCRATCH if f.endswith(f"/{spark.sparkContext.applicationId}")]:
+        dropped(_SCRATCH.pop(folder), folder)
+
+
+def _purge_all() -> None:
+    for folder, spark in _SCRATCH.items():
+        with contextlib.suppress(Exception):  # the JVM may have ended; nothing is lost then but the folder stays
+            conf = spark._jvm.org.apache.hadoop.conf.Configuration()
+            p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            p.getFileSystem(conf).delete(p, True)
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
