@@ -17,14 +17,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from hashlib import sha256
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pick, row_key, text_of
+from .common import pick, row_key, text_of, written
 
 #: A-Z to lower case; ASCII bytes that are no word characters to a space.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -189,16 +188,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, bl
         out = rows.mapInArrow(_scanner(blocks[0] if blocks else None, False), f"id {kind}, n_words long, n_hit long, items array<string>")
     else:
         keyed = rows.select(*row_key(F.col("id"), F.col("text")), "id", "text")
-        parts = [keyed.mapInArrow(_scanner(b, True), f"_k1 long, _k2 long, id {kind}, n_words long, hit array<long>, items array<string>") for b in blocks]
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part)
-        merged = every.groupBy("_k1", "_k2", "id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.count("*").alias("n"))
-        out = merged.select("id", "n_words", F.size("hit").cast("long").alias("n_hit"), F.array_sort("items").alias("items"), F.explode(F.sequence(F.lit(1), (F.col("n") / len(blocks)).cast("int"))))
+        merged = _merged_blocks(keyed, blocks, kind)
+        out = merged.select("id", "n_words", "n_hit", "items", F.explode(F.sequence(F.lit(1), (F.col("n") / len(blocks)).cast("int"))))
     bad = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     return out.select(F.col("id").alias(id_column), "n_words", "n_hit", "items", bad.alias("contaminated"))
 
 
+def _merged_blocks(keyed: DataFrame, blocks: list, kind: str) -> DataFrame:
+    """_k1, _k2, id, n_words, n_hit, items, n (scans) of each distinct row of keyed (_k1, _k2, id, text) over all blocks."""
+    every = None
+    for b in blocks:
+        part = keyed.mapInArrow(_scanner(b, True), f"_k1 long, _k2 long, id {kind}, n_words long, hit array<long>, items array<string>")
+        every = part if every is None else every.unionByName(part)
+    merged = every.groupBy("_k1", "_k2", "id", "n_words").agg(F.array_distinct(F.flatten(F.collect_set("hit"))).alias("hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.count("*").alias("n"))
+    return merged.select("_k1", "_k2", "id", "n_words", F.size("hit").cast("long").alias("n_hit"), F.array_sort("items").alias("items"), "n")
+
+
 def _scanner(block, positions: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = block.value if block else Patterns(WuManber([]), [], [])
@@ -217,24 +222,24 @@ def _scanner(block, positions: bool):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int = 1 << 24, text_column: str = "text", item_column: str = "item_id") -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
+    """The rows of docs that are not contaminated, with all their columns.
+
+    One block of patterns at a time is with a task; more than one block is scanned by as many passes, and texts found contaminated are dropped by two hashes of them.
+    """
+    flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    text = text_of(F.col(f"_c{docs.columns.index(text_column)}"))
     blocks = benchmark_blocks(benchmark, size, block_bytes, item_column, text_column)
+    if len(blocks) > 1:
+        texts = flat.select(text.alias("text")).select(*row_key(F.lit(""), F.col("text")), F.lit(0).alias("id"), "text")
+        merged = _merged_blocks(texts, blocks, "int").where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+        bad, _ = written(merged.select("_k1", "_k2"), "contaminated")
+        keyed = flat.select("*", *row_key(F.lit(""), text))
+        return keyed.join(bad, ["_k1", "_k2"], "left_anti").select(*flat.columns).toDF(*docs.columns)
+    block = blocks[0] if blocks else None
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        values = texts.tolist()
-        hits: list[set] = [set() for _ in values]
-        n_words = [0] * len(values)
-        for block in blocks:
-            for k, (n, hit, _) in enumerate(scan_texts(values, block.value)):
-                n_words[k] = n
-                hits[k].update(hit.tolist())
-        return pd.Series([not is_contaminated(n, len(h)) for n, h in zip(n_words, hits, strict=True)], dtype=bool)
-
-    flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
-    text = F.col(f"_c{docs.columns.index(text_column)}")
-    return flat.where(clean(text_of(text))).toDF(*docs.columns)
-
+        patterns = block.value if block else Patterns(WuManber([]), [], [])
+        return pd.Series([not is_contaminated(n, len(hit)) for n, hit, _ in scan_texts(texts.tolist(), patterns)], dtype=bool)
 
-def items_digest(items: list[str]) -> str:
-    return sha256(",".join(sorted(items)).encode()).hexdigest()
+    return flat.where(clean(text)).toDF(*docs.columns)
