@@ -99,6 +99,8 @@ def may_link(fps: DataFrame) -> DataFrame:
 def ball_edges(fps: DataFrame) -> DataFrame:
     """(u, v): verified links between distinct fingerprints, enough to connect all that are within three bits."""
     one, two = _flips()
+    # a small table makes many rows: they are made by as many tasks as a shuffle has
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     near = fps.select("fp", F.explode(_long_array(one)).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     even = fps.where(F.bit_count("fp") % 2 == 0)
     far = even.select("fp", F.explode(_long_array(two)).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
@@ -125,8 +127,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id"
 
 # Similarity instead of a fixed radius ---------------------------------------------------
 
-#: A signature, by which tests measure sketch distances, is a fingerprint of four words.
-SIGNATURE_WORDS = 4
 #: One document in so many is read for the frequent shingles: those of at least so many of them, so many at most.
 SAMPLED, FREQUENT, MOST_FREQUENT = 10, 2, 1 << 19
 #: Rounds of hubs before the pairs that are left are made.
@@ -149,34 +149,16 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, shingle), np.uint64))
 
 
-def signature(text: str | None, shingle: int) -> np.ndarray:
-    """256 majority bits of the word shingles' hashes, each hash mixed to four words."""
-    hashes = shingle_hashes(text, shingle)
-    n = len(hashes)
-    counts = np.zeros(64 * SIGNATURE_WORDS, np.int64)
-    for at in range(0, n, 2048):
-        h = np.array(hashes[at : at + 2048], np.uint64)
-        mixed = np.empty((len(h), SIGNATURE_WORDS), ">u8")
-        for k in range(SIGNATURE_WORDS):
-            x = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            mixed[:, k] = x ^ (x >> np.uint64(31))
-        counts += np.unpackbits(mixed.view(np.uint8), axis=1).sum(0, dtype=np.int64)
-    return 2 * counts > n
-
-
-def max_distance(similarity: float) -> int:
-    """Differing bits of a signature at this Jaccard similarity: two sets of one size meet at a cosine of 2s / (1 + s)."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(64 * SIGNATURE_WORDS * np.arccos(cosine) / np.pi) + 5
-
-
 def _digest(hashes: np.ndarray) -> int:
     """A set of hashes as one signed long, never negative."""
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) >> 1
 
 
+def text_hash(column: str | Column) -> Column:
+    """Tells apart rows that share an id."""
+    return F.xxhash64(text_of(column))
+
+
 def frequent_shingles(docs: DataFrame, shingle: int, text_column: str) -> np.ndarray:
     """Hashes of shingles that are frequent in a tenth of the documents, ascending by frequency.
 
@@ -195,12 +177,12 @@ def frequent_shingles(docs: DataFrame, shingle: int, text_column: str) -> np.nda
 
 
 def prefixes(docs: DataFrame, shingle: int, similarity: float, frequent: np.ndarray, id_column: str, text_column: str) -> DataFrame:
-    """id, node (a digest of the shingle set), size (of the set), prefix (its first hashes in one order of all shingles) for every row.
+    """id, h (a hash of the text), node (a digest of the shingle set), size (of the set), prefix (its first hashes in one order of all shingles) for every row.
 
     Two sets that are similar enough share a hash of their prefixes: a prefix leaves out fewer hashes than any such pair shares.
     The order is by hash, with the frequent shingles last.
     """
-    rows = pick(docs, id=id_column, text=text_column)
+    rows = pick(docs, id=id_column, text=text_column).select("id", text_hash("text").alias("h"), "text")
     kind = rows.schema["id"].dataType.simpleString()
     by_hash = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[by_hash], by_hash))
@@ -222,9 +204,9 @@ def prefixes(docs: DataFrame, shingle: int, similarity: float, frequent: np.ndar
                         last = np.flatnonzero(hit)
                         hashes = np.concatenate([hashes[~hit], hashes[last[np.argsort(rank[place[last]])]]])
                     first.append(hashes[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1])
-                yield pa.RecordBatch.from_arrays([piece["id"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["id", "node", "size", "prefix"])
+                yield pa.RecordBatch.from_arrays([piece["id"], piece["h"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["id", "h", "node", "size", "prefix"])
 
-    return rows.mapInArrow(run, f"id {kind}, node long, size int, prefix array<bigint>")
+    return rows.mapInArrow(run, f"id {kind}, h long, node long, size int, prefix array<bigint>")
 
 
 def shared_keys(every: DataFrame) -> DataFrame:
@@ -313,33 +295,34 @@ def similar_edges(keys: DataFrame, sets_of, similarity: float) -> DataFrame:
 
 
 def similar_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, component_id) of the documents that are not the smallest id of their component."""
+    """(id, h, component_id) of the rows, by id and hash of their text, that are not the smallest of their component."""
     some = docs.where(F.col(id_column).isNotNull())
     every, path = written(prefixes(some, shingle, similarity, frequent_shingles(some, shingle, text_column), id_column, text_column), "prefixes")
     keys = shared_keys(every)
-    nodes, _ = written(every.groupBy("node").agg(F.min("id").alias("least")), "nodes")
-    ids, _ = written(every.select("id", "node"), "node-ids")
+    nodes, _ = written(every.groupBy("node").agg(F.min(F.struct("id", "h")).alias("least")), "nodes")
+    ids, _ = written(every.select("id", "h", "node"), "node-ids")
     dropped(docs.sparkSession, path)
 
     def sets_of(met: DataFrame) -> DataFrame:
         both = met.select("node").unionByName(met.select(F.col("hub").alias("node"))).distinct()
-        wanted, _ = written(nodes.join(both, "node").select(F.col("least").alias("_id")), "wanted")
-        return written(shingle_sets(pick(some, _id=id_column, _text=text_column).join(wanted, "_id", "left_semi"), shingle, "_text"), "sets")[0]
+        wanted, _ = written(nodes.join(both, "node").select(F.col("least.id").alias("_id"), F.col("least.h").alias("_h")), "wanted")
+        rows = pick(some, _id=id_column, _text=text_column).withColumn("_h", text_hash("_text"))
+        return written(shingle_sets(rows.join(wanted, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]), shingle, "_text"), "sets")[0]
 
     parts, _ = written(connected_components(similar_edges(keys, sets_of, similarity)), "similar-parts")
-    least = parts.join(nodes, "node").groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = parts.join(least, "component").select("node", "component_id")
-    named, _ = written(nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "named")
-    return ids.join(named, "node").where("id > component_id").select("id", "component_id")
+    least = parts.join(nodes, "node").groupBy("component").agg(F.min("least").alias("top"))
+    linked = parts.join(least, "component").select("node", "top")
+    named, _ = written(nodes.join(linked, "node", "left").select("node", F.coalesce("top", "least").alias("top")), "named")
+    return ids.join(named, "node").where(F.struct("id", "h") > F.col("top")).select("id", "h", F.col("top.id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their component, with all their columns.
+    """The rows of docs that are the smallest of their component by id (by a hash of the text if the id is shared), with all their columns.
 
-    Rows with a null id stay: nothing tells which of them to keep.
+    Rows with a null id stay: nothing tells which of them to keep. Rows that repeat id and text stay or go together.
     """
     copies = similar_copies(pick(docs, **{id_column: id_column, text_column: text_column}), shingle, similarity, id_column, text_column)
-    extra, _ = written(copies.select(F.col("id").alias("_id")).distinct(), "near-copies")
+    extra, _ = written(copies.select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct(), "near-copies")
     flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
-    the_id = F.col(f"_c{docs.columns.index(id_column)}")
-    return flat.join(extra, the_id == F.col("_id"), "left_anti").toDF(*docs.columns)
+    the_id, text = (F.col(f"_c{docs.columns.index(c)}") for c in (id_column, text_column))
+    return flat.join(extra, (the_id == F.col("_id")) & (text_hash(text) == F.col("_h")), "left_anti").toDF(*docs.columns)

@@ -60,3 +60,25 @@ def test_no_link_is_missed(spark, monkeypatch):
         monkeypatch.setattr(simhash, "HUB_ROUNDS", hubs, raising=False)
         kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
         assert kept == want
+
+
+def test_rows_that_share_an_id(spark):
+    """A document is not dropped for the id that it shares with a copy."""
+    rng = random.Random(2)
+    text = " ".join(f"w{rng.randrange(10**9)}" for _ in range(200))
+    rows = [(1, text), (5, text + " tail"), (5, "something else entirely"), (None, text), (7, None), (8, "")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[2], rows[3], rows[4]], key=str)
+
+
+def test_recall_by_band(spark):
+    """Of pairs at 0.8 to 0.85, to 0.9 and over it all are linked, each band apart; under 0.8 none."""
+    rng, docs, bands = random.Random(11), [], {}
+    for k in range(160):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(edited(words, 1 + k % 8, rng)))]
+        band = min(int(jaccard(docs[-2][1], docs[-1][1]) * 20) / 20, 0.9)
+        bands.setdefault(band if band >= 0.8 else 0, []).append(2 * k + 1)
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {0, 0.8, 0.85, 0.9} <= set(bands)
+    assert {b: sum(i not in kept for i in ids) / len(ids) for b, ids in bands.items()} == {b: float(b >= 0.8) for b in bands}
