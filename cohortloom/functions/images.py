@@ -18,21 +18,40 @@ def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return a * (1 - fy) + b * fy
 
 
-def padding_bounds(image: np.ndarray, dark: float = 8.0, flat: float = 3.0, most: float = 0.2, keep: float = 0.6) -> tuple[int, int, int, int]:
-    """(top, bottom, left, right) without runs of dark, even lines at the borders; runs under two lines stay."""
+def shrink(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """By area: each new pixel is the mean of what it covers; bilinear where an axis grows."""
 
-    def run(lines: np.ndarray) -> int:
-        limit, n = int(len(lines) * most), 0
-        while n < limit and lines[n].mean() <= dark and lines[n].std() <= flat:
-            n += 1
-        return n if n >= 2 else 0
+    def weights(n: int, m: int) -> np.ndarray:
+        edges = np.linspace(0, n, m + 1)
+        low, high = edges[:-1, None], edges[1:, None]
+        cover = np.clip(np.minimum(high, np.arange(1, n + 1)) - np.maximum(low, np.arange(n)), 0, None)
+        return cover / cover.sum(1, keepdims=True)
 
     h, w = image.shape
-    top, bottom, left, right = run(image), h - run(image[::-1]), run(image.T), w - run(image.T[::-1])
-    if bottom - top < keep * h:
-        top, bottom = 0, h
-    if right - left < keep * w:
-        left, right = 0, w
+    if height > h or width > w:
+        return resize(image, height, width)
+    return weights(h, height) @ image.astype(float) @ weights(w, width).T
+
+
+#: Fixed values of padding lines: mean and deviation at most, share of values that are dark at least; what may be cut off a side, what must stay.
+DARK_MEAN, DARK_DEVIATION, DARK_VALUE, DARK_SHARE = 12.0, 4.0, 20, 0.98
+SIDE, STAYS = 0.20, 0.60
+
+
+def padding_bounds(image: np.ndarray) -> tuple[int, int, int, int]:
+    """(top, bottom, left, right) without runs of dark, even lines at the borders; runs under two lines stay."""
+    dark = lambda lines: (lines.mean(1) <= DARK_MEAN) & (lines.std(1) <= DARK_DEVIATION) & ((lines <= DARK_VALUE).mean(1) >= DARK_SHARE)
+
+    def cut(lines: np.ndarray) -> tuple[int, int]:
+        n = len(lines)
+        stays, most, flags = max(8, int(np.ceil(n * STAYS))), int(np.floor(n * SIDE)), dark(lines)
+        run = lambda f, room: min(int(np.argmin(np.append(f, False))), most, max(room, 0))
+        first = run(flags, n - stays)
+        last = run(flags[::-1], n - stays - first)
+        return (first if first >= 2 else 0), n - (last if last >= 2 else 0)
+
+    lines = image.astype(np.float32)
+    (top, bottom), (left, right) = cut(lines), cut(lines.T)
     return top, bottom, left, right
 
 
@@ -66,23 +85,38 @@ def standardise(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def perceptual_hash(image: np.ndarray) -> str:
-    """16 hex digits: signs of the low DCT frequencies against their median."""
+    """16 hex digits: the 64 lowest frequencies of a cosine transform, larger than the median of all but the constant one."""
     k, n = np.arange(8)[:, None], np.arange(32)[None, :]
-    basis = np.cos(np.pi * (2 * n + 1) * k / 64)
-    low = basis @ resize(image.astype(float), 32, 32) @ basis.T
-    bits = (low > np.median(low)).ravel()
+    basis = np.cos(np.pi * (2 * n + 1) * k / 64) * np.where(k == 0, np.sqrt(1 / 32), np.sqrt(2 / 32))
+    low = (basis @ shrink(image, 32, 32) @ basis.T).ravel()
+    bits = low > np.median(low[1:])
     return f"{int.from_bytes(np.packbits(bits).tobytes(), 'big'):016x}"
 
 
-def quality_metrics(image: np.ndarray) -> dict[str, float]:
-    """sharpness (variance of the Laplacian), noise_ratio (robust high-pass deviation over the range), dynamic_range (5th to 95th percentile)."""
-    x = image.astype(float)
-    p = np.pad(x, 1, mode="reflect")
-    around = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:]
-    high = x - around / 4
-    low, up = np.percentile(x, [5, 95])
-    noise = np.median(np.abs(high - np.median(high))) / 0.67449
-    return {"sharpness": float((around - 4 * x).var()), "noise_ratio": float(noise / max(up - low, 1e-6)), "dynamic_range": float(up - low)}
+def _filtered(image: np.ndarray, kernel: list[list[float]]) -> np.ndarray:
+    """A 3 x 3 filter; the image is mirrored at its edges."""
+    p = np.pad(image.astype(float), 1, mode="reflect")
+    h, w = image.shape
+    return sum(kernel[i][j] * p[i : i + h, j : j + w] for i in range(3) for j in range(3))
+
+
+def quality_metrics(image: np.ndarray, side: int = 128) -> dict[str, float | str]:
+    """Of the content on the canvas, at 128 pixels: perceptual_hash, sharpness (variance of the Laplacian), noise_ratio, dynamic_range.
+
+    Noise is the robust deviation of what a Gaussian takes away, over the range (1 at least) from the 5th to the 95th percentile. Without content all are missing.
+    """
+    robust, raw, content = standardise(image)
+    if not content.any():
+        return {"perceptual_hash": "", "sharpness": float("nan"), "noise_ratio": float("nan"), "dynamic_range": float("nan")}
+    rows, columns = np.flatnonzero(content.any(1)), np.flatnonzero(content.any(0))
+    part = np.s_[rows[0] : rows[-1] + 1, columns[0] : columns[-1] + 1]
+    even = np.clip(np.round(shrink(robust[part], side, side) * 255), 0, 255)
+    plain = np.clip(shrink(raw[part], side, side) * 255, 0, 255)
+    left = plain - _filtered(plain, [[1 / 16, 2 / 16, 1 / 16], [2 / 16, 4 / 16, 2 / 16], [1 / 16, 2 / 16, 1 / 16]])
+    noise = np.median(np.abs(left - np.median(left))) / 0.6744897501960817
+    low, up = np.percentile(plain, [5, 95])
+    spread = max(float(up - low), 0.0)
+    return {"perceptual_hash": perceptual_hash(even), "sharpness": float(_filtered(even, [[0, 1, 0], [1, -4, 1], [0, 1, 0]]).var()), "noise_ratio": float(noise / max(spread, 1.0)), "dynamic_range": spread}
 
 
 def components(mask: np.ndarray) -> np.ndarray:
@@ -124,31 +158,67 @@ def mask_features(mask: np.ndarray, border: int = 2) -> dict[str, float]:
     return {"area_ratio": n / mask.size, "boundary_touch_fraction": float((mask & edge).sum() / n), "centroid_x": float(x.mean() / max(mask.shape[1] - 1, 1)), "centroid_y": float(y.mean() / max(mask.shape[0] - 1, 1)), "aspect": float((np.ptp(x) + 1) / (np.ptp(y) + 1))}
 
 
+#: Limits of a mask, steps of the repair, parts of the uncertainty.
+AREA_LOW, AREA_HIGH, PEAK_LOW, TOUCH_HIGH, DEVIATION_HIGH = 0.003, 0.65, 0.50, 0.35, 5.5
+STEPS = (-0.20, -0.15, -0.10, -0.05, 0.05, 0.10, 0.15, 0.20)
+PRIOR_FEATURES, PRIOR_ROWS = ("area_ratio", "centroid_x", "centroid_y", "aspect"), 5
+
+
+def prior_deviation(mask: np.ndarray, prior: dict | None) -> float:
+    """The largest distance of a feature from its prior centre, in prior scales; 0 without a mask or with fewer than five prior rows.
+
+    prior: n, and (centre, scale) by feature.
+    """
+    if not prior or prior.get("n", 0) < PRIOR_ROWS or not mask.any():
+        return 0.0
+    f = mask_features(mask)
+    return float(max((abs(f[k] - prior[k][0]) / prior[k][1] for k in PRIOR_FEATURES if k in prior), default=0.0))
+
+
 def mask_reason(area: float, peak: float, touch: float, deviation: float) -> str:
     """Names of the limits that a mask breaks."""
-    rules = (("too_small", area < 0.003), ("too_large", area > 0.65), ("low_peak", peak < 0.50), ("boundary", touch > 0.35), ("prior", deviation > 5.5))
+    rules = (("area_too_small", area < AREA_LOW), ("area_too_large", area > AREA_HIGH), ("low_peak_probability", peak < PEAK_LOW), ("touches_boundary", touch > TOUCH_HIGH), ("geometry_outlier", deviation > DEVIATION_HIGH))
     return ";".join(name for name, bad in rules if bad)
 
 
-def repair(probability: np.ndarray, thresholds: tuple[float, ...] = (0.5, 0.45, 0.55, 0.4, 0.6, 0.35, 0.65, 0.3, 0.7)) -> tuple[float, np.ndarray, str]:
-    """The first best candidate: valid before invalid, then by mean probability inside."""
-    tried = []
-    for k, t in enumerate(thresholds):
-        mask = candidate_mask(probability, t)
-        f = mask_features(mask)
-        why = mask_reason(f["area_ratio"], float(probability.max()), f["boundary_touch_fraction"], 0.0)
-        tried.append((why == "", float(probability[mask].mean()) if mask.any() else 0.0, -k, t, mask, why))
-    best = max(tried, key=lambda x: x[:3])
-    return best[3:]
-
-
-def uncertainty(probability: np.ndarray, presence: float, disagreement: float, valid: bool) -> float:
-    """0.35 top-tenth entropy + 0.35 disagreement + 0.20 presence doubt + 0.10 mean entropy, + 0.15 if invalid; at most 1."""
-    p = np.clip(probability, 1e-6, 1 - 1e-6)
-    e = -(p * np.log2(p) + (1 - p) * np.log2(1 - p)).ravel()
-    top = np.partition(e, -max(1, round(e.size / 10)))[-max(1, round(e.size / 10)) :].mean()
-    score = 0.35 * top + 0.35 * min(1.0, disagreement) + 0.20 * (1 - abs(2 * presence - 1)) + 0.10 * e.mean() + (0.0 if valid else 0.15)
-    return float(min(1.0, score))
+def repair(probability: np.ndarray, threshold: float, prior: dict | None = None) -> dict:
+    """The best mask near a threshold: valid before invalid, then by probability inside less half the share on the border and 0.06 of the deviation (10 at most).
+
+    Cuts are tried upwards, and of equal ones the first stays. Gives mask, valid, method, threshold, reason, deviation.
+    """
+    peak, best = float(probability.max()), None
+    for cut in sorted({threshold, *(float(np.clip(threshold + step, 0.05, 0.95)) for step in STEPS)}):
+        mask = candidate_mask(probability, cut)
+        f, away = mask_features(mask), prior_deviation(mask, prior)
+        why = mask_reason(f["area_ratio"], peak, f["boundary_touch_fraction"], away)
+        inside = float(probability[mask].mean()) if mask.any() else 0.0
+        rank = (why == "", inside - 0.50 * f["boundary_touch_fraction"] - 0.06 * min(away, 10.0))
+        if best is None or rank > best[0]:
+            best = rank, {"mask": mask, "valid": why == "", "method": "adaptive_threshold_with_fold_prior" if why == "" else "unresolved", "threshold": cut, "reason": why, "deviation": away}
+    return best[1]
+
+
+def predict(probability: np.ndarray, presence: float, presence_threshold: float, threshold: float, prior: dict | None = None) -> dict:
+    """The mask of a probability map: empty if presence is low and no pixel is certain; the first cut if it is valid; else the repair."""
+    if not (presence >= presence_threshold or float(probability.max()) >= 0.80):
+        return {"mask": np.zeros(probability.shape, bool), "valid": True, "method": "presence_head_empty", "threshold": threshold, "reason": "", "deviation": 0.0}
+    mask = candidate_mask(probability, threshold)
+    f, away = mask_features(mask), prior_deviation(mask, prior)
+    why = mask_reason(f["area_ratio"], float(probability.max()), f["boundary_touch_fraction"], away)
+    if why == "":
+        return {"mask": mask, "valid": True, "method": "none", "threshold": threshold, "reason": "", "deviation": away}
+    out = repair(probability, threshold, prior)
+    return out | {"method": "photometric_tta+" + out["method"]}
+
+
+def uncertainty(probability: np.ndarray, other: np.ndarray, presence: float, presence_threshold: float, deviation: float, valid: bool) -> tuple[float, float, float]:
+    """(disagreement, entropy, uncertainty): mean difference of two maps, mean entropy in bits of the most uncertain tenth, and their mix with the doubt about presence and the deviation."""
+    p = np.clip(probability.astype(float), 1e-6, 1 - 1e-6)
+    e = np.sort((-(p * np.log2(p) + (1 - p) * np.log2(1 - p))).ravel())
+    entropy, apart = float(e[-max(1, round(0.10 * e.size)) :].mean()), float(np.abs(p - other).mean())
+    doubt = max(0.0, 1 - abs(presence - presence_threshold) / 0.50)
+    mix = 0.35 * entropy + 0.35 * min(1.0, apart / 0.08) + 0.20 * doubt + 0.10 * min(1.0, deviation / DEVIATION_HIGH) + (0.0 if valid else 0.15)
+    return apart, entropy, min(1.0, mix)
 
 
 def support(mask: np.ndarray, content: np.ndarray, size: int = 15) -> tuple[np.ndarray, np.ndarray]:
@@ -158,13 +228,21 @@ def support(mask: np.ndarray, content: np.ndarray, size: int = 15) -> tuple[np.n
 
 
 def histogram_limits(image: np.ndarray, mask: np.ndarray, q: tuple[float, float] = (0.01, 0.99)) -> tuple[float, float] | None:
-    """Values of the given ranks inside the mask, from 256 bins; None for too few pixels or too small a span."""
-    v = np.clip((image[mask] * 255).astype(int), 0, 255)
+    """Values of the given ranks inside the mask, from 256 bins; None for too few pixels or none between."""
+    v = np.clip(np.round(np.clip(image[mask], 0, 1) * 255).astype(int), 0, 255)
     if len(v) < 64:
         return None
     total = np.cumsum(np.bincount(v, minlength=256))
     a, b = (int(np.searchsorted(total, int(np.floor(p * (len(v) - 1))) + 1)) for p in q)
-    return None if b - a < 8 else (a / 255, b / 255)
+    return None if b <= a else (a / 255, b / 255)
+
+
+def region_normalise(image: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The masked image from its lower to its upper limit (eight grey levels apart at least) as 0 to 1; all 0 without limits."""
+    limits = histogram_limits(image, mask)
+    if limits is None:
+        return np.zeros(image.shape)
+    return np.clip((image - limits[0]) / max(limits[1] - limits[0], 8 / 255), 0, 1) * mask
 
 
 def confusion(truth: np.ndarray, guess: np.ndarray) -> tuple[int, int, int]:

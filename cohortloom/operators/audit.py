@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clean import clean_double, normal_target, reasons
+from .cohort import round_robin
+from .neighbours import hamming_anti
 
 #: Fixed values of the audits.
 LOW_RANGE, BLUR_FLOOR, NOISE_CEILING, LOW_Q, HIGH_Q, MIN_VALUES = 12.0, 4.0, 0.30, 0.03, 0.97, 5
@@ -26,13 +30,14 @@ def quality_audit(items: DataFrame, subject: str, sharpness: str, noise: str, sp
     """Adds the thresholds, quality_reason and quality_valid."""
     joined = items.join(quality_thresholds(items, subject, sharpness, noise).drop("n"), subject)
     wide = clean_double(F.col(spread))
-    why = reasons(("low_dynamic_range", wide.isNull() | (wide < LOW_RANGE)), ("blurred", clean_double(F.col(sharpness)) < F.col("blur_threshold")), ("noisy", clean_double(F.col(noise)) > F.col("noise_threshold")))
+    sharp, loud = clean_double(F.col(sharpness)), clean_double(F.col(noise))
+    why = reasons(("low_dynamic_range", wide.isNull() | (wide < LOW_RANGE)), ("blurred", sharp.isNull() | (sharp < F.col("blur_threshold"))), ("noisy", loud.isNull() | (loud > F.col("noise_threshold"))))
     return joined.withColumn("quality_reason", why).withColumn("quality_valid", (F.col("quality_reason") == "").cast("int"))
 
 
-def mask_status(present: Column, area: Column) -> Column:
-    """missing, unreadable, empty, full or valid."""
-    return F.when(~present, "missing").when(area.isNull(), "unreadable").when(area < MASK_EMPTY, "empty").when(area > MASK_FULL, "full").otherwise("valid")
+def mask_reason(found: Column, area: Column) -> Column:
+    """Why a mask can't be used: missing, unreadable, empty_or_nearly_empty or nearly_full; '' if it can."""
+    return F.when(~found, "missing").when(area.isNull(), "unreadable").when(area < MASK_EMPTY, "empty_or_nearly_empty").when(area > MASK_FULL, "nearly_full").otherwise("")
 
 
 def default_weight(target: Column, source: Column) -> Column:
@@ -40,21 +45,26 @@ def default_weight(target: Column, source: Column) -> Column:
 
 
 def target_audit(items: DataFrame, marks: DataFrame, key: str) -> DataFrame:
-    """ACCEPTED, EXCLUDED or REJECTED for every key of either side.
+    """ACCEPTED, EXCLUDED or REJECTED for every key of marks.
 
-    items: key, quality_valid. marks: key, target_type, mask_area (null: no mask). A key that no item has is
-    rejected, an unusable target excluded; a mask without a target counts as present.
+    items: key, quality_valid, and quality_reason if there is one. marks: key, target_type, mask_area (null: no readable mask), and
+    mask_found if masks may be there unread. A mask without a target counts as present if it can be used. A negative target
+    without a mask has an empty one. Unusable targets are excluded, keys of no item rejected; others are accepted without reasons.
     """
-    both = items.select(key, "quality_valid", F.lit(True).alias("_item")).join(marks.select(key, "target_type", "mask_area", F.lit(True).alias("_mark")), key, "full_outer")
-    told = normal_target(F.col("target_type"))
-    target = F.when((told == "") & (F.col("mask_area") >= MASK_EMPTY), F.lit("HEART_PRESENT")).otherwise(told)
-    out = both.where("_mark").withColumn("target", target)
-    why = reasons(
-        ("unknown_item", F.col("_item").isNull()), ("unlabelled", F.col("target") == ""), ("low_quality", F.col("quality_valid") == 0),
-        ("mask_missing", (F.col("target") == "HEART_PRESENT") & F.col("mask_area").isNull()), ("mask_empty", (F.col("target") == "HEART_PRESENT") & (F.col("mask_area") < MASK_EMPTY)), ("mask_full", F.col("mask_area") > MASK_FULL),
-    )
+    own_reason = F.col("quality_reason") if "quality_reason" in items.columns else F.lit(None).cast("string")
+    found = F.col("mask_found") if "mask_found" in marks.columns else F.col("mask_area").isNotNull()
+    left = marks.select(key, normal_target(F.col("target_type")).alias("told"), clean_double(F.col("mask_area")).alias("mask_area"), F.coalesce(found, F.lit(False)).alias("found"))
+    right = items.select(key, "quality_valid", own_reason.alias("quality_reason"), F.lit(True).alias("_item"))
+    out = left.join(right, key, "left").withColumn("mask", mask_reason(F.col("found"), F.col("mask_area")))
+    target = F.when(F.col("told") != "", F.col("told")).when(F.col("mask") == "", "HEART_PRESENT").otherwise("UNLABELED_EMPTY")
+    out = out.withColumn("target", F.when(F.col("_item").isNull(), F.col("told")).otherwise(target))
+    is_ = lambda name: F.col("target") == name
+    kind = F.when(is_("HEART_PRESENT"), F.col("mask")).when(is_("NO_HEART_VISIBLE"), F.when(F.col("found") & F.col("mask_area").isNull(), "unreadable_negative_mask").when(F.col("mask_area") >= MASK_EMPTY, "no_heart_annotation_has_nonempty_mask").otherwise(""))
+    kind = kind.when(is_("UNUSABLE"), "explicitly_unusable").otherwise("empty_mask_without_explicit_no_heart_label")
+    poor = F.when(~is_("UNUSABLE") & (F.coalesce("quality_valid", F.lit(0)) != 1), F.coalesce("quality_reason", F.lit("quality_invalid")))
+    why = F.when(F.col("_item").isNull(), "token_absent_from_dataset").otherwise(F.concat_ws(";", F.nullif(kind, F.lit("")), poor))
     out = out.withColumn("reason", why)
-    status = F.when(F.col("_item").isNull(), "REJECTED").when(F.col("target") == "UNUSABLE", "EXCLUDED").when(F.col("reason") == "", "ACCEPTED").otherwise("REJECTED")
+    status = F.when(F.col("_item").isNull(), "REJECTED").when(is_("UNUSABLE"), "EXCLUDED").when((F.col("reason") == "") & poor.isNull(), "ACCEPTED").otherwise("REJECTED")
     return out.select(key, "target", "quality_valid", "mask_area", status.alias("status"), "reason")
 
 
@@ -63,6 +73,23 @@ def audit_counters(audited: DataFrame, by: str) -> DataFrame:
     return audited.groupBy(by).agg(F.count("*").alias("n"), *[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("ACCEPTED", "REJECTED", "EXCLUDED")])
 
 
+def fold_counters(audited: DataFrame, fold: str, folds: int = 5) -> DataFrame:
+    """One row: accepted targets of each fold, present and absent (0 where there are none)."""
+    of = lambda k, name: F.count_if((F.col(fold) == k) & (F.col("status") == "ACCEPTED") & (F.col("target") == name))
+    return audited.agg(*[of(k, name).alias(f"fold_{k}_{short}") for k in range(folds) for name, short in (("HEART_PRESENT", "present"), ("NO_HEART_VISIBLE", "absent"))])
+
+
+def integrity(audited: DataFrame, subject: str, fold: str, folds: int = 5) -> DataFrame:
+    """One row: accepted present targets, folds that have one, subjects that have one. See ``require_targets``."""
+    good = audited.where("status = 'ACCEPTED' AND target = 'HEART_PRESENT'")
+    return good.agg(F.count("*").alias("positives"), F.count_distinct(F.when(F.col(fold).between(0, folds - 1), F.col(fold))).alias("folds"), F.count_distinct(subject).alias("subjects"))
+
+
+def require_targets(audited: DataFrame, subject: str, fold: str, folds: int = 5, positives: int = 800, subjects: int = 6) -> None:
+    """Raises unless there are enough accepted present targets, in every fold, of enough subjects."""
+    require(integrity(audited, subject, fold, folds), positives=F.first("positives") >= positives, folds=F.first("folds") == folds, subjects=F.first("subjects") >= subjects)
+
+
 def reason_counts(audited: DataFrame) -> DataFrame:
     return audited.where("reason <> ''").select(F.explode(F.split("reason", ";")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
@@ -96,19 +123,64 @@ def import_counters(masks: DataFrame, items: DataFrame, labelled: DataFrame, key
     return known.agg(F.count("*").alias("masks"), F.count_if(F.col("_i").isNull()).alias("absent"), F.count_if(F.col("_l").isNotNull()).alias("already_labelled"))
 
 
-def in_scope(rows: DataFrame, scope: str, threshold: float = 0.5) -> DataFrame:
-    """The rows of a review scope: invalid, uncertain, empty, manual or all.
+#: Fixed values of the review scopes.
+UNCERTAIN, NEAR_THRESHOLD, NOVEL_RADIUS, LEAST_PER_SUBJECT = 0.18, 0.15, 6, 10
+SCOPES = ("invalid", "uncertain", "empty", "novel", "manual", "all")
+
 
-    Columns used: valid, uncertainty, presence, area, labelled.
+def in_scope(rows: DataFrame, scope: str) -> DataFrame:
+    """The rows of a review scope, with review_priority (smaller comes first).
+
+    Columns used: target ('' if unlabelled), quality_valid, valid (of the automatic mask), available (it is there), uncertainty, presence,
+    presence_threshold, peak, mask_reason (of the manual mask; 'missing' without one), phash (signed long; novel alone).
+    Only unlabelled rows with an automatic mask are in a scope. ``novel`` are those farther than six bits from every annotated hash.
     """
+    if scope not in SCOPES:
+        raise ValueError(f"scope must be one of {SCOPES}")
+    valid, doubt = F.coalesce("valid", F.lit(1)), clean_double(F.col("uncertainty"), 0.0)
+    has_mask, good = F.col("mask_reason") != "missing", F.coalesce("quality_valid", F.lit(0)) == 1
+    near = F.coalesce(F.abs(clean_double(F.col("presence")) - clean_double(F.col("presence_threshold"), 0.5)) <= NEAR_THRESHOLD, F.lit(False))
     tests = {
-        "invalid": F.col("valid") == 0,
-        "uncertain": (F.col("uncertainty") >= 0.18) | (F.abs(F.col("presence") - threshold) <= 0.15) | (F.col("valid") == 0),
-        "empty": F.coalesce(F.col("area"), F.lit(0.0)) < MASK_EMPTY,
-        "manual": F.col("labelled"),
-        "all": F.lit(True),
+        "invalid": (valid == 0, clean_double(F.col("peak"), 0.0)),
+        "uncertain": (good & ((doubt >= UNCERTAIN) | near | (valid != 1)), -doubt),
+        "empty": (F.col("mask_reason") == "empty_or_nearly_empty", -doubt),
+        "novel": (~has_mask & good, -doubt),
+        "manual": (has_mask, F.lit(0.0)),
+        "all": (F.lit(True), F.lit(0.0)),
     }
-    return rows.where(tests[scope])
+    test, priority = tests[scope]
+    out = rows.where((F.col("target") == "") & F.coalesce("available", F.lit(False)) & test).withColumn("review_priority", priority)
+    if scope != "novel":
+        return out
+    known = rows.where((F.col("target") != "") | has_mask).where("phash is not null")
+    if not known.limit(1).count():
+        raise ValueError("the novel scope needs an annotated row")
+    return hamming_anti(out.where("phash is not null"), known, "phash", NOVEL_RADIUS)
+
+
+def novel_exclusions(rows: DataFrame, reviewed: DataFrame, item: str) -> DataFrame:
+    """(reason, n): why unlabelled rows are not in the novel scope, the first reason of each counting."""
+    near = hamming_anti(rows.where("phash is not null"), rows.where("(target <> '' OR mask_reason <> 'missing') AND phash is not null"), "phash", NOVEL_RADIUS).select(item, F.lit(True).alias("_far")).distinct()
+    told = rows.where("target = ''").join(reviewed.select(item, F.lit(True).alias("_seen")).distinct(), item, "left").join(near, item, "left")
+    why = (
+        F.when(F.col("mask_reason") != "missing", "already_annotated").when(F.col("_seen"), "already_reviewed_this_round").when(F.coalesce("quality_valid", F.lit(0)) != 1, "quality_invalid")
+        .when(~F.coalesce("available", F.lit(False)), "missing_attention_mask").when(F.col("phash").isNull(), "missing_phash").when(F.col("_far").isNull(), "similar_to_annotated")
+    )
+    return told.select(why.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def review_queue(rows: DataFrame, reviewed: DataFrame, scope: str, subject: str, series: str, item: str, limit: int = 300, seed: int = 42) -> DataFrame:
+    """The queue of a scope with queue_position from 1: rows not reviewed yet, in turns over subjects; in order of their names for manual and all."""
+    open_ = in_scope(rows, scope).join(reviewed.select(item).distinct(), item, "left_anti")
+    if scope in ("manual", "all"):
+        top = open_.select(subject, series, item).orderBy(subject, series, item).limit(limit)
+        return top.withColumn("queue_position", F.row_number().over(Window.orderBy(subject, series, item)))
+    most = LEAST_PER_SUBJECT
+    if scope != "novel":
+        most = max(most, math.ceil(limit / max(1, open_.agg(F.count_distinct(subject)).first()[0])))
+    peak = clean_double(F.col("peak"), 0.0) if "peak" in rows.columns else F.lit(0.0)
+    queue = round_robin(open_.withColumn("_peak", peak), subject, series, item, most, limit, str(seed), ["review_priority", "_peak"])
+    return queue.withColumn("queue_position", F.row_number().over(Window.orderBy("turn", subject))).drop("turn")
 
 
 def unreviewed(rows: DataFrame, history: DataFrame, key: str, round_column: str, review_round: int) -> DataFrame:

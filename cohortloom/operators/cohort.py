@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clean import hash_order
@@ -47,7 +49,7 @@ def hash_folds(subjects: DataFrame, subject: str, label: str, folds: int = 5, sa
     return subjects.select(subject, label).distinct().withColumn("fold", ((F.row_number().over(w) - 1) % folds).cast("int"))
 
 
-def validation_pick(subjects: DataFrame, subject: str, group: str, share: float = 0.2, salt: str = "validation") -> DataFrame:
+def validation_pick(subjects: DataFrame, subject: str, group: str, share: float = 0.2, salt: str = "42|validation") -> DataFrame:
     """The first round(share) subjects of each group in hash order, one at least and not all."""
     own = subjects.select(subject, group).distinct()
     w = Window.partitionBy(group)
@@ -57,21 +59,47 @@ def validation_pick(subjects: DataFrame, subject: str, group: str, share: float
     return own.withColumns({"_turn": turn, "_take": take}).select(subject, group, (F.col("_turn") <= F.col("_take")).alias("validation"))
 
 
-def repair_coverage(validation: set, labelled: dict) -> set:
-    """Swaps subjects so that both sides hold each presence class where possible.
+def repair_coverage(validation: set, labelled: dict, fold: int | str, seed: int = 42) -> set:
+    """Moves subjects so that both sides hold each presence class that two subjects have; all choices in hash order.
 
-    validation: subjects; labelled: subject -> set of classes it has. A few subjects, on the driver.
+    validation: subjects; labelled: subject -> set of classes (0, 1) it has, for all subjects. The result is the given set if nothing or everything
+    would be in it. A fold's subjects, a few dozen, on the driver.
     """
-    chosen = set(validation)
-    for cls in sorted({c for classes in labelled.values() for c in classes}):
-        for inside in (True, False):
-            have = [s for s in labelled if (s in chosen) == inside and cls in labelled[s]]
-            other = sorted(s for s in labelled if (s in chosen) != inside and cls in labelled[s])
-            if have or len(other) < 2:
-                continue
-            mine = sorted(s for s in labelled if (s in chosen) == inside)
-            chosen ^= {other[0]} | ({mine[0]} if mine else set())
-    return chosen
+    chosen, classes = set(validation), (0, 1)
+    having = {c: {s for s, own in labelled.items() if c in own} for c in classes}
+
+    def in_order(some: set, salt: str) -> list:
+        return sorted(some, key=lambda s: hashlib.sha256(f"{seed}|{fold}|{salt}|{s}".encode()).hexdigest())
+
+    for c in classes:
+        if len(having[c]) < 2:
+            continue
+        if not chosen & having[c]:
+            comes = in_order(having[c] - chosen, f"incoming-{c}")[0]
+            # who may go: without this class, and not the last inside of one that is there
+            covered = [k for k in classes if len(having[k]) >= 2 and chosen & having[k]]
+            spare = {s for s in chosen - having[c] if all((chosen - {s}) & having[k] for k in covered)}
+            chosen -= set(in_order(spare, f"remove-{c}")[:1])
+            chosen.add(comes)
+        if having[c] <= chosen:
+            goes = in_order(chosen & having[c], f"outgoing-{c}")[-1]
+            chosen.remove(goes)
+            chosen |= set(in_order(set(labelled) - chosen - {goes}, f"replacement-{c}")[:1])
+    return chosen if chosen and len(chosen) < len(labelled) else set(validation)
+
+
+def fold_parts(items: DataFrame, subject: str, label: str, present: str, folds: int = 5) -> DataFrame:
+    """(subject, fold, part) for every fold: test, validation (picked by hash, then repaired) or train. One row a subject and fold; subjects are few."""
+    mapped = hash_folds(items, subject, label, folds)
+    classes = items.groupBy(subject).agg(F.collect_set(F.coalesce(F.col(present), F.lit(1))).alias("classes")).join(mapped, subject)
+    known = {r[subject]: (r.fold, set(r.classes)) for r in classes.select(subject, "fold", "classes").collect()}
+    rows = []
+    for fold in range(folds):
+        rest = {s: c for s, (f, c) in known.items() if f != fold}
+        first = sorted(rest, key=lambda s: hashlib.sha256(f"42|validation|{fold}|{s}".encode()).hexdigest())
+        picked = repair_coverage(set(first[: max(1, min(round(len(first) * 0.2), len(first) - 1))]), rest, fold) if first else set()
+        rows += [(s, fold, "test" if f == fold else "validation" if s in picked else "train") for s, (f, _) in known.items()]
+    return items.sparkSession.createDataFrame(rows, f"{subject} {dict(items.dtypes)[subject]}, fold int, part string")
 
 
 def leaked(train: DataFrame, held_out: DataFrame, key: str) -> DataFrame:
@@ -91,14 +119,27 @@ def sampling_weights(items: DataFrame, subject: str, series: str, cluster: str,
     series_n = clusters.groupBy(subject).agg(F.count("*").alias("_series"))
     raw = items.join(sizes, [subject, series, cluster]).join(clusters, [subject, series]).join(series_n, subject).withColumn("_raw", F.lit(1.0) / (F.col("_series") * F.col("_clusters") * F.col("_dup")))
     totals = raw.groupBy(present).agg(F.sum("_raw").alias("_total"))
-    mass = F.when(F.col(present) == 1, F.lit(present_mass)).otherwise(F.lit(1 - present_mass))
+    # with one class alone its weights sum to 1
+    totals = totals.withColumn("_classes", F.count("*").over(Window.partitionBy()))
+    mass = F.when(F.col("_classes") == 1, F.lit(1.0)).when(F.col(present) == 1, F.lit(present_mass)).otherwise(F.lit(1 - present_mass))
     return raw.join(F.broadcast(totals), present).withColumn("weight", F.col("_raw") / F.col("_total") * mass).select(*items.columns, "weight")
 
 
-def round_robin(items: DataFrame, subject: str, series: str, item: str, per_subject: int, limit: int | None = None, salt: str = "review") -> DataFrame:
-    """A queue that takes turns: over series within a subject, at most per_subject, then over subjects."""
-    inner = Window.partitionBy(subject, series).orderBy(hash_order(salt, F.col(item).cast("string")), item)
-    ranked = items.select(subject, series, item).withColumn("_turn", F.row_number().over(inner)).where(F.col("_turn") <= per_subject)
+def review_priority(uncertainty: Column, valid: Column, explicit: Column | None = None) -> Column:
+    """What a queue is ordered by: the given priority, else the uncertain first, then the invalid."""
+    doubt = F.coalesce(uncertainty, F.lit(0.0))
+    own = F.when(doubt > 0, -doubt).otherwise(F.coalesce(valid, F.lit(0)).cast("double"))
+    return own if explicit is None else F.coalesce(explicit, own)
+
+
+def round_robin(items: DataFrame, subject: str, series: str, item: str, per_subject: int, limit: int | None = None, seed: str = "42", first_by: list[str] | None = None) -> DataFrame:
+    """A queue that takes turns: over series within a subject, at most per_subject, then over subjects.
+
+    Within a series the items come by the columns ``first_by`` (smaller first), then by a hash of seed and item.
+    """
+    by = first_by or []
+    inner = Window.partitionBy(subject, series).orderBy(*by, hash_order(seed, F.col(item).cast("string")), item)
+    ranked = items.select(subject, series, item, *by).withColumn("_turn", F.row_number().over(inner)).where(F.col("_turn") <= per_subject)
     outer = Window.partitionBy(subject).orderBy("_turn", series)
-    queue = ranked.withColumn("turn", F.row_number().over(outer)).where(F.col("turn") <= per_subject).drop("_turn")
+    queue = ranked.withColumn("turn", F.row_number().over(outer)).where(F.col("turn") <= per_subject).drop("_turn", *by)
     return queue.orderBy("turn", subject).limit(limit) if limit else queue

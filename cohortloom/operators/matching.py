@@ -2,7 +2,7 @@
 
 Core pairs are taken greedily, family by family (families are independent: applyInPandas by family).
 The rest of the target is dealt out to families by largest remainders and filled in rising passes. There the limits cross
-families and the order counts, so one task does it, over edges only (at most 2 k an item).
+families and the order counts, so one task does it, over edges only: at most 24 an item, seven columns of numbers and keys each.
 """
 
 from __future__ import annotations
@@ -10,35 +10,49 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clean import clean_double, reasons
-from .robust import standardise
+from .neighbours import NEAREST, mutual_edges
+from .robust import MAD_SCALE, caliper, extended_caliper
 
-#: Limits of a subject, a sequence, and of pairs of them.
+#: Limits of a subject and a sequence in a family, and of pairs of them.
 CORE_SUBJECT, CORE_SEQUENCE = 20, 5
 WIDE_SUBJECT, WIDE_SEQUENCE, SUBJECT_PAIR, SEQUENCE_PAIR = 60, 15, 60, 12
-PASSES = 12
+PASSES, SMALLEST_AREA = 12, 0.003
+#: Blocks of the descriptor and their weights; the first is of signs and is not standardised.
+HASH_WEIGHT = 0.45
+BLOCKS = ((("area", "centroid_x", "centroid_y", "boundary"), 0.25), (("position",), 0.15), (("log_sharpness", "noise", "spread"), 0.15))
 
 
 def eligibility(items: DataFrame) -> DataFrame:
-    """Adds exclusion_reason ('' if the item takes part). Columns used: quality_valid, attention_valid, heart_present, area, hash, label."""
+    """Adds exclusion_reason ('' if the item takes part). Columns used: quality_valid, attention_valid, heart_present, area, hash, has_mask."""
     why = reasons(
-        ("quality", F.coalesce(F.col("quality_valid"), F.lit(0)) != 1), ("attention", F.coalesce(F.col("attention_valid"), F.lit(0)) != 1), ("no_heart", F.coalesce(F.col("heart_present"), F.lit(0)) != 1),
-        ("area", clean_double(F.col("area")).isNull()), ("hash", F.col("hash").isNull()), ("label", ~F.coalesce(F.col("label").isin(0, 1), F.lit(False))),
+        ("quality_invalid", F.coalesce("quality_valid", F.lit(0)) != 1), ("attention_invalid", F.coalesce("attention_valid", F.lit(0)) != 1), ("heart_not_visible", F.coalesce("heart_present", F.lit(1)) != 1),
+        ("attention_area_too_small", clean_double(F.col("area"), 0.0) < SMALLEST_AREA), ("missing_phash", F.col("hash").isNull()), ("missing_attention_mask", ~F.coalesce("has_mask", F.lit(False))),
     )
     return items.withColumn("exclusion_reason", why)
 
 
-def descriptor(items: DataFrame, blocks: list[tuple[list[str], float]]) -> DataFrame:
-    """Adds descriptor: robust scores of the columns of each block, times sqrt(weight / columns)."""
-    parts = []
-    for columns, weight in blocks:
-        for name in columns:
-            items = standardise(items.withColumn("_all", F.lit(1)), ["_all"], name).withColumnRenamed("z", f"_z_{name}").drop("_all")
-            parts.append(F.col(f"_z_{name}") * math.sqrt(weight / len(columns)))
-    return items.withColumn("descriptor", F.array(*parts)).drop(*[c for c in items.columns if c.startswith("_z_")])
+def descriptor(items: DataFrame, blocks=BLOCKS, hash_column: str | None = None, clip: float = 5.0) -> DataFrame:
+    """Adds descriptor: +-1 for each bit of the hash, then robust scores of the columns of each block, all times sqrt(weight / columns).
+
+    All medians come from one aggregate and all deviations from a second; both are one row.
+    """
+    names = [c for columns, _ in blocks for c in columns]
+    v = {c: clean_double(F.col(c)) for c in names}
+    centres = items.agg(*[F.percentile(v[c], F.lit(0.5)).alias(f"_m_{c}") for c in names])
+    joined = items.join(F.broadcast(centres))
+    spreads = joined.agg(*[F.greatest(F.lit(1e-3), MAD_SCALE * F.percentile(F.abs(v[c] - F.col(f"_m_{c}")), F.lit(0.5))).alias(f"_s_{c}") for c in names])
+    score = lambda c: F.greatest(F.lit(-clip), F.least(F.lit(clip), F.coalesce((v[c] - F.col(f"_m_{c}")) / F.col(f"_s_{c}"), F.lit(0.0))))
+    parts = F.array(*[score(c) * math.sqrt(weight / len(columns)) for columns, weight in blocks for c in columns])
+    if hash_column:
+        size = math.sqrt(HASH_WEIGHT / 64)
+        signs = F.transform(F.sequence(F.lit(63), F.lit(0), F.lit(-1)), lambda k: F.when(F.call_function("getbit", F.col(hash_column), k) == 1, size).otherwise(-size))
+        parts = F.concat(signs, parts)
+    return joined.join(F.broadcast(spreads)).withColumn("descriptor", parts).select(*items.columns, "descriptor")
 
 
 def family_count(n: int) -> int:
@@ -75,79 +89,146 @@ def match_target(items: DataFrame, label: str, subject: str, share: float = 0.5)
     return c.withColumn("target", target).select("target", cap("s0").alias("cap_0"), cap("s1").alias("cap_1"))
 
 
-_PAIR = "family long, sick long, normal long, distance double, stage string"
+def calipers(edges: DataFrame) -> DataFrame:
+    """(family, core_caliper, extended_caliper): how far apart pairs of the core, and others, may be."""
+    core = caliper(edges.where("is_core = 1"), ["family"], "distance", 2.5, 0.90).withColumnRenamed("caliper", "core_caliper")
+    wide = caliper(edges, ["family"], "distance", 3.5, 0.97).withColumnRenamed("caliper", "_wide")
+    return wide.join(core, "family", "left").select("family", "core_caliper", extended_caliper(F.col("core_caliper"), F.col("_wide")).alias("extended_caliper"))
+
+
+_PAIR = "family long, sick long, normal long, distance double, stage string, turn long"
 
 
-def core_matching(edges: DataFrame) -> DataFrame:
-    """Greedy one-to-one pairs over core edges by (distance, tie). edges: family, sick, normal, distance, tie, and subject and sequence of both sides."""
+def core_matching(edges: DataFrame, limits: DataFrame | None = None) -> DataFrame:
+    """Greedy one-to-one pairs over core edges within the core caliper, by (distance, tie).
+
+    edges: family, sick, normal, distance, is_core, tie, and subject and sequence of both sides. turn counts within a family.
+    """
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         used: set = set()
         load: Counter = Counter()
         taken = []
         for e in pdf.sort_values(["distance", "tie"]).itertuples(index=False):
-            limits = (("p", 1, e.sick_subject), CORE_SUBJECT), (("p", 0, e.normal_subject), CORE_SUBJECT), (("s", 1, e.sick_sequence), CORE_SEQUENCE), (("s", 0, e.normal_sequence), CORE_SEQUENCE)
-            if (1, e.sick) in used or (0, e.normal) in used or any(load[key] >= most for key, most in limits):
+            counted = ("subject", e.sick_subject), ("subject", e.normal_subject), ("sequence", e.sick_sequence), ("sequence", e.normal_sequence)
+            full = any(load[k] >= (CORE_SUBJECT if k[0] == "subject" else CORE_SEQUENCE) for k in counted)
+            if full or ("s", e.sick) in used or ("n", e.normal) in used:
                 continue
-            used |= {(1, e.sick), (0, e.normal)}
-            load.update(key for key, _ in limits)
-            taken.append((e.family, e.sick, e.normal, e.distance, "CORE"))
-        return pd.DataFrame(taken, columns=["family", "sick", "normal", "distance", "stage"])
+            used |= {("s", e.sick), ("n", e.normal)}
+            load.update(counted)
+            taken.append((e.family, e.sick, e.normal, e.distance, "CORE", len(taken)))
+        return pd.DataFrame(taken, columns=["family", "sick", "normal", "distance", "stage", "turn"])
 
-    return edges.where("is_core = 1").groupBy("family").applyInPandas(greedy, _PAIR)
+    near = edges.where("is_core = 1")
+    if limits is not None:
+        near = near.join(F.broadcast(limits.select("family", "core_caliper")), "family").where("distance <= core_caliper").drop("core_caliper")
+    return near.groupBy("family").applyInPandas(greedy, _PAIR)
 
 
 def allocate(capacities: DataFrame, target: int, family: str = "family", capacity: str = "capacity") -> DataFrame:
-    """quota: the target dealt out in proportion to capacities, by largest remainders, none above its capacity."""
+    """quota: the target dealt out in proportion to capacities, by largest remainders (the larger capacity, then the smaller name first), none above its capacity."""
     total = capacities.agg(F.sum(capacity).alias("_total"))
-    share = F.least(F.lit(float(target)), F.col("_total").cast("double")) * F.col(capacity) / F.greatest(F.col("_total"), F.lit(1))
-    parts = capacities.join(F.broadcast(total)).withColumn("_share", share).withColumn("_floor", F.floor("_share"))
-    left = parts.agg((F.least(F.lit(float(target)), F.first("_total").cast("double")) - F.sum("_floor")).alias("_left"))
-    turn = F.row_number().over(Window.orderBy((F.round(F.col("_share") - F.col("_floor"), 9)).desc(), family))
+    share = F.lit(float(target)) * F.col(capacity) / F.greatest(F.col("_total"), F.lit(1))
+    parts = capacities.join(F.broadcast(total)).withColumn("_share", share).withColumn("_floor", F.least(F.col(capacity), F.floor("_share")))
+    left = parts.agg((F.lit(target) - F.sum("_floor")).alias("_left"))
+    free = F.col("_floor") < F.col(capacity)
+    # one row a family, so one task does
+    turn = F.row_number().over(Window.orderBy(free.desc(), F.round(F.col("_share") - F.floor("_share"), 9).desc(), F.col(capacity).desc(), family))
     out = parts.join(F.broadcast(left)).withColumn("_turn", turn)
-    return out.select(family, capacity, F.least(F.col(capacity), F.col("_floor") + (F.col("_turn") <= F.round("_left")).cast("int")).cast("long").alias("quota"))
-
-
-def extended_matching(edges: DataFrame, core: DataFrame, quotas: DataFrame, subject_cap: int, spill: bool = True) -> DataFrame:
-    """Core pairs and those that the passes add; spill: a last pass without quotas."""
-    marked = edges.join(quotas.select("family", "quota"), "family", "left").join(core.select("sick", "normal", F.lit(1).alias("in_core")), ["sick", "normal"], "left").withColumn("in_core", F.coalesce("in_core", F.lit(0)))
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        load: Counter = Counter()
-        got: Counter = Counter()
-        taken: list[tuple] = []
-
-        def keys(e):
-            f = e.family
-            return (
-                (("pf", f, 1, e.sick_subject), WIDE_SUBJECT), (("pf", f, 0, e.normal_subject), WIDE_SUBJECT), (("sf", f, 1, e.sick_sequence), WIDE_SEQUENCE), (("sf", f, 0, e.normal_sequence), WIDE_SEQUENCE),
-                (("pp", e.sick_subject, e.normal_subject), SUBJECT_PAIR), (("sp", e.sick_sequence, e.normal_sequence), SEQUENCE_PAIR), (("p", 1, e.sick_subject), subject_cap), (("p", 0, e.normal_subject), subject_cap),
-            )
-
-        def take(e, stage: str) -> None:
-            used.update({(1, e.sick), (0, e.normal)})
-            load.update(k for k, _ in keys(e))
-            taken.append((e.family, e.sick, e.normal, e.distance, stage))
-
-        for e in pdf[pdf["in_core"] == 1].itertuples(index=False):
-            take(e, "CORE")
-        rest = pdf[pdf["in_core"] == 0].assign(ranks=lambda d: d["rank_from_sick"].fillna(99) + d["rank_from_normal"].fillna(99)).sort_values(["family", "reciprocal", "distance", "ranks", "tie"], ascending=[True, False, True, True, True])
-        rows = [*rest.itertuples(index=False)]
-        for step in [k / PASSES for k in range(1, PASSES + 1)] + [None] * spill:
-            for e in rows:
-                full = step is not None and got[e.family] >= math.ceil(step * (e.quota or 0))
-                if not full and (1, e.sick) not in used and (0, e.normal) not in used and all(load[k] < most for k, most in keys(e)):
-                    take(e, "EXT")
-                    got[e.family] += 1
-        return pd.DataFrame(taken, columns=["family", "sick", "normal", "distance", "stage"])
-
-    return marked.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(fill, _PAIR)
+    return out.select(family, capacity, (F.col("_floor") + (free & (F.col("_turn") <= F.col("_left"))).cast("int")).cast("long").alias("quota"))
+
+
+class Extension:
+    """Fills up a matching under all limits. Load counts by key; a subject's total starts with its core pairs."""
+
+    def __init__(self, core: pd.DataFrame, caps: dict[int, int], target: int) -> None:
+        self.caps, self.target, self.used, self.load, self.totals = caps, target, set(), Counter(), {}
+        self.seeds = set(zip(core["sick_sequence"], core["normal_sequence"], strict=True))
+        self.taken: list[tuple] = []
+        self.n = 0
+        for e in core.itertuples(index=False):
+            self.count(e)
+
+    @staticmethod
+    def keys(e) -> tuple[list, list]:
+        """(those of a family, those of a pair) with their limits."""
+        own = [(("subject", e.family, s), WIDE_SUBJECT) for s in (e.sick_subject, e.normal_subject)] + [(("sequence", e.family, s), WIDE_SEQUENCE) for s in (e.sick_sequence, e.normal_sequence)]
+        return own, [(("subjects", e.sick_subject, e.normal_subject), SUBJECT_PAIR), (("sequences", e.sick_sequence, e.normal_sequence), SEQUENCE_PAIR)]
+
+    def count(self, e) -> None:
+        own, pair = self.keys(e)
+        self.load.update(k for k, _ in own + pair)
+        for s in (e.sick_subject, e.normal_subject):
+            self.totals[s] = self.totals.get(s, 0) + 1
+        self.used |= {("s", e.sick), ("n", e.normal)}
+        self.n += 1
+
+    def fits(self, e, quota: int | None) -> bool:
+        if ("s", e.sick) in self.used or ("n", e.normal) in self.used:
+            return False
+        own, pair = self.keys(e)
+        if any(self.load[k] >= most for k, most in own) or any(self.load[k] >= most for k, most in pair):
+            return False
+        for c, s in ((1, e.sick_subject), (0, e.normal_subject)):
+            # a subject that was looked at counts as one without pairs when the next family's first quota is set
+            have = self.totals.setdefault(s, 0)
+            if have >= self.caps[c] or (quota is not None and have >= quota):
+                return False
+        return True
+
+    def fill(self, edges: list, quota: int | None, room: int | None) -> int:
+        """Takes edges in order while there is room; how many."""
+        got = 0
+        for e in edges:
+            if self.n >= self.target or (room is not None and got >= room):
+                break
+            if self.fits(e, quota):
+                self.count(e)
+                self.taken.append((e.family, e.sick, e.normal, e.distance, "EXT", len(self.taken)))
+                got += 1
+        return got
+
+
+def extended_matching(edges: DataFrame, core: DataFrame, quotas: DataFrame, caps: dict[int, int], target: int, limits: DataFrame | None = None, spill: bool = True) -> DataFrame:
+    """The pairs that rising passes add to the core, family by family, and a last pass without quotas; stage EXT, turn in the order taken.
+
+    caps: the most pairs of a subject of each class. Edges of sequences that core pairs join come first, then reciprocal ones, then the nearer.
+    """
+    every_key = edges.select("sick", "normal", "sick_subject", "normal_subject", "sick_sequence", "normal_sequence")
+    if limits is not None:
+        edges = edges.join(F.broadcast(limits.select("family", "extended_caliper")), "family").where("distance <= extended_caliper")
+    else:
+        edges = edges.withColumn("extended_caliper", F.lit(1.0))
+    columns = ["family", "sick", "normal", "distance", "sick_subject", "normal_subject", "sick_sequence", "normal_sequence"]
+    marked = edges.join(quotas.select("family", "quota"), "family").select(*columns, "reciprocal", "rank_from_sick", "rank_from_normal", "tie", "extended_caliper", "quota", F.lit(None).cast("long").alias("core_turn"))
+    # a core pair is an edge of its own, wherever the wider caliper lies
+    own = core.join(every_key, ["sick", "normal"]).select(*columns, F.lit(1).alias("reciprocal"), F.lit(None).cast("int").alias("rank_from_sick"), F.lit(None).cast("int").alias("rank_from_normal"), F.lit("").alias("tie"), F.lit(1.0).alias("extended_caliper"), F.lit(0).cast("long").alias("quota"), F.col("turn").cast("long").alias("core_turn"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        is_core = pdf["core_turn"].notna()
+        work = Extension(pdf[is_core].sort_values(["family", "core_turn"]), caps, target)
+        rest = pdf[~is_core].copy()
+        rest["later"] = [(a, b) not in work.seeds for a, b in zip(rest["sick_sequence"], rest["normal_sequence"], strict=True)]
+        rest["near"] = rest["distance"] / rest["extended_caliper"].clip(lower=1e-9)
+        rest["ranks"] = rest["rank_from_sick"].fillna(NEAREST + 1) + rest["rank_from_normal"].fillna(NEAREST + 1)
+        rest = rest.sort_values(["family", "later", "reciprocal", "near", "ranks", "tie"], ascending=[True, True, False, True, True, True])
+        by_family = {f: [*part.itertuples(index=False)] for f, part in rest.groupby("family", sort=True)}
+        for rows in by_family.values():
+            room = int(rows[0].quota)
+            if room > 0:
+                first = max(1, min(work.totals.values(), default=1))
+                for quota in np.unique(np.ceil(np.linspace(first, max(caps.values()), PASSES)).astype(int)).tolist():
+                    room -= work.fill(rows, quota, room)
+        for rows in by_family.values() if spill else ():
+            work.fill(rows, None, None)
+        return pd.DataFrame(work.taken, columns=["family", "sick", "normal", "distance", "stage", "turn"])
+
+    return marked.unionByName(own).withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(run, _PAIR)
 
 
 def pair_ids(pairs: DataFrame) -> DataFrame:
-    """Adds pair_id, numbered by distance within stage and family."""
-    w = Window.partitionBy("stage", "family").orderBy("distance", "sick", "normal")
+    """Adds pair_id: numbered through, core pairs first, in the order taken (one row a pair, so one task does)."""
+    w = Window.orderBy(F.col("stage") != "CORE", F.when(F.col("stage") == "CORE", F.col("family")), "turn")
     return pairs.withColumn("pair_id", F.format_string("CCM_%s_F%02d_P%06d", "stage", "family", F.row_number().over(w)))
 
 
@@ -157,15 +238,70 @@ def partners(pairs: DataFrame) -> DataFrame:
     return one("sick", "normal").unionByName(one("normal", "sick"))
 
 
-def outcome(items: DataFrame, shared: DataFrame, edges: DataFrame, pairs: DataFrame, item: str, family: str) -> DataFrame:
-    """(item, outcome): selected, or why not."""
-    with_edge = edges.select(F.explode(F.array("sick", "normal")).alias(item)).distinct().withColumn("_edge", F.lit(1))
-    with_pair = partners(pairs).select(F.col("item").alias(item)).distinct().withColumn("_pair", F.lit(1))
-    joined = items.join(shared.select(family, "shared"), family, "left").join(with_edge, item, "left").join(with_pair, item, "left")
-    told = F.when(F.col("_pair") == 1, "selected").when(F.coalesce(F.col("shared"), F.lit(0)) == 0, "family_not_shared").when(F.col("_edge").isNull(), "no_candidate").otherwise("capacity")
-    return joined.select(item, told.alias("outcome"))
+def outcome(items: DataFrame, shared: DataFrame, edges: DataFrame, pairs: DataFrame, limits: DataFrame, target: int, item: str, family: str) -> DataFrame:
+    """(item, selected, exclusion_reason): of eligible items, '' or why an item has no partner."""
+    ends = lambda df: df.select(F.explode(F.array("sick", "normal")).alias(item)).distinct()
+    near = edges.join(F.broadcast(limits.select("family", "extended_caliper")), "family").where("distance <= extended_caliper")
+    joined = items.join(F.broadcast(shared.select(family, "shared")), family, "left")
+    for name, df in (("_edge", edges), ("_near", near), ("_pair", pairs)):
+        joined = joined.join(ends(df).withColumn(name, F.lit(1)), item, "left")
+    reached = pairs.agg((F.count("*") >= target).alias("_reached"))
+    told = (
+        F.when(F.col("_pair") == 1, "").when(F.coalesce("shared", F.lit(0)) == 0, "family_not_shared_between_classes").when(F.col("_edge").isNull(), "no_cross_class_neighbor_in_extended_top_k")
+        .when(F.col("_near").isNull(), "above_extended_family_caliper").when(F.col("_reached"), "expanded_target_reached").otherwise("one_to_one_or_capacity_limit")
+    )
+    return joined.join(F.broadcast(reached)).select(item, F.coalesce("_pair", F.lit(0)).alias("selected"), told.alias("exclusion_reason"))
 
 
 def matching_summary(pairs: DataFrame) -> DataFrame:
-    """Pairs, median and 0.9-quantile of distances by family."""
-    return pairs.groupBy("family").agg(F.count("*").alias("pairs"), F.percentile("distance", F.lit(0.5)).alias("median_distance"), F.percentile("distance", F.lit(0.9)).alias("p90_distance"))
+    """Pairs, median and 0.9-quantile of distances by family and stage, and over all (null)."""
+    return pairs.groupingSets([["family", "stage"], ["stage"], []], "family", "stage").agg(F.count("*").alias("pairs"), F.percentile("distance", F.lit(0.5)).alias("median_distance"), F.percentile("distance", F.lit(0.9)).alias("p90_distance"))
+
+
+def check_matching(manifest: DataFrame, label: Column, subject: str) -> None:
+    """Raises unless as many of both classes are selected, of two subjects each."""
+    of = lambda c: label == c
+    row = manifest.where("selected = 1").agg(F.count_if(of(0)).alias("n0"), F.count_if(of(1)).alias("n1"), F.count_distinct(F.when(of(0), F.col(subject))).alias("s0"), F.count_distinct(F.when(of(1), F.col(subject))).alias("s1")).first()
+    if row.n0 != row.n1:
+        raise ValueError(f"unequal class sizes: {row.n0} and {row.n1}")
+    if min(row.s0, row.s1) < 2:
+        raise ValueError(f"too few subjects: {row.s0} and {row.s1}")
+
+
+def build_matching(items: DataFrame, store=None, check: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(manifest, pairs, summary) of a cross-class matching, from eligibility to reasons.
+
+    items: item (long), subject, sequence, label, and the columns that ``eligibility`` and ``descriptor`` use (sharpness instead of log_sharpness; hash a signed
+    long), and family where it is known. The manifest has every item with family, selected, core, pair_id, partner, distance and exclusion_reason.
+    store(name, table) writes a table that is used more than once and gives it back; by default tables are checkpointed.
+    """
+    keep = store or (lambda name, df: df.checkpoint())
+    every = keep("eligibility", eligibility(items))
+    ready = every.where("exclusion_reason = ''").withColumn("log_sharpness", F.log1p(F.greatest(F.lit(0.0), clean_double(F.col("sharpness"), 0.0))))
+    sizes = ready.agg(F.count("*").alias("n"), F.count_distinct("label").alias("classes")).first()
+    if sizes.n < 4 or sizes.classes != 2:
+        raise ValueError(f"matching needs four eligible items of both classes, not {sizes.n} of {sizes.classes}")
+    described = descriptor(ready, hash_column="hash")
+    grouped = keep("families", described if "family" in items.columns else families(described, "descriptor").withColumn("family", F.col("family").cast("long")))
+    shared = keep("shared", shared_families(grouped, "family", "label", "subject"))
+    common = grouped.join(F.broadcast(shared.where("shared = 1").select("family")), "family", "left_semi")
+    if not common.limit(1).count():
+        raise ValueError("no family is shared by both classes")
+    goal = match_target(ready, "label", "subject").first()
+    caps = {0: int(goal.cap_0), 1: int(goal.cap_1)}
+    of = lambda name: common.select(F.col("item").alias(name), F.col("subject").cast("string").alias(f"{name}_subject"), F.col("sequence").cast("string").alias(f"{name}_sequence"))
+    edges = keep("edges", mutual_edges(common, "family", "item", "label", "descriptor", position="position", area="area").join(of("sick"), "sick").join(of("normal"), "normal"))
+    limits = keep("calipers", calipers(edges))
+    core = keep("core", core_matching(edges, limits))
+    per = common.groupBy("family").agg(F.least(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).alias("n")).join(core.groupBy("family").agg(F.count("*").alias("taken")), "family", "left")
+    capacity = per.select("family", F.greatest(F.lit(0), F.col("n") - F.coalesce("taken", F.lit(0))).cast("long").alias("capacity"))
+    quotas = keep("quotas", allocate(capacity, max(0, int(goal.target) - core.count())))
+    added = extended_matching(edges, core, quotas, caps, int(goal.target), limits)
+    pairs = keep("pairs", pair_ids(core.unionByName(added)))
+    told = outcome(grouped.select("item", "family"), shared, edges, pairs, limits, int(goal.target), "item", "family")
+    mates = partners(pairs).join(pairs.select("pair_id", (F.col("stage") == "CORE").cast("int").alias("core")), "pair_id")
+    manifest = every.select("item", "subject", "label", F.col("exclusion_reason").alias("_own")).join(grouped.select("item", F.col("family").alias("_family")), "item", "left").join(told, "item", "left").join(mates, "item", "left")
+    manifest = keep("manifest", manifest.select("item", "subject", "label", F.col("_family").alias("family"), F.coalesce("selected", F.lit(0)).alias("selected"), F.coalesce("core", F.lit(0)).alias("core"), "pair_id", "partner", "distance", F.coalesce("exclusion_reason", F.col("_own")).alias("exclusion_reason")))
+    if check:
+        check_matching(manifest, F.col("label"), "subject")
+    return manifest, pairs, matching_summary(pairs)

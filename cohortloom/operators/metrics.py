@@ -70,14 +70,66 @@ def overlap(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     }
 
 
-def grid_search(rows: DataFrame, grid: list[float], subject: str, truth: str, score: str, penalty: float = 0.2, valid: str | None = None) -> DataFrame:
-    """The threshold of best subject-balanced accuracy less penalty * share of invalid rows; ties go to the nearest 0.5, then the smaller."""
-    tried = rows.withColumn("threshold", F.explode(F.array(*map(F.lit, grid))))
-    hit = ((F.col(score) >= F.col("threshold")).cast("int") == F.col(truth)).cast("double")
-    bad = (1 - F.col(valid)).cast("double") if valid else F.lit(0.0)
-    one = tried.groupBy("threshold", subject).agg(F.avg(hit).alias("_hit"), F.avg(bad).alias("_bad")).groupBy("threshold").agg((F.avg("_hit") - penalty * F.avg("_bad")).alias("value"))
-    best = F.struct(F.round("value", 12), -F.abs(F.col("threshold") - 0.5), -F.col("threshold"))
-    return one.agg(F.max_by("threshold", best).alias("threshold"), F.max("value").alias("value"))
+#: Fixed values of the calibration.
+THRESHOLDS = (0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70, 0.75)
+SMOOTHING, EMPTY_AREA, INVALID_PENALTY, EMPTY_PREDICTION, CERTAIN_PIXEL = 1e-6, 0.10, 0.20, 0.003, 0.80
+
+
+def target_quality(present: Column, overlap_pixels: Column, both_pixels: Column, predicted_share: Column) -> Column:
+    """How good a mask is: smoothed Dice of a present target, of an absent one 1 less its area over a tenth."""
+    return F.when(present == 1, (2 * overlap_pixels + SMOOTHING) / (both_pixels + SMOOTHING)).otherwise(1 - F.least(F.lit(1.0), predicted_share / EMPTY_AREA))
+
+
+def grid_search(tried: DataFrame, threshold: str, subject: str, present: str, quality: str, valid: str) -> DataFrame:
+    """(threshold, score, mean_quality, invalid_rate) of the best: subject-balanced quality less the penalty for the share of present targets with invalid masks.
+
+    tried: a row for each target and threshold. Ties go to the threshold nearest to a half, then the smaller.
+    """
+    n = F.sum((F.col(present) == 1).cast("long"))
+    parts = tried.groupBy(threshold, subject).agg(F.avg(quality).alias("_q"), F.sum(((F.col(present) == 1) & (F.col(valid) != 1)).cast("long")).alias("_bad"), n.alias("_n"))
+    one = parts.groupBy(threshold).agg(F.avg("_q").alias("mean_quality"), (F.sum("_bad") / F.greatest(F.lit(1), F.sum("_n"))).alias("invalid_rate"))
+    one = one.withColumn("score", F.col("mean_quality") - INVALID_PENALTY * F.col("invalid_rate"))
+    best = F.struct(F.round("score", 12), -F.abs(F.col(threshold) - 0.5), -F.col(threshold))
+    return one.agg(F.max_by(F.struct(F.col(threshold).alias("threshold"), "score", "mean_quality", "invalid_rate"), best).alias("b")).select("b.*")
+
+
+def presence_threshold(rows: DataFrame, grid: tuple[float, ...], present: str, probability: str) -> DataFrame:
+    """(threshold, balanced_accuracy): the best of the grid, if it is better than 0.5; 0.5 with one class alone."""
+    both = rows.agg(F.count_distinct(present).alias("_classes"))
+    tried = rows.withColumn("threshold", F.explode(F.array(F.lit(0.5), *map(F.lit, grid)))).withColumn("_hat", (F.col(probability) >= F.col("threshold")).cast("int"))
+    each = balanced_accuracy(tried, ["threshold"], present, "_hat").join(F.broadcast(both)).where("_classes = 2 OR threshold = 0.5")
+    best = F.struct(F.round("balanced_accuracy", 12), -F.abs(F.col("threshold") - 0.5), -F.col("threshold"))
+    return each.agg(F.max_by("threshold", best).alias("threshold"), F.max_by("balanced_accuracy", best).alias("balanced_accuracy"))
+
+
+def presence_decision(probability: Column, threshold: Column, peak: Column) -> Column:
+    """1 if the presence head says so, or a pixel is certain."""
+    return ((probability >= threshold) | (peak >= CERTAIN_PIXEL)).cast("int")
+
+
+def segmentation_summary(rows: DataFrame, subject: str) -> DataFrame:
+    """One row over evaluated targets. Columns used: present, dice, iou, precision, recall, predicted_area, false_positive_area.
+
+    Means are balanced over subjects and null without rows.
+    """
+    good = F.col("present") == 1
+    per = rows.groupBy(subject).agg(
+        F.count("*").alias("_n"), F.count_if(good).alias("_p"), F.avg("dice").alias("dice_all"), *[F.avg(F.when(good, F.col(c))).alias(c) for c in ("dice", "iou", "precision", "recall")],
+        F.sum(F.when(~good, (F.col("predicted_area") < EMPTY_PREDICTION).cast("double"))).alias("_e"), F.sum(F.when(~good, F.col("false_positive_area"))).alias("_f"),
+    )
+    negative = F.sum("_n") - F.sum("_p")
+    return per.agg(
+        F.sum("_n").alias("targets"), F.sum("_p").alias("positives"), negative.alias("negatives"), F.avg("dice_all").alias("dice_all"), *[F.avg(c).alias(f"{c}_positive") for c in ("dice", "iou", "precision", "recall")],
+        F.try_divide(F.sum("_e"), negative).alias("empty_prediction_rate"), F.try_divide(F.sum("_f"), negative).alias("mean_false_positive_area"),
+    )
+
+
+def prediction_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Counters of predictions. Columns used: valid_initial, valid_final, present, repair, uncertainty."""
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("predictions"), F.count_if(F.col("valid_initial") == 1).alias("initially_valid"), F.count_if(F.col("valid_final") == 1).alias("finally_valid"), F.count_if(F.col("present") == 0).alias("empty"),
+        F.count_if(F.col("repair") != "none").alias("repaired"), F.count_if(F.col("uncertainty") >= 0.18).alias("uncertain"),
+    )
 
 
 def draws(subjects: DataFrame, subject: str, n: int, salt: str = "bootstrap") -> DataFrame:
@@ -86,7 +138,7 @@ def draws(subjects: DataFrame, subject: str, n: int, salt: str = "bootstrap") ->
     The k-th place of a resample takes the subject whose rank is a hash of (salt, draw, k). A few dozen subjects, the statistical
     units, are meant; the rows are subjects * n.
     """
-    ranked = subjects.select(subject).distinct().withColumn("_rank", F.row_number().over(Window.orderBy(subject)) - 1)
+    ranked = subjects.select(subject).distinct().withColumn("_rank", F.row_number().over(Window.orderBy(subject)) - 1)  # one task: subjects are few
     size = ranked.agg(F.count("*").alias("_n"))
     places = ranked.join(F.broadcast(size)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     digest = F.sha2(F.concat_ws("|", F.lit(salt), F.col("draw").cast("string"), F.col("_rank").cast("string")), 256)
@@ -102,6 +154,30 @@ def bootstrap_auc(rows: DataFrame, subject: str, label: str, score: str, n: int
     return roc_auc(rows, [], label, score).join(interval)
 
 
+#: The comparisons of modes, first less second, in order.
+COMPARISONS = (("AU1", "B2"), ("B2", "C1"), ("AU1", "C1"), ("B2", "B0"), ("AU2", "B1"), ("AU2", "C2"), ("B1", "C2"), ("B0", "B1"), ("AU1", "AU2"), ("C1", "C2"), ("M1", "AU3"), ("C3", "C4"))
+
+
+def evaluate_modes(scores: DataFrame, n: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """(metrics a mode, comparisons) of out-of-fold scores. scores: mode, subject, label, score, predicted.
+
+    Every mode's metrics come from one pass; comparisons are those of COMPARISONS whose modes are there, on shared subjects.
+    """
+    hit = (F.col("predicted") == F.col("label")).cast("double")
+    share = lambda c: F.avg(F.when(F.col("label") == c, hit))
+    counts = scores.groupBy("mode").agg(F.count_distinct("subject").alias("subjects"), F.avg(hit).alias("accuracy"), share(1).alias("sensitivity"), share(0).alias("specificity"), F.avg((F.col("score") - F.col("label")) * (F.col("score") - F.col("label"))).alias("brier"))
+    each = counts.withColumn("balanced_accuracy", (F.col("sensitivity") + F.col("specificity")) / 2).join(roc_auc(scores, ["mode"], "label", "score"), "mode").join(average_precision(scores, ["mode"], "label", "score"), "mode")
+    present = {r.mode for r in scores.select("mode").distinct().collect()}  # eleven names at most
+    out = None
+    for first, second in COMPARISONS:
+        if {first, second} <= present:
+            row = paired_auc_difference(scores, "mode", first, second, "subject", "label", "score", n).select(F.lit(first).alias("first"), F.lit(second).alias("second"), "*")
+            out = row if out is None else out.unionByName(row)
+    if out is None:
+        out = scores.sparkSession.createDataFrame([], "first string, second string, subjects long, auc_difference double, ci_low double, ci_high double")
+    return each, out
+
+
 def paired_auc_difference(rows: DataFrame, mode: str, first: str, second: str, subject: str, label: str, score: str, n: int = 2000) -> DataFrame:
     """One row: the difference of two modes' AUC on shared subjects and its interval, over shared resamples; null with fewer than four subjects."""
     a, b = (rows.where(F.col(mode) == m).select(subject, label, F.col(score).alias(f"score_{k}")) for k, m in enumerate((first, second)))

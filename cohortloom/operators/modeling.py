@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-C_GRID = (0.01, 0.1, 1.0, 10.0)
+#: The strengths tried, inner folds.
+C_GRID, INNER_FOLDS = (0.01, 0.1, 1.0, 10.0), 3
 
 
 def auc(y: np.ndarray, s: np.ndarray) -> float:
@@ -45,19 +48,36 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(f @ self.w, -30, 30)))
 
 
-def best_c(x: np.ndarray, y: np.ndarray, folds: np.ndarray, grid=C_GRID) -> float:
-    """Best out-of-fold AUC; ties go to the value nearest 1, then the earlier."""
+def inner_folds(names: list[str], y: np.ndarray, seed: int = 42) -> np.ndarray | None:
+    """A fold for each row, dealt out in hash order within each class; None if a class has fewer than two rows."""
+    n = min(INNER_FOLDS, int((y == 0).sum()), int((y == 1).sum()))
+    if n < 2:
+        return None
+    out = np.zeros(len(y), int)
+    for c in (0, 1):
+        own = sorted(np.flatnonzero(y == c).tolist(), key=lambda k: (hashlib.sha256(f"{seed}|inner-fold|{c}|{names[k]}".encode()).hexdigest(), k))
+        out[own] = np.arange(len(own)) % n
+    return out
+
+
+def best_c(x: np.ndarray, y: np.ndarray, folds: np.ndarray, grid=C_GRID) -> tuple[float, np.ndarray]:
+    """(C, its out-of-fold scores) of the best AUC; ties go to the value nearest 1, then the earlier."""
     tried = []
     for k, c in enumerate(grid):
-        s = np.full(len(y), np.nan)
+        s = np.empty(len(y))
         for f in np.unique(folds):
-            train = folds != f
-            if len(set(y[train])) == 2:
-                s[~train] = Classifier(x[train], y[train], c).score(x[~train])
-        ok = ~np.isnan(s)
-        value = auc(y[ok], s[ok]) if ok.any() else float("nan")
-        tried.append((-1.0 if np.isnan(value) else round(value, 12), -abs(np.log10(c)), -k, c))
-    return max(tried)[-1]
+            s[folds == f] = Classifier(x[folds != f], y[folds != f], c).score(x[folds == f])
+        tried.append(((round(auc(y, s), 12), -abs(np.log10(c)), -k), c, s))
+    return max(tried, key=lambda t: t[0])[1:]
+
+
+def select(x: np.ndarray, y: np.ndarray, names: list[str]) -> tuple[float, float]:
+    """(C, threshold) from inner out-of-fold scores alone; (1, 0.5) where a class is too small for inner folds."""
+    folds = inner_folds(names, y)
+    if folds is None:
+        return 1.0, 0.5
+    c, s = best_c(x, y, folds)
+    return c, youden(y, s)
 
 
 def youden(y: np.ndarray, s: np.ndarray) -> float:
@@ -83,9 +103,8 @@ def nested_cv(bank: DataFrame, mode: str, subject: str, label: str, fold: str, v
         train = f != out
         if len(set(y[train])) < 2 or not (~train).any():
             return pd.DataFrame(columns=["mode", "subject", "label", "outer_fold", "score", "predicted", "selected_c", "threshold"])
-        c = best_c(x[train], y[train], f[train] % 3)
-        model = Classifier(x[train], y[train], c)
-        cut, s = youden(y[train], model.score(x[train])), model.score(x[~train])
+        c, cut = select(x[train], y[train], pdf["subject"][train].tolist())
+        s = Classifier(x[train], y[train], c).score(x[~train])
         return pd.DataFrame({"mode": pdf["mode"].iloc[0], "subject": pdf["subject"][~train], "label": y[~train], "outer_fold": out, "score": s, "predicted": (s >= cut).astype(int), "selected_c": c, "threshold": cut})
 
     return every.join(held, "mode").groupBy("mode", "outer_fold").applyInPandas(run, "mode string, subject string, label int, outer_fold int, score double, predicted int, selected_c double, threshold double")

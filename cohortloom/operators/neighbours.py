@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.clean import hamming, hash_order
+from ..functions.clean import clean_double, hamming, hash_order
 
 
 def hamming_anti(rows: DataFrame, known: DataFrame, hash_column: str, radius: int = 6, bits: int = 64) -> DataFrame:
@@ -30,22 +32,69 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v))
 
 
+#: How far apart a pair may be in sequence position and in area; neighbours each way, and of the core.
+POSITION_LIMIT, AREA_LIMIT, NEAREST, CORE = 0.25, 0.20, 12, 5
+#: Items of a block; a pair of blocks is compared by one call.
+BLOCK = 512
+
+
 def gate(position_a: Column, position_b: Column, area_a: Column, area_b: Column) -> Column:
     """Close enough in sequence position, and in area where both are known."""
-    return (F.abs(position_a - position_b) <= 0.25) & F.coalesce(F.abs(area_a - area_b) <= 0.20, F.lit(True))
+    return (F.abs(position_a - position_b) <= POSITION_LIMIT) & F.coalesce(F.abs(area_a - area_b) <= AREA_LIMIT, F.lit(True))
+
+
+def nearest_across(rows: DataFrame, family: str, item: str, label: str, vector: str, k: int = NEAREST) -> DataFrame:
+    """(family, own, other, distance, side, rank): the k nearest items of the other class for each item; side is the class of own.
+
+    Blocks of a family's two classes meet pair by pair; of each pair an item's k nearest leave, so what is shuffled and ranked is k rows
+    for each item and block of the other class. The work is quadratic within a family; the number of families bounds it.
+    """
+    kind = dict(rows.dtypes)[item]
+    side = lambda c: rows.where(F.col(label) == c).select(F.col(family).cast("long").alias("family"), F.col(item).alias("item"), F.col(vector).cast("array<double>").alias("v"))
+    # blocks by position in hash order: as many as the items of the class need
+    cut = lambda df: df.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("family").orderBy(F.xxhash64("item"), "item")) - 1) / BLOCK).cast("int"))
+    sick, normal = cut(side(1)), cut(side(0))
+    count = lambda df, name: df.groupBy("family").agg((F.max("block") + 1).alias(name))
+    blocks = count(sick, "a").join(count(normal, "b"), "family")
+    spread = lambda df, c, other: df.join(F.broadcast(blocks), "family").withColumn("meets", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("family", "item", "v", F.lit(c).alias("side"), F.when(F.lit(c == 1), F.col("block")).otherwise(F.col("meets")).alias("i"), F.when(F.lit(c == 1), F.col("meets")).otherwise(F.col("block")).alias("j"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [pdf[pdf["side"] == c].sort_values("item") for c in (1, 0)]
+        names = [p["item"].to_numpy() for p in parts]
+        x, y = (np.array(p["v"].tolist(), float) for p in parts)
+        if not len(x) or not len(y):
+            return pd.DataFrame({"family": [], "own": [], "other": [], "distance": [], "side": []})
+        d = np.empty((len(x), len(y)))
+        for at in range(0, len(x), 64):
+            d[at : at + 64] = np.sqrt(((x[at : at + 64, None, :] - y[None, :, :]) ** 2).sum(2))
+        d, out = np.round(d, 9), []
+        for c, m, own, other in ((1, d, names[0], names[1]), (0, d.T, names[1], names[0])):
+            near = np.argsort(m, axis=1, kind="stable")[:, :k]  # ties by name
+            n = near.shape[1]
+            out.append(pd.DataFrame({"family": pdf["family"].iloc[0], "own": np.repeat(own, n), "other": other[near.ravel()], "distance": np.take_along_axis(m, near, 1).ravel(), "side": c}))
+        return pd.concat(out)
+
+    met = spread(sick, 1, "b").unionByName(spread(normal, 0, "a"))
+    few = met.groupBy("family", "i", "j").applyInPandas(compare, f"family long, own {kind}, other {kind}, distance double, side int")
+    w = Window.partitionBy("side", "family", "own").orderBy("distance", "other")
+    return few.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def mutual_edges(rows: DataFrame, family: str, item: str, label: str, vector: str, k: int = 12, core: int = 5) -> DataFrame:
-    """Edges (family, sick, normal, distance, both ranks, reciprocal, is_core) of the k nearest of the other class, each way.
+def mutual_edges(rows: DataFrame, family: str, item: str, label: str, vector: str, k: int = NEAREST, core: int = CORE, position: str | None = None, area: str | None = None) -> DataFrame:
+    """Edges (family, sick, normal, distance, both ranks, reciprocal, is_core, tie) of the k nearest of the other class, each way.
 
-    The work is quadratic within a family; families bound it.
+    With position and area only edges that pass the gate stay; ranks are those before the gate.
     """
-    side = lambda cls, name: rows.where(F.col(label) == cls).select(F.col(family).alias("family"), F.col(item).alias(name), F.col(vector).alias(f"_{name}"))
-    pairs = side(1, "sick").join(side(0, "normal"), "family").select("family", "sick", "normal", F.round(distance(F.col("_sick"), F.col("_normal")), 9).alias("distance"))
-    ranked = lambda own, other: pairs.withColumn("rank", F.row_number().over(Window.partitionBy("family", own).orderBy("distance", other))).where(F.col("rank") <= k)
-    a = ranked("sick", "normal").select("family", "sick", "normal", F.col("distance").alias("_d1"), F.col("rank").alias("rank_from_sick"))
-    b = ranked("normal", "sick").select("family", "sick", "normal", F.col("distance").alias("_d2"), F.col("rank").alias("rank_from_normal"))
-    both = a.join(b, ["family", "sick", "normal"], "full_outer").withColumn("distance", F.coalesce("_d1", "_d2")).drop("_d1", "_d2")
+    near = nearest_across(rows, family, item, label, vector, k)
+    pair = lambda c: (F.when(F.col("side") == c, F.col("own")).otherwise(F.col("other")))
+    flat = near.select("family", pair(1).alias("sick"), pair(0).alias("normal"), "distance", "side", "rank")
+    rank = lambda c: F.max(F.when(F.col("side") == c, F.col("rank")))
+    both = flat.groupBy("family", "sick", "normal").agg(F.max("distance").alias("distance"), rank(1).alias("rank_from_sick"), rank(0).alias("rank_from_normal"))
+    if position:
+        of = lambda name: rows.select(F.col(item).alias(name), F.col(position).alias(f"_p_{name}"), clean_double(F.col(area)).alias(f"_a_{name}"))
+        both = both.join(of("sick"), "sick").join(of("normal"), "normal").where(gate(F.col("_p_sick"), F.col("_p_normal"), F.col("_a_sick"), F.col("_a_normal")))
+        both = both.select("family", "sick", "normal", "distance", "rank_from_sick", "rank_from_normal")
     mutual = F.col("rank_from_sick").isNotNull() & F.col("rank_from_normal").isNotNull()
     inner = mutual & (F.col("rank_from_sick") <= core) & (F.col("rank_from_normal") <= core)
-    return both.withColumn("reciprocal", mutual.cast("int")).withColumn("is_core", F.coalesce(inner, F.lit(False)).cast("int")).withColumn("tie", hash_order(F.col("sick").cast("string"), F.col("normal").cast("string")))
+    tie = hash_order(F.col("family").cast("string"), F.col("sick").cast("string"), F.col("normal").cast("string"))
+    return both.withColumn("reciprocal", mutual.cast("int")).withColumn("is_core", F.coalesce(inner, F.lit(False)).cast("int")).withColumn("tie", tie)

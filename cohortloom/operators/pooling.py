@@ -24,6 +24,42 @@ def mode_membership(rows: DataFrame, modes: dict[str, Column]) -> DataFrame:
     return rows.withColumn("mode", F.explode(F.transform(F.filter(tests, lambda s: s["on"]), lambda s: s["mode"])))
 
 
+#: The modes, each with its region and the flag that its items have; the first seven are primary.
+MODES = (
+    ("B0_FULL_IMAGE", "full", None),
+    ("B2_ATTENTION_ELIGIBLE_FULL_IMAGE", "full", "keep_attention"),
+    ("AU1_ATTENTION_ROI", "attention", "keep_attention"),
+    ("C1_ATTENTION_COMPLEMENT", "attention_complement", "keep_attention"),
+    ("B1_MATCHED_FULL_IMAGE", "full", "keep_cross_class_matched"),
+    ("AU2_MATCHED_ATTENTION_ROI", "attention", "keep_cross_class_matched"),
+    ("C2_MATCHED_ATTENTION_COMPLEMENT", "attention_complement", "keep_cross_class_matched"),
+    ("M1_MANUAL_ROI", "manual", "keep_manual_matched"),
+    ("C3_MANUAL_COMPLEMENT", "manual_complement", "keep_manual_matched"),
+    ("AU3_ATTENTION_ROI_MANUAL_SUBSET", "attention", "keep_manual_matched"),
+    ("C4_ATTENTION_COMPLEMENT_MANUAL_SUBSET", "attention_complement", "keep_manual_matched"),
+)
+
+
+def keep_flags(rows: DataFrame) -> DataFrame:
+    """Adds the flags of MODES. Columns used: quality_valid, valid, present, has_mask, manual (an accepted positive mask), selected (matched; this needs the attention flag)."""
+    on = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False))
+    attention = on("quality_valid") & on("valid") & on("present") & on("has_mask")
+    return rows.withColumns({"keep_attention": attention, "keep_manual_matched": on("manual") & on("has_mask"), "keep_cross_class_matched": on("selected") & attention})
+
+
+def feature_modes(rows: DataFrame) -> DataFrame:
+    """A row for each mode of an item, with mode, region and primary."""
+    tests = [F.struct(F.lit(m).alias("mode"), F.lit(r).alias("region"), F.lit(k < 7).alias("primary"), (F.col(flag) if flag else F.lit(True)).alias("on")) for k, (m, r, flag) in enumerate(MODES)]
+    out = rows.withColumn("_m", F.explode(F.filter(F.array(*tests), lambda t: t["on"])))
+    return out.select(*rows.columns, "_m.mode", "_m.region", "_m.primary")
+
+
+def feature_bank(members: DataFrame, embeddings: DataFrame, item: str, subject: str, series: str, label: str, vector: str) -> DataFrame:
+    """(mode, subject, label, x): pooled vectors of each mode. members: as by feature_modes; embeddings: item, region, vector, one a region, used by all its modes."""
+    rows = members.join(embeddings.select(item, "region", vector), [item, "region"])
+    return pooled_vectors(rows, ["mode"], subject, series, vector).join(rows.groupBy("mode", subject).agg(F.min(label).alias(label), F.count_distinct(label).alias("_n")).where("_n = 1").drop("_n"), ["mode", subject])
+
+
 def mode_counts(members: DataFrame, subject: str, series: str) -> DataFrame:
     return members.groupBy("mode").agg(F.count_distinct(subject).alias("subjects"), F.count("*").alias("items"), F.count_distinct(subject, series).alias("series"))
 

@@ -31,7 +31,7 @@ def caliper(rows: DataFrame, by: list[str], distance: str, k: float = 2.5, q: fl
     centres = rows.groupBy(*by).agg(median(v).alias("_m"), F.percentile(v, F.lit(q)).alias("_q"))
     away = rows.join(centres, by).withColumn("_away", F.abs(v - F.col("_m")))
     spread = away.groupBy(*by).agg(F.first("_m").alias("_m"), F.first("_q").alias("_q"), median(F.col("_away")).alias("_mad"))
-    limit = F.greatest(F.col("_m"), F.least(F.col("_m") + k * MAD_SCALE * F.col("_mad"), F.col("_q")))
+    limit = F.greatest(F.col("_m"), F.least(F.col("_m") + k * F.greatest(F.lit(1e-9), MAD_SCALE * F.col("_mad")), F.col("_q")))
     return spread.select(*by, F.when(F.col("_m").isNotNull(), limit).alias("caliper"))
 
 
@@ -50,18 +50,18 @@ def deviation(features: list[tuple[Column, Column, Column]], n: Column, usable:
 def sequence_inconsistency(rows: DataFrame, group: list[str], order: list[str], present: str, area: str, x: str, y: str, base: str) -> DataFrame:
     """Adds inconsistency (mean disagreement with the items before and after) and uncertainty = min(1, base + 0.2 * it).
 
-    A change of presence disagrees by 1, two absences by 0; else 0.55 * relative change of area + 0.45 * shift of
-    the centre, both at most 1.
+    A change of presence disagrees by 1, two absences by 0; else 0.55 * change of area, over the mean area (0.01 at least), + 0.45 * shift of
+    the centre, over 0.25; both at most 1, and the shift is 1 where a centre is missing. A missing presence counts as present, a missing area as 0.
     """
     from pyspark.sql import Window
 
     w = Window.partitionBy(*group).orderBy(*order)
-    own = F.struct(F.col(present).alias("p"), F.col(area).alias("a"), F.col(x).alias("x"), F.col(y).alias("y"))
+    own = F.struct(F.coalesce(F.col(present), F.lit(1)).alias("p"), clean_double(F.col(area), 0.0).alias("a"), clean_double(F.col(x)).alias("x"), clean_double(F.col(y)).alias("y"))
 
     def apart(o: Column) -> Column:
-        change = F.least(F.lit(1.0), F.abs(F.col(area) - o["a"]) / F.greatest(F.col(area), o["a"], F.lit(1e-6)))
-        shift = F.least(F.lit(1.0), F.hypot(F.col(x) - o["x"], F.col(y) - o["y"]))
-        return F.when(o.isNull(), F.lit(None)).when(F.col(present) != o["p"], 1.0).when(F.col(present) == 0, 0.0).otherwise(0.55 * change + 0.45 * shift)
+        change = F.least(F.lit(1.0), F.abs(own["a"] - o["a"]) / F.greatest(F.lit(0.01), (own["a"] + o["a"]) / 2))
+        shift = F.coalesce(F.least(F.lit(1.0), F.hypot(own["x"] - o["x"], own["y"] - o["y"]) / 0.25), F.lit(1.0))
+        return F.when(o.isNull(), F.lit(None)).when(own["p"] != o["p"], 1.0).when(own["p"] == 0, 0.0).otherwise(0.55 * change + 0.45 * shift)
 
     both = rows.withColumns({"_before": F.lag(own).over(w), "_after": F.lead(own).over(w)})
     a, b = apart(F.col("_before")), apart(F.col("_after"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions.clean import clean_double, elapsed, hash_order, item_token, natural_key, sign_bits, stable_path
-from .operators import audit, cohort, matching, metrics, modeling, neighbours, pooling, robust
+from .operators import audit, cohort, matching, metrics, modeling, neighbours, pooling, relations, robust
 from .plans.store import row_digests
 from .roles import Roles
 
@@ -87,7 +88,7 @@ def stratified_hash_folds(spark, d):
 
 @query("""
 WITH s AS (SELECT DISTINCT user_id, user_id % 3 AS grp FROM events),
-r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY sha256('validation|' || grp || '|' || user_id), user_id) AS t, count(*) OVER (PARTITION BY grp) AS n FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY sha256('42|validation|' || grp || '|' || user_id), user_id) AS t, count(*) OVER (PARTITION BY grp) AS n FROM s)
 SELECT user_id, grp, t <= greatest(1, least(round_even(n * 0.2, 0)::BIGINT, n - 1)) AS validation FROM r""")
 def validation_pick(spark, d):
     return cohort.validation_pick(_t(spark, d, "events").select("user_id", (F.col("user_id") % 3).alias("grp")), "user_id", "grp")
@@ -116,24 +117,29 @@ def sampling_weights(spark, d):
 
 
 @query("""
-WITH a AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY sha256('review|' || event_id), event_id) AS t FROM events),
+WITH e AS (SELECT *, event_id % 5 / 10.0::DOUBLE AS u, (event_id % 3 > 0)::INT AS v, value / 500 AS peak FROM events), p AS (SELECT *, CASE WHEN u > 0 THEN -u ELSE v END AS pr FROM e),
+a AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY pr, peak, sha256('42|' || event_id), event_id) AS t FROM p),
 b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_type) AS turn FROM a WHERE t <= 12)
 SELECT user_id, event_type, event_id, turn FROM b WHERE turn <= 12 ORDER BY turn, user_id LIMIT 300""")
 def review_round_robin(spark, d):
-    return cohort.round_robin(_t(spark, d, "events"), "user_id", "event_type", "event_id", 12, 300)
+    e = _t(spark, d, "events").withColumn("peak", F.col("value") / 500)
+    e = e.withColumn("priority", cohort.review_priority(F.col("event_id") % 5 / 10.0, (F.col("event_id") % 3 > 0).cast("int")))
+    return cohort.round_robin(e, "user_id", "event_type", "event_id", 12, 300, first_by=["priority", "peak"])
 
 
 # audits ----------------------------------------------------------------------------------
 
 _QUALITY = """
-WITH e AS (SELECT event_id, user_id, value, value / 1000.0 AS noise, value / 5.0 AS spread FROM events),
+WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 41 <> 0 THEN value END AS value, CASE WHEN event_id % 37 <> 0 THEN value / 1000.0 END AS noise, CASE WHEN event_id % 43 <> 0 THEN value / 5.0 END AS spread FROM events),
 t AS (SELECT user_id, CASE WHEN count(value) >= 5 THEN greatest(4.0, quantile_cont(value, 0.03)) ELSE 4.0 END AS blur_threshold,
   CASE WHEN count(noise) >= 5 THEN least(0.30, quantile_cont(noise, 0.97)) ELSE 0.30 END AS noise_threshold, count(*) AS n FROM e GROUP BY 1)"""
 
 
 def _slices(spark, d):
     e = _t(spark, d, "events")
-    return e.select("event_id", "user_id", "value", (F.col("value") / 1000.0).alias("noise"), (F.col("value") / 5.0).alias("spread"))
+    # not a number in some rows, none in others
+    but = lambda n, x, odd: F.when(F.col("event_id") % n != 0, x).otherwise(F.lit(odd).cast("double"))
+    return e.select("event_id", "user_id", but(41, F.col("value"), "nan").alias("value"), but(37, F.col("value") / 1000.0, None).alias("noise"), but(43, F.col("value") / 5.0, "inf").alias("spread"))
 
 
 @query(_QUALITY + " SELECT user_id, round(blur_threshold, 6) AS blur_threshold, round(noise_threshold, 6) AS noise_threshold, n FROM t")
@@ -141,29 +147,45 @@ def quality_audit_thresholds(spark, d):
     return audit.quality_thresholds(_slices(spark, d), "user_id", "value", "noise").select("user_id", *_r("blur_threshold", "noise_threshold"), "n")
 
 
-@query(_QUALITY + """ SELECT event_id, concat_ws(';', CASE WHEN spread < 12 THEN 'low_dynamic_range' END, CASE WHEN value < blur_threshold THEN 'blurred' END, CASE WHEN noise > noise_threshold THEN 'noisy' END) AS quality_reason,
-  (spread >= 12 AND value >= blur_threshold AND noise <= noise_threshold)::INT AS quality_valid FROM e JOIN t USING (user_id)""")
+@query(_QUALITY + """ SELECT event_id, concat_ws(';', CASE WHEN spread IS NULL OR spread < 12 THEN 'low_dynamic_range' END, CASE WHEN value IS NULL OR value < blur_threshold THEN 'blurred' END, CASE WHEN noise IS NULL OR noise > noise_threshold THEN 'noisy' END) AS quality_reason,
+  coalesce(spread >= 12 AND value >= blur_threshold AND noise <= noise_threshold, false)::INT AS quality_valid FROM e JOIN t USING (user_id)""")
 def quality_audit(spark, d):
     return audit.quality_audit(_slices(spark, d), "user_id", "value", "noise", "spread").select("event_id", "quality_reason", "quality_valid")
 
 
 _AUDIT = """
-WITH i AS (SELECT doc_id, CASE WHEN n_chars >= 300 THEN 1 ELSE 0 END AS quality_valid FROM documents WHERE doc_id % 11 <> 0),
-m AS (SELECT doc_id, CASE WHEN toxic = 1 THEN ' unusable ' WHEN doc_id % 5 = 0 THEN '' WHEN quality = 1 THEN 'heart_present' ELSE 'no_heart_visible' END AS target_type, CASE WHEN quality = 1 THEN (doc_id % 100) / 100.0 END AS mask_area FROM labels),
-j AS (SELECT m.doc_id, i.doc_id AS item, quality_valid, mask_area, upper(trim(target_type)) AS told FROM m LEFT JOIN i USING (doc_id)),
-k AS (SELECT *, CASE WHEN told = '' AND mask_area >= 0.0005 THEN 'HEART_PRESENT' ELSE told END AS target FROM j),
-r AS (SELECT *, concat_ws(';', CASE WHEN item IS NULL THEN 'unknown_item' END, CASE WHEN target = '' THEN 'unlabelled' END, CASE WHEN quality_valid = 0 THEN 'low_quality' END,
-  CASE WHEN target = 'HEART_PRESENT' AND mask_area IS NULL THEN 'mask_missing' END, CASE WHEN target = 'HEART_PRESENT' AND mask_area < 0.0005 THEN 'mask_empty' END, CASE WHEN mask_area > 0.98 THEN 'mask_full' END) AS reason FROM k),
-a AS (SELECT doc_id, target, quality_valid, mask_area, CASE WHEN item IS NULL THEN 'REJECTED' WHEN target = 'UNUSABLE' THEN 'EXCLUDED' WHEN reason = '' THEN 'ACCEPTED' ELSE 'REJECTED' END AS status, reason FROM r)"""
+WITH i AS (SELECT doc_id, source, CASE WHEN n_chars >= 300 THEN 1 ELSE 0 END AS quality_valid, CASE WHEN n_chars < 300 THEN 'blurred' END AS quality_reason FROM documents WHERE doc_id % 11 <> 0),
+m AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'UNUSABLE' WHEN doc_id % 5 = 0 THEN '' WHEN quality = 1 THEN 'HEART_PRESENT' ELSE 'NO_HEART_VISIBLE' END AS told, CASE WHEN doc_id % 3 > 0 THEN doc_id % 7 / 7.1::DOUBLE END AS area, doc_id % 3 > 0 OR doc_id % 2 = 0 AS found FROM labels),
+j AS (SELECT m.*, i.doc_id AS item, source, quality_valid, quality_reason, CASE WHEN NOT found THEN 'missing' WHEN area IS NULL THEN 'unreadable' WHEN area < 0.0005 THEN 'empty_or_nearly_empty' WHEN area > 0.98 THEN 'nearly_full' ELSE '' END AS mask FROM m LEFT JOIN i USING (doc_id)),
+k AS (SELECT *, CASE WHEN item IS NULL OR told <> '' THEN told WHEN mask = '' THEN 'HEART_PRESENT' ELSE 'UNLABELED_EMPTY' END AS target FROM j),
+r AS (SELECT *, CASE WHEN item IS NULL THEN 'token_absent_from_dataset' ELSE concat_ws(';', nullif(CASE target WHEN 'HEART_PRESENT' THEN mask
+  WHEN 'NO_HEART_VISIBLE' THEN CASE WHEN found AND area IS NULL THEN 'unreadable_negative_mask' WHEN area >= 0.0005 THEN 'no_heart_annotation_has_nonempty_mask' ELSE '' END
+  WHEN 'UNUSABLE' THEN 'explicitly_unusable' ELSE 'empty_mask_without_explicit_no_heart_label' END, ''), CASE WHEN target <> 'UNUSABLE' AND quality_valid <> 1 THEN quality_reason END) END AS reason FROM k),
+a AS (SELECT doc_id, target, quality_valid, CASE WHEN item IS NULL THEN 'REJECTED' WHEN target = 'UNUSABLE' THEN 'EXCLUDED' WHEN reason = '' THEN 'ACCEPTED' ELSE 'REJECTED' END AS status, reason, source FROM r)"""
 
 
 def _audited(spark, d):
-    items = _t(spark, d, "documents").where("doc_id % 11 <> 0").select("doc_id", (F.col("n_chars") >= 300).cast("int").alias("quality_valid"))
-    told = F.expr("CASE WHEN toxic = 1 THEN ' unusable ' WHEN doc_id % 5 = 0 THEN '' WHEN quality = 1 THEN 'heart_present' ELSE 'no_heart_visible' END")
-    marks = _t(spark, d, "labels").select("doc_id", told.alias("target_type"), F.expr("CASE WHEN quality = 1 THEN (doc_id % 100) / 100.0D END").alias("mask_area"))
+    good = F.col("n_chars") >= 300
+    items = _t(spark, d, "documents").where("doc_id % 11 <> 0").select("doc_id", good.cast("int").alias("quality_valid"), F.when(~good, "blurred").alias("quality_reason"))
+    told = F.expr("CASE WHEN toxic = 1 THEN ' unusable ' WHEN doc_id % 5 = 0 THEN 'none' WHEN quality = 1 THEN 'heart_present' ELSE 'no_heart_visible' END")
+    marks = _t(spark, d, "labels").select("doc_id", told.alias("target_type"), F.expr("CASE WHEN doc_id % 3 > 0 THEN doc_id % 7 / 7.1D END").alias("mask_area"), F.expr("doc_id % 3 > 0 OR doc_id % 2 = 0").alias("mask_found"))
     return audit.target_audit(items, marks, "doc_id")
 
 
+def _audited_folds(spark, d):
+    return _audited(spark, d).join(_t(spark, d, "documents").select("doc_id", "source", (F.col("doc_id") % 5).cast("int").alias("fold")), "doc_id")
+
+
+@query(_AUDIT + ", f AS (SELECT a.*, doc_id % 5 AS fold FROM a) SELECT " + ", ".join(f"count(*) FILTER (status = 'ACCEPTED' AND fold = {k} AND target = '{t}') AS fold_{k}_{n}" for k in range(5) for t, n in (("HEART_PRESENT", "present"), ("NO_HEART_VISIBLE", "absent"))) + " FROM f")
+def fold_counters(spark, d):
+    return audit.fold_counters(_audited_folds(spark, d), "fold")
+
+
+@query(_AUDIT + " SELECT count(*) AS positives, count(DISTINCT doc_id % 5) AS folds, count(DISTINCT source) AS subjects FROM a WHERE status = 'ACCEPTED' AND target = 'HEART_PRESENT'")
+def integrity_gates(spark, d):
+    return audit.integrity(_audited_folds(spark, d), "source", "fold")
+
+
 @query(_AUDIT + " SELECT doc_id, target, quality_valid, status, reason FROM a")
 def target_audit(spark, d):
     return _audited(spark, d).drop("mask_area")
@@ -197,11 +219,64 @@ def import_counters(spark, d):
     return audit.import_counters(_t(spark, d, "orders"), c.where("c_acctbal > 0"), c.where("c_nationkey = 3"), "o_custkey")
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_tax >= 0.06 OR abs(l_discount - 0.05) <= 0.001 OR l_returnflag = 'R') AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+_REVIEW = """
+WITH q AS (SELECT l_orderkey * 10 + l_linenumber AS item, l_suppkey AS subject, l_returnflag AS series, CASE WHEN l_linestatus = 'F' AND l_orderkey % 4 = 0 THEN 'HEART_PRESENT' ELSE '' END AS target, (l_quantity > 10)::INT AS quality_valid, (l_returnflag <> 'R')::INT AS valid,
+  l_orderkey % 7 > 0 AS available, l_tax * 3 AS uncertainty, 0.5 + (l_discount - 0.05) * 10 AS presence, l_quantity / 50 AS peak, CASE l_orderkey % 9 WHEN 0 THEN '' WHEN 1 THEN 'empty_or_nearly_empty' ELSE 'missing' END AS mask_reason,
+  CASE WHEN l_partkey % 13 > 0 THEN ('0x' || substr(sha256(l_orderkey::VARCHAR), 1, 15))::BIGINT END AS phash FROM lineitem),
+seen AS (SELECT o_orderkey * 10 + 1 AS item FROM orders WHERE o_orderstatus = 'F'), c AS (SELECT * FROM q WHERE target = '' AND available AND item NOT IN (SELECT item FROM seen)),
+s AS ({S}),
+n AS (SELECT greatest(10, ceil(300.0 / greatest(1, count(DISTINCT subject))))::INT AS most FROM s),
+t AS (SELECT *, row_number() OVER (PARTITION BY subject, series ORDER BY pr, coalesce(peak, 0), sha256('42|' || item), item) AS k FROM s),
+u AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY k, series) AS turn FROM t, n WHERE k <= most)
+SELECT item, subject, series, row_number() OVER (ORDER BY turn, subject) AS queue_position FROM u WHERE turn <= most ORDER BY turn, subject LIMIT 300"""
+
+
+def _review_rows(spark, d):
+    return _t(spark, d, "lineitem").selectExpr(
+        "l_orderkey * 10 + l_linenumber AS item", "l_suppkey AS subject", "l_returnflag AS series", "CASE WHEN l_linestatus = 'F' AND l_orderkey % 4 = 0 THEN 'HEART_PRESENT' ELSE '' END AS target", "int(l_quantity > 10) AS quality_valid", "int(l_returnflag <> 'R') AS valid",
+        "l_orderkey % 7 > 0 AS available", "l_tax * 3 AS uncertainty", "0.5 + (l_discount - 0.05) * 10 AS presence", "0.5D AS presence_threshold", "l_quantity / 50 AS peak", "CASE l_orderkey % 9 WHEN 0 THEN '' WHEN 1 THEN 'empty_or_nearly_empty' ELSE 'missing' END AS mask_reason",
+        "CASE WHEN l_partkey % 13 > 0 THEN bigint(conv(substr(sha2(string(l_orderkey), 256), 1, 15), 16, 10)) END AS phash",
+    )
+
+
+def _review(spark, d, scope):
+    seen = _t(spark, d, "orders").where("o_orderstatus = 'F'").select((F.col("o_orderkey") * 10 + 1).alias("item"))
+    return audit.review_queue(_review_rows(spark, d), seen, scope, "subject", "series", "item").select("item", "subject", "series", "queue_position")
+
+
+@query(_REVIEW.replace("{S}", "SELECT *, peak AS pr FROM c WHERE valid = 0"))
+def review_invalid(spark, d):
+    return _review(spark, d, "invalid")
+
+
+@query(_REVIEW.replace("{S}", "SELECT *, -uncertainty AS pr FROM c WHERE quality_valid = 1 AND (uncertainty >= 0.18 OR abs(presence - 0.5) <= 0.15 OR valid <> 1)"))
 def review_uncertain(spark, d):
-    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_tax") * 3).alias("uncertainty"), (F.lit(0.5) + (F.col("l_discount") - 0.05) * 150).alias("presence"), F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("valid"))
-    done = _t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("round"))
-    return audit.unreviewed(audit.in_scope(rows, "uncertain"), done, "l_orderkey", "round", 1).select("l_orderkey", "l_linenumber")
+    return _review(spark, d, "uncertain")
+
+
+@query(_REVIEW.replace("{S}", "SELECT *, -uncertainty AS pr FROM c WHERE mask_reason = 'empty_or_nearly_empty'"))
+def review_empty(spark, d):
+    return _review(spark, d, "empty")
+
+
+@query("WITH" + _REVIEW.split("WITH", 1)[1].split(",\ns AS")[0] + " SELECT item, subject, series, row_number() OVER (ORDER BY subject, series, item) AS queue_position FROM c WHERE mask_reason <> 'missing' ORDER BY subject, series, item LIMIT 300")
+def review_manual(spark, d):
+    return _review(spark, d, "manual")
+
+
+_FAR = "a AS (SELECT DISTINCT phash FROM q WHERE (target <> '' OR mask_reason <> 'missing') AND phash IS NOT NULL), near AS (SELECT DISTINCT c.phash FROM (SELECT DISTINCT phash FROM q WHERE phash IS NOT NULL) c JOIN a ON bit_count(xor(c.phash::BIGINT, a.phash::BIGINT)) <= 6)"
+
+
+@query(_REVIEW.replace("s AS ({S})", _FAR + ", s AS (SELECT *, -uncertainty AS pr FROM c WHERE mask_reason = 'missing' AND quality_valid = 1 AND phash IS NOT NULL AND phash NOT IN (SELECT phash FROM near))").replace("greatest(10, ceil(300.0 / greatest(1, count(DISTINCT subject))))::INT AS most FROM s", "10 AS most"))
+def review_novel(spark, d):
+    return _review(spark, d, "novel")
+
+
+@query("WITH" + _REVIEW.split("WITH", 1)[1].split(", c AS")[0] + ", " + _FAR + """, r AS (SELECT CASE WHEN mask_reason <> 'missing' THEN 'already_annotated' WHEN item IN (SELECT item FROM seen) THEN 'already_reviewed_this_round' WHEN quality_valid <> 1 THEN 'quality_invalid'
+  WHEN NOT available THEN 'missing_attention_mask' WHEN phash IS NULL THEN 'missing_phash' WHEN phash IN (SELECT phash FROM near) THEN 'similar_to_annotated' END AS reason FROM q WHERE target = '') SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY 1""")
+def review_novel_exclusions(spark, d):
+    seen = _t(spark, d, "orders").where("o_orderstatus = 'F'").select((F.col("o_orderkey") * 10 + 1).alias("item"))
+    return audit.novel_exclusions(_review_rows(spark, d), seen, "item")
 
 
 # robust statistics, sequences -------------------------------------------------------------
@@ -229,15 +304,16 @@ def robust_caliper(spark, d):
     return robust.caliper(_t(spark, d, "events"), ["event_type"], "value").select("event_type", *_r("caliper"))
 
 
-@query("""
-WITH e AS (SELECT event_id, user_id, ts, (value > 20)::INT AS p, value / 500 AS a, value / 400 AS x, (event_id % 10) / 10.0::DOUBLE AS y, (event_id % 7) / 10.0::DOUBLE AS base FROM events),
-n AS (SELECT *, lag({'p': p, 'a': a, 'x': x, 'y': y}) OVER w AS b, lead({'p': p, 'a': a, 'x': x, 'y': y}) OVER w AS f FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-s AS (SELECT event_id, base,
-  CASE WHEN b IS NULL THEN NULL WHEN p <> b.p THEN 1.0 WHEN p = 0 THEN 0.0 ELSE 0.55 * least(1, abs(a - b.a) / greatest(a, b.a, 1e-6)) + 0.45 * least(1, sqrt(pow(x - b.x, 2) + pow(y - b.y, 2))) END AS l,
-  CASE WHEN f IS NULL THEN NULL WHEN p <> f.p THEN 1.0 WHEN p = 0 THEN 0.0 ELSE 0.55 * least(1, abs(a - f.a) / greatest(a, f.a, 1e-6)) + 0.45 * least(1, sqrt(pow(x - f.x, 2) + pow(y - f.y, 2))) END AS r FROM n)
+_PAIR_CHANGE = "CASE WHEN {o} IS NULL THEN NULL WHEN p <> {o}.p THEN 1.0 WHEN p = 0 THEN 0.0 ELSE 0.55 * least(1, abs(a - {o}.a) / greatest(0.01, 0.5 * (a + {o}.a))) + 0.45 * coalesce(least(1, sqrt(pow(x - {o}.x, 2) + pow(y - {o}.y, 2)) / 0.25), 1) END"
+
+
+@query(f"""
+WITH e AS (SELECT event_id, user_id, ts, (value > 20)::INT AS p, value / 500 AS a, CASE WHEN event_id % 9 > 0 THEN value / 400 END AS x, (event_id % 10) / 10.0::DOUBLE AS y, (event_id % 7) / 10.0::DOUBLE AS base FROM events),
+n AS (SELECT *, lag({{'p': p, 'a': a, 'x': x, 'y': y}}) OVER w AS b, lead({{'p': p, 'a': a, 'x': x, 'y': y}}) OVER w AS f FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT event_id, base, {_PAIR_CHANGE.format(o='b')} AS l, {_PAIR_CHANGE.format(o='f')} AS r FROM n)
 SELECT event_id, round(coalesce((l + r) / 2, l, r, 0), 6) AS inconsistency, round(least(1, base + 0.2 * coalesce((l + r) / 2, l, r, 0)), 6) AS uncertainty FROM s""")
 def sequence_inconsistency(spark, d):
-    e = _t(spark, d, "events").select("event_id", "user_id", "ts", (F.col("value") > 20).cast("int").alias("p"), (F.col("value") / 500).alias("a"), (F.col("value") / 400).alias("x"), ((F.col("event_id") % 10) / 10.0).alias("y"), ((F.col("event_id") % 7) / 10.0).alias("base"))
+    e = _t(spark, d, "events").select("event_id", "user_id", "ts", (F.col("value") > 20).cast("int").alias("p"), (F.col("value") / 500).alias("a"), F.when(F.col("event_id") % 9 > 0, F.col("value") / 400).alias("x"), ((F.col("event_id") % 10) / 10.0).alias("y"), ((F.col("event_id") % 7) / 10.0).alias("base"))
     return robust.sequence_inconsistency(e, ["user_id"], ["ts", "event_id"], "p", "a", "x", "y", "base").select("event_id", *_r("inconsistency", "uncertainty"))
 
 
@@ -253,10 +329,10 @@ def clean_values(spark, d):
 
 @query("""
 WITH h AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END) AS b FROM embeddings), s AS (SELECT vec_id, array_to_string(b, '') AS b FROM h)
-SELECT vec_id FROM s a WHERE vec_id % 10 <> 0 AND NOT EXISTS (SELECT 1 FROM s k WHERE k.vec_id % 10 = 0 AND hamming(a.b, k.b) <= 20)""")
+SELECT vec_id FROM s a WHERE vec_id % 10 <> 0 AND NOT EXISTS (SELECT 1 FROM s k WHERE k.vec_id % 10 = 0 AND hamming(a.b, k.b) <= 6)""")
 def hamming_anti_join(spark, d):
     h = _t(spark, d, "embeddings").select("vec_id", sign_bits(F.col("embedding")).alias("h"))
-    return neighbours.hamming_anti(h.where("vec_id % 10 <> 0"), h.where("vec_id % 10 = 0"), "h", radius=20).select("vec_id")
+    return neighbours.hamming_anti(h.where("vec_id % 10 <> 0"), h.where("vec_id % 10 = 0"), "h").select("vec_id")
 
 
 _EDGES = """
@@ -293,7 +369,7 @@ def match_target(spark, d):
 
 @query("""
 WITH c AS (SELECT event_type AS family, count(*) AS capacity FROM events GROUP BY 1), s AS (SELECT *, least(333, sum(capacity) OVER ()) * capacity::DOUBLE / sum(capacity) OVER () AS share FROM c),
-r AS (SELECT *, row_number() OVER (ORDER BY round(share - floor(share), 9) DESC, family) AS turn, round(333 - sum(floor(share)) OVER ()) AS rest FROM s)
+r AS (SELECT *, row_number() OVER (ORDER BY round(share - floor(share), 9) DESC, capacity DESC, family) AS turn, round(333 - sum(floor(share)) OVER ()) AS rest FROM s)
 SELECT family, capacity, least(capacity, floor(share) + (turn <= rest)::INT)::BIGINT AS quota FROM r""")
 def extension_allocation(spark, d):
     return matching.allocate(_t(spark, d, "events").groupBy(F.col("event_type").alias("family")).agg(F.count("*").alias("capacity")), 333)
@@ -305,17 +381,73 @@ def _match_edges(spark, d):
     return _edges(spark, d).join(side("sick"), "sick").join(side("normal"), "normal")
 
 
+def _match_items(spark, d):
+    """Embeddings in the role of images: their signs as hash, four of their numbers as geometry."""
+    e = _t(spark, d, "embeddings")
+    n = lambda k: F.get("embedding", F.lit(k)).cast("double")
+    return e.select(
+        F.col("vec_id").cast("long").alias("item"), F.col("label").cast("string").alias("subject"), F.concat_ws("/", "label", F.col("vec_id") % 4).alias("sequence"), (F.col("label") % 2).alias("label"), F.when(F.col("vec_id") % 31 > 0, sign_bits(F.col("embedding"))).alias("hash"),
+        (F.col("vec_id") % 17 > 0).cast("int").alias("quality_valid"), (F.col("vec_id") % 19 > 0).cast("int").alias("attention_valid"), F.lit(1).alias("heart_present"), (F.abs(n(0)) / 2 + 0.002).alias("area"), n(1).alias("centroid_x"), n(2).alias("centroid_y"), F.abs(n(3)).alias("boundary"),
+        ((F.col("vec_id") % 10) / 9).alias("position"), (F.abs(n(4)) * 100).alias("sharpness"), F.abs(n(5)).alias("noise"), (F.abs(n(6)) * 200).alias("spread"), (F.col("vec_id") % 23 > 0).alias("has_mask"), (F.col("vec_id") % 3).cast("long").alias("family"),
+    )
+
+
+def _scratch(spark):
+    """Tables of a matching that are used more than once."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/cohortloom-checkpoints" if spark.sparkContext.master.startswith("local[") else "checkpoints")
+    return lambda name, df: df.checkpoint()
+
+
 @query()
 def core_matching(spark, d):
-    return matching.pair_ids(matching.core_matching(_match_edges(spark, d))).select("family", "sick", "normal", *_r("distance"), "stage", "pair_id")
+    edges = _match_edges(spark, d)
+    return matching.pair_ids(matching.core_matching(edges, matching.calipers(edges))).select("family", "sick", "normal", *_r("distance"), "stage", "pair_id")
+
+
+@query()
+def cross_class_matching(spark, d):
+    manifest, _, _ = matching.build_matching(_match_items(spark, d), _scratch(spark))
+    return manifest.select("item", "subject", "label", "family", "selected", "core", "pair_id", "partner", *_r("distance"), "exclusion_reason")
 
 
 @query()
 def extended_matching(spark, d):
-    edges = _match_edges(spark, d)
-    capacity = edges.groupBy("family").agg(F.count_distinct("sick").alias("capacity"))
-    core = matching.core_matching(edges)
-    return matching.pair_ids(matching.extended_matching(edges, core, matching.allocate(capacity, 60), 60)).select("family", "sick", "normal", *_r("distance"), "stage", "pair_id")
+    _, pairs, _ = matching.build_matching(_match_items(spark, d), _scratch(spark))
+    return pairs.select("family", "sick", "normal", *_r("distance"), "stage", "pair_id")
+
+
+_ELIGIBLE = """WITH e AS (SELECT vec_id, quality, attention, area, hash, mask, concat_ws(';', CASE WHEN quality <> 1 THEN 'quality_invalid' END, CASE WHEN attention <> 1 THEN 'attention_invalid' END, CASE WHEN area < 0.003 THEN 'attention_area_too_small' END, CASE WHEN NOT hash THEN 'missing_phash' END, CASE WHEN NOT mask THEN 'missing_attention_mask' END) AS exclusion_reason
+  FROM (SELECT vec_id, (vec_id % 17 > 0)::INT AS quality, (vec_id % 19 > 0)::INT AS attention, abs(embedding[1]::DOUBLE) / 2 + 0.002 AS area, vec_id % 31 > 0 AS hash, vec_id % 23 > 0 AS mask FROM embeddings))"""
+
+
+@query(_ELIGIBLE + " SELECT vec_id AS item, exclusion_reason FROM e")
+def matching_eligibility(spark, d):
+    return matching.eligibility(_match_items(spark, d)).select("item", "exclusion_reason")
+
+
+@query("""
+WITH v AS (SELECT vec_id AS item, [abs(embedding[1]::DOUBLE) / 2 + 0.002, embedding[2]::DOUBLE, embedding[3]::DOUBLE, abs(embedding[4]::DOUBLE), (vec_id % 10) / 9.0::DOUBLE, ln(1 + abs(embedding[5]::DOUBLE) * 100), abs(embedding[6]::DOUBLE), abs(embedding[7]::DOUBLE) * 200] AS x FROM embeddings),
+u AS (SELECT item, unnest(x) AS x, generate_subscripts(x, 1) AS k FROM v), m AS (SELECT k, median(x) AS m FROM u GROUP BY 1), s AS (SELECT k, any_value(m) AS m, greatest(1e-3, 1.4826 * median(abs(x - m))) AS s FROM u JOIN m USING (k) GROUP BY 1)
+SELECT item, (k - 1)::INT AS pos, round(greatest(-5, least(5, (x - m) / s)) * sqrt(CASE WHEN k <= 4 THEN 0.25 / 4 WHEN k = 5 THEN 0.15 ELSE 0.15 / 3 END), 6) AS value FROM u JOIN s USING (k)""")
+def matching_descriptor(spark, d):
+    items = _match_items(spark, d).withColumn("log_sharpness", F.log1p("sharpness"))
+    return matching.descriptor(items).select("item", F.posexplode("descriptor").alias("pos", "value")).select("item", "pos", *_r("value"))
+
+
+@query(_EDGES + """, g AS (SELECT e.* FROM e JOIN embeddings s ON s.vec_id = sick JOIN embeddings n ON n.vec_id = normal WHERE abs(sick % 10 - normal % 10) / 9.0::DOUBLE <= 0.25 AND abs(abs(s.embedding[1]::DOUBLE) - abs(n.embedding[1]::DOUBLE)) <= 0.20)
+SELECT family, sick, normal, round(distance, 6) AS distance FROM g""")
+def gated_edges(spark, d):
+    e = _t(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 3).alias("family"), (F.col("label") % 2).alias("y"), "embedding", ((F.col("vec_id") % 10) / 9).alias("position"), F.abs(F.get("embedding", F.lit(0)).cast("double")).alias("area"))
+    return neighbours.mutual_edges(e, "family", "vec_id", "y", "embedding", position="position", area="area").select("family", "sick", "normal", *_r("distance"))
+
+
+_CALIPER = "c{n} AS (SELECT family, median(distance) AS m, quantile_cont(distance, {q}) AS q FROM e {w} GROUP BY 1), k{n} AS (SELECT family, any_value(m) AS m, any_value(q) AS q, median(abs(distance - m)) AS mad FROM e JOIN c{n} USING (family) {w} GROUP BY 1), l{n} AS (SELECT family, greatest(m, least(m + {k} * greatest(1e-9, 1.4826 * mad), q)) AS l FROM k{n})"
+
+
+@query(_EDGES + ", " + _CALIPER.format(n=0, q=0.9, k=2.5, w="WHERE rank_from_sick <= 5 AND rank_from_normal <= 5") + ", " + _CALIPER.format(n=1, q=0.97, k=3.5, w="") + " SELECT l1.family, round(l0.l, 6) AS core_caliper, round(CASE WHEN l0.l IS NULL THEN l1.l ELSE least(greatest(l1.l, l0.l), 1.18 * l0.l) END, 6) AS extended_caliper FROM l1 LEFT JOIN l0 ON l0.family = l1.family")
+def match_calipers(spark, d):
+    return matching.calipers(_edges(spark, d)).select("family", *_r("core_caliper", "extended_caliper"))
 
 
 # pooling, cohorts ---------------------------------------------------------------------------
@@ -401,15 +533,30 @@ def overlap_metrics(spark, d):
     return c.select("l_orderkey", *[F.round(v, 6).alias(k) for k, v in metrics.overlap(F.col("tp"), F.col("fp"), F.col("fn")).items()])
 
 
-@query(_SCORED + """, t AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5]::DOUBLE[]) AS threshold), a AS (SELECT threshold, source, avg(((score >= threshold)::INT = y)::INT) AS h FROM s, t GROUP BY ALL), v AS (SELECT threshold, avg(h) AS value FROM a GROUP BY 1)
-SELECT arg_max(threshold, (round(value, 12), -abs(threshold - 0.5), -threshold)) AS threshold, round(max(value), 6) AS value FROM v""")
+@query(_SCORED + """, t AS (SELECT unnest([0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70, 0.75]::DOUBLE[]) AS threshold), x AS (SELECT threshold, source, y, CASE WHEN y = 1 THEN (2 * greatest(0, 1 - abs(score - threshold)) + 1e-6) / (1 + score + 1e-6) ELSE 1 - least(1, greatest(0, score - threshold) / 0.10) END AS q, (score >= threshold)::INT AS valid FROM s, t),
+a AS (SELECT threshold, source, avg(q) AS q, count(*) FILTER (y = 1 AND valid = 0) AS bad, count(*) FILTER (y = 1) AS n FROM x GROUP BY ALL), v AS (SELECT threshold, avg(q) AS mean_quality, sum(bad) / greatest(1, sum(n))::DOUBLE AS invalid_rate FROM a GROUP BY 1), z AS (SELECT *, mean_quality - 0.2 * invalid_rate AS score FROM v)
+SELECT arg_max(threshold, (round(score, 12), -abs(threshold - 0.5), -threshold)) AS threshold, round(arg_max(score, (round(score, 12), -abs(threshold - 0.5), -threshold)), 6) AS score, round(arg_max(mean_quality, (round(score, 12), -abs(threshold - 0.5), -threshold)), 6) AS mean_quality, round(arg_max(invalid_rate, (round(score, 12), -abs(threshold - 0.5), -threshold)), 6) AS invalid_rate FROM z""")
 def threshold_grid_search(spark, d):
-    return metrics.grid_search(_scored(spark, d), [0.1, 0.2, 0.3, 0.4, 0.5], "source", "y", "score").select("threshold", *_r("value"))
+    s = _scored(spark, d).withColumn("threshold", F.explode(F.array(*map(F.lit, metrics.THRESHOLDS))))
+    apart = F.greatest(F.lit(0.0), F.col("score") - F.col("threshold"))
+    tried = s.withColumn("q", metrics.target_quality(F.col("y"), F.greatest(F.lit(0.0), 1 - F.abs(F.col("score") - F.col("threshold"))), 1 + F.col("score"), apart)).withColumn("valid", (F.col("score") >= F.col("threshold")).cast("int"))
+    return metrics.grid_search(tried, "threshold", "source", "y", "q", "valid").select("threshold", *_r("score", "mean_quality", "invalid_rate"))
+
+
+@query(_SCORED + """, t AS (SELECT unnest([0.5, 0.1, 0.2, 0.3, 0.4]::DOUBLE[]) AS threshold), h AS (SELECT threshold, y, avg(((score >= threshold)::INT = y)::INT) AS r FROM s, t GROUP BY ALL), b AS (SELECT threshold, avg(r) AS balanced_accuracy FROM h GROUP BY 1)
+SELECT arg_max(threshold, (round(balanced_accuracy, 12), -abs(threshold - 0.5), -threshold)) AS threshold, round(arg_max(balanced_accuracy, (round(balanced_accuracy, 12), -abs(threshold - 0.5), -threshold)), 6) AS balanced_accuracy FROM b""")
+def presence_threshold(spark, d):
+    return metrics.presence_threshold(_scored(spark, d), (0.1, 0.2, 0.3, 0.4), "y", "score").select("threshold", *_r("balanced_accuracy"))
+
+
+@query("SELECT event_id, (value >= 250 OR value / 500 >= 0.80 OR event_id % 10 >= 8)::INT AS present FROM events")
+def presence_decision(spark, d):
+    return _t(spark, d, "events").select("event_id", metrics.presence_decision(F.col("value") / 500, F.lit(0.5), F.greatest(F.col("value") / 500, (F.col("event_id") % 10) / 10)).alias("present"))
 
 
 _BOOT = """
 WITH s AS (SELECT user_id, user_id % 2 AS y, avg(value) AS a, max(value) AS b FROM events GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY user_id) - 1 AS rk, count(*) OVER () AS n FROM s),
-d AS (SELECT draw, ('0x' || substr(sha256('bootstrap|' || draw || '|' || rk), 1, 12))::BIGINT % n AS rk FROM k, range(200) t(draw)), w AS (SELECT draw, rk, count(*)::DOUBLE AS times FROM d GROUP BY ALL),
+d AS (SELECT draw, ('0x' || substr(sha256('bootstrap|' || draw || '|' || rk), 1, 12))::BIGINT % n AS rk FROM k, range(2000) t(draw)), w AS (SELECT draw, rk, count(*)::DOUBLE AS times FROM d GROUP BY ALL),
 p AS (SELECT draw, times, y, a, b FROM w JOIN k USING (rk)),
 x AS (SELECT p.draw, sum(p.times * q.times * ((p.a > q.a)::INT + (p.a = q.a)::INT / 2)) / sum(p.times * q.times) AS a, sum(p.times * q.times * ((p.b > q.b)::INT + (p.b = q.b)::INT / 2)) / sum(p.times * q.times) AS b FROM p JOIN p q ON p.draw = q.draw AND p.y = 1 AND q.y = 0 GROUP BY 1),
 o AS (SELECT avg((p.a > q.a)::INT + (p.a = q.a)::INT / 2) AS a, avg((p.b > q.b)::INT + (p.b = q.b)::INT / 2) AS b FROM s p JOIN s q ON p.y = 1 AND q.y = 0)"""
@@ -421,14 +568,14 @@ def _subjects(spark, d):
 
 @query(_BOOT + " SELECT round((SELECT a FROM o), 6) AS auc, round(quantile_cont(a, 0.025), 6) AS ci_low, round(quantile_cont(a, 0.975), 6) AS ci_high, count(*) AS resamples FROM x")
 def bootstrap_auc_ci(spark, d):
-    return metrics.bootstrap_auc(_subjects(spark, d), "user_id", "y", "a", 200).select(*_r("auc", "ci_low", "ci_high"), "resamples")
+    return metrics.bootstrap_auc(_subjects(spark, d), "user_id", "y", "a").select(*_r("auc", "ci_low", "ci_high"), "resamples")
 
 
 @query(_BOOT + " SELECT (SELECT count(*) FROM s) AS subjects, round((SELECT a - b FROM o), 6) AS auc_difference, round(quantile_cont(a - b, 0.025), 6) AS ci_low, round(quantile_cont(a - b, 0.975), 6) AS ci_high FROM x")
 def paired_auc_difference(spark, d):
     s = _subjects(spark, d)
     long = s.select("user_id", "y", F.explode(F.array(F.struct(F.lit("a").alias("mode"), F.col("a").alias("score")), F.struct(F.lit("b").alias("mode"), F.col("b").alias("score")))).alias("m")).select("user_id", "y", "m.mode", "m.score")
-    return metrics.paired_auc_difference(long, "mode", "a", "b", "user_id", "y", "score", 200).select("subjects", *_r("auc_difference", "ci_low", "ci_high"))
+    return metrics.paired_auc_difference(long, "mode", "a", "b", "user_id", "y", "score").select("subjects", *_r("auc_difference", "ci_low", "ci_high"))
 
 
 @query()
@@ -475,3 +622,129 @@ def star_revenue(spark, d):
 def top_k_per_group(spark, d):
     w = Window.partitionBy("l_suppkey").orderBy(F.col("l_extendedprice").desc(), hash_order(F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
     return _t(spark, d, "lineitem").withColumn("r", F.row_number().over(w)).where("r <= 3").select("l_suppkey", "l_orderkey", "l_linenumber", "r")
+
+
+# joins of the cohort ---------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_totalprice, n FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def complete_join(spark, d):
+    lines = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    items = _t(spark, d, "orders").select("o_orderkey", "o_totalprice").join(lines, "o_orderkey", "left_semi")
+    return relations.complete_join(items, lines.join(items.select("o_orderkey"), "o_orderkey", "left_semi"), "o_orderkey")
+
+
+@query(_AUDIT + " SELECT doc_id, target, n_chars FROM a JOIN documents USING (doc_id) WHERE status = 'ACCEPTED'")
+def accepted_items(spark, d):
+    return relations.accepted_items(_audited(spark, d), _t(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select("doc_id", "target", "n_chars")
+
+
+@query("""SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN '' WHEN toxic = 1 THEN 'UNUSABLE' ELSE 'HEART_PRESENT' END AS target,
+  CASE WHEN doc_id % 4 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'unreadable' WHEN doc_id % 7 = 0 THEN 'empty_or_nearly_empty' WHEN doc_id % 7 = 6 THEN 'nearly_full' ELSE '' END AS mask_reason FROM documents LEFT JOIN labels l USING (doc_id)""")
+def annotated_rows(spark, d):
+    marks = _t(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, " unusable").otherwise("Heart_present").alias("target_type"))
+    masks = _t(spark, d, "documents").where("doc_id % 4 > 0").select("doc_id", F.expr("CASE WHEN doc_id % 5 > 0 THEN doc_id % 7 / 6.0D END").alias("area"))
+    return relations.with_annotations(_t(spark, d, "documents").select("doc_id"), marks, masks, "doc_id").select("doc_id", "target", "mask_reason")
+
+
+_TARGETS = "WITH p AS (SELECT l_orderkey, sum((l_tax > 0.04 AND l_discount > 0.04)::INT) AS tp, sum((l_tax > 0.04 AND l_discount <= 0.04)::INT) AS fp, sum((l_tax <= 0.04 AND l_discount > 0.04)::INT) AS fn, count(*) AS n FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY 1), e AS (SELECT o_custkey AS subject, (o_orderstatus <> 'F')::INT AS present, CASE WHEN tp + fp + fn = 0 THEN 1 ELSE 2 * tp / (2 * tp + fp + fn) END AS dice, CASE WHEN tp + fp + fn = 0 THEN 1 ELSE tp / (tp + fp + fn) END AS iou, CASE WHEN tp + fp = 0 THEN (fn = 0)::INT ELSE tp / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 1 ELSE tp / (tp + fn) END AS recall, (tp + fp) / n AS pa, fp / n AS fa FROM orders JOIN p ON l_orderkey = o_orderkey WHERE o_orderpriority <> '1-URGENT')"
+
+
+@query(_TARGETS + """, g AS (SELECT subject, avg(dice) AS da, avg(dice) FILTER (present = 1) AS d, avg(iou) FILTER (present = 1) AS i, avg(precision) FILTER (present = 1) AS p, avg(recall) FILTER (present = 1) AS r FROM e GROUP BY 1)
+SELECT (SELECT count(*) FROM e) AS targets, (SELECT count(*) FILTER (present = 1) FROM e) AS positives, (SELECT count(*) FILTER (present = 0) FROM e) AS negatives, round(avg(da), 6) AS dice_all, round(avg(d), 6) AS dice_positive, round(avg(i), 6) AS iou_positive, round(avg(p), 6) AS precision_positive, round(avg(r), 6) AS recall_positive,
+  round((SELECT avg((pa < 0.003)::INT) FILTER (present = 0) FROM e), 6) AS empty_prediction_rate, round((SELECT avg(fa) FILTER (present = 0) FROM e), 6) AS mean_false_positive_area FROM g""")
+def segmentation_summary(spark, d):
+    a, b = F.col("l_tax") > 0.04, F.col("l_discount") > 0.04
+    found = _t(spark, d, "lineitem").where("l_orderkey % 3 > 0").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_if(a & b).alias("tp"), F.count_if(a & ~b).alias("fp"), F.count_if(~a & b).alias("fn"), F.count("*").alias("n"))
+    targets = _t(spark, d, "orders").where("o_orderpriority <> '1-URGENT'").select("o_orderkey", F.col("o_custkey").alias("subject"), (F.col("o_orderstatus") != "F").cast("int").alias("present"))
+    rows = relations.evaluated_targets(targets, found, "o_orderkey").withColumns({"predicted_area": (F.col("tp") + F.col("fp")) / F.col("n"), "false_positive_area": F.col("fp") / F.col("n")})
+    out = metrics.segmentation_summary(rows, "subject")
+    return out.select("targets", "positives", "negatives", *_r(*out.columns[3:]))
+
+
+@query("""SELECT event_type, count(*) AS predictions, count(*) FILTER (value > 50) AS initially_valid, count(*) FILTER (value > 20) AS finally_valid, count(*) FILTER (event_id % 4 = 0) AS empty, count(*) FILTER (value <= 50) AS repaired, count(*) FILTER (event_id % 10 >= 2) AS uncertain FROM events GROUP BY 1""")
+def prediction_summary(spark, d):
+    e = _t(spark, d, "events").selectExpr("event_type", "int(value > 50) AS valid_initial", "int(value > 20) AS valid_final", "int(event_id % 4 > 0) AS present", "IF(value > 50, 'none', 'unresolved') AS repair", "event_id % 10 / 10.0D AS uncertainty")
+    return metrics.prediction_summary(e, ["event_type"])
+
+
+@query("""
+WITH s AS (SELECT DISTINCT user_id, user_id % 2 AS label FROM events), f AS (SELECT user_id, ((row_number() OVER (PARTITION BY label ORDER BY sha256('42|segmentation-fold|' || label || '|' || user_id), user_id) - 1) % 5)::INT AS fold FROM s)
+SELECT event_id, fold FROM events JOIN f USING (user_id)""")
+def folds_of_items(spark, d):
+    e = _t(spark, d, "events").select("event_id", "user_id", (F.col("user_id") % 2).alias("label"))
+    return relations.folds_of(e, cohort.hash_folds(e, "user_id", "label").drop("label"), "user_id").select("event_id", "fold")
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN value ELSE value * 2 END AS guess, (event_id % 5)::INT AS fold FROM events")
+def combined_folds(spark, d):
+    e = _t(spark, d, "events").select("event_id", "value", (F.col("event_id") % 5).cast("int").alias("fold"))
+    parts = {k: e.where(F.col("fold").isin(k, (k + 1) % 5)).select("event_id", (F.col("value") if k == 0 else F.col("value") * 2).alias("guess")) for k in range(5)}
+    return relations.combined_parts(parts, e.select("event_id", "fold"), "event_id").select("event_id", "guess", "fold")
+
+
+_FLAGS = """WITH f AS (SELECT event_id, user_id, event_type, event_id % 11 > 0 AND value > 20 AND event_id % 13 > 0 AND event_id % 17 > 0 AS ka, event_id % 6 = 0 AND event_id % 17 > 0 AS km, event_id % 4 = 0 AS sel FROM events),
+m AS (SELECT event_id, user_id, event_type, unnest(list_filter([{'mode': 'B0_FULL_IMAGE', 'region': 'full', 'on': true}, {'mode': 'B2_ATTENTION_ELIGIBLE_FULL_IMAGE', 'region': 'full', 'on': ka}, {'mode': 'AU1_ATTENTION_ROI', 'region': 'attention', 'on': ka}, {'mode': 'C1_ATTENTION_COMPLEMENT', 'region': 'attention_complement', 'on': ka},
+  {'mode': 'B1_MATCHED_FULL_IMAGE', 'region': 'full', 'on': ka AND sel}, {'mode': 'AU2_MATCHED_ATTENTION_ROI', 'region': 'attention', 'on': ka AND sel}, {'mode': 'C2_MATCHED_ATTENTION_COMPLEMENT', 'region': 'attention_complement', 'on': ka AND sel}, {'mode': 'M1_MANUAL_ROI', 'region': 'manual', 'on': km}, {'mode': 'C3_MANUAL_COMPLEMENT', 'region': 'manual_complement', 'on': km},
+  {'mode': 'AU3_ATTENTION_ROI_MANUAL_SUBSET', 'region': 'attention', 'on': km}, {'mode': 'C4_ATTENTION_COMPLEMENT_MANUAL_SUBSET', 'region': 'attention_complement', 'on': km}], lambda x: x.on)) AS t FROM f)"""
+
+
+def _flagged(spark, d):
+    e = _t(spark, d, "events").selectExpr("event_id", "user_id", "event_type", "value", "event_id % 11 > 0 AS quality_valid", "value > 20 AS valid", "event_id % 13 > 0 AS present", "event_id % 17 > 0 AS has_mask")
+    chosen = e.where("event_id % 4 = 0")
+    return pooling.keep_flags(relations.flagged(relations.flagged(e, chosen.unionByName(chosen), "event_id", "selected"), e.where("event_id % 6 = 0"), "event_id", "manual"))
+
+
+@query(_FLAGS + " SELECT event_id, ka AS keep_attention, km AS keep_manual_matched, ka AND sel AS keep_cross_class_matched FROM f")
+def keep_flags(spark, d):
+    return _flagged(spark, d).select("event_id", "keep_attention", "keep_manual_matched", "keep_cross_class_matched")
+
+
+@query(_FLAGS + " SELECT t.mode AS mode, t.region AS region, count(*) AS items, count(DISTINCT user_id) AS subjects FROM m GROUP BY ALL")
+def feature_modes(spark, d):
+    return pooling.feature_modes(_flagged(spark, d)).groupBy("mode", "region").agg(F.count("*").alias("items"), F.count_distinct("user_id").alias("subjects"))
+
+
+@query(_FLAGS + """, v AS (SELECT user_id, event_type, t.mode AS mode, unnest([value, value * length(t.region)]) AS x, unnest([0, 1]) AS pos FROM m JOIN events USING (event_id, user_id, event_type)), i AS (SELECT mode, user_id, event_type, pos, avg(x) AS x FROM v GROUP BY ALL), o AS (SELECT mode, user_id, pos, avg(x) AS x FROM i GROUP BY ALL)
+SELECT mode, user_id, user_id % 2 AS label, round(max(x) FILTER (pos = 0), 6) AS x0, round(max(x) FILTER (pos = 1), 6) AS x1 FROM o GROUP BY ALL""")
+def feature_bank(spark, d):
+    rows = _flagged(spark, d).withColumn("label", F.col("user_id") % 2)
+    regions = F.explode(F.array(*[F.lit(r) for r in sorted({r for _, r, _ in pooling.MODES})])).alias("region")
+    vectors = rows.select("event_id", "value", regions).select("event_id", "region", F.array("value", F.col("value") * F.length("region")).alias("v"))
+    bank = pooling.feature_bank(pooling.feature_modes(rows), vectors, "event_id", "user_id", "event_type", "label", "v")
+    return bank.select("mode", "user_id", "label", F.round(F.get("x", F.lit(0)), 6).alias("x0"), F.round(F.get("x", F.lit(1)), 6).alias("x1"))
+
+
+@query("""
+WITH r AS (SELECT event_id, abs(value - 100) / 20 AS a, CASE WHEN event_id % 3 > 0 THEN abs(event_id % 50 - 25) / 5.0::DOUBLE END AS b FROM events) SELECT event_id, round(CASE WHEN event_id % 7 > 0 AND event_id % 4 <> 1 THEN greatest(a, coalesce(b, 0)) ELSE 0 END, 6) AS deviation FROM r""")
+def prior_deviation(spark, d):
+    e = _t(spark, d, "events")
+    second = F.when(F.col("event_id") % 3 > 0, (F.col("event_id") % 50).cast("double"))
+    n = F.when(F.col("event_id") % 4 == 1, 4).otherwise(5)
+    dev = robust.deviation([(F.col("value"), F.lit(100.0), F.lit(20.0)), (second, F.lit(25.0), F.lit(5.0))], n, F.col("event_id") % 7 > 0)
+    return e.select("event_id", dev.alias("deviation")).select("event_id", *_r("deviation"))
+
+
+@query("SELECT doc_id, CASE WHEN upper(t) = 'NO_HEART_VISIBLE' THEN 0.9 WHEN s LIKE '%auto%' THEN 0.72 ELSE 1.0 END::DOUBLE AS weight FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'NO_HEART_VISIBLE' ELSE 'HEART_PRESENT' END AS t, CASE WHEN doc_id % 2 = 0 THEN 'legacy_auto' ELSE 'human' END AS s FROM documents)")
+def default_weights(spark, d):
+    told, source = F.when(F.col("doc_id") % 3 == 0, "NO_HEART_VISIBLE").otherwise("HEART_PRESENT"), F.when(F.col("doc_id") % 2 == 0, "legacy_Auto").otherwise("human")
+    return _t(spark, d, "documents").select("doc_id", audit.default_weight(told, source).cast("double").alias("weight"))
+
+
+@query("SELECT event_type, CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE -1 END AS code, count(*) AS n FROM events GROUP BY ALL")
+def mapped_codes(spark, d):
+    codes = F.create_map(F.lit("click"), F.lit(1), F.lit("purchase"), F.lit(2))
+    return _t(spark, d, "events").select("event_type", relations.mapped(codes, F.col("event_type"), F.lit(-1)).alias("code")).groupBy("event_type", "code").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = floor(l_quantity) THEN l_quantity::BIGINT::VARCHAR ELSE rtrim(printf('%.12f', l_quantity), '0') END AS whole, rtrim(rtrim(printf('%.12f', l_discount), '0'), '.') AS part FROM lineitem")
+def number_texts(spark, d):
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", relations.number_text(F.col("l_quantity")).alias("whole"), relations.number_text(F.col("l_discount")).alias("part"))
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS subjects, round(avg((user_id % 2 = (value > 100)::INT)::INT), 6) AS accuracy FROM events GROUP BY 1")
+def mode_accuracy(spark, d):
+    """The metrics of all modes in one pass."""
+    e = _t(spark, d, "events").select(F.col("event_type").alias("mode"), F.col("user_id").alias("subject"), (F.col("user_id") % 2).alias("label"), (F.col("value") / 500).alias("score"), (F.col("value") > 100).cast("int").alias("predicted"))
+    each, _ = metrics.evaluate_modes(e)
+    return each.select(F.col("mode").alias("event_type"), "subjects", *_r("accuracy"))
