@@ -258,3 +258,15 @@ def unpack(raw: bytes, side: int = 256) -> np.ndarray:
     if len(raw) * 8 != side * side:
         raise ValueError(f"a mask has {side * side // 8} bytes, not {len(raw)}")
     return np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(side, side).astype(bool)
+
+
+def mask_of(gray: np.ndarray, side: int = 256) -> np.ndarray:
+    """The pixels over 127 at side x side, each the nearest one."""
+    h, w = gray.shape
+    y, x = ((np.arange(side) * n / side).astype(int).clip(0, n - 1) for n in (h, w))
+    return gray[y][:, x] > 127
+
+
+def stack(previous: np.ndarray, current: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """Three neighbours of a sequence as channels."""
+    return np.stack([previous, current, following])

@@ -23,7 +23,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 def read_text(spark: SparkSession, path: str, default: str | None = None) -> str | None:
     if not exists(spark, path):
         return default
-    return spark.read.option("wholetext", True).text(path).first()[0]
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> bool:
@@ -99,18 +99,133 @@ def read_bank(spark: SparkSession, path: str, aliases: dict[str, str] | None = N
     return bank
 
 
-def merge_predictions(items: DataFrame, candidates: list[DataFrame], key: str) -> DataFrame:
-    """items with the largest candidate table, the first of equal ones; keys must be unique."""
+def merge_predictions(items: DataFrame, candidates: list[DataFrame], key: str, path: str | None = None) -> DataFrame:
+    """items with the largest candidate table, the first of equal ones; keys must be unique. With path, items without their key find theirs by it."""
     sizes = [c.count() for c in candidates]
     if not sizes:
         return items
     best = candidates[sizes.index(max(sizes))]
     if best.groupBy(key).count().where("count > 1").limit(1).count():
         raise ValueError(f"{key} is repeated in the predictions")
-    return items.join(best, key, "left")
+    values = [c for c in best.columns if c not in (key, path)]
+    out = items.join(best.select(key, *values, F.lit(True).alias("_by_key")), key, "left")
+    if path is None or path not in best.columns:
+        return out.drop("_by_key")
+    other = best.groupBy(path).agg(*[F.first(c).alias(f"_{c}") for c in values], F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    return out.join(other, path, "left").withColumns({c: F.when(F.col("_by_key"), F.col(c)).otherwise(F.col(f"_{c}")) for c in values}).select(*items.columns, *values)
+
+
+def ancestors(path) -> "object":
+    """A path and the folders above it."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
 def planned_removals(spark: SparkSession, files: DataFrame, contract: DataFrame) -> DataFrame:
-    """Paths that no contract entry covers, without those below another of them. files, contract: path."""
-    extra = files.alias("files").join(contract.alias("contract"), F.expr("files.path = contract.path or startswith(files.path, contract.path || '/') or startswith(contract.path, files.path || '/')"), "left_anti")
-    return extra.alias("a").join(extra.alias("b"), F.expr("startswith(a.path, b.path || '/')"), "left_anti")
+    """Paths that no contract entry covers, without those below another of them. files, contract: path.
+
+    An entry covers itself, what is below it and the folders above it; paths meet by equality of exploded ancestors.
+    """
+    above = files.select("path", F.explode(ancestors(F.col("path"))).alias("_up"))
+    kept = contract.select(F.col("path").alias("_up"))
+    below = above.join(kept, "_up", "left_semi").select("path").distinct()
+    folders = contract.select(F.explode(ancestors(F.col("path"))).alias("path")).distinct()
+    extra = files.select("path").distinct().join(below, "path", "left_anti").join(folders, "path", "left_anti")
+    own = extra.select(F.col("path").alias("_up"))
+    inside = extra.select("path", F.explode(ancestors(F.col("path"))).alias("_up")).where("_up <> path").join(own, "_up", "left_semi").select("path").distinct()
+    return extra.join(inside, "path", "left_anti")
+
+
+def find_root(spark: SparkSession, places: list[str], classes: list[str], depth: int = 4) -> str | None:
+    """The first folder, from the places down to a depth and level by level, that holds a folder of each class."""
+    level = [p.rstrip("/") for p in places if exists(spark, p)]
+    for _ in range(depth + 1):
+        below = []
+        for folder in level:
+            p, fs = _path(spark, folder)
+            inside = sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory())
+            if set(classes) <= set(inside):
+                return folder
+            below += [f"{folder}/{name}" for name in inside]
+        level = below
+    return None
+
+
+def newest(spark: SparkSession, path: str):
+    """When the newest file below a path was changed; null without files."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.max("modificationTime")).first()[0]
+
+
+def is_read_only(path, inputs: tuple[str, ...]):
+    """Whether a path (a column) lies in one of the input folders, which nothing may write to."""
+    return F.lit(False) if not inputs else F.greatest(*[path.startswith(f.rstrip("/") + "/") for f in inputs], F.lit(False))
+
+
+#: The tables and folders of a workspace.
+WORKSPACE = {
+    "manifest": "manifest", "quality": "quality", "annotations": "manual_annotations", "masks": "manual_masks", "audit": "target_audit", "predictions": "predictions", "review_history": "review_history",
+    "matching": "matching", "features": "feature_bank", "scores": "oof_predictions", "results": "results",
+}
+
+
+def workspace(root: str) -> dict[str, str]:
+    """The paths of a workspace by name."""
+    return {name: f"{root.rstrip('/')}/{place}" for name, place in WORKSPACE.items()}
+
+
+def png(pixels) -> bytes:
+    """A gray image of bytes as PNG."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    x = np.asarray(pixels, np.uint8)
+    part = lambda name, raw: struct.pack(">I", len(raw)) + name + raw + struct.pack(">I", zlib.crc32(name + raw))
+    rows = np.hstack([np.zeros((x.shape[0], 1), np.uint8), x]).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">2I5B", x.shape[1], x.shape[0], 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
+def write_png(spark: SparkSession, path: str, pixels) -> None:
+    """Through a temporary name, so a reader never meets half a file."""
+    p, fs = _path(spark, path)
+    part, _ = _path(spark, path + ".part")
+    out = fs.create(part, True)
+    out.write(bytearray(png(pixels)))
+    out.close()
+    if fs.exists(p):
+        fs.delete(p, False)
+    fs.rename(part, p)
+
+
+def read_masks(spark: SparkSession, path: str, side: int = 256) -> DataFrame:
+    """(path, packed, area): masks at side x side, of the nearest pixels over 127, as packed bits; null where an image can't be read."""
+    from ..functions.images import mask_of, pack
+
+    images = read_images(spark, path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            masks = [mask_of(gray(r), side) if r["height"] > 0 else None for r in b.to_dict("records")]
+            yield pd.DataFrame({"path": b["origin"], "packed": [None if m is None else pack(m) for m in masks], "area": [None if m is None else float(m.mean()) for m in masks]})
+
+    return images.mapInPandas(run, "path string, packed binary, area double")
+
+
+def read_quality(spark: SparkSession, path: str) -> DataFrame:
+    """(path, perceptual_hash, sharpness, noise_ratio, dynamic_range) of the images below a path."""
+    from ..functions.images import quality_metrics
+
+    names = ["perceptual_hash", "sharpness", "noise_ratio", "dynamic_range"]
+    images = read_images(spark, path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            found = [quality_metrics(gray(r)) for r in b.to_dict("records")]
+            yield pd.DataFrame({"path": b["origin"], **{n: [f[n] for f in found] for n in names}})
+
+    return images.mapInPandas(run, "path string, perceptual_hash string, sharpness double, noise_ratio double, dynamic_range double")
