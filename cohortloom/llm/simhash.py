@@ -17,7 +17,8 @@ edges (a number of rows in proportion to the fingerprints).
 For a similarity (``one_of_each``) 64 bits and three flips are too few: texts whose 5-word shingles have a
 Jaccard similarity of 0.8 differ in about ten bits. There the links are exact: in one order of all shingles, sets of
 at least this similarity share a shingle of their first fifth (prefix filter), and pairs that share one are verified on
-the sets, as 64-bit hashes. Hubs link large groups; pairs that are still unconnected are all verified.
+the sets, as 64-bit hashes. Hubs link large groups; pairs that are still unconnected are all verified. Before sets are fetched, parity sketches
+rule out pairs that can't be similar (never one that is); where many unconnected members share a shingle they are compared in blocks within tasks.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; a null id
 gets a component like others and counts as larger than all ids; rows that repeat each get a result.
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -131,6 +133,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id"
 SAMPLED, FREQUENT, MOST_FREQUENT = 10, 2, 1 << 19
 #: Rounds of hubs before the pairs that are left are made.
 HUB_ROUNDS = 2
+#: Bits of a parity sketch: how often, odd or even, the hashes of a set begin with each of the numbers below it.
+SKETCH_BITS = 1024
+#: Keys whose members would make more pairs than this are compared in blocks of so many members.
+HOT_PAIRS, BLOCK = 4096, 2048
 
 
 def shingle_hashes(text: str | None, shingle: int) -> list[int]:
@@ -159,6 +165,17 @@ def text_hash(column: str | Column) -> Column:
     return F.xxhash64(text_of(column))
 
 
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Bits as longs. Those in which two sketches differ are no more than the hashes that one set alone has, whatever the sets share."""
+    odd = np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def most_apart(similarity: float) -> float:
+    """Of the hashes of two sets together, the share that may stand in one alone."""
+    return (1 - similarity) / (1 + similarity)
+
+
 def frequent_shingles(docs: DataFrame, shingle: int, text_column: str) -> np.ndarray:
     """Hashes of shingles that are frequent in a tenth of the documents, ascending by frequency.
 
@@ -177,7 +194,7 @@ def frequent_shingles(docs: DataFrame, shingle: int, text_column: str) -> np.nda
 
 
 def prefixes(docs: DataFrame, shingle: int, similarity: float, frequent: np.ndarray, id_column: str, text_column: str) -> DataFrame:
-    """id, h (a hash of the text), node (a digest of the shingle set), size (of the set), prefix (its first hashes in one order of all shingles) for every row.
+    """id, h (a hash of the text), node (a digest of the shingle set), size (of the set), prefix (its first hashes in one order of all shingles), bits (its sketch) for every row.
 
     Two sets that are similar enough share a hash of their prefixes: a prefix leaves out fewer hashes than any such pair shares.
     The order is by hash, with the frequent shingles last.
@@ -192,9 +209,10 @@ def prefixes(docs: DataFrame, shingle: int, similarity: float, frequent: np.ndar
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                nodes, sizes, first = [], [], []
+                nodes, sizes, first, bits = [], [], [], []
                 for text in piece["text"]:
                     hashes = shingle_set(text.as_py(), shingle)
+                    bits.append(parity_sketch(hashes))
                     nodes.append(_digest(hashes))
                     sizes.append(len(hashes))
                     hashes = hashes.view(np.int64)
@@ -204,9 +222,9 @@ def prefixes(docs: DataFrame, shingle: int, similarity: float, frequent: np.ndar
                         last = np.flatnonzero(hit)
                         hashes = np.concatenate([hashes[~hit], hashes[last[np.argsort(rank[place[last]])]]])
                     first.append(hashes[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1])
-                yield pa.RecordBatch.from_arrays([piece["id"], piece["h"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["id", "h", "node", "size", "prefix"])
+                yield pa.RecordBatch.from_arrays([piece["id"], piece["h"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["id", "h", "node", "size", "prefix", "bits"])
 
-    return rows.mapInArrow(run, f"id {kind}, h long, node long, size int, prefix array<bigint>")
+    return rows.mapInArrow(run, f"id {kind}, h long, node long, size int, prefix array<bigint>, bits array<bigint>")
 
 
 def shared_keys(every: DataFrame) -> DataFrame:
@@ -239,20 +257,61 @@ def hub_pairs(parted: DataFrame, similarity: float, turn: int) -> DataFrame:
     return likely(parted.join(hubs.hint("merge"), "key").where("part <> hub_part"), similarity, 0.3)
 
 
-def left_pairs(parted: DataFrame, similarity: float) -> DataFrame:
+def left_pairs(parted: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """(node, hub): all pairs of a key that may be similar and are in different parts.
 
-    The members of a key outside its largest part meet all of its members, so a large part does not meet itself.
+    The members of a key outside its largest part meet all of its members, so a large part does not meet itself. Pairs that share a key of
+    many such members are compared there, in blocks by their sketches; the others by the hashes that they share.
     """
     parts = parted.groupBy("key", "part").agg(F.count("*").alias("n"))
-    large, _ = written(parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("large"), F.count("*").alias("parts")).where("parts > 1").select("key", "large"), "largest-parts")
-    some, _ = written(parted.join(large.hint("merge"), "key"), "several-parts")
-    few = some.where("part <> large").select("key", F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("part").alias("hub_part"))
-    met = some.join(few.hint("merge"), "key").where("part <> hub_part AND (part = large OR node < hub)")
+    per = parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("large"), F.count("*").alias("parts"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("others"))
+    large, _ = written(per.where("parts > 1").select("key", "large", "members", "others"), "largest-parts")
+    some, _ = written(parted.join(large.hint("merge"), "key").withColumn("hot", F.col("members") * F.col("others") > HOT_PAIRS), "several-parts")
+    cold = some.where("NOT hot")
+    few = cold.where("part <> large").select("key", F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("part").alias("hub_part"))
+    met = cold.join(few.hint("merge"), "key").where("part <> hub_part AND (part = large OR node < hub)")
     # one row for each common hash, whichever of the two is in the largest part of the key
     pair = F.array_sort(F.array(F.struct("node", "size"), F.struct(F.col("hub").alias("node"), F.col("hub_size").alias("size"))))
     ordered = met.select(pair.alias("x")).select(F.col("x")[0]["node"].alias("node"), F.col("x")[0]["size"].alias("size"), F.col("x")[1]["node"].alias("hub"), F.col("x")[1]["size"].alias("hub_size"))
-    return likely(ordered, similarity, 1)
+    return likely(ordered, similarity, 1).unionByName(block_pairs(some.where("hot"), sketches, similarity)).distinct()
+
+
+def block_pairs(some: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """(node, hub) of the keys of some (key, node, size, part, large, members, others) whose sketches are near enough, compared block by block."""
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK)
+    rows = some.join(sketches.select("node", "bits"), "node")
+    own = F.pmod(F.xxhash64("node"), blocks("members"))
+    other = F.pmod(F.xxhash64("node", F.lit(1)), blocks("others"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
+    columns = ["key", "node", "size", "part", "large", "bits"]
+    every = rows.select(*columns, F.lit(False).alias("asks"), own.alias("i"), spread("others").alias("j"))
+    asks = rows.where("part <> large").select(*columns, F.lit(True).alias("asks"), spread("members").alias("i"), other.alias("j"))
+    share = most_apart(similarity)
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        found = []
+        if len(a) and len(b):
+            x, y = (np.array(t["bits"].tolist(), np.int64).view(np.uint64) for t in (a, b))
+            node, size, part = (b[c].to_numpy() for c in ("node", "size", "part"))
+            in_large = part == int(b["large"].iloc[0])
+            for k, (n, m, p) in enumerate(zip(a["node"].tolist(), a["size"].tolist(), a["part"].tolist(), strict=True)):
+                near = np.flatnonzero((part != p) & (in_large | (node < n)) & (np.minimum(size, m) >= np.maximum(size, m) * similarity - 1e-9))
+                apart = np.bitwise_count(y[near] ^ x[k]).sum(1, dtype=np.int64)
+                hit = near[apart <= share * (size[near] + m) + 1e-6]
+                found.append(np.stack([np.minimum(node[hit], n), np.maximum(node[hit], n)], 1))
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
+        return pd.DataFrame({"node": pairs[:, 0], "hub": pairs[:, 1]})
+
+    return every.unionByName(asks).groupBy("key", "i", "j").applyInPandas(compare, "node long, hub long")
+
+
+def near_sketches(met: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of met whose sketches differ in no more bits than sets of this similarity can."""
+    hubs = sketches.select(F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("bits").alias("hub_bits"))
+    both = met.join(sketches, "node").join(hubs, "hub")
+    apart = F.aggregate(F.zip_with("bits", "hub_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return both.where(apart <= most_apart(similarity) * (F.col("size") + F.col("hub_size")) + 1e-6).select("node", "hub")
 
 
 def shingle_sets(docs: DataFrame, shingle: int, text_column: str) -> DataFrame:
@@ -275,7 +334,7 @@ def verified(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared * (1 + similarity) >= similarity * (F.size("hashes") + F.size("hub_hashes")) - 1e-9).select(F.col("node").alias("u"), F.col("hub").alias("v"))
 
 
-def similar_edges(keys: DataFrame, sets_of, similarity: float) -> DataFrame:
+def similar_edges(keys: DataFrame, sketches: DataFrame, sets_of, similarity: float) -> DataFrame:
     """(u, v): verified links, enough to connect all nodes that are similar enough. ``sets_of(met)`` gives the sets of the nodes of pairs.
 
     Rounds of hubs link large groups by few pairs. What they leave unconnected meets in all pairs, so no link is missed.
@@ -288,8 +347,12 @@ def similar_edges(keys: DataFrame, sets_of, similarity: float) -> DataFrame:
             parts, _ = written(connected_components(found), "parts")
             joined = keys.join(parts.withColumnRenamed("component", "part"), "node", "left")
             parted = joined.select("key", "node", "size", F.coalesce("part", "node").alias("part"))
-        met, _ = written(hub_pairs(parted, similarity, turn) if turn < HUB_ROUNDS else left_pairs(parted, similarity), "met")
-        new, _ = written(verified(met, sets_of(met), similarity), "similar-edges")
+        met = hub_pairs(parted, similarity, turn) if turn < HUB_ROUNDS else left_pairs(parted, sketches, similarity)
+        met, met_path = written(near_sketches(met, sketches, similarity), "met")
+        sets, sets_path = sets_of(met)
+        new, _ = written(verified(met, sets, similarity), "similar-edges")
+        for path in (met_path, sets_path):
+            dropped(keys.sparkSession, path)
         found = new if found is None else found.unionByName(new)
     return found
 
@@ -300,16 +363,18 @@ def similar_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     every, path = written(prefixes(some, shingle, similarity, frequent_shingles(some, shingle, text_column), id_column, text_column), "prefixes")
     keys = shared_keys(every)
     nodes, _ = written(every.groupBy("node").agg(F.min(F.struct("id", "h")).alias("least")), "nodes")
+    sketches, sketches_path = written(every.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits")), "sketches")
     ids, _ = written(every.select("id", "h", "node"), "node-ids")
     dropped(docs.sparkSession, path)
 
-    def sets_of(met: DataFrame) -> DataFrame:
+    def sets_of(met: DataFrame) -> tuple[DataFrame, str]:
         both = met.select("node").unionByName(met.select(F.col("hub").alias("node"))).distinct()
         wanted, _ = written(nodes.join(both, "node").select(F.col("least.id").alias("_id"), F.col("least.h").alias("_h")), "wanted")
         rows = pick(some, _id=id_column, _text=text_column).withColumn("_h", text_hash("_text"))
-        return written(shingle_sets(rows.join(wanted, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]), shingle, "_text"), "sets")[0]
+        return written(shingle_sets(rows.join(wanted, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]), shingle, "_text"), "sets")
 
-    parts, _ = written(connected_components(similar_edges(keys, sets_of, similarity)), "similar-parts")
+    parts, _ = written(connected_components(similar_edges(keys, sketches, sets_of, similarity)), "similar-parts")
+    dropped(docs.sparkSession, sketches_path)
     least = parts.join(nodes, "node").groupBy("component").agg(F.min("least").alias("top"))
     linked = parts.join(least, "component").select("node", "top")
     named, _ = written(nodes.join(linked, "node", "left").select("node", F.coalesce("top", "least").alias("top")), "named")

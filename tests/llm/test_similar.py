@@ -82,3 +82,47 @@ def test_recall_by_band(spark):
     kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert {0, 0.8, 0.85, 0.9} <= set(bands)
     assert {b: sum(i not in kept for i in ids) / len(ids) for b, ids in bands.items()} == {b: float(b >= 0.8) for b in bands}
+
+
+def test_sketches_never_rule_out_similar_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 146, 5000):
+        for _ in range(40):
+            x = rng.integers(0, 2**63, n).astype(np.uint64)
+            gone = rng.integers(0, n + 1)
+            y = np.unique(np.concatenate([x[gone:], rng.integers(0, 2**63, rng.integers(0, n + 1)).astype(np.uint64)]))
+            apart = len(np.setxor1d(x, y))
+            differ = sum(int(b).bit_count() for b in (simhash.parity_sketch(np.unique(x)) ^ simhash.parity_sketch(y)).view(np.uint64).tolist())
+            assert differ <= apart
+            if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)):
+                assert differ <= simhash.most_apart(0.8) * (len(x) + len(y)) + 1e-6
+
+
+def test_blocks_find_what_pairs_find(spark, monkeypatch):
+    """A group whose members are mostly not similar, compared in small blocks."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(150)]
+    texts = [" ".join(edited(base, rng.randrange(1, 12), rng)) for _ in range(160)]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    want = {i for i in root if top(i) == i}
+    assert 10 < len(want) < 150
+    monkeypatch.setattr(simhash, "HOT_PAIRS", 20)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    for hubs in (2, 0):
+        monkeypatch.setattr(simhash, "HUB_ROUNDS", hubs)
+        kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        assert kept == want
