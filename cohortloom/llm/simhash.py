@@ -133,6 +133,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id"
 SAMPLED, FREQUENT, MOST_FREQUENT = 10, 2, 1 << 19
 #: Rounds of hubs before the pairs that are left are made.
 HUB_ROUNDS = 2
+#: Hubs that a set meets in a round, those with which it shares most; what it has in common with others is left to the pairs.
+BEST_HUBS = 3
 #: Bits of a parity sketch: how often, odd or even, the hashes of a set begin with each of the numbers below it.
 SKETCH_BITS = 1024
 #: Keys whose members would make more pairs than this are compared in blocks of so many members.
@@ -235,17 +237,21 @@ def shared_keys(every: DataFrame) -> DataFrame:
     return written(several.select("key", "node", "size").distinct(), "shared-keys")[0]
 
 
-def likely(met: DataFrame, similarity: float, part: float) -> DataFrame:
+def likely(met: DataFrame, similarity: float, part: float, best: int | None = None) -> DataFrame:
     """(node, hub) of met (node, size, hub, hub_size; a row for each common hash of their prefixes) that can be similar enough.
 
     One set has at least ``similarity`` times the hashes of the other.     Hashes that two sets share stand in both prefixes, or in one of the sets after its prefix: the first are counted, the
-    others are as many as there are at most. With a part below one, so much of the needed count is enough.
+    others are as many as there are at most. With a part below one, so much of the needed count is enough; with ``best`` a node keeps so many hubs.
     """
     near = F.least("size", "hub_size") >= F.greatest("size", "hub_size") * similarity - 1e-9
     counted = met.where(near).groupBy("node", "hub", "size", "hub_size").agg(F.count("*").alias("n"))
     rest = F.greatest(*[F.ceil(F.col(c) * similarity - 1e-9) - 1 for c in ("size", "hub_size")])
     needed = (F.col("size") + F.col("hub_size")) * (similarity / (1 + similarity)) - rest - 1e-6
-    return counted.where(F.col("n") >= needed * part).select("node", "hub")
+    enough = counted.where(F.col("n") >= needed * part)
+    if best:
+        turn = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "hub"))
+        enough = enough.withColumn("_turn", turn).where(F.col("_turn") <= best)
+    return enough.select("node", "hub")
 
 
 def hub_pairs(parted: DataFrame, similarity: float, turn: int) -> DataFrame:
@@ -254,7 +260,7 @@ def hub_pairs(parted: DataFrame, similarity: float, turn: int) -> DataFrame:
     hubs = parted.groupBy("key").agg(chosen.alias("h"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q")
     hubs, _ = written(hubs.select("key", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.part").alias("hub_part")), "hubs")
     # a key may have another hub, so not all common hashes are counted
-    return likely(parted.join(hubs.hint("merge"), "key").where("part <> hub_part"), similarity, 0.3)
+    return likely(parted.join(hubs.hint("merge"), "key").where("part <> hub_part"), similarity, 0.3, BEST_HUBS)
 
 
 def left_pairs(parted: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
