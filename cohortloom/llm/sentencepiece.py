@@ -173,7 +173,7 @@ class Encoder:
     and can be remembered: words, if blanks stand at the start of pieces alone, and words without their last character if no piece holds it with the one before.
     """
 
-    def __init__(self, model: Model, max_words: int = 250_000) -> None:
+    def __init__(self, model: Model, max_words: int = 120_000) -> None:
         self.model, self.max_words = model, max_words
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
