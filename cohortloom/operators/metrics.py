@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.clean import clean_double
+
 
 def _by_score(rows: DataFrame, by: list[str], label: str, score: str, weight: Column | None = None) -> DataFrame:
     """(by, score, pos, neg): a row for each distinct score."""
@@ -54,8 +61,6 @@ def balanced_accuracy(rows: DataFrame, by: list[str], label: str, predicted: str
 
 def subject_balanced_mean(rows: DataFrame, by: list[str], subject: str, value: str) -> DataFrame:
     """Mean over subjects of their means of finite values."""
-    from ..functions.clean import clean_double
-
     return rows.groupBy(*by, subject).agg(F.avg(clean_double(F.col(value))).alias("_m")).groupBy(*by).agg(F.avg("_m").alias("mean"), F.count("_m").alias("subjects"))
 
 
@@ -132,62 +137,142 @@ def prediction_summary(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def draws(subjects: DataFrame, subject: str, n: int, salt: str = "bootstrap") -> DataFrame:
-    """(draw, subject, times): for each of n resamples how often each subject is drawn.
+#: Draws that a task makes at once.
+DRAWS = 125
+
+
+def _weighted_auc(times: np.ndarray, label: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """The AUC of each row of times (draws x subjects): how often each subject counts. NaN where a class is absent."""
+    order = np.argsort(-score, kind="stable")
+    fallen = score[order]
+    starts = np.flatnonzero(np.r_[True, fallen[1:] != fallen[:-1]]) if len(fallen) else np.zeros(0, int)
+    each = times[:, order].astype(float)
+    pos, neg = (np.add.reduceat(each * (label[order] == c), starts, axis=1) if len(starts) else np.zeros((len(times), 0)) for c in (1, 0))
+    wins = (neg * (np.cumsum(pos, axis=1) - pos / 2)).sum(1)
+    both = pos.sum(1) * neg.sum(1)
+    return np.divide(wins, both, out=np.full(len(times), np.nan), where=both > 0)
+
+
+class _Places:
+    """How often each of m subjects is drawn in a block of draws: the k-th place of a draw takes the rank that a hash of (salt, draw, k) gives."""
+
+    def __init__(self, salt: str, first: int, last: int) -> None:
+        self.salt, self.draws, self.known = salt, range(first, last), np.zeros((last - first, 0), np.int64)
+
+    def times(self, m: int) -> np.ndarray:
+        if m > self.known.shape[1]:  # the hashes serve all units, whatever their size
+            more = [[int(hashlib.sha256(f"{self.salt}|{d}|{k}".encode()).hexdigest()[:12], 16) for k in range(self.known.shape[1], m)] for d in self.draws]
+            self.known = np.hstack([self.known, np.array(more, np.int64)])
+        out = np.zeros((len(self.draws), m), np.int64)
+        np.add.at(out, (np.arange(len(self.draws))[:, None], self.known[:, :m] % max(m, 1)), 1)
+        return out
 
-    The k-th place of a resample takes the subject whose rank is a hash of (salt, draw, k). A few dozen subjects, the statistical
-    units, are meant; the rows are subjects * n.
+
+def resampled_aucs(units: DataFrame, n: int = 2000, salt: str = "bootstrap") -> DataFrame:
+    """unit, subjects, auc_0, auc_1, and ends (ci_low, ci_high, resamples) of auc_0 and of the difference auc_0 - auc_1.
+
+    units: unit, subject, label, score_0, score_1; subjects are the statistical units, one row each. Subjects of a unit are resampled n times, by their rank. A unit's rows meet
+    as arrays (24 bytes a subject); its draws are dealt out in blocks, and each block's hashes serve all units. Draws of one class alone don't count.
     """
-    ranked = subjects.select(subject).distinct().withColumn("_rank", F.row_number().over(Window.orderBy(subject)) - 1)  # one task: subjects are few
-    size = ranked.agg(F.count("*").alias("_n"))
-    places = ranked.join(F.broadcast(size)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    digest = F.sha2(F.concat_ws("|", F.lit(salt), F.col("draw").cast("string"), F.col("_rank").cast("string")), 256)
-    taken = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % F.col("_n")).alias("_rank")
-    return places.select("draw", taken).groupBy("draw", "_rank").agg(F.count("*").alias("times")).join(ranked, "_rank").select("draw", subject, "times")
+    row = F.struct("subject", F.col("label").cast("int").alias("label"), F.col("score_0").cast("double").alias("score_0"), F.col("score_1").cast("double").alias("score_1"))
+    arrays = units.groupBy("unit").agg(F.array_sort(F.collect_list(row)).alias("x")).select("unit", *[F.col(f"x.{c}").alias(c) for c in ("label", "score_0", "score_1")])
+    tasks = arrays.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(DRAWS))))
+    blocks = -(-n // DRAWS)
+    tasks = tasks.repartition(blocks, "first").sortWithinPartitions("first")
+    kind = units.schema["unit"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                first = batch["first"][k].as_py()
+                if places is None or places.draws[0] != first:
+                    places = _Places(salt, first, min(n, first + DRAWS))
+                label, a, b = (np.array(batch[c][k].as_py(), float) for c in ("label", "score_0", "score_1"))
+                times = places.times(len(label))
+                # the whole, each subject once, comes with the first block
+                draws = [-1, *places.draws] if first == 0 else [*places.draws]
+                times = np.vstack([np.ones((1, len(label)), np.int64), times]) if first == 0 else times
+                x, y = (_weighted_auc(times, label, v) for v in (a, b))
+                yield pa.RecordBatch.from_arrays([pa.array([batch["unit"][k].as_py()] * len(draws), batch.schema.field("unit").type), pa.array(draws, pa.int32()), pa.array([len(label)] * len(draws), pa.int64()), pa.array(x, from_pandas=True), pa.array(y, from_pandas=True)], names=["unit", "draw", "subjects", "x", "y"])
+
+    each = tasks.mapInArrow(run, f"unit {kind}, draw int, subjects long, x double, y double").withColumn("d", F.col("x") - F.col("y"))
+    whole, drawn = F.col("draw") < 0, F.col("draw") >= 0
+    ends = lambda c: F.struct(F.percentile(F.when(drawn, F.col(c)), F.lit(0.025)).alias("ci_low"), F.percentile(F.when(drawn, F.col(c)), F.lit(0.975)).alias("ci_high"), F.count(F.when(drawn, F.col(c))).alias("resamples"))
+    return each.groupBy("unit").agg(F.max("subjects").alias("subjects"), F.max(F.when(whole, F.col("x"))).alias("auc_0"), F.max(F.when(whole, F.col("y"))).alias("auc_1"), ends("x").alias("own"), ends("d").alias("difference"))
 
 
 def bootstrap_auc(rows: DataFrame, subject: str, label: str, score: str, n: int = 2000) -> DataFrame:
     """One row: auc, ci_low, ci_high over n resamples of subjects; resamples of one class don't count."""
-    joined = draws(rows, subject, n).join(rows, subject)
-    each = roc_auc(joined, ["draw"], label, score, F.col("times").cast("double")).where("auc is not null")
-    interval = each.agg(F.percentile("auc", F.lit(0.025)).alias("ci_low"), F.percentile("auc", F.lit(0.975)).alias("ci_high"), F.count("*").alias("resamples"))
-    return roc_auc(rows, [], label, score).join(interval)
+    unit = rows.select(F.lit(0).alias("unit"), F.col(subject).alias("subject"), F.col(label).alias("label"), F.col(score).alias("score_0"), F.col(score).alias("score_1"))
+    return resampled_aucs(unit, n).select(F.col("auc_0").alias("auc"), "own.*")
+
+
+#: The comparisons of modes, first less second, in order, each with its question.
+COMPARISONS = (
+    ("AU1_ATTENTION_ROI", "B2_ATTENTION_ELIGIBLE_FULL_IMAGE", "same_attention_eligible_slices_roi_vs_full_image"),
+    ("B2_ATTENTION_ELIGIBLE_FULL_IMAGE", "C1_ATTENTION_COMPLEMENT", "same_attention_eligible_slices_full_image_vs_complement"),
+    ("AU1_ATTENTION_ROI", "C1_ATTENTION_COMPLEMENT", "same_attention_eligible_slices_roi_vs_complement"),
+    ("B2_ATTENTION_ELIGIBLE_FULL_IMAGE", "B0_FULL_IMAGE", "attention_eligible_selection_effect_on_full_image"),
+    ("AU2_MATCHED_ATTENTION_ROI", "B1_MATCHED_FULL_IMAGE", "cross_class_matched_roi_vs_full_image"),
+    ("AU2_MATCHED_ATTENTION_ROI", "C2_MATCHED_ATTENTION_COMPLEMENT", "cross_class_matched_roi_vs_complement"),
+    ("B1_MATCHED_FULL_IMAGE", "C2_MATCHED_ATTENTION_COMPLEMENT", "cross_class_matched_full_image_vs_complement"),
+    ("B0_FULL_IMAGE", "B1_MATCHED_FULL_IMAGE", "all_slices_vs_cross_class_matched_full_image"),
+    ("AU1_ATTENTION_ROI", "AU2_MATCHED_ATTENTION_ROI", "attention_eligible_vs_cross_class_matched_roi"),
+    ("C1_ATTENTION_COMPLEMENT", "C2_MATCHED_ATTENTION_COMPLEMENT", "attention_eligible_vs_cross_class_matched_complement"),
+    ("M1_MANUAL_ROI", "AU3_ATTENTION_ROI_MANUAL_SUBSET", "manual_vs_attention_roi_same_images"),
+    ("C3_MANUAL_COMPLEMENT", "C4_ATTENTION_COMPLEMENT_MANUAL_SUBSET", "manual_vs_attention_complement_same_images"),
+)
+
+
+def compare_modes(scores: DataFrame, comparisons: Sequence[tuple[str, str, str]] = COMPARISONS, n: int = 2000, subject: str = "subject", label: str = "label", score: str = "score") -> DataFrame:
+    """position, comparison, first, second, subjects, auc_difference, ci_low, ci_high: a row for each comparison, also where the modes share no subject.
+
+    Both modes of a comparison are resampled together, on the subjects that they share with the same label; null with fewer than four of them or one class alone.
+    """
+    told = scores.sparkSession.createDataFrame([(k, *c) for k, c in enumerate(comparisons)], "position int, first string, second string, comparison string")
+    side = lambda k, m: scores.select(F.col("mode").alias(m), F.col(subject).alias("subject"), F.col(label).alias("label"), F.col(score).alias(f"score_{k}"))
+    pairs = F.broadcast(told).join(side(0, "first"), "first").join(side(1, "second"), ["second", "subject", "label"])
+    found = resampled_aucs(pairs.select(F.col("position").alias("unit"), "subject", "label", "score_0", "score_1"), n)
+    out = told.join(found, F.col("position") == F.col("unit"), "left")
+    told_by = F.when(F.col("subjects") >= 4, F.col("auc_0") - F.col("auc_1"))
+    at = lambda c: F.when(told_by.isNotNull(), F.col(f"difference.{c}")).alias(c)
+    return out.select("position", "comparison", "first", "second", F.coalesce("subjects", F.lit(0).cast("long")).alias("subjects"), told_by.alias("auc_difference"), at("ci_low"), at("ci_high"))
 
 
-#: The comparisons of modes, first less second, in order.
-COMPARISONS = (("AU1", "B2"), ("B2", "C1"), ("AU1", "C1"), ("B2", "B0"), ("AU2", "B1"), ("AU2", "C2"), ("B1", "C2"), ("B0", "B1"), ("AU1", "AU2"), ("C1", "C2"), ("M1", "AU3"), ("C3", "C4"))
+def hit_rates(scores: DataFrame) -> DataFrame:
+    """mode, subjects, brier, accuracy, sensitivity, specificity (0 where a class is absent) of all modes in one pass. scores: mode, subject, label, score, predicted."""
+    hit, apart = F.col("predicted") == F.col("label"), F.col("score") - F.col("label")
+    share = lambda c: F.count_if(hit & (F.col("label") == c)) / F.greatest(F.lit(1), F.count_if(F.col("label") == c))
+    return scores.groupBy("mode").agg(F.count_distinct("subject").alias("subjects"), F.avg(apart * apart).alias("brier"), F.avg(hit.cast("double")).alias("accuracy"), share(1).alias("sensitivity"), share(0).alias("specificity"))
 
 
-def evaluate_modes(scores: DataFrame, n: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """(metrics a mode, comparisons) of out-of-fold scores. scores: mode, subject, label, score, predicted.
+def mode_metrics(scores: DataFrame, n: int = 2000) -> DataFrame:
+    """A row a mode: place (from 1, by falling AUC), mode, experiment_group, cohort, subjects, auc and its interval, average_precision, brier, accuracy, sensitivity, specificity.
 
-    Every mode's metrics come from one pass; comparisons are those of COMPARISONS whose modes are there, on shared subjects.
+    scores: mode, subject, label, score, predicted, out of fold. Raises where a score or a prediction is missing or a mode has one class alone.
     """
-    hit = (F.col("predicted") == F.col("label")).cast("double")
-    share = lambda c: F.avg(F.when(F.col("label") == c, hit))
-    counts = scores.groupBy("mode").agg(F.count_distinct("subject").alias("subjects"), F.avg(hit).alias("accuracy"), share(1).alias("sensitivity"), share(0).alias("specificity"), F.avg((F.col("score") - F.col("label")) * (F.col("score") - F.col("label"))).alias("brier"))
-    each = counts.withColumn("balanced_accuracy", (F.col("sensitivity") + F.col("specificity")) / 2).join(roc_auc(scores, ["mode"], "label", "score"), "mode").join(average_precision(scores, ["mode"], "label", "score"), "mode")
-    present = {r.mode for r in scores.select("mode").distinct().collect()}  # eleven names at most
-    out = None
-    for first, second in COMPARISONS:
-        if {first, second} <= present:
-            row = paired_auc_difference(scores, "mode", first, second, "subject", "label", "score", n).select(F.lit(first).alias("first"), F.lit(second).alias("second"), "*")
-            out = row if out is None else out.unionByName(row)
-    if out is None:
-        out = scores.sparkSession.createDataFrame([], "first string, second string, subjects long, auc_difference double, ci_low double, ci_high double")
-    return each, out
+    from .pooling import cohort_of, is_primary
+
+    odd = scores.groupBy("mode").agg(F.count_distinct("label").alias("classes"), F.count_if(clean_double(F.col("score")).isNull() | F.col("predicted").isNull() | ~F.col("predicted").isin(0, 1)).alias("open"))
+    bad = odd.where("classes < 2 OR open > 0").limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0].mode}: " + (f"{bad[0].open} predictions are missing" if bad[0].open else "one class is missing"))
+    each = hit_rates(scores).drop("subjects")
+    drawn = resampled_aucs(scores.select(F.col("mode").alias("unit"), "subject", "label", F.col("score").alias("score_0"), F.col("score").alias("score_1")), n)
+    aucs = drawn.select(F.col("unit").alias("mode"), "subjects", F.col("auc_0").alias("auc"), F.col("own.ci_low").alias("auc_ci_low"), F.col("own.ci_high").alias("auc_ci_high"))
+    out = aucs.join(average_precision(scores, ["mode"], "label", "score"), "mode").join(each, "mode")
+    place = F.row_number().over(Window.orderBy(F.col("auc").desc(), "mode"))  # a row a mode, so one task does
+    columns = ["subjects", "auc", "auc_ci_low", "auc_ci_high", "average_precision", "brier", "accuracy", "sensitivity", "specificity"]
+    return out.select(place.alias("place"), "mode", F.when(is_primary(F.col("mode")), "primary").otherwise("mask_validation").alias("experiment_group"), cohort_of(F.col("mode")).alias("cohort"), *columns).orderBy("place")
+
+
+def evaluate_modes(scores: DataFrame, n: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """(metrics a mode by falling AUC, the comparisons of COMPARISONS) of out-of-fold scores: see ``mode_metrics`` and ``compare_modes``."""
+    return mode_metrics(scores, n), compare_modes(scores, COMPARISONS, n)
 
 
 def paired_auc_difference(rows: DataFrame, mode: str, first: str, second: str, subject: str, label: str, score: str, n: int = 2000) -> DataFrame:
     """One row: the difference of two modes' AUC on shared subjects and its interval, over shared resamples; null with fewer than four subjects."""
-    a, b = (rows.where(F.col(mode) == m).select(subject, label, F.col(score).alias(f"score_{k}")) for k, m in enumerate((first, second)))
-    pair = a.join(b, [subject, label])
-    drawn = draws(pair, subject, n).join(pair, subject)
-    w = F.col("times").cast("double")
-    each = roc_auc(drawn, ["draw"], label, "score_0", w).withColumnRenamed("auc", "x").join(roc_auc(drawn, ["draw"], label, "score_1", w).withColumnRenamed("auc", "y"), "draw").withColumn("d", F.col("x") - F.col("y"))
-    interval = each.agg(F.percentile("d", F.lit(0.025)).alias("ci_low"), F.percentile("d", F.lit(0.975)).alias("ci_high"))
-    whole = roc_auc(pair, [], label, "score_0").select(F.col("auc").alias("x")).join(roc_auc(pair, [], label, "score_1").select(F.col("auc").alias("y")))
-    size = pair.agg(F.count("*").alias("subjects"))
-    out = whole.join(interval).join(size)
-    few = F.col("subjects") < 4
-    return out.select("subjects", F.when(~few, F.col("x") - F.col("y")).alias("auc_difference"), F.when(~few, F.col("ci_low")).alias("ci_low"), F.when(~few, F.col("ci_high")).alias("ci_high"))
+    named = rows.select(F.col(mode).alias("mode"), F.col(subject).alias("subject"), F.col(label).alias("label"), F.col(score).alias("score"))
+    return compare_modes(named, [(first, second, "")], n).select("subjects", "auc_difference", "ci_low", "ci_high")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.clean import clean_double
+
 
 def hierarchical_mean(rows: DataFrame, by: list[str], subject: str, series: str, vector: str) -> DataFrame:
     """(by, subject, pos, value): the mean over series of the means of their items, element by element."""
@@ -40,11 +42,33 @@ MODES = (
 )
 
 
+#: The cohorts of the modes, by their flag.
+COHORTS = {None: "all_dataset_slices", "keep_attention": "attention_eligible_same_slices", "keep_cross_class_matched": "cross_class_matched_same_slices", "keep_manual_matched": "manual_positive_same_slices"}
+#: Fixed value: the least share of an image that a region of interest takes.
+LEAST_AREA = 0.003
+
+
+def is_primary(mode: Column) -> Column:
+    return mode.isin(*[m for m, _, _ in MODES[:7]])
+
+
+def cohort_of(mode: Column) -> Column:
+    """The cohort of a mode of MODES, else null."""
+    names = F.create_map(*[F.lit(x) for m, _, flag in MODES for x in (m, COHORTS[flag])])
+    return F.try_element_at(names, mode)
+
+
 def keep_flags(rows: DataFrame) -> DataFrame:
-    """Adds the flags of MODES. Columns used: quality_valid, valid, present, has_mask, manual (an accepted positive mask), selected (matched; this needs the attention flag)."""
-    on = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False))
-    attention = on("quality_valid") & on("valid") & on("present") & on("has_mask")
-    return rows.withColumns({"keep_attention": attention, "keep_manual_matched": on("manual") & on("has_mask"), "keep_cross_class_matched": on("selected") & attention})
+    """Adds the flags of MODES. Columns used: quality_valid, valid, present (1 unless it says otherwise), area (0 unless told), has_mask, manual (an accepted positive mask), selected (matched; this needs the attention flag).
+
+    Raises where an item has no predicted mask: its modes would be left out in silence.
+    """
+    missing = rows.where(~F.coalesce(F.col("has_mask").cast("boolean"), F.lit(False))).limit(1).count()
+    if missing:
+        raise ValueError("an item has no predicted mask")
+    on = lambda c, other=False: F.coalesce(F.col(c).cast("boolean"), F.lit(other))
+    attention = on("quality_valid") & on("valid") & on("present", True) & (clean_double(F.col("area"), 0.0) >= LEAST_AREA)
+    return rows.withColumns({"keep_attention": attention, "keep_manual_matched": on("manual"), "keep_cross_class_matched": on("selected") & attention})
 
 
 def feature_modes(rows: DataFrame) -> DataFrame:
@@ -55,9 +79,18 @@ def feature_modes(rows: DataFrame) -> DataFrame:
 
 
 def feature_bank(members: DataFrame, embeddings: DataFrame, item: str, subject: str, series: str, label: str, vector: str) -> DataFrame:
-    """(mode, subject, label, x): pooled vectors of each mode. members: as by feature_modes; embeddings: item, region, vector, one a region, used by all its modes."""
-    rows = members.join(embeddings.select(item, "region", vector), [item, "region"])
-    return pooled_vectors(rows, ["mode"], subject, series, vector).join(rows.groupBy("mode", subject).agg(F.min(label).alias(label), F.count_distinct(label).alias("_n")).where("_n = 1").drop("_n"), ["mode", subject])
+    """(mode, subject, label, x): pooled vectors of each mode. members: as by feature_modes; embeddings: item, region, vector, one a region, used by all its modes.
+
+    Raises where a member has no vector or more than one, or a subject has two labels in a mode.
+    """
+    vectors = embeddings.select(item, "region", F.col(vector).alias(vector)).where(F.col(vector).isNotNull())
+    counted = members.join(vectors.groupBy(item, "region").agg(F.count("*").alias("_vectors")), [item, "region"], "left")
+    per = counted.groupBy("mode", subject).agg(F.min(label).alias(label), (F.min(label) != F.max(label)).alias("_two"), F.count_if(F.coalesce("_vectors", F.lit(0)) != 1).alias("_odd"))
+    bad = per.where("_two OR _odd > 0").limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0][1]} in {bad[0][0]}: " + (f"{bad[0]._odd} items without one vector" if bad[0]._odd else "two labels"))
+    rows = members.join(vectors, [item, "region"])
+    return pooled_vectors(rows, ["mode"], subject, series, vector).join(per.select("mode", subject, label), ["mode", subject])
 
 
 def mode_counts(members: DataFrame, subject: str, series: str) -> DataFrame:

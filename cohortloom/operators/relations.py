@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.clean import normal_target
 from .audit import mask_reason
 from .metrics import overlap
 
@@ -26,7 +27,7 @@ def with_annotations(rows: DataFrame, annotations: DataFrame, masks: DataFrame,
     """rows with target ('' if unlabelled), and the reason and area of the manual mask. masks: key, area (null: unreadable)."""
     told = rows.join(annotations.select(key, F.col("target_type").alias("_told")), key, "left").join(masks.select(key, F.col("area").alias("mask_area"), F.lit(True).alias("_found")), key, "left")
     reason = mask_reason(F.coalesce("_found", F.lit(False)), F.col("mask_area"))
-    return told.withColumns({"target": F.coalesce(F.upper(F.trim("_told")), F.lit("")), "mask_reason": reason}).drop("_told", "_found")
+    return told.withColumns({"target": normal_target(F.col("_told")), "mask_reason": reason}).drop("_told", "_found")
 
 
 def evaluated_targets(accepted: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
@@ -66,7 +67,11 @@ def mapped(values: Column, key: Column, default: Column) -> Column:
 
 
 def number_text(value: Column, digits: int = 12) -> Column:
-    """A number's text by its value to so many decimal places: equal numbers of any type have one text, whole ones no point."""
-    v = F.round(value.cast("double"), digits) + F.lit(0.0)
-    plain = F.regexp_replace(F.format_string(f"%.{digits}f", v), r"\.?0+$", "")
-    return F.when(value.isNull(), F.lit(None)).when(F.isnan(v), F.lit("nan")).when(v == float("inf"), "inf").when(v == float("-inf"), "-inf").when(v == 0, "0").otherwise(plain)
+    """A number's text with so many significant digits, without zeros at the end: equal numbers of any type have one text. Null and what is not finite are "nan".
+
+    Numbers too small to be normal (under 1e-307) keep the digits that tell them apart.
+    """
+    v = value.cast("double")
+    text = F.regexp_replace(F.format_string(f"%.{digits}g", v), r"(\.[0-9]*?)0+(e|$)", "$1$2")
+    plain = F.regexp_replace(text, r"\.(e|$)", "$1")
+    return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit("nan")).when(v == 0, F.when(F.format_string("%f", v).startswith("-"), F.lit("-0")).otherwise(F.lit("0"))).otherwise(plain)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable
 
@@ -32,7 +34,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _r(*columns: str, digits: int = 6):
+def _r(*columns: str, digits: int = 9):
     return [F.round(c, digits).alias(c) for c in columns]
 
 
@@ -58,7 +60,7 @@ def duplicate_keys(spark, d):
 @query("""
 WITH s AS (SELECT event_id, user_id, event_type, row_number() OVER w - 1 AS seq_index, count(*) OVER (PARTITION BY user_id, event_type) AS seq_length,
   coalesce(lag(event_id) OVER w, event_id) AS prev_item, coalesce(lead(event_id) OVER w, event_id) AS next_item FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))
-SELECT event_id, seq_index, seq_length, prev_item, next_item, round(CASE WHEN seq_length <= 1 THEN 0.5 ELSE seq_index::DOUBLE / (seq_length - 1) END, 6) AS seq_position FROM s""")
+SELECT event_id, seq_index, seq_length, prev_item, next_item, round(CASE WHEN seq_length <= 1 THEN 0.5 ELSE seq_index::DOUBLE / (seq_length - 1) END, 9) AS seq_position FROM s""")
 def sequence_neighbours(spark, d):
     out = cohort.sequence_neighbours(_t(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"], "event_id")
     return out.select("event_id", "seq_index", "seq_length", "prev_item", "next_item", *_r("seq_position"))
@@ -142,7 +144,7 @@ def _slices(spark, d):
     return e.select("event_id", "user_id", but(41, F.col("value"), "nan").alias("value"), but(37, F.col("value") / 1000.0, None).alias("noise"), but(43, F.col("value") / 5.0, "inf").alias("spread"))
 
 
-@query(_QUALITY + " SELECT user_id, round(blur_threshold, 6) AS blur_threshold, round(noise_threshold, 6) AS noise_threshold, n FROM t")
+@query(_QUALITY + " SELECT user_id, round(blur_threshold, 9) AS blur_threshold, round(noise_threshold, 9) AS noise_threshold, n FROM t")
 def quality_audit_thresholds(spark, d):
     return audit.quality_thresholds(_slices(spark, d), "user_id", "value", "noise").select("user_id", *_r("blur_threshold", "noise_threshold"), "n")
 
@@ -291,7 +293,7 @@ def median_mad(spark, d):
     return robust.median_mad(_t(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice").select("l_suppkey", *_r("centre", "scale", digits=4), "n")
 
 
-@query(_MAD + " SELECT l_orderkey, l_linenumber, round(greatest(-5, least(5, (l_extendedprice - centre) / scale)), 6) AS z FROM lineitem JOIN s USING (l_suppkey)")
+@query(_MAD + " SELECT l_orderkey, l_linenumber, round(greatest(-5, least(5, (l_extendedprice - centre) / scale)), 9) AS z FROM lineitem JOIN s USING (l_suppkey)")
 def median_mad_standardise(spark, d):
     return robust.standardise(_t(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice").select("l_orderkey", "l_linenumber", *_r("z"))
 
@@ -299,7 +301,7 @@ def median_mad_standardise(spark, d):
 @query("""
 WITH c AS (SELECT event_type, median(value) AS m, quantile_cont(value, 0.9) AS q FROM events GROUP BY 1),
 s AS (SELECT event_type, any_value(m) AS m, any_value(q) AS q, median(abs(value - m)) AS mad FROM events JOIN c USING (event_type) GROUP BY 1)
-SELECT event_type, round(greatest(m, least(m + 2.5 * 1.4826 * mad, q)), 6) AS caliper FROM s""")
+SELECT event_type, round(greatest(m, least(m + 2.5 * 1.4826 * mad, q)), 9) AS caliper FROM s""")
 def robust_caliper(spark, d):
     return robust.caliper(_t(spark, d, "events"), ["event_type"], "value").select("event_type", *_r("caliper"))
 
@@ -311,7 +313,7 @@ _PAIR_CHANGE = "CASE WHEN {o} IS NULL THEN NULL WHEN p <> {o}.p THEN 1.0 WHEN p
 WITH e AS (SELECT event_id, user_id, ts, (value > 20)::INT AS p, value / 500 AS a, CASE WHEN event_id % 9 > 0 THEN value / 400 END AS x, (event_id % 10) / 10.0::DOUBLE AS y, (event_id % 7) / 10.0::DOUBLE AS base FROM events),
 n AS (SELECT *, lag({{'p': p, 'a': a, 'x': x, 'y': y}}) OVER w AS b, lead({{'p': p, 'a': a, 'x': x, 'y': y}}) OVER w AS f FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT event_id, base, {_PAIR_CHANGE.format(o='b')} AS l, {_PAIR_CHANGE.format(o='f')} AS r FROM n)
-SELECT event_id, round(coalesce((l + r) / 2, l, r, 0), 6) AS inconsistency, round(least(1, base + 0.2 * coalesce((l + r) / 2, l, r, 0)), 6) AS uncertainty FROM s""")
+SELECT event_id, round(coalesce((l + r) / 2, l, r, 0), 9) AS inconsistency, round(least(1, base + 0.2 * coalesce((l + r) / 2, l, r, 0)), 9) AS uncertainty FROM s""")
 def sequence_inconsistency(spark, d):
     e = _t(spark, d, "events").select("event_id", "user_id", "ts", (F.col("value") > 20).cast("int").alias("p"), (F.col("value") / 500).alias("a"), F.when(F.col("event_id") % 9 > 0, F.col("value") / 400).alias("x"), ((F.col("event_id") % 10) / 10.0).alias("y"), ((F.col("event_id") % 7) / 10.0).alias("base"))
     return robust.sequence_inconsistency(e, ["user_id"], ["ts", "event_id"], "p", "a", "x", "y", "base").select("event_id", *_r("inconsistency", "uncertainty"))
@@ -347,7 +349,7 @@ def _edges(spark, d):
     return neighbours.mutual_edges(e, "family", "vec_id", "y", "embedding")
 
 
-@query(_EDGES + """ SELECT family, sick, normal, round(distance, 6) AS distance, rank_from_sick, rank_from_normal, (rank_from_sick IS NOT NULL AND rank_from_normal IS NOT NULL)::INT AS reciprocal,
+@query(_EDGES + """ SELECT family, sick, normal, round(distance, 9) AS distance, rank_from_sick, rank_from_normal, (rank_from_sick IS NOT NULL AND rank_from_normal IS NOT NULL)::INT AS reciprocal,
   (coalesce(rank_from_sick, 99) <= 5 AND coalesce(rank_from_normal, 99) <= 5)::INT AS is_core FROM e""")
 def mutual_knn_edges(spark, d):
     return _edges(spark, d).select("family", "sick", "normal", *_r("distance"), "rank_from_sick", "rank_from_normal", "reciprocal", "is_core")
@@ -395,7 +397,11 @@ def _match_items(spark, d):
 def _scratch(spark):
     """Tables of a matching that are used more than once."""
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/cohortloom-checkpoints" if spark.sparkContext.master.startswith("local[") else "checkpoints")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="cohortloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
     return lambda name, df: df.checkpoint()
 
 
@@ -429,14 +435,14 @@ def matching_eligibility(spark, d):
 @query("""
 WITH v AS (SELECT vec_id AS item, [abs(embedding[1]::DOUBLE) / 2 + 0.002, embedding[2]::DOUBLE, embedding[3]::DOUBLE, abs(embedding[4]::DOUBLE), (vec_id % 10) / 9.0::DOUBLE, ln(1 + abs(embedding[5]::DOUBLE) * 100), abs(embedding[6]::DOUBLE), abs(embedding[7]::DOUBLE) * 200] AS x FROM embeddings),
 u AS (SELECT item, unnest(x) AS x, generate_subscripts(x, 1) AS k FROM v), m AS (SELECT k, median(x) AS m FROM u GROUP BY 1), s AS (SELECT k, any_value(m) AS m, greatest(1e-3, 1.4826 * median(abs(x - m))) AS s FROM u JOIN m USING (k) GROUP BY 1)
-SELECT item, (k - 1)::INT AS pos, round(greatest(-5, least(5, (x - m) / s)) * sqrt(CASE WHEN k <= 4 THEN 0.25 / 4 WHEN k = 5 THEN 0.15 ELSE 0.15 / 3 END), 6) AS value FROM u JOIN s USING (k)""")
+SELECT item, (k - 1)::INT AS pos, round(greatest(-5, least(5, (x - m) / s)) * sqrt(CASE WHEN k <= 4 THEN 0.25 / 4 WHEN k = 5 THEN 0.15 ELSE 0.15 / 3 END), 9) AS value FROM u JOIN s USING (k)""")
 def matching_descriptor(spark, d):
     items = _match_items(spark, d).withColumn("log_sharpness", F.log1p("sharpness"))
     return matching.descriptor(items).select("item", F.posexplode("descriptor").alias("pos", "value")).select("item", "pos", *_r("value"))
 
 
 @query(_EDGES + """, g AS (SELECT e.* FROM e JOIN embeddings s ON s.vec_id = sick JOIN embeddings n ON n.vec_id = normal WHERE abs(sick % 10 - normal % 10) / 9.0::DOUBLE <= 0.25 AND abs(abs(s.embedding[1]::DOUBLE) - abs(n.embedding[1]::DOUBLE)) <= 0.20)
-SELECT family, sick, normal, round(distance, 6) AS distance FROM g""")
+SELECT family, sick, normal, round(distance, 9) AS distance FROM g""")
 def gated_edges(spark, d):
     e = _t(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 3).alias("family"), (F.col("label") % 2).alias("y"), "embedding", ((F.col("vec_id") % 10) / 9).alias("position"), F.abs(F.get("embedding", F.lit(0)).cast("double")).alias("area"))
     return neighbours.mutual_edges(e, "family", "vec_id", "y", "embedding", position="position", area="area").select("family", "sick", "normal", *_r("distance"))
@@ -445,7 +451,7 @@ def gated_edges(spark, d):
 _CALIPER = "c{n} AS (SELECT family, median(distance) AS m, quantile_cont(distance, {q}) AS q FROM e {w} GROUP BY 1), k{n} AS (SELECT family, any_value(m) AS m, any_value(q) AS q, median(abs(distance - m)) AS mad FROM e JOIN c{n} USING (family) {w} GROUP BY 1), l{n} AS (SELECT family, greatest(m, least(m + {k} * greatest(1e-9, 1.4826 * mad), q)) AS l FROM k{n})"
 
 
-@query(_EDGES + ", " + _CALIPER.format(n=0, q=0.9, k=2.5, w="WHERE rank_from_sick <= 5 AND rank_from_normal <= 5") + ", " + _CALIPER.format(n=1, q=0.97, k=3.5, w="") + " SELECT l1.family, round(l0.l, 6) AS core_caliper, round(CASE WHEN l0.l IS NULL THEN l1.l ELSE least(greatest(l1.l, l0.l), 1.18 * l0.l) END, 6) AS extended_caliper FROM l1 LEFT JOIN l0 ON l0.family = l1.family")
+@query(_EDGES + ", " + _CALIPER.format(n=0, q=0.9, k=2.5, w="WHERE rank_from_sick <= 5 AND rank_from_normal <= 5") + ", " + _CALIPER.format(n=1, q=0.97, k=3.5, w="") + " SELECT l1.family, round(l0.l, 9) AS core_caliper, round(CASE WHEN l0.l IS NULL THEN l1.l ELSE least(greatest(l1.l, l0.l), 1.18 * l0.l) END, 9) AS extended_caliper FROM l1 LEFT JOIN l0 ON l0.family = l1.family")
 def match_calipers(spark, d):
     return matching.calipers(_edges(spark, d)).select("family", *_r("core_caliper", "extended_caliper"))
 
@@ -456,7 +462,7 @@ _POOL = """
 WITH u AS (SELECT label, vec_id % 4 AS series, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), i AS (SELECT label, series, pos, avg(x) AS x FROM u GROUP BY ALL)"""
 
 
-@query(_POOL + " SELECT label, pos::INT AS pos, round(avg(x), 6) AS value FROM i GROUP BY label, pos")
+@query(_POOL + " SELECT label, pos::INT AS pos, round(avg(x), 9) AS value FROM i GROUP BY label, pos")
 def hierarchical_pooling(spark, d):
     e = _t(spark, d, "embeddings").withColumn("series", F.col("vec_id") % 4)
     return pooling.hierarchical_mean(e, [], "label", "series", "embedding").select("label", "pos", *_r("value"))
@@ -490,34 +496,34 @@ def _scored(spark, d):
     return docs.join(_t(spark, d, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
 
 
-@query(_SCORED + " SELECT lang, round(sum(neg * (cp - pos / 2)) / (sum(pos) * sum(neg)), 6) AS auc FROM c GROUP BY 1")
+@query(_SCORED + " SELECT lang, round(sum(neg * (cp - pos / 2)) / (sum(pos) * sum(neg)), 9) AS auc FROM c GROUP BY 1")
 def roc_auc(spark, d):
     return metrics.roc_auc(_scored(spark, d), ["lang"], "y", "score").select("lang", *_r("auc"))
 
 
-@query(_SCORED + " SELECT lang, round(sum(pos * cp / (cp + cn)) / sum(pos), 6) AS average_precision FROM c GROUP BY 1")
+@query(_SCORED + " SELECT lang, round(sum(pos * cp / (cp + cn)) / sum(pos), 9) AS average_precision FROM c GROUP BY 1")
 def average_precision(spark, d):
     return metrics.average_precision(_scored(spark, d), ["lang"], "y", "score").select("lang", *_r("average_precision"))
 
 
-@query(_SCORED + ", j AS (SELECT lang, score, round(cp / tp - cn / tn, 12) AS j FROM c) SELECT lang, round(arg_max(score, (j, score)), 6) AS threshold, round(max(j), 6) AS youden FROM j GROUP BY 1")
+@query(_SCORED + ", j AS (SELECT lang, score, round(cp / tp - cn / tn, 12) AS j FROM c) SELECT lang, round(arg_max(score, (j, score)), 9) AS threshold, round(max(j), 9) AS youden FROM j GROUP BY 1")
 def youden_threshold(spark, d):
     return metrics.youden_threshold(_scored(spark, d), ["lang"], "y", "score").select("lang", *_r("threshold", "youden"))
 
 
-@query(_SCORED + """ SELECT lang, round(avg(pow(score - y, 2)), 6) AS brier, round(avg(((score >= 0.2)::INT = y)::INT), 6) AS accuracy,
-  round(count(*) FILTER (score >= 0.2 AND y = 1) / greatest(1, count(*) FILTER (y = 1)), 6) AS sensitivity, round(count(*) FILTER (score < 0.2 AND y = 0) / greatest(1, count(*) FILTER (y = 0)), 6) AS specificity FROM s GROUP BY 1""")
+@query(_SCORED + """ SELECT lang, round(avg(pow(score - y, 2)), 9) AS brier, round(avg(((score >= 0.2)::INT = y)::INT), 9) AS accuracy,
+  round(count(*) FILTER (score >= 0.2 AND y = 1) / greatest(1, count(*) FILTER (y = 1)), 9) AS sensitivity, round(count(*) FILTER (score < 0.2 AND y = 0) / greatest(1, count(*) FILTER (y = 0)), 9) AS specificity FROM s GROUP BY 1""")
 def confusion_metrics(spark, d):
     return metrics.confusion_metrics(_scored(spark, d), ["lang"], "y", "score", 0.2).select("lang", *_r("brier", "accuracy", "sensitivity", "specificity"))
 
 
-@query(_SCORED + ", r AS (SELECT lang, y, avg(((score >= 0.2)::INT = y)::INT) AS r FROM s GROUP BY ALL) SELECT lang, round(avg(r), 6) AS balanced_accuracy FROM r GROUP BY 1")
+@query(_SCORED + ", r AS (SELECT lang, y, avg(((score >= 0.2)::INT = y)::INT) AS r FROM s GROUP BY ALL) SELECT lang, round(avg(r), 9) AS balanced_accuracy FROM r GROUP BY 1")
 def balanced_accuracy(spark, d):
     s = _scored(spark, d).withColumn("hat", (F.col("score") >= 0.2).cast("int"))
     return metrics.balanced_accuracy(s, ["lang"], "y", "hat").select("lang", *_r("balanced_accuracy"))
 
 
-@query(_SCORED + ", r AS (SELECT lang, source, avg(score) AS m FROM s GROUP BY ALL) SELECT lang, round(avg(m), 6) AS mean, count(*) AS subjects FROM r GROUP BY 1")
+@query(_SCORED + ", r AS (SELECT lang, source, avg(score) AS m FROM s GROUP BY ALL) SELECT lang, round(avg(m), 9) AS mean, count(*) AS subjects FROM r GROUP BY 1")
 def patient_balanced_mean(spark, d):
     return metrics.subject_balanced_mean(_scored(spark, d), ["lang"], "source", "score").select("lang", *_r("mean"), "subjects")
 
@@ -525,17 +531,17 @@ def patient_balanced_mean(spark, d):
 _OVERLAP = "SELECT l_orderkey, sum((l_tax > 0.04 AND l_discount > 0.04)::INT) AS tp, sum((l_tax > 0.04 AND l_discount <= 0.04)::INT) AS fp, sum((l_tax <= 0.04 AND l_discount > 0.04)::INT) AS fn FROM lineitem GROUP BY 1"
 
 
-@query(f"""WITH c AS ({_OVERLAP}) SELECT l_orderkey, round(CASE WHEN tp + fp + fn = 0 THEN 1 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS dice, round(CASE WHEN tp + fp + fn = 0 THEN 1 ELSE tp / (tp + fp + fn) END, 6) AS iou,
-  round(CASE WHEN tp + fp = 0 THEN (fn = 0)::INT ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 1 ELSE tp / (tp + fn) END, 6) AS recall FROM c""")
+@query(f"""WITH c AS ({_OVERLAP}) SELECT l_orderkey, round(CASE WHEN tp + fp + fn = 0 THEN 1 ELSE 2 * tp / (2 * tp + fp + fn) END, 9) AS dice, round(CASE WHEN tp + fp + fn = 0 THEN 1 ELSE tp / (tp + fp + fn) END, 9) AS iou,
+  round(CASE WHEN tp + fp = 0 THEN (fn = 0)::INT ELSE tp / (tp + fp) END, 9) AS precision, round(CASE WHEN tp + fn = 0 THEN 1 ELSE tp / (tp + fn) END, 9) AS recall FROM c""")
 def overlap_metrics(spark, d):
     a, b = F.col("l_tax") > 0.04, F.col("l_discount") > 0.04
     c = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_if(a & b).alias("tp"), F.count_if(a & ~b).alias("fp"), F.count_if(~a & b).alias("fn"))
-    return c.select("l_orderkey", *[F.round(v, 6).alias(k) for k, v in metrics.overlap(F.col("tp"), F.col("fp"), F.col("fn")).items()])
+    return c.select("l_orderkey", *[F.round(v, 9).alias(k) for k, v in metrics.overlap(F.col("tp"), F.col("fp"), F.col("fn")).items()])
 
 
 @query(_SCORED + """, t AS (SELECT unnest([0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70, 0.75]::DOUBLE[]) AS threshold), x AS (SELECT threshold, source, y, CASE WHEN y = 1 THEN (2 * greatest(0, 1 - abs(score - threshold)) + 1e-6) / (1 + score + 1e-6) ELSE 1 - least(1, greatest(0, score - threshold) / 0.10) END AS q, (score >= threshold)::INT AS valid FROM s, t),
 a AS (SELECT threshold, source, avg(q) AS q, count(*) FILTER (y = 1 AND valid = 0) AS bad, count(*) FILTER (y = 1) AS n FROM x GROUP BY ALL), v AS (SELECT threshold, avg(q) AS mean_quality, sum(bad) / greatest(1, sum(n))::DOUBLE AS invalid_rate FROM a GROUP BY 1), z AS (SELECT *, mean_quality - 0.2 * invalid_rate AS score FROM v)
-SELECT arg_max(threshold, (round(score, 12), -abs(threshold - 0.5), -threshold)) AS threshold, round(arg_max(score, (round(score, 12), -abs(threshold - 0.5), -threshold)), 6) AS score, round(arg_max(mean_quality, (round(score, 12), -abs(threshold - 0.5), -threshold)), 6) AS mean_quality, round(arg_max(invalid_rate, (round(score, 12), -abs(threshold - 0.5), -threshold)), 6) AS invalid_rate FROM z""")
+SELECT arg_max(threshold, (round(score, 12), -abs(threshold - 0.5), -threshold)) AS threshold, round(arg_max(score, (round(score, 12), -abs(threshold - 0.5), -threshold)), 9) AS score, round(arg_max(mean_quality, (round(score, 12), -abs(threshold - 0.5), -threshold)), 9) AS mean_quality, round(arg_max(invalid_rate, (round(score, 12), -abs(threshold - 0.5), -threshold)), 9) AS invalid_rate FROM z""")
 def threshold_grid_search(spark, d):
     s = _scored(spark, d).withColumn("threshold", F.explode(F.array(*map(F.lit, metrics.THRESHOLDS))))
     apart = F.greatest(F.lit(0.0), F.col("score") - F.col("threshold"))
@@ -544,7 +550,7 @@ def threshold_grid_search(spark, d):
 
 
 @query(_SCORED + """, t AS (SELECT unnest([0.5, 0.1, 0.2, 0.3, 0.4]::DOUBLE[]) AS threshold), h AS (SELECT threshold, y, avg(((score >= threshold)::INT = y)::INT) AS r FROM s, t GROUP BY ALL), b AS (SELECT threshold, avg(r) AS balanced_accuracy FROM h GROUP BY 1)
-SELECT arg_max(threshold, (round(balanced_accuracy, 12), -abs(threshold - 0.5), -threshold)) AS threshold, round(arg_max(balanced_accuracy, (round(balanced_accuracy, 12), -abs(threshold - 0.5), -threshold)), 6) AS balanced_accuracy FROM b""")
+SELECT arg_max(threshold, (round(balanced_accuracy, 12), -abs(threshold - 0.5), -threshold)) AS threshold, round(arg_max(balanced_accuracy, (round(balanced_accuracy, 12), -abs(threshold - 0.5), -threshold)), 9) AS balanced_accuracy FROM b""")
 def presence_threshold(spark, d):
     return metrics.presence_threshold(_scored(spark, d), (0.1, 0.2, 0.3, 0.4), "y", "score").select("threshold", *_r("balanced_accuracy"))
 
@@ -566,12 +572,12 @@ def _subjects(spark, d):
     return _t(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("a"), F.max("value").alias("b")).withColumn("y", F.col("user_id") % 2)
 
 
-@query(_BOOT + " SELECT round((SELECT a FROM o), 6) AS auc, round(quantile_cont(a, 0.025), 6) AS ci_low, round(quantile_cont(a, 0.975), 6) AS ci_high, count(*) AS resamples FROM x")
+@query(_BOOT + " SELECT round((SELECT a FROM o), 9) AS auc, round(quantile_cont(a, 0.025), 9) AS ci_low, round(quantile_cont(a, 0.975), 9) AS ci_high, count(*) AS resamples FROM x")
 def bootstrap_auc_ci(spark, d):
     return metrics.bootstrap_auc(_subjects(spark, d), "user_id", "y", "a").select(*_r("auc", "ci_low", "ci_high"), "resamples")
 
 
-@query(_BOOT + " SELECT (SELECT count(*) FROM s) AS subjects, round((SELECT a - b FROM o), 6) AS auc_difference, round(quantile_cont(a - b, 0.025), 6) AS ci_low, round(quantile_cont(a - b, 0.975), 6) AS ci_high FROM x")
+@query(_BOOT + " SELECT (SELECT count(*) FROM s) AS subjects, round((SELECT a - b FROM o), 9) AS auc_difference, round(quantile_cont(a - b, 0.025), 9) AS ci_low, round(quantile_cont(a - b, 0.975), 9) AS ci_high FROM x")
 def paired_auc_difference(spark, d):
     s = _subjects(spark, d)
     long = s.select("user_id", "y", F.explode(F.array(F.struct(F.lit("a").alias("mode"), F.col("a").alias("score")), F.struct(F.lit("b").alias("mode"), F.col("b").alias("score")))).alias("m")).select("user_id", "y", "m.mode", "m.score")
@@ -584,7 +590,7 @@ def nested_cv_scores(spark, d):
     bank = pooling.pooled_vectors(e.withColumn("mode", F.lit("all")), ["mode"], "subject", "series", "embedding").withColumn("y", F.substring_index("subject", "-", 1).cast("int") % 2)
     folds = cohort.hash_folds(bank, "subject", "y")
     out = modeling.nested_cv(bank.join(folds.drop("y"), "subject"), "mode", "subject", "y", "fold", "x")
-    return out.withColumns({"score": F.round("score", 6), "threshold": F.round("threshold", 6)})
+    return out.withColumns({"score": F.round("score", 9), "threshold": F.round("threshold", 9)})
 
 
 # store, set operations and relations -----------------------------------------------------------
@@ -639,10 +645,11 @@ def accepted_items(spark, d):
     return relations.accepted_items(_audited(spark, d), _t(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select("doc_id", "target", "n_chars")
 
 
-@query("""SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN '' WHEN toxic = 1 THEN 'UNUSABLE' ELSE 'HEART_PRESENT' END AS target,
+@query("""SELECT doc_id, CASE WHEN l.doc_id IS NULL OR doc_id % 6 < 3 THEN '' WHEN toxic = 1 THEN 'UNUSABLE' ELSE 'HEART_PRESENT' END AS target,
   CASE WHEN doc_id % 4 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'unreadable' WHEN doc_id % 7 = 0 THEN 'empty_or_nearly_empty' WHEN doc_id % 7 = 6 THEN 'nearly_full' ELSE '' END AS mask_reason FROM documents LEFT JOIN labels l USING (doc_id)""")
 def annotated_rows(spark, d):
-    marks = _t(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, " unusable").otherwise("Heart_present").alias("target_type"))
+    empty = F.expr("CASE doc_id % 6 WHEN 0 THEN 'none' WHEN 1 THEN ' NaN ' WHEN 2 THEN 'Unlabeled' END")
+    marks = _t(spark, d, "labels").select("doc_id", F.coalesce(empty, F.when(F.col("toxic") == 1, " unusable").otherwise("Heart_present")).alias("target_type"))
     masks = _t(spark, d, "documents").where("doc_id % 4 > 0").select("doc_id", F.expr("CASE WHEN doc_id % 5 > 0 THEN doc_id % 7 / 6.0D END").alias("area"))
     return relations.with_annotations(_t(spark, d, "documents").select("doc_id"), marks, masks, "doc_id").select("doc_id", "target", "mask_reason")
 
@@ -651,8 +658,8 @@ _TARGETS = "WITH p AS (SELECT l_orderkey, sum((l_tax > 0.04 AND l_discount > 0.0
 
 
 @query(_TARGETS + """, g AS (SELECT subject, avg(dice) AS da, avg(dice) FILTER (present = 1) AS d, avg(iou) FILTER (present = 1) AS i, avg(precision) FILTER (present = 1) AS p, avg(recall) FILTER (present = 1) AS r FROM e GROUP BY 1)
-SELECT (SELECT count(*) FROM e) AS targets, (SELECT count(*) FILTER (present = 1) FROM e) AS positives, (SELECT count(*) FILTER (present = 0) FROM e) AS negatives, round(avg(da), 6) AS dice_all, round(avg(d), 6) AS dice_positive, round(avg(i), 6) AS iou_positive, round(avg(p), 6) AS precision_positive, round(avg(r), 6) AS recall_positive,
-  round((SELECT avg((pa < 0.003)::INT) FILTER (present = 0) FROM e), 6) AS empty_prediction_rate, round((SELECT avg(fa) FILTER (present = 0) FROM e), 6) AS mean_false_positive_area FROM g""")
+SELECT (SELECT count(*) FROM e) AS targets, (SELECT count(*) FILTER (present = 1) FROM e) AS positives, (SELECT count(*) FILTER (present = 0) FROM e) AS negatives, round(avg(da), 9) AS dice_all, round(avg(d), 9) AS dice_positive, round(avg(i), 9) AS iou_positive, round(avg(p), 9) AS precision_positive, round(avg(r), 9) AS recall_positive,
+  round((SELECT avg((pa < 0.003)::INT) FILTER (present = 0) FROM e), 9) AS empty_prediction_rate, round((SELECT avg(fa) FILTER (present = 0) FROM e), 9) AS mean_false_positive_area FROM g""")
 def segmentation_summary(spark, d):
     a, b = F.col("l_tax") > 0.04, F.col("l_discount") > 0.04
     found = _t(spark, d, "lineitem").where("l_orderkey % 3 > 0").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_if(a & b).alias("tp"), F.count_if(a & ~b).alias("fp"), F.count_if(~a & b).alias("fn"), F.count("*").alias("n"))
@@ -683,14 +690,14 @@ def combined_folds(spark, d):
     return relations.combined_parts(parts, e.select("event_id", "fold"), "event_id").select("event_id", "guess", "fold")
 
 
-_FLAGS = """WITH f AS (SELECT event_id, user_id, event_type, event_id % 11 > 0 AND value > 20 AND event_id % 13 > 0 AND event_id % 17 > 0 AS ka, event_id % 6 = 0 AND event_id % 17 > 0 AS km, event_id % 4 = 0 AS sel FROM events),
+_FLAGS = """WITH f AS (SELECT event_id, user_id, event_type, event_id % 11 > 0 AND value > 20 AND event_id % 13 > 0 AND event_id % 17 > 2 AS ka, event_id % 6 = 0 AS km, event_id % 4 = 0 AS sel FROM events),
 m AS (SELECT event_id, user_id, event_type, unnest(list_filter([{'mode': 'B0_FULL_IMAGE', 'region': 'full', 'on': true}, {'mode': 'B2_ATTENTION_ELIGIBLE_FULL_IMAGE', 'region': 'full', 'on': ka}, {'mode': 'AU1_ATTENTION_ROI', 'region': 'attention', 'on': ka}, {'mode': 'C1_ATTENTION_COMPLEMENT', 'region': 'attention_complement', 'on': ka},
   {'mode': 'B1_MATCHED_FULL_IMAGE', 'region': 'full', 'on': ka AND sel}, {'mode': 'AU2_MATCHED_ATTENTION_ROI', 'region': 'attention', 'on': ka AND sel}, {'mode': 'C2_MATCHED_ATTENTION_COMPLEMENT', 'region': 'attention_complement', 'on': ka AND sel}, {'mode': 'M1_MANUAL_ROI', 'region': 'manual', 'on': km}, {'mode': 'C3_MANUAL_COMPLEMENT', 'region': 'manual_complement', 'on': km},
   {'mode': 'AU3_ATTENTION_ROI_MANUAL_SUBSET', 'region': 'attention', 'on': km}, {'mode': 'C4_ATTENTION_COMPLEMENT_MANUAL_SUBSET', 'region': 'attention_complement', 'on': km}], lambda x: x.on)) AS t FROM f)"""
 
 
 def _flagged(spark, d):
-    e = _t(spark, d, "events").selectExpr("event_id", "user_id", "event_type", "value", "event_id % 11 > 0 AS quality_valid", "value > 20 AS valid", "event_id % 13 > 0 AS present", "event_id % 17 > 0 AS has_mask")
+    e = _t(spark, d, "events").selectExpr("event_id", "user_id", "event_type", "value", "event_id % 11 > 0 AS quality_valid", "value > 20 AS valid", "CASE event_id % 13 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE 1 END AS present", "CASE WHEN event_id % 17 > 0 THEN event_id % 17 / 1000.0D END AS area", "true AS has_mask")
     chosen = e.where("event_id % 4 = 0")
     return pooling.keep_flags(relations.flagged(relations.flagged(e, chosen.unionByName(chosen), "event_id", "selected"), e.where("event_id % 6 = 0"), "event_id", "manual"))
 
@@ -706,17 +713,17 @@ def feature_modes(spark, d):
 
 
 @query(_FLAGS + """, v AS (SELECT user_id, event_type, t.mode AS mode, unnest([value, value * length(t.region)]) AS x, unnest([0, 1]) AS pos FROM m JOIN events USING (event_id, user_id, event_type)), i AS (SELECT mode, user_id, event_type, pos, avg(x) AS x FROM v GROUP BY ALL), o AS (SELECT mode, user_id, pos, avg(x) AS x FROM i GROUP BY ALL)
-SELECT mode, user_id, user_id % 2 AS label, round(max(x) FILTER (pos = 0), 6) AS x0, round(max(x) FILTER (pos = 1), 6) AS x1 FROM o GROUP BY ALL""")
+SELECT mode, user_id, user_id % 2 AS label, round(max(x) FILTER (pos = 0), 9) AS x0, round(max(x) FILTER (pos = 1), 9) AS x1 FROM o GROUP BY ALL""")
 def feature_bank(spark, d):
     rows = _flagged(spark, d).withColumn("label", F.col("user_id") % 2)
     regions = F.explode(F.array(*[F.lit(r) for r in sorted({r for _, r, _ in pooling.MODES})])).alias("region")
     vectors = rows.select("event_id", "value", regions).select("event_id", "region", F.array("value", F.col("value") * F.length("region")).alias("v"))
     bank = pooling.feature_bank(pooling.feature_modes(rows), vectors, "event_id", "user_id", "event_type", "label", "v")
-    return bank.select("mode", "user_id", "label", F.round(F.get("x", F.lit(0)), 6).alias("x0"), F.round(F.get("x", F.lit(1)), 6).alias("x1"))
+    return bank.select("mode", "user_id", "label", F.round(F.get("x", F.lit(0)), 9).alias("x0"), F.round(F.get("x", F.lit(1)), 9).alias("x1"))
 
 
 @query("""
-WITH r AS (SELECT event_id, abs(value - 100) / 20 AS a, CASE WHEN event_id % 3 > 0 THEN abs(event_id % 50 - 25) / 5.0::DOUBLE END AS b FROM events) SELECT event_id, round(CASE WHEN event_id % 7 > 0 AND event_id % 4 <> 1 THEN greatest(a, coalesce(b, 0)) ELSE 0 END, 6) AS deviation FROM r""")
+WITH r AS (SELECT event_id, abs(value - 100) / 20 AS a, CASE WHEN event_id % 3 > 0 THEN abs(event_id % 50 - 25) / 5.0::DOUBLE END AS b FROM events) SELECT event_id, round(CASE WHEN event_id % 7 > 0 AND event_id % 4 <> 1 THEN greatest(a, coalesce(b, 0)) ELSE 0 END, 9) AS deviation FROM r""")
 def prior_deviation(spark, d):
     e = _t(spark, d, "events")
     second = F.when(F.col("event_id") % 3 > 0, (F.col("event_id") % 50).cast("double"))
@@ -737,14 +744,51 @@ def mapped_codes(spark, d):
     return _t(spark, d, "events").select("event_type", relations.mapped(codes, F.col("event_type"), F.lit(-1)).alias("code")).groupBy("event_type", "code").agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = floor(l_quantity) THEN l_quantity::BIGINT::VARCHAR ELSE rtrim(printf('%.12f', l_quantity), '0') END AS whole, rtrim(rtrim(printf('%.12f', l_discount), '0'), '.') AS part FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, printf('%.12g', l_quantity) AS whole, printf('%.12g', l_discount) AS part, printf('%.12g', l_extendedprice * power(10, l_linenumber * 4 - 16)) AS scaled, printf('%.12g', l_discount / power(10, l_linenumber * 2)) AS tiny FROM lineitem")
 def number_texts(spark, d):
-    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", relations.number_text(F.col("l_quantity")).alias("whole"), relations.number_text(F.col("l_discount")).alias("part"))
+    scaled = F.col("l_extendedprice") * F.pow(F.lit(10.0), F.col("l_linenumber") * 4 - 16)
+    numbers = {"whole": F.col("l_quantity"), "part": F.col("l_discount"), "scaled": scaled, "tiny": F.col("l_discount") / F.pow(F.lit(10.0), F.col("l_linenumber") * 2)}
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[relations.number_text(v).alias(k) for k, v in numbers.items()])
 
 
-@query("SELECT event_type, count(DISTINCT user_id) AS subjects, round(avg((user_id % 2 = (value > 100)::INT)::INT), 6) AS accuracy FROM events GROUP BY 1")
+_OOF = """, q AS (SELECT t.mode AS mode, user_id AS subject, user_id % 2 AS label, avg(value * length(t.region) % 97) / 97 AS score FROM m JOIN events USING (event_id, user_id, event_type) GROUP BY ALL)"""
+
+
+def _oof_scores(spark, d):
+    """Scores of the library's own modes: of each subject the mean of a number that depends on item and region."""
+    rows = pooling.feature_modes(_flagged(spark, d))
+    out = rows.groupBy("mode", F.col("user_id").alias("subject")).agg((F.avg(F.col("value") * F.length("region") % 97) / 97).alias("score"))
+    return out.withColumns({"label": F.col("subject") % 2, "predicted": (F.col("score") >= 0.5).cast("int")})
+
+
+_DRAWN = """, u AS ({units}), k AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY subject) - 1 AS rk, count(*) OVER (PARTITION BY unit) AS n FROM u),
+z AS (SELECT DISTINCT n FROM k), y AS (SELECT draw, place, ('0x' || substr(sha256('bootstrap|' || draw || '|' || place), 1, 12))::BIGINT AS h FROM range(2000) t(draw), (SELECT unnest(range((SELECT max(n) FROM z))) AS place)),
+w AS (SELECT n, draw, h % n AS rk, count(*)::DOUBLE AS times FROM y, z WHERE place < n GROUP BY ALL),
+e AS (SELECT unit, draw, times * label AS pos, times * (1 - label) AS neg, side, CASE side WHEN 0 THEN a ELSE b END AS score FROM k JOIN w USING (n, rk), (VALUES (0), (1)) v(side)),
+g AS (SELECT unit, draw, side, score, sum(pos) AS pos, sum(neg) AS neg FROM e GROUP BY ALL), c AS (SELECT *, sum(pos) OVER (PARTITION BY unit, draw, side ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cp FROM g),
+x AS (SELECT unit, draw, side, CASE WHEN sum(pos) * sum(neg) > 0 THEN sum(neg * (cp - pos / 2)) / (sum(pos) * sum(neg)) END AS auc FROM c GROUP BY ALL),
+i AS (SELECT unit, quantile_cont(auc, 0.025) FILTER (side = 0) AS l0, quantile_cont(auc, 0.975) FILTER (side = 0) AS h0 FROM x GROUP BY 1),
+r AS (SELECT unit, quantile_cont(p.auc - o.auc, 0.025) AS l, quantile_cont(p.auc - o.auc, 0.975) AS h FROM x p JOIN x o USING (unit, draw) WHERE p.side = 0 AND o.side = 1 GROUP BY 1),
+o AS (SELECT p.unit, count(DISTINCT p.subject) + 0 AS n_pos, sum((p.a > q.a)::INT + (p.a = q.a)::INT / 2) / count(*) AS a, sum((p.b > q.b)::INT + (p.b = q.b)::INT / 2) / count(*) AS b FROM k p JOIN k q ON p.unit = q.unit AND p.label = 1 AND q.label = 0 GROUP BY 1)"""
+
+
+@query(_FLAGS + _OOF + _DRAWN.format(units="SELECT position AS unit, f.subject, f.label, f.score AS a, g.score AS b FROM (VALUES " + ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b, _) in enumerate(metrics.COMPARISONS)) + ") v(position, one, two) JOIN q f ON f.mode = one JOIN q g ON g.mode = two AND g.subject = f.subject AND g.label = f.label")
+       + " SELECT position::INT AS position, comparison, first, second, (SELECT count(*) FROM u WHERE unit = position) AS subjects, round(a - b, 9) AS auc_difference, round(l, 9) AS ci_low, round(h, 9) AS ci_high FROM (VALUES " + ", ".join(f"({k}, '{a}', '{b}', '{c}')" for k, (a, b, c) in enumerate(metrics.COMPARISONS)) + ") v(position, first, second, comparison) LEFT JOIN o ON o.unit = position LEFT JOIN r ON r.unit = position")
+def mode_comparisons(spark, d):
+    return metrics.evaluate_modes(_oof_scores(spark, d))[1].select("position", "comparison", "first", "second", "subjects", *_r("auc_difference", "ci_low", "ci_high"))
+
+
+@query(_FLAGS + _OOF + _DRAWN.format(units="SELECT mode AS unit, subject, label, score AS a, score AS b FROM q")
+       + """, s AS (SELECT mode, score, sum(label)::DOUBLE AS pos, sum(1 - label)::DOUBLE AS neg FROM q GROUP BY ALL), t AS (SELECT *, sum(pos) OVER v AS cp, sum(pos + neg) OVER v AS ca FROM s WINDOW v AS (PARTITION BY mode ORDER BY score DESC ROWS UNBOUNDED PRECEDING)), ap AS (SELECT mode, sum(pos * cp / ca) / sum(pos) AS ap FROM t GROUP BY 1),
+  b AS (SELECT mode, count(*) AS subjects, avg(power(score - label, 2)) AS brier, avg(((score >= 0.5)::INT = label)::INT) AS accuracy, avg((score >= 0.5)::INT) FILTER (label = 1) AS sensitivity, avg((score < 0.5)::INT) FILTER (label = 0) AS specificity FROM q GROUP BY 1)
+  SELECT row_number() OVER (ORDER BY a DESC, mode)::INT AS place, mode, CASE WHEN mode[1:2] IN ('M1', 'C3', 'C4') OR mode[1:3] = 'AU3' THEN 'mask_validation' ELSE 'primary' END AS experiment_group, CASE mode[1:3] WHEN 'B0_' THEN 'all_dataset_slices' WHEN 'B2_' THEN 'attention_eligible_same_slices' WHEN 'AU1' THEN 'attention_eligible_same_slices' WHEN 'C1_' THEN 'attention_eligible_same_slices'
+  WHEN 'B1_' THEN 'cross_class_matched_same_slices' WHEN 'AU2' THEN 'cross_class_matched_same_slices' WHEN 'C2_' THEN 'cross_class_matched_same_slices' ELSE 'manual_positive_same_slices' END AS cohort, subjects, round(a, 9) AS auc, round(l0, 9) AS auc_ci_low, round(h0, 9) AS auc_ci_high, round(ap, 9) AS average_precision, round(brier, 9) AS brier, round(accuracy, 9) AS accuracy, round(sensitivity, 9) AS sensitivity, round(specificity, 9) AS specificity
+  FROM b JOIN ap USING (mode) JOIN o ON o.unit = mode JOIN i ON i.unit = mode""")
+def mode_metrics(spark, d):
+    return metrics.evaluate_modes(_oof_scores(spark, d))[0].select("place", "mode", "experiment_group", "cohort", "subjects", *_r("auc", "auc_ci_low", "auc_ci_high", "average_precision", "brier", "accuracy", "sensitivity", "specificity"))
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS subjects, round(avg((user_id % 2 = (value > 100)::INT)::INT), 9) AS accuracy FROM events GROUP BY 1")
 def mode_accuracy(spark, d):
-    """The metrics of all modes in one pass."""
     e = _t(spark, d, "events").select(F.col("event_type").alias("mode"), F.col("user_id").alias("subject"), (F.col("user_id") % 2).alias("label"), (F.col("value") / 500).alias("score"), (F.col("value") > 100).cast("int").alias("predicted"))
-    each, _ = metrics.evaluate_modes(e)
-    return each.select(F.col("mode").alias("event_type"), "subjects", *_r("accuracy"))
+    return metrics.hit_rates(e).select(F.col("mode").alias("event_type"), "subjects", *_r("accuracy"))

@@ -20,7 +20,7 @@ def duck(sf):
 def plain(v):
     if v is None or isinstance(v, (str, bool, int)):
         return v
-    return None if (x := float(v)) != x else round(x, 5) + 0.0  # DuckDB divides nothing by nothing to NaN, where a metric has no value
+    return None if (x := float(v)) != x else round(x, 9) + 0.0  # DuckDB divides nothing by nothing to NaN, where a metric has no value
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
