@@ -65,6 +65,12 @@ def _numbers(table: pa.Table, column: str) -> np.ndarray:
     return table[column].combine_chunks().to_numpy(zero_copy_only=False)
 
 
+def _padded(rows: list[list[int]], other: int) -> np.ndarray:
+    """Rows of one length: an anchor with fewer windows has some in which nothing lies."""
+    width = max(map(len, rows))
+    return np.array([[*row, *[other] * (width - len(row))] for row in rows], np.int64).reshape(len(rows), width)
+
+
 def _best(i: np.ndarray, w: np.ndarray, s: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The k entries of largest score, then smallest r, of each (i, w), with their places from 0."""
     order = np.lexsort((r, -s, w, i))
@@ -86,7 +92,7 @@ def scan(asks: pa.Table, rows: pa.Table, k: int, same: bool) -> Iterator[tuple[n
     if most >= _MOST:
         raise OverflowError("scores don't fit a long")
     kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64  # sums of either are exact below that
-    lo, hi = (np.array(asks[x].to_pylist(), np.int64).reshape(len(a), -1) for x in ("lo", "hi"))
+    lo, hi = (_padded(asks[x].to_pylist(), other) for x, other in (("lo", _MOST), ("hi", _LEAST)))
     by_id = np.lexsort((_numbers(rows, "key"), _numbers(rows, "id")))
     rank = np.empty(len(c), np.int64)
     rank[by_id] = np.arange(len(c))

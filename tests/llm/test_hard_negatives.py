@@ -57,6 +57,15 @@ def test_few_rows(spark):
     assert mined(pair, 256) == [(0, 1, 1, 2, 65536, 32768), (0, 1, 2, 3, 65536, 32768)]
 
 
+def test_labels_of_few_rows_give_fewer_positives(spark):
+    rng = random.Random(8)
+    labels = [0] * 60 + [1] * 2 + [2] * 4 + [3]
+    rows = [(50 * k, [rng.random() for _ in range(5)], label, "", "") for k, label in enumerate(labels)]
+    want = brute_force(rows, 64)
+    assert len({(r[0], r[1]) for r in want}) > 100
+    assert mined(spark.createDataFrame(rows, SCHEMA), 64, range_rows=9, block_rows=100) == want
+
+
 def table(rows):
     return pa.table({"key": [r[0] for r in rows], "id": [r[0] for r in rows], "label": [r[1] for r in rows], "v": pa.array([r[2] for r in rows], pa.list_(pa.int64())), "norm": [sum(x * x for x in r[2]) for r in rows], "lo": [[hn._LEAST]] * len(rows), "hi": [[hn._MOST]] * len(rows)})
 
