@@ -79,36 +79,42 @@ class Model:
 def viterbi(model: Model, chars: Iterable[str], window: int | None = None) -> Iterator[list[int]]:
     """Lists of ids, each as soon as it is certain. Ties go to the longer last piece.
 
-    Characters are read ``window`` at a time. Back pointers are kept from the last committed boundary on, and are cut off there
-    when they are as many as the window.
+    Ids are committed up to a boundary that no piece crosses, or on which all surviving paths converge; the latter is looked for when the open stretch has
+    grown to the window, and again each time it has doubled, so the work is linear in the text. Back pointers (20 bytes a character) reach from the last
+    committed boundary on: a few times the longest piece in most texts, but as far as the stretch over which no two paths converge (a run of one
+    character, whose pieces can be shifted against each other, is one such stretch however long it is).
     """
     longest, unknown = model.max_piece, model.unknown_score
     limit = max(window or 4 * longest, longest + 1)
     source = iter(chars)
     text = "".join(islice(source, limit))
     more = len(text) == limit
-    best: list[float | None] = [0.0] + [None] * len(text)  # by boundary
-    back: list[tuple[int, int]] = [(0, -1)] * len(best)  # by boundary: where its last piece starts, and its id
+    never = float("-inf")
+    best = array("d", [0.0]) + array("d", [never]) * len(text)  # by boundary
+    back, piece = array("q", [0]) * len(best), array("i", [-1]) * len(best)  # by boundary: where its last piece starts, and its id
     at = reach = done = 0
-    n = len(text)
+    n, trial = len(text), limit
     while True:
         if more and n < at + longest:  # what a piece from here may hold
-            got = "".join(islice(source, limit))
-            more = len(got) == limit
+            want = max(limit, n - done)  # a long open stretch is read by its own length, so it is copied few times
+            got = "".join(islice(source, want))
+            more = len(got) == want
             if done >= limit:
-                base = best[done] or 0.0
-                text, best, back = text[done:], [None if x is None else x - base for x in best[done:]], [(max(k - done, 0), i) for k, i in back[done:]]
+                base = best[done]
+                text, best, piece = text[done:], array("d", [x - base for x in best[done:]]), piece[done:]
+                back = array("q", [max(k - done, 0) for k in back[done:]])
                 at, reach, done = at - done, reach - done, 0
             text += got
-            best += [None] * len(got)
-            back += [(0, -1)] * len(got)
+            best.extend([never] * len(got))
+            back.extend([0] * len(got))
+            piece.extend([-1] * len(got))
             n = len(text)
         if at >= n:
             if at > done:
-                yield _committed(model, text, back, done, at)
+                yield _committed(model, text, back, piece, done, at)
             return
         here = best[at]
-        if here is not None:
+        if here != never:
             level, single = model.trie, False
             for end in range(at, n):
                 node = level.get(text[end])
@@ -118,43 +124,45 @@ def viterbi(model: Model, chars: Iterable[str], window: int | None = None) -> It
                 if number >= 0:
                     single |= end == at
                     score += here
-                    old = best[end + 1]
-                    if old is None or score > old:
-                        best[end + 1], back[end + 1] = score, (at, number)
+                    if score > best[end + 1]:
+                        best[end + 1], back[end + 1], piece[end + 1] = score, at, number
                     if end >= reach:
                         reach = end + 1
             if not single:
                 score = here + unknown
-                if best[at + 1] is None or score > best[at + 1]:
-                    best[at + 1], back[at + 1] = score, (at, -1)
+                if score > best[at + 1]:
+                    best[at + 1], back[at + 1], piece[at + 1] = score, at, -1
                 reach = max(reach, at + 1)
         at += 1
         if reach == at:  # no piece crosses this boundary
             meet = at
-        elif at - done >= limit:
+        elif at - done >= trial:
             meet = _meeting(best, back, at, reach)
+            trial = max(limit, 2 * (at - meet))
         else:
             continue
         if meet > done:
-            yield _committed(model, text, back, done, meet)
+            yield _committed(model, text, back, piece, done, meet)
             done = meet
+            if meet == at:
+                trial = limit
 
 
-def _meeting(best: list, back: list[tuple[int, int]], at: int, reach: int) -> int:
+def _meeting(best: array, back: array, at: int, reach: int) -> int:
     """The last boundary on the paths to every boundary that can still be continued."""
-    alive = {b for b in range(at, reach + 1) if best[b] is not None}
+    alive = {b for b in range(at, reach + 1) if best[b] > float("-inf")}
     while len(alive) > 1:
         last = max(alive)
         alive.remove(last)
-        alive.add(back[last][0])
+        alive.add(back[last])
     return min(alive.pop(), at)
 
 
-def _committed(model: Model, text: str, back: list[tuple[int, int]], first: int, end: int) -> list[int]:
+def _committed(model: Model, text: str, back: array, piece: array, first: int, end: int) -> list[int]:
     """The ids from one committed boundary to the next."""
     out: list[list[int]] = []
     while end > first:
-        start, number = back[end]
+        start, number = back[end], piece[end]
         out.append([number] if number >= 0 else model.unknown_ids(text[start:end]))
         end = start
     return [i for part in reversed(out) for i in part]

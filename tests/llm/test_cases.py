@@ -215,6 +215,33 @@ def test_words_through_the_search(spark, sf):
         assert own.encode(text).tolist() == (whole_viterbi(model, marked) if text else [])
 
 
+def test_whole_texts_like_the_plain_search(spark, sf):
+    """The ids of whole documents, however long."""
+    model = sentencepiece.Model(tokenizer_file("piece_bpe_32k.model"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("n_chars")
+    some = docs.limit(5).unionByName(docs.orderBy("n_chars", ascending=False).limit(3)).select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in some.collect()}
+    got = {r.doc_id: r for r in sentencepiece.encode_documents(some, tokenizer_file("piece_bpe_32k.model")).collect()}
+    assert max(map(len, texts.values())) > 5_000
+    for i, text in texts.items():
+        assert got[i].ids == whole_viterbi(model, ("▁" if model.dummy_prefix else "") + text.replace(" ", "▁"))
+        assert got[i].n_ids == len(got[i].ids) and got[i].round_trip
+
+
+@pytest.mark.parametrize("unit", ["a", "-", "=", "ab", "--="])
+def test_runs_whose_paths_never_meet(unit):
+    """As the plain search, and linear: a megabyte takes about a hundred times what ten kilobytes take."""
+    import time
+
+    model = sentencepiece.Model(tokenizer_file("piece_bpe_32k.model"))
+    own = sentencepiece.Encoder(model)
+    text = unit * (5_000 // len(unit))
+    assert own.encode(text).tolist() == whole_viterbi(model, ("▁" if model.dummy_prefix else "") + text)
+    long, began = unit * (1_000_000 // len(unit)), time.process_time()
+    ids = own.encode(long)
+    assert time.process_time() - began < 60 and own.decode(ids) == long
+
+
 def test_commits_come_early():
     """Ids are given before the text is read to its end."""
     model, read = sentencepiece.Model(tokenizer_file("piece_bpe_32k.model")), []
