@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain, islice
 
 import numpy as np
@@ -90,8 +90,10 @@ def viterbi(model: Model, chars: Iterable[str], window: int | None = None) -> It
     text = "".join(islice(source, limit))
     more = len(text) == limit
     never = float("-inf")
-    best = array("d", [0.0]) + array("d", [never]) * len(text)  # by boundary
-    back, piece = array("q", [0]) * len(best), array("i", [-1]) * len(best)  # by boundary: where its last piece starts, and its id
+    best = [0.0] + [never] * len(text)  # by boundary
+    back, piece = [0] * len(best), [-1] * len(best)  # by boundary: where its last piece starts, and its id
+    if more:  # what may grow long is held in arrays, which are smaller and slower
+        best, back, piece = array("d", best), array("q", back), array("i", piece)
     at = reach = done = 0
     n, trial = len(text), limit
     while True:
@@ -148,7 +150,7 @@ def viterbi(model: Model, chars: Iterable[str], window: int | None = None) -> It
                 trial = limit
 
 
-def _meeting(best: array, back: array, at: int, reach: int) -> int:
+def _meeting(best: Sequence[float], back: Sequence[int], at: int, reach: int) -> int:
     """The last boundary on the paths to every boundary that can still be continued."""
     alive = {b for b in range(at, reach + 1) if best[b] > float("-inf")}
     while len(alive) > 1:
@@ -158,7 +160,7 @@ def _meeting(best: array, back: array, at: int, reach: int) -> int:
     return min(alive.pop(), at)
 
 
-def _committed(model: Model, text: str, back: array, piece: array, first: int, end: int) -> list[int]:
+def _committed(model: Model, text: str, back: Sequence[int], piece: Sequence[int], first: int, end: int) -> list[int]:
     """The ids from one committed boundary to the next."""
     out: list[list[int]] = []
     while end > first:
