@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.clean import clean_double, normal_target, reasons
 from .cohort import round_robin
 from .neighbours import hamming_anti
+from .quantiles import exact_quantiles, has_large_groups
+from .robust import beside
 
 #: Fixed values of the audits.
 LOW_RANGE, BLUR_FLOOR, NOISE_CEILING, LOW_Q, HIGH_Q, MIN_VALUES = 12.0, 4.0, 0.30, 0.03, 0.97, 5
@@ -18,6 +20,13 @@ WEIGHT_ABSENT, WEIGHT_AUTO, WEIGHT_MANUAL = 0.90, 0.72, 1.0
 
 def quality_thresholds(items: DataFrame, subject: str, sharpness: str, noise: str) -> DataFrame:
     """blur and noise limits of each subject, from its own quantiles if it has enough finite values."""
+    if has_large_groups(items, [subject]):
+        of = lambda name, q: exact_quantiles(items, [subject], name, [q])
+        told = lambda bound, pick, q, n: F.when(F.col(n) >= MIN_VALUES, pick(F.lit(bound), F.get(q, F.lit(0)))).otherwise(F.lit(bound))
+        counts = items.groupBy(subject).agg(F.count("*").alias("n"))
+        blur, noisy = of(sharpness, LOW_Q).select(subject, F.col("n").alias("_n0"), F.col("q").alias("_q0")), of(noise, HIGH_Q).select(subject, F.col("n").alias("_n1"), F.col("q").alias("_q1"))
+        every = beside(beside(counts, blur, [subject]), noisy, [subject])
+        return every.select(subject, told(BLUR_FLOOR, F.greatest, "_q0", "_n0").alias("blur_threshold"), told(NOISE_CEILING, F.least, "_q1", "_n1").alias("noise_threshold"), "n")
 
     def limit(name: str, q: float, bound: float, pick) -> Column:
         v = clean_double(F.col(name))

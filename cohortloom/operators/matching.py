@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clean import clean_double, reasons
 from .neighbours import NEAREST, mutual_edges
-from .robust import MAD_SCALE, caliper, extended_caliper
+from .quantiles import has_large_groups
+from .robust import MAD_SCALE, caliper, extended_caliper, median_mad
 
 #: Limits of a subject and a sequence in a family, and of pairs of them.
 CORE_SUBJECT, CORE_SEQUENCE = 20, 5
@@ -43,9 +44,16 @@ def descriptor(items: DataFrame, blocks=BLOCKS, hash_column: str | None = None,
     """
     names = [c for columns, _ in blocks for c in columns]
     v = {c: clean_double(F.col(c)) for c in names}
-    centres = items.agg(*[F.percentile(v[c], F.lit(0.5)).alias(f"_m_{c}") for c in names])
-    joined = items.join(F.broadcast(centres))
-    spreads = joined.agg(*[F.greatest(F.lit(1e-3), MAD_SCALE * F.percentile(F.abs(v[c] - F.col(f"_m_{c}")), F.lit(0.5))).alias(f"_s_{c}") for c in names])
+    if has_large_groups(items, []):  # a buffer can't hold all values of a column: a row (name, value) each, in passes
+        long = items.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), v[c].alias("x")) for c in names])).alias("e")).select("e.*")
+        stats = median_mad(long, ["name"], "x")
+        wide = lambda what, mark: stats.agg(*[F.max(F.when(F.col("name") == c, F.col(what))).alias(f"{mark}{c}") for c in names])
+        centres, spreads = wide("centre", "_m_"), wide("scale", "_s_")
+        joined = items.join(F.broadcast(centres))
+    else:
+        centres = items.agg(*[F.percentile(v[c], F.lit(0.5)).alias(f"_m_{c}") for c in names])
+        joined = items.join(F.broadcast(centres))
+        spreads = joined.agg(*[F.greatest(F.lit(1e-3), MAD_SCALE * F.percentile(F.abs(v[c] - F.col(f"_m_{c}")), F.lit(0.5))).alias(f"_s_{c}") for c in names])
     score = lambda c: F.greatest(F.lit(-clip), F.least(F.lit(clip), F.coalesce((v[c] - F.col(f"_m_{c}")) / F.col(f"_s_{c}"), F.lit(0.0))))
     parts = F.array(*[score(c) * math.sqrt(weight / len(columns)) for columns, weight in blocks for c in columns])
     if hash_column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clean import clean_double, hamming, hash_order
+from ..plans.scratch import kept
 
 
 def hamming_anti(rows: DataFrame, known: DataFrame, hash_column: str, radius: int = 6, bits: int = 64) -> DataFrame:
@@ -34,7 +38,7 @@ def distance(a: Column, b: Column) -> Column:
 
 #: How far apart a pair may be in sequence position and in area; neighbours each way, and of the core.
 POSITION_LIMIT, AREA_LIMIT, NEAREST, CORE = 0.25, 0.20, 12, 5
-#: Items of a block; a pair of blocks is compared by one call.
+#: Items of a block at most; a pair of blocks is compared by one call.
 BLOCK = 512
 
 
@@ -43,41 +47,105 @@ def gate(position_a: Column, position_b: Column, area_a: Column, area_b: Column)
     return (F.abs(position_a - position_b) <= POSITION_LIMIT) & F.coalesce(F.abs(area_a - area_b) <= AREA_LIMIT, F.lit(True))
 
 
-def nearest_across(rows: DataFrame, family: str, item: str, label: str, vector: str, k: int = NEAREST) -> DataFrame:
+#: Points from which all distances are measured: what they tell bounds how near two blocks can be.
+PIVOTS = 24
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = np.empty((len(x), len(y)))
+    for at in range(0, len(x), 64):
+        out[at : at + 64] = np.sqrt(((x[at : at + 64, None, :] - y[None, :, :]) ** 2).sum(2))
+    return out
+
+
+def packed_blocks(rows: DataFrame, family: str, item: str, label: str, vector: str) -> DataFrame:
+    """side, family, block, items, vectors (flat), lo, hi (least and largest distance from each pivot): blocks of at most BLOCK neighbouring items.
+
+    Items are sorted by their nearest pivot, which a block does not cross, and their distance from it, by a range partitioning, so a family of any size is split.
+    """
+    kind = dict(rows.dtypes)[item]
+    flat = rows.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("side"), F.col(family).cast("long").alias("family"), F.col(item).alias("item"), F.col(vector).cast("array<double>").alias("v"))
+    flat = kept(flat)
+    pivots = np.array([r.v for r in flat.orderBy(F.xxhash64("item"), "item").limit(PIVOTS).collect()], float)  # PIVOTS vectors, whatever the input
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array(b["v"].to_pylist(), float)
+            d = _distances(x, pivots)
+            near = d.argmin(1) if len(x) else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.int32()), pa.array(np.take_along_axis(d, near[:, None], 1)[:, 0] if len(x) else []), pa.array([*d], pa.list_(pa.float64()))], names=[*b.schema.names, "pivot", "away", "d"])
+
+    told = flat.mapInArrow(measure, f"side int, family long, item {kind}, v array<double>, pivot int, away double, d array<double>")
+    order = ["side", "family", "pivot", "away", "item"]
+    ranged = told.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for (side, fam, _), part in pdf.groupby(["side", "family", "pivot"], sort=False):
+                for at in range(0, len(part), BLOCK):
+                    some = part.iloc[at : at + BLOCK]
+                    d = np.array(some["d"].tolist())
+                    yield pd.DataFrame({"side": [side], "family": [fam], "items": [some["item"].tolist()], "vectors": [np.concatenate(some["v"].tolist())], "lo": [d.min(0)], "hi": [d.max(0)]})
+
+    blocks = ranged.mapInPandas(pack, f"side int, family long, items array<{kind}>, vectors array<double>, lo array<double>, hi array<double>")
+    return kept(blocks.withColumn("block", F.xxhash64("side", "family", "items")))
+
+
+def _compared(pairs: DataFrame, blocks: DataFrame, k: int, kind: str) -> DataFrame:
+    """(family, own, other, distance, side, block of own): of each pair of blocks (a of class 1, b of class 0) the k nearest of every item."""
+    of = lambda c, name: blocks.where(F.col("side") == c).select(F.col("block").alias(name), "family", F.col("items").alias(f"{name}_items"), F.col("vectors").alias(f"{name}_vectors"))
+    met = pairs.join(of(1, "a"), "a").join(of(0, "b").drop("family"), "b")
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                names, sides = [], []
+                for i, x in ((r.a_items, r.a_vectors), (r.b_items, r.b_vectors)):
+                    order = np.argsort(np.asarray(i), kind="stable")
+                    names.append(np.asarray(i)[order])
+                    sides.append(np.asarray(x, float).reshape(len(i), -1)[order])
+                d = np.round(_distances(*sides), 9)
+                for c, m, own, other, block in ((1, d, names[0], names[1], r.a), (0, d.T, names[1], names[0], r.b)):
+                    near = np.argsort(m, axis=1, kind="stable")[:, :k]  # ties by name
+                    n = near.shape[1]
+                    yield pd.DataFrame({"family": r.family, "own": np.repeat(own, n), "other": other[near.ravel()], "distance": np.take_along_axis(m, near, 1).ravel(), "side": c, "block": block})
+
+    return met.mapInPandas(compare, f"family long, own {kind}, other {kind}, distance double, side int, block long")
+
+
+def nearest_across(rows: DataFrame, family: str, item: str, label: str, vector: str, k: int = NEAREST, counts: list | None = None) -> DataFrame:
     """(family, own, other, distance, side, rank): the k nearest items of the other class for each item; side is the class of own.
 
-    Blocks of a family's two classes meet pair by pair; of each pair an item's k nearest leave, so what is shuffled and ranked is k rows
-    for each item and block of the other class. The work is quadratic within a family; the number of families bounds it.
+    Exact, with blocks skipped by bound. Distances from the pivots bound from below how near two blocks can be (triangle inequality). Each block first meets the
+    nearest blocks of the other class that hold k items; the largest kth distance among its items is then its reach, and it meets
+    another block only if their bound lies within the reach of either. Vectors without structure (bounds near nothing) are compared in all pairs
+    of blocks of a family. ``counts`` gets (compared pairs of items, all of them).
     """
     kind = dict(rows.dtypes)[item]
-    side = lambda c: rows.where(F.col(label) == c).select(F.col(family).cast("long").alias("family"), F.col(item).alias("item"), F.col(vector).cast("array<double>").alias("v"))
-    # blocks by position in hash order: as many as the items of the class need
-    cut = lambda df: df.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("family").orderBy(F.xxhash64("item"), "item")) - 1) / BLOCK).cast("int"))
-    sick, normal = cut(side(1)), cut(side(0))
-    count = lambda df, name: df.groupBy("family").agg((F.max("block") + 1).alias(name))
-    blocks = count(sick, "a").join(count(normal, "b"), "family")
-    spread = lambda df, c, other: df.join(F.broadcast(blocks), "family").withColumn("meets", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("family", "item", "v", F.lit(c).alias("side"), F.when(F.lit(c == 1), F.col("block")).otherwise(F.col("meets")).alias("i"), F.when(F.lit(c == 1), F.col("meets")).otherwise(F.col("block")).alias("j"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [pdf[pdf["side"] == c].sort_values("item") for c in (1, 0)]
-        names = [p["item"].to_numpy() for p in parts]
-        x, y = (np.array(p["v"].tolist(), float) for p in parts)
-        if not len(x) or not len(y):
-            return pd.DataFrame({"family": [], "own": [], "other": [], "distance": [], "side": []})
-        d = np.empty((len(x), len(y)))
-        for at in range(0, len(x), 64):
-            d[at : at + 64] = np.sqrt(((x[at : at + 64, None, :] - y[None, :, :]) ** 2).sum(2))
-        d, out = np.round(d, 9), []
-        for c, m, own, other in ((1, d, names[0], names[1]), (0, d.T, names[1], names[0])):
-            near = np.argsort(m, axis=1, kind="stable")[:, :k]  # ties by name
-            n = near.shape[1]
-            out.append(pd.DataFrame({"family": pdf["family"].iloc[0], "own": np.repeat(own, n), "other": other[near.ravel()], "distance": np.take_along_axis(m, near, 1).ravel(), "side": c}))
-        return pd.concat(out)
-
-    met = spread(sick, 1, "b").unionByName(spread(normal, 0, "a"))
-    few = met.groupBy("family", "i", "j").applyInPandas(compare, f"family long, own {kind}, other {kind}, distance double, side int")
-    w = Window.partitionBy("side", "family", "own").orderBy("distance", "other")
-    return few.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    blocks = packed_blocks(rows, family, item, label, vector)
+    meta = lambda c, name: blocks.where(F.col("side") == c).select("family", F.col("block").alias(name), F.size("items").alias(f"{name}_n"), F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi"))
+    gap = lambda x, y: F.array_max(F.zip_with(x, y, lambda p, q: p - q))
+    every = meta(1, "a").join(meta(0, "b"), "family").withColumn("bound", F.greatest(F.lit(0.0), gap("a_lo", "b_hi"), gap("b_lo", "a_hi")))
+    every = kept(every.select("family", "a", "b", "a_n", "b_n", "bound"))
+
+    def nearest_blocks(own: str, other: str) -> DataFrame:
+        before = F.sum(f"{other}_n").over(Window.partitionBy(own).orderBy("bound", other).rowsBetween(Window.unboundedPreceding, -1))
+        return every.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < k).select("a", "b")
+
+    first = kept(nearest_blocks("a", "b").unionByName(nearest_blocks("b", "a")).distinct())
+    found = kept(_compared(first, blocks, k, kind))
+    ranked = F.row_number().over(Window.partitionBy("side", "family", "own").orderBy("distance", "other"))
+    kth = found.withColumn("rank", ranked).where(F.col("rank") <= k).groupBy("block", "own").agg(F.max("distance").alias("kth"), F.count("*").alias("n"))
+    reach = kth.groupBy("block").agg(F.max(F.when(F.col("n") >= k, F.col("kth")).otherwise(float("inf"))).alias("reach"))
+    of = lambda name: reach.select(F.col("block").alias(name), F.col("reach").alias(f"{name}_reach"))
+    # bounds and rounded distances are off by less than 1e-8
+    more = every.join(first, ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b").where(F.col("bound") <= F.greatest("a_reach", "b_reach") + 1e-8).select("a", "b")
+    more = kept(more)
+    if counts is not None:
+        n = lambda df: df.agg(F.sum(F.col("a_n").cast("long") * F.col("b_n"))).first()[0] or 0
+        counts.append((n(every.join(first.unionByName(more), ["a", "b"], "left_semi")), n(every)))
+    both = found.unionByName(_compared(more, blocks, k, kind))
+    return both.withColumn("rank", ranked).where(F.col("rank") <= k).drop("block")
 
 
 def mutual_edges(rows: DataFrame, family: str, item: str, label: str, vector: str, k: int = NEAREST, core: int = CORE, position: str | None = None, area: str | None = None) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions.clean import clean_double, elapsed, hash_order, item_token, natural_key, sign_bits, stable_path
 from .operators import audit, cohort, matching, metrics, modeling, neighbours, pooling, relations, robust
+from .plans.scratch import kept
 from .plans.store import row_digests
 from .roles import Roles
 
@@ -394,15 +392,9 @@ def _match_items(spark, d):
     )
 
 
-def _scratch(spark):
+def _scratch(name, df):
     """Tables of a matching that are used more than once."""
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="cohortloom-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(folder)
-    return lambda name, df: df.checkpoint()
+    return kept(df)
 
 
 @query()
@@ -413,13 +405,13 @@ def core_matching(spark, d):
 
 @query()
 def cross_class_matching(spark, d):
-    manifest, _, _ = matching.build_matching(_match_items(spark, d), _scratch(spark))
+    manifest, _, _ = matching.build_matching(_match_items(spark, d), _scratch)
     return manifest.select("item", "subject", "label", "family", "selected", "core", "pair_id", "partner", *_r("distance"), "exclusion_reason")
 
 
 @query()
 def extended_matching(spark, d):
-    _, pairs, _ = matching.build_matching(_match_items(spark, d), _scratch(spark))
+    _, pairs, _ = matching.build_matching(_match_items(spark, d), _scratch)
     return pairs.select("family", "sick", "normal", *_r("distance"), "stage", "pair_id")
 
 
