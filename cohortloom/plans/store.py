@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -39,35 +40,80 @@ def has_columns(table: DataFrame, required: set[str]) -> bool:
 
 
 class StageStore:
-    """Materialised stages under a folder: parquet tables of versioned names and a JSON pointer each."""
+    """Materialised stages under a folder: parquet tables and a JSON pointer each.
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+    Every write goes to a new folder; the pointer, which is swapped by a rename, then names it. So a reader meets the old table or the new one, never half of one,
+    and a table that is being read stays: the ``keep`` versions before the current one are left, older ones go with the next write. A build that gives the rows
+    that are there already leaves table and pointer as they are.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, keep: int = 1) -> None:
+        self.spark, self.folder, self.keep = spark, folder.rstrip("/"), keep
 
     def _state(self, stage: str) -> str:
         return f"{self.folder}/{stage}.json"
 
     def status(self, stage: str) -> dict | None:
+        """What the pointer says: path, inputs, rows, content (a fingerprint), version and the paths of older versions."""
         state = read_json(self.spark, self._state(stage))
         return state if state and exists(self.spark, state["path"]) else None
 
+    def why_not(self, stage: str, inputs: str, required: set[str] = frozenset()) -> str:
+        """Why a stored table can't be used for these inputs; '' if it can. Reads the pointer and the table's footer, computes nothing."""
+        state = self.status(stage)
+        if not state:
+            return "not built"
+        if state["inputs"] != inputs:
+            return "inputs or parameters have changed"
+        table = self.spark.read.parquet(state["path"])
+        if missing := set(required) - set(table.columns):
+            return f"columns are missing: {', '.join(sorted(missing))}"
+        rows = table.count()
+        return "" if rows == state["rows"] else f"{rows} rows instead of {state['rows']}"
+
     def valid(self, stage: str, inputs: str, required: set[str] = frozenset()) -> bool:
         """A table is there, of these inputs, with these columns and as many rows as were written."""
-        state = self.status(stage)
-        if not state or state["inputs"] != inputs:
+        return not self.why_not(stage, inputs, required)
+
+    def put(self, stage: str, table: DataFrame, inputs: str = "") -> bool:
+        """Writes a version and swaps it in; False if the rows are those of the current version."""
+        path, now = f"{self.folder}/{stage}-{uuid.uuid4().hex}", self.status(stage)
+        table.write.parquet(path)
+        new = self.spark.read.parquet(path)
+        content, rows = fingerprint(new), new.count()
+        if now and now.get("content") == content and now["rows"] == rows and self.spark.read.parquet(now["path"]).count() == rows:
+            self._remove(path)
+            if now["inputs"] != inputs:
+                write_json(self.spark, self._state(stage), now | {"inputs": inputs})
             return False
-        table = self.spark.read.parquet(state["path"])
-        return has_columns(table, set(required)) and table.count() == state["rows"]
+        older = [now["path"], *now.get("older", [])] if now else []
+        write_json(self.spark, self._state(stage), {"path": path, "inputs": inputs, "rows": rows, "content": content, "version": (now or {}).get("version", 0) + 1, "older": older[: self.keep]})
+        for gone in older[self.keep :]:
+            self._remove(gone)
+        return True
+
+    def _remove(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def read(self, stage: str) -> DataFrame:
+        """The current version."""
+        state = self.status(stage)
+        if not state:
+            raise ValueError(f"stage {stage} is not built")
+        return self.spark.read.parquet(state["path"])
 
     def get(self, stage: str, inputs: dict[str, DataFrame], build: Callable[[], DataFrame], parameters: dict | None = None, required: set[str] = frozenset(), force: bool = False) -> DataFrame:
         """The stage's table: as stored if its inputs and parameters are unchanged, else built and swapped in."""
-        told = {name: fingerprint(t) for name, t in sorted(inputs.items())} | {"parameters": parameters or {}}
-        mark = hashlib.sha256(json.dumps(told, sort_keys=True).encode()).hexdigest()
+        mark = inputs_mark({name: fingerprint(t) for name, t in inputs.items()}, parameters)
         if force or not self.valid(stage, mark, required):
-            path = f"{self.folder}/{stage}-{mark[:16]}"
-            build().write.mode("overwrite").parquet(path)
-            write_json(self.spark, self._state(stage), {"path": path, "inputs": mark, "rows": self.spark.read.parquet(path).count()})
-        return self.spark.read.parquet(self.status(stage)["path"])
+            self.put(stage, build(), mark)
+        return self.read(stage)
 
     def append(self, log: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.folder}/{log}")
+
+
+def inputs_mark(inputs: dict[str, str], parameters: dict | None = None) -> str:
+    """One fingerprint of the fingerprints of a stage's inputs and of its parameters."""
+    return hashlib.sha256(json.dumps(dict(sorted(inputs.items())) | {"parameters": parameters or {}}, sort_keys=True).encode()).hexdigest()

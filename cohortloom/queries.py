@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions.clean import clean_double, elapsed, hash_order, item_token, natural_key, sign_bits, stable_path
-from .operators import audit, cohort, matching, metrics, modeling, neighbours, pooling, relations, robust
+from .operators import audit, cohort, matching, metrics, modeling, neighbours, pooling, relations, review, robust, sampling
 from .plans.scratch import kept
 from .plans.store import row_digests
 from .roles import Roles
@@ -784,3 +784,40 @@ def mode_metrics(spark, d):
 def mode_accuracy(spark, d):
     e = _t(spark, d, "events").select(F.col("event_type").alias("mode"), F.col("user_id").alias("subject"), (F.col("user_id") % 2).alias("label"), (F.col("value") / 500).alias("score"), (F.col("value") > 100).cast("int").alias("predicted"))
     return metrics.hit_rates(e).select(F.col("mode").alias("event_type"), "subjects", *_r("accuracy"))
+
+
+# reviews, samples -------------------------------------------------------------------------------
+
+_ACTION = "CASE event_id % 7 WHEN 0 THEN 'save_manual_heart_present' WHEN 1 THEN 'accept_auto_and_save' WHEN 2 THEN 'mark_no_heart_visible' WHEN 3 THEN 'mark_unusable' WHEN 4 THEN 'delete_manual_and_annotation' WHEN 5 THEN 'skip' ELSE 'open' END"
+
+
+def _review_log(spark, d):
+    e = _t(spark, d, "events").select(F.col("user_id").alias("item"), F.expr(_ACTION).alias("action"), F.col("ts").alias("at"), F.col("event_id").alias("turn"), ((F.col("event_id") % 3) + 1).alias("review_round"), (F.col("value") / 500 - 0.1).alias("drawn_area"), (F.col("value") / 400 - 0.2).alias("auto_area"))
+    return e.withColumns({"queue_position": F.col("turn"), "queue_size": F.lit(0)})
+
+
+_REVIEW = f"""WITH l AS (SELECT user_id AS item, {_ACTION} AS action, ts, event_id, event_id % 3 + 1 AS review_round, value / 500 - 0.1 AS drawn, value / 400 - 0.2 AS auto FROM events), g AS (SELECT * FROM l WHERE action <> 'open' AND NOT (action = 'save_manual_heart_present' AND drawn < 0.0005) AND NOT (action = 'accept_auto_and_save' AND auto < 0.0005)),
+s AS (SELECT item, count(*) FILTER (action <> 'skip') AS actions, count(*) FILTER (action = 'skip') AS skips, arg_max(action, (ts, event_id)) FILTER (action <> 'skip') AS action, arg_max(CASE action WHEN 'save_manual_heart_present' THEN drawn WHEN 'accept_auto_and_save' THEN auto WHEN 'mark_no_heart_visible' THEN 0 ELSE -1 END, (ts, event_id)) FILTER (action <> 'skip') AS area FROM g GROUP BY 1),
+b AS (SELECT DISTINCT user_id AS item FROM events WHERE user_id % 4 = 0)"""
+
+
+@query(_REVIEW + """ SELECT item, CASE WHEN action IS NULL THEN CASE WHEN b.item IS NOT NULL THEN 'HEART_PRESENT' END WHEN action IN ('save_manual_heart_present', 'accept_auto_and_save') THEN 'HEART_PRESENT' WHEN action = 'mark_no_heart_visible' THEN 'NO_HEART_VISIBLE' WHEN action = 'mark_unusable' THEN 'UNUSABLE' END AS target_type,
+  CASE action WHEN 'save_manual_heart_present' THEN 1.0 WHEN 'accept_auto_and_save' THEN 0.72 WHEN 'mark_no_heart_visible' THEN 0.90 WHEN 'mark_unusable' THEN 0.0 WHEN 'delete_manual_and_annotation' THEN NULL ELSE CASE WHEN b.item IS NOT NULL THEN 1.0 END END::DOUBLE AS sample_weight,
+  CASE action WHEN 'save_manual_heart_present' THEN 'drawn' WHEN 'accept_auto_and_save' THEN 'automatic' WHEN 'mark_no_heart_visible' THEN 'empty' WHEN 'mark_unusable' THEN 'none' WHEN 'delete_manual_and_annotation' THEN 'none' END AS mask, round(CASE WHEN area >= 0 THEN area END, 9) AS mask_area, coalesce(actions, 0) AS actions, coalesce(skips, 0) AS skips FROM s FULL JOIN b USING (item)""")
+def review_states(spark, d):
+    before = _t(spark, d, "events").where("user_id % 4 = 0").select(F.col("user_id").alias("item"), F.lit("HEART_PRESENT").alias("target_type"), F.lit("legacy").alias("source"), F.lit(1.0).alias("sample_weight")).distinct()
+    return review.states(_review_log(spark, d), before).select("item", "target_type", "sample_weight", "mask", *_r("mask_area"), "actions", "skips")
+
+
+@query(_REVIEW + " SELECT DISTINCT event_type || '-' || user_id AS name, user_id AS item FROM events WHERE user_id NOT IN (SELECT item FROM g WHERE review_round = 2 AND item % 2 = 1)")
+def review_pending(spark, d):
+    queue = _t(spark, d, "events").select(F.concat_ws("-", "event_type", "user_id").alias("name"), F.col("user_id").alias("item")).distinct()
+    return review.pending(queue, _review_log(spark, d).where("item % 2 = 1"), 2)
+
+
+@query("""WITH w AS (SELECT event_id, value FROM events WHERE value > 0), m AS (SELECT max(value) AS most, count(*) AS n FROM w), u AS (SELECT event_id, floor(value / most * (4503599627370496 >> (length(bin(n - 1)))::INT)::DOUBLE)::BIGINT AS u FROM w, m), i AS (SELECT event_id, u, sum(u) OVER (ORDER BY event_id)::BIGINT AS high FROM u), t AS (SELECT sum(u)::HUGEINT AS total FROM u),
+d AS (SELECT draw, (('0x' || substr(sha256('42|draw|' || draw), 1, 15))::BIGINT::HUGEINT * total // 1152921504606846976)::BIGINT AS place FROM range(5000) r(draw), t)
+SELECT draw, event_id FROM d JOIN i ON place >= high - u AND place < high""")
+def weighted_sample(spark, d):
+    """5,000 draws, the size of a training epoch there; the operator draws any number."""
+    return sampling.weighted_draws(_t(spark, d, "events").select("event_id", "value"), "event_id", "value", 5000)
