@@ -285,7 +285,9 @@ def left_pairs(parted: DataFrame, sketches: DataFrame, similarity: float) -> Dat
 def block_pairs(some: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """(node, hub) of the keys of some (key, node, size, part, large, members, others) whose sketches are near enough, compared block by block."""
     blocks = lambda n: F.ceil(F.col(n) / BLOCK)
-    rows = some.join(sketches.select("node", "bits"), "node")
+    # each row gets its node's sketch: a node has as many rows as its prefix has hashes, so no window is hot
+    bits = F.first("bits", ignorenulls=True).over(Window.partitionBy("node"))
+    rows = some.unionByName(sketches.select("node", "bits"), allowMissingColumns=True).withColumn("bits", bits).where("key IS NOT NULL")
     own = F.pmod(F.xxhash64("node"), blocks("members"))
     other = F.pmod(F.xxhash64("node", F.lit(1)), blocks("others"))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
