@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clean import hash_order
+from ..plans.scratch import kept
 from ..roles import Roles
 
 
@@ -143,3 +144,22 @@ def round_robin(items: DataFrame, subject: str, series: str, item: str, per_subj
     outer = Window.partitionBy(subject).orderBy("_turn", series)
     queue = ranked.withColumn("turn", F.row_number().over(outer)).where(F.col("turn") <= per_subject).drop("_turn", *by)
     return queue.orderBy("turn", subject).limit(limit) if limit else queue
+
+
+def numbered(rows: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """rows with their number (from 1) in this order, without one window over all of them.
+
+    Rows are ranged by the order, counted by range (one number a partition reaches the driver) and numbered from where their range begins. The order should leave no ties.
+    """
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    keyed = rows.withColumns({f"_o{k}": c for k, c in enumerate(columns)})
+    by = [f"_o{k}" for k in range(len(columns))]
+    ranged = kept(keyed.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    counts = sorted((r[0], r[1]) for r in ranged.groupBy("_range").agg(F.count("*")).collect())
+    starts, total = [], 0
+    for part, n in counts:
+        starts.append((part, total))
+        total += n
+    begin = F.broadcast(rows.sparkSession.createDataFrame(starts, "_range int, _start long"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
+    return ranged.withColumn(name, within).join(begin, "_range").withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_start", *by)

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clean import clean_double, reasons
+from .cohort import numbered
 from .neighbours import NEAREST, mutual_edges
 from .quantiles import has_large_groups
 from .robust import MAD_SCALE, caliper, extended_caliper, median_mad
@@ -235,9 +236,9 @@ def extended_matching(edges: DataFrame, core: DataFrame, quotas: DataFrame, caps
 
 
 def pair_ids(pairs: DataFrame) -> DataFrame:
-    """Adds pair_id: numbered through, core pairs first, in the order taken (one row a pair, so one task does)."""
-    w = Window.orderBy(F.col("stage") != "CORE", F.when(F.col("stage") == "CORE", F.col("family")), "turn")
-    return pairs.withColumn("pair_id", F.format_string("CCM_%s_F%02d_P%06d", "stage", "family", F.row_number().over(w)))
+    """Adds pair_id: numbered through, core pairs first, in the order taken."""
+    order = [F.col("stage") != "CORE", F.coalesce(F.when(F.col("stage") == "CORE", F.col("family")), F.lit(0).cast("long")), "turn"]
+    return numbered(pairs, order, "_n").withColumn("pair_id", F.format_string("CCM_%s_F%02d_P%06d", "stage", "family", "_n")).drop("_n")
 
 
 def partners(pairs: DataFrame) -> DataFrame:
