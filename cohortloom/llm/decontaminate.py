@@ -9,8 +9,9 @@ stretches of a batch of documents advance side by side, each by its own shift.
 Patterns are compiled in blocks of bounded size, each broadcast; more than one block means one
 pass over the documents a block, joined by row.
 
-Defined cases: a null text has no words; items without words or without an id are
-ignored; an empty benchmark hits nothing; rows that repeat each get a result.
+Defined cases: a null text has no words; items without words are
+ignored; the words of an item without an id are hit, but nothing names it among the items; null document ids are kept; an empty benchmark hits nothing; rows that repeat each get
+a result; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -117,15 +118,15 @@ class Patterns:
 
 def compile_blocks(items: Iterable[tuple[object, str | None]], size: int, block_bytes: int) -> Iterator[Patterns]:
     """Blocks of windows whose patterns hold about block_bytes."""
-    known: dict[tuple[bytes, ...], list[str]] = {}
+    known: dict[tuple[bytes, ...], dict[str, None]] = {}  # names in order, each once
     held = 0
     for item_id, text in items:
-        for window in windows_of(words_of(text), size) if item_id is not None else ():
+        for window in windows_of(words_of(text), size):
             if window not in known:
-                known[window] = []
+                known[window] = {}
                 held += sum(map(len, window)) + len(window) + 1
-            if str(item_id) not in known[window]:
-                known[window].append(str(item_id))
+            if item_id is not None:  # its words are hit all the same, there is only no name to tell
+                known[window][str(item_id)] = None
         if held >= block_bytes:
             yield _compiled(known)
             known, held = {}, 0
@@ -133,8 +134,8 @@ def compile_blocks(items: Iterable[tuple[object, str | None]], size: int, block_
         yield _compiled(known)
 
 
-def _compiled(known: dict[tuple[bytes, ...], list[str]]) -> Patterns:
-    return Patterns(WuManber([b" " + b" ".join(w) + b" " for w in known]), [len(w) for w in known], [*known.values()])
+def _compiled(known: dict[tuple[bytes, ...], dict[str, None]]) -> Patterns:
+    return Patterns(WuManber([b" " + b" ".join(w) + b" " for w in known]), [len(w) for w in known], [[*names] for names in known.values()])
 
 
 def scan_texts(texts: list[str | None], patterns: Patterns, batch_bytes: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, set[str]]]:

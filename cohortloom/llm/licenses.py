@@ -6,7 +6,7 @@ done for every line, against known one-line notices, so a notice inside a longer
 The join is an equi-join whose side Spark chooses by the size of the table of licenses.
 
 Defined cases: a null or empty text, and one of copyright lines alone, has no license; each row gives one
-result; of several known texts with one digest the smallest license id counts.
+result; of several known texts with one digest the smallest license id counts; null ids are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,18 +25,15 @@ SPELLINGS = {
     "labour": "labor", "licence": "license", "merchantibility": "merchantability", "non commercial": "noncommercial", "non infringement": "noninfringement", "organisation": "organization", "per cent": "percent", "programme ": "program ",
     "recognise": "recognize", "sub license": "sublicense", "sub licence": "sublicense", "sublicence": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful ": "willful ",
 }
-COPYRIGHT_LINE = r"(?m)^[^\S\n]*(?:copyright[ :(]|\(c\)|©|all rights reserved)[^\n]*$"
-
-#: What the operator drops: a line of COPYRIGHT_LINE that is a statement and not a line of a license text wrapped before
+#: What the operator drops: a line that begins with copyright, (c), © or "all rights reserved" and is a statement, not a line of a license text wrapped before
 #: "copyright notice" or an item "(c)". A statement has a year or a sign, or "copyright" and a name, not a word of prose.
-#: COPYRIGHT_LINE is the rule of the SQL, whose expressions have no look-ahead.
 _YEAR, _SIGN = r"(?=[^\n]*\b(?:19|20)\d\d\b)", r"[ :]*(?:\(c\)|©|[0-9]|(?:by|the)\b(?=[^\n]*\b(?:19|20)\d\d\b))"
 _PROSE = "a|an|and|any|applicable|are|as|assignment|at|be|by|can|claims?|disclaimers?|doctrines?|does|except|for|from|has|if|in|infringement|interests?|is|it|laws?|licen[cs]es?|licensors?|like|may|more|of|on|or|patent|permission|protection|provided|resulting|rights?|shall|statements?|status|such|that|the|then|this|those|to|treaty|under|unless|was|when|which|will|with|would|your?"
 COPYRIGHT_STATEMENT = rf"(?m)^[^\S\n]*(?:copyright(?=[ :(])(?![ :]*(?:notices?|holders?|owners?|ownership)\b)(?:{_SIGN}|(?![ :]*(?:{_PROSE})\b)(?=[ :]*[\p{{L}}<\[{{]))|\(c\)(?:(?=[^\S\n]*copyright)|{_YEAR})|©|all rights reserved)[^\n]*$"
 
 _NO_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
 _ISC_END = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
-#: Public license texts and notices, as the SQL knows them; the query knows more_texts() and more_notices().
+#: Public license texts and notices; the query and its SQL know more_texts() and more_notices().
 KNOWN_TEXTS = [
     ("MIT", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n" + _NO_WARRANTY + " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("ISC", "ISC License\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_END),

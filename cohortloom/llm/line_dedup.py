@@ -9,7 +9,8 @@ split a hot line's rows; the positions left are put back in order.
 Texts shuffle once, to meet their dropped positions.
 
 Defined cases: a null or empty text is one empty line; keys shorter than ``min_chars`` are
-never dropped; every row counts as a document, also rows that repeat an id or a whole row; null ids are kept.
+never dropped; every row counts as a document, also rows that repeat an id or a whole row; null ids are kept;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ is scored, by its whole text.
 
 Defined cases: a null or empty text has a score like any other; labels that are null are
 ignored, and of contradicting labels of one id the smaller counts; with labels of one
-class or none every score is 1.
+class or none every score is 1; rows of a null id are scored and count as held out; rows that repeat each get a score; an empty table gives an empty result.
 """
 
 from __future__ import annotations

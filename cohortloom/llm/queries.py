@@ -55,12 +55,23 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    """The same normalisation in DuckDB."""
+    """The same texts, notices and rules in DuckDB."""
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
 
+    def is_statement(line: str) -> str:
+        """Whether a line of lower case is a copyright statement: the rule of the operator, whose look-aheads are tests of their own here."""
+        m = lambda p: f"regexp_matches({line}, {quoted('^[ \\t\\f\\v\\r]*' + p)})"
+        year = f"regexp_matches({line}, {quoted('\\b(19|20)[0-9][0-9]\\b')})"
+        after = f"regexp_matches({line}, {quoted('^[ \\t\\f\\v\\r]*copyright[ :]*(by|the)\\b.*\\b(19|20)[0-9][0-9]\\b')})"
+        named = f"(NOT {m('copyright[ :]*(' + licenses._PROSE + ')' + chr(92) + 'b')} AND {m('copyright[ :]*[' + chr(92) + 'p{L}<' + chr(92) + '[{]')})"
+        signed = m("copyright[ :]*(" + chr(92) + "(c" + chr(92) + ")|©|[0-9])")
+        first = f"{m('copyright[ :(]')} AND NOT {m('copyright[ :]*(notices?|holders?|owners?|ownership)' + chr(92) + 'b')} AND ({signed} OR {after} OR {named})"
+        sign = chr(92) + "(c" + chr(92) + ")"
+        return f"(({first}) OR {m(sign + '[ ' + chr(92) + 't' + chr(92) + 'f' + chr(92) + 'v' + chr(92) + 'r]*copyright')} OR ({m(sign)} AND {year}) OR {m('(©|all rights reserved)')})"
+
     def canonical(text: str) -> str:
-        lines = licenses.COPYRIGHT_LINE.replace("(?m)^", "").replace("[^\\S\\n]", "[ \\t\\f\\v\\r]")
-        out = f"' ' || trim(regexp_replace(regexp_replace(lower({text}), {quoted('(?m)^' + lines)}, ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+        lines = f"array_to_string(list_transform(string_split(lower({text}), chr(10)), lambda x: CASE WHEN {is_statement('x')} THEN ' ' ELSE x END), chr(10))"
+        out = f"' ' || trim(regexp_replace({lines}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
         for odd, usual in licenses.SPELLINGS.items():
             out = f"replace({out}, {quoted(' ' + odd)}, {quoted(' ' + usual)})"
         return f"trim({out})"
@@ -70,7 +81,7 @@ def _license_sql() -> str:
         return f"SELECT sha256({canonical('t')}) AS digest, min(i) AS license_id FROM (VALUES {rows}) AS v(i, t) GROUP BY 1"
 
     return f"""
-WITH texts AS ({known(licenses.KNOWN_TEXTS)}), notes AS ({known(licenses.KNOWN_NOTICES)}),
+WITH texts AS ({known(licenses.more_texts())}), notes AS ({known(licenses.more_notices())}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 c AS (SELECT r, doc_id, {canonical('text')} AS c FROM d),
 l AS (SELECT DISTINCT r, unnest(string_split(text, chr(10))) AS line FROM d),

@@ -12,7 +12,10 @@ interval widened by ``reach`` code points. An interval join of the sorted parts
 Strong access spans count as identifiers, strong assign spans as secrets. Weak spans that
 overlap a strong one are not reported again.
 
-Defined cases: a null text counts as empty and gives no spans; every row gives one result.
+Host names end in one of a few usual last labels (fixed values below): other names, such as those of countries, count as prose, where a full stop without a
+blank after it joins words.
+
+Defined cases: a null text counts as empty and gives no spans; every row gives one result, also rows that repeat; null ids are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ A model whose pieces hold the blank only at their start can't cross into a new w
 word's end, and what it commits for a word is remembered (for a bounded number of words): each word is searched once.
 
 Defined cases: a null or empty text has no ids; decoding turns byte pieces that are no UTF-8
-into U+FFFD; a text that itself holds U+2581 decodes with spaces in its place.
+into U+FFFD; a text that itself holds U+2581 decodes with spaces in its place; null ids are kept; rows that repeat each get a result; a very long
+text is searched in time in proportion to it; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -21,7 +21,7 @@ the sets, as 64-bit hashes. Hubs link large groups; pairs that are still unconne
 rule out pairs that can't be similar (never one that is); where many unconnected members share a shingle they are compared in blocks within tasks.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; a null id
-gets a component like others and counts as larger than all ids; rows that repeat each get a result.
+gets a component like others and counts as larger than all ids; rows that repeat each get a result; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from cohortloom.llm import decontaminate
 from cohortloom.llm import queries as q
 
 
@@ -153,3 +154,12 @@ def test_op10(spark):
     accuracy = sum(p == y for _, p, y in held) / len(held)
     print("held-out AUC", auc, "accuracy", accuracy)
     assert auc > 0.9 and accuracy > 0.93
+
+
+def test_items_without_an_id_are_hit_and_not_named(spark):
+    words = " ".join(f"word{k}" for k in "abcdefghijklmnop")
+    items = spark.createDataFrame([(None, words), (4, "short item")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, words), (2, f"so {words} on"), (None, "a short item"), (3, "clean")], "doc_id long, text string")
+    for block in (1 << 24, 1):  # one block of patterns, and one each
+        got = {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in decontaminate.find_contamination(docs, items, 13, block).collect()}
+        assert got == {1: (16, [], True), 2: (16, [], True), None: (2, ["4"], True), 3: (0, [], False)}

@@ -51,3 +51,22 @@ def test_same_as_sql_on_tables(spark, sf):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = con.execute(oracle_sql()["op6_license_scan"]).fetchall()
     assert sorted(map(tuple, op6_license_scan(spark, sf).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_sql_knows_the_same(spark):
+    """The query's SQL and its operator, over every known text and notice, as they are, signed, and in other letters and line ends."""
+    import duckdb
+    import pyarrow as pa
+
+    from cohortloom.llm import queries
+
+    docs = [None, "", "copyright notice and permission\nfoo", "Copyright the Foo Group 2012\nMIT License", "copyright: John\nx", "copyright {name}\nx", "(c) item of list\nx", "(c) copyright foo", "  ©\tz\nx", "Copyright by law"]
+    for _, t in licenses.more_texts():
+        docs += [t, "Copyright (c) 2020 Foo\nCopyright 2021 by Bar\n" + t.upper(), "(c) 2019 X\n© y\nAll rights reserved.\n" + t.replace("\n", "\r\n")]
+    docs += [n if k % 2 else f"x\n  {n.upper()}  \ny" for k, (_, n) in enumerate(licenses.more_notices())]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [*range(len(docs))], "text": pa.array(docs, pa.string())}))
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, text_digest, license_id, notices FROM ({queries.oracle_sql()['op6_license_scan']})").fetchall()}
+    df = spark.createDataFrame([*enumerate(docs)], "doc_id long, text string")
+    got = {r[0]: tuple(r)[1:] for r in licenses.scan_licenses(df, licenses.known(spark, licenses.more_texts()), licenses.known(spark, licenses.more_notices())).collect()}
+    assert got == want and sum(r[1] is not None for r in got.values()) > 100
