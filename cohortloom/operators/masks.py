@@ -43,6 +43,19 @@ def fold_priors(numbers: DataFrame, fold: str, folds: int = 5) -> DataFrame:
     return stats.groupBy(F.col("_for").alias("fold")).agg(F.min("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("feature", F.struct(F.col("centre").alias("centre"), F.col("scale").alias("scale"))))).alias("prior"))
 
 
+def packed_maps(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with array columns as 32-bit numbers in a binary each."""
+    names = [c for c in rows.columns if c not in columns]
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pdf.assign(**{c: [None if v is None else np.asarray(v, np.float32).tobytes() for v in pdf[c]] for c in columns})
+
+    ordered = rows.select(*names, *columns)
+    return ordered.mapInPandas(run, ", ".join([fields, *[f"`{c}` binary" for c in columns]]))
+
+
 _PREDICTED = (
     "item {kind}, fold int, valid_initial int, reason_initial string, valid_final int, reason_final string, repair_method string, threshold_used double, area_ratio double, peak_probability double, boundary_touch_fraction double, "
     "heart_present int, presence_probability double, presence_threshold double, tta_disagreement double, mean_entropy double, uncertainty_score double, centroid_x double, centroid_y double, prior_deviation double, packed binary"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions.clean import clean_double, elapsed, hash_order, item_token, natural_key, sign_bits, stable_path
-from .operators import audit, cohort, matching, metrics, modeling, neighbours, pooling, relations, review, robust, sampling
+from .operators import audit, cohort, masks, matching, metrics, modeling, neighbours, pooling, quantiles, relations, review, robust, sampling
 from .plans.scratch import kept
 from .plans.store import row_digests
 from .roles import Roles
@@ -821,3 +821,35 @@ SELECT draw, event_id FROM d JOIN i ON place >= high - u AND place < high""")
 def weighted_sample(spark, d):
     """5,000 draws, the size of a training epoch there; the operator draws any number."""
     return sampling.weighted_draws(_t(spark, d, "events").select("event_id", "value"), "event_id", "value", 5000)
+
+
+# pixels, quantiles -------------------------------------------------------------------------------
+
+
+@query("""WITH n AS (SELECT event_id, lag(event_id, 1, event_id) OVER w AS previous, lag(event_type, 1, event_type) OVER w AS a, event_type AS b, lead(event_type, 1, event_type) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, previous, a || b || c AS stack FROM n""")
+def neighbour_stacks(spark, d):
+    e = _t(spark, d, "events").select("event_id", "user_id", "ts", F.col("event_type").cast("binary").alias("pixels"))
+    out = masks.neighbour_stacks(e.select("event_id", "user_id", "ts"), e, "event_id", ["user_id"], ["ts", "event_id"])
+    return out.select("event_id", "previous", F.col("stack").cast("string").alias("stack"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.03), 9) AS low, round(quantile_cont(l_extendedprice, 0.5), 9) AS middle, round(quantile_cont(l_extendedprice, 0.97), 9) AS high FROM lineitem GROUP BY 1")
+def quantiles_in_passes(spark, d):
+    """With a buffer of a thousand values, so groups are read in passes at any size of the tables."""
+    out = quantiles.exact_quantiles(_t(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.03, 0.5, 0.97], in_buffer=1000)
+    return out.select("l_returnflag", "n", *[F.round(F.get("q", F.lit(k)), 9).alias(name) for k, name in enumerate(("low", "middle", "high"))])
+
+
+@query()
+def mask_predictions(spark, d):
+    """The 64 numbers of an embedding in the role of a map of 8 x 8, those of the next one as its second view; priors from masks of the maps themselves."""
+    e = _t(spark, d, "embeddings").where("vec_id IS NOT NULL")
+    level = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x.cast("double") * 2 + 0.5))
+    maps = e.select(F.col("vec_id").alias("item"), (F.col("vec_id") % 5).cast("int").alias("fold"), F.transform("embedding", level).alias("probability"), F.transform("embedding", lambda x: level(x * 0.8)).alias("other"), (F.abs(F.get("embedding", F.lit(0)).cast("double")) * 4).alias("presence"))
+    maps = kept(masks.packed_maps(maps, ["probability", "other"]))
+    settings = spark.createDataFrame([(k, 0.5 + 0.02 * k, 0.4) for k in range(5)], "fold int, threshold double, presence_threshold double")
+    bare = settings.select("fold", F.lit(0).cast("long").alias("n"), F.lit(None).cast("map<string,struct<centre:double,scale:double>>").alias("prior"))
+    first = masks.predict_masks(maps, settings, bare, 8).where("heart_present = 1").select("item", "fold", "packed")
+    priors = masks.fold_priors(masks.mask_numbers(first, "item", "packed", 8).join(first.select("item", "fold"), "item"), "fold")
+    out = masks.predict_masks(maps, settings, kept(priors), 8)
+    return out.select("item", "fold", "valid_initial", "valid_final", "reason_final", "repair_method", "heart_present", *_r("threshold_used", "area_ratio", "uncertainty_score", "prior_deviation"))
