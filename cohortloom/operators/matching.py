@@ -71,15 +71,16 @@ def family_count(n: int) -> int:
     return max(min(2, n), min(n, max(8, min(32, math.ceil(n / 1800)))))
 
 
-def families(items: DataFrame, vector: str, seed: int = 42) -> DataFrame:
-    """Adds family, by k-means."""
+def families(items: DataFrame, vector: str, seed: int = 42, starts: int = 5) -> DataFrame:
+    """Adds family, by k-means: of several starts the one of least cost."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    k = family_count(items.count())
-    ready = items.withColumn("_v", array_to_vector(F.col(vector)))
-    model = KMeans(k=k, seed=seed, maxIter=200, featuresCol="_v", predictionCol="family").fit(ready)
-    return model.transform(ready).drop("_v")
+    ready = kept(items.withColumn("_v", array_to_vector(F.col(vector))))
+    k = family_count(ready.count())
+    models = [KMeans(k=k, seed=seed + n, maxIter=200, featuresCol="_v", predictionCol="family").fit(ready) for n in range(starts)]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    return best.transform(ready).drop("_v")
 
 
 def shared_families(items: DataFrame, family: str, label: str, subject: str, least_items: int = 12, least_subjects: int = 2) -> DataFrame:
@@ -365,6 +366,41 @@ def matching_summary(pairs: DataFrame) -> DataFrame:
     return pairs.groupingSets([["family", "stage"], ["stage"], []], "family", "stage").agg(F.count("*").alias("pairs"), F.percentile("distance", F.lit(0.5)).alias("median_distance"), F.percentile("distance", F.lit(0.9)).alias("p90_distance"))
 
 
+def family_summary(items: DataFrame, edges: DataFrame, limits: DataFrame, pairs: DataFrame, quotas: DataFrame) -> DataFrame:
+    """A row for each shared family: items and subjects of each class, core and all candidate edges, both calipers, core and added pairs, and the pairs that were to be added.
+
+    items: family, label, subject of the shared families.
+    """
+    of = lambda c: F.col("label") == c
+    own = items.groupBy("family").agg(F.count_if(of(0)).alias("items_0"), F.count_if(of(1)).alias("items_1"), F.count_distinct(F.when(of(0), F.col("subject"))).alias("subjects_0"), F.count_distinct(F.when(of(1), F.col("subject"))).alias("subjects_1"))
+    near = edges.groupBy("family").agg(F.count_if(F.col("is_core") == 1).alias("core_edges"), F.count("*").alias("edges"))
+    got = pairs.groupBy("family").agg(F.count_if(F.col("stage") == "CORE").alias("core_pairs"), F.count_if(F.col("stage") != "CORE").alias("added_pairs"))
+    every = own.join(near, "family", "left").join(limits.select("family", "core_caliper", "extended_caliper"), "family", "left").join(got, "family", "left").join(quotas.select("family", F.col("quota").alias("added_target")), "family", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return every.select("family", "items_0", "items_1", "subjects_0", "subjects_1", zero("core_edges"), zero("edges"), "core_caliper", "extended_caliper", zero("core_pairs"), zero("added_pairs"), (F.coalesce("core_pairs", F.lit(0)) + F.coalesce("added_pairs", F.lit(0))).alias("pairs"), zero("added_target"))
+
+
+def matching_totals(manifest: DataFrame, pairs: DataFrame, families: DataFrame, target: int, caps: dict[int, int]) -> DataFrame:
+    """One row: items, eligible ones, shared families, pairs wanted and made, the share of items selected, subjects of each class, their limits, the most items of a subject, and distances by stage."""
+    chosen, of = F.col("selected") == 1, lambda c: F.col("label") == c
+    eligible = F.col("exclusion_reason").isin("", "family_not_shared_between_classes", "no_cross_class_neighbor_in_extended_top_k", "above_extended_family_caliper", "expanded_target_reached", "one_to_one_or_capacity_limit")
+    per = manifest.where(chosen).groupBy("subject").agg(F.count("*").alias("n")).agg(F.max("n").alias("most_items_of_a_subject"))
+    row = manifest.agg(
+        F.count("*").alias("items"), F.count_if(eligible).alias("eligible"), F.count_if(chosen & of(0)).alias("selected_0"), F.count_if(chosen & of(1)).alias("selected_1"), F.count_distinct(F.when(chosen & of(0), F.col("subject"))).alias("subjects_0"), F.count_distinct(F.when(chosen & of(1), F.col("subject"))).alias("subjects_1"),
+    )
+    core = F.when(F.col("stage") == "CORE", F.col("distance"))
+    added = F.when(F.col("stage") != "CORE", F.col("distance"))
+    told = pairs.agg(F.count("*").alias("pairs"), F.count_if(F.col("stage") == "CORE").alias("core_pairs"), *[F.percentile(c, F.lit(q)).alias(f"{n}{m}") for n, c in (("", F.col("distance")), ("core_", core), ("added_", added)) for m, q in (("distance_median", 0.5), ("distance_p90", 0.9))])
+    shared = families.agg(F.count("*").alias("shared_families"))
+    out = row.join(told).join(shared).join(per).withColumns({"target": F.lit(target).cast("long"), "cap_0": F.lit(caps[0]).cast("long"), "cap_1": F.lit(caps[1]).cast("long")})
+    share = lambda of: (F.col("selected_0") + F.col("selected_1")) / F.greatest(F.lit(1), F.col(of))
+    return out.withColumns({"added_pairs": F.col("pairs") - F.col("core_pairs"), "share_of_eligible": share("eligible"), "share_of_items": share("items"), "target_achieved": F.col("pairs") >= F.col("target")})
+
+
+class Matching(tuple):
+    """(manifest, pairs, summary), and as attributes ``families`` (a row a shared family) and ``totals`` (one row)."""
+
+
 def check_matching(manifest: DataFrame, label: Column, subject: str) -> None:
     """Raises unless as many of both classes are selected, of two subjects each."""
     of = lambda c: label == c
@@ -375,7 +411,7 @@ def check_matching(manifest: DataFrame, label: Column, subject: str) -> None:
         raise ValueError(f"too few subjects: {row.s0} and {row.s1}")
 
 
-def build_matching(items: DataFrame, store=None, check: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def build_matching(items: DataFrame, store=None, check: bool = True) -> Matching:
     """(manifest, pairs, summary) of a cross-class matching, from eligibility to reasons.
 
     items: item (long), subject, sequence, label, and the columns that ``eligibility`` and ``descriptor`` use (sharpness instead of log_sharpness; hash a signed
@@ -411,4 +447,7 @@ def build_matching(items: DataFrame, store=None, check: bool = True) -> tuple[Da
     manifest = keep("manifest", manifest.select("item", "subject", "label", F.col("_family").alias("family"), F.coalesce("selected", F.lit(0)).alias("selected"), F.coalesce("core", F.lit(0)).alias("core"), "pair_id", "partner", "distance", F.coalesce("exclusion_reason", F.col("_own")).alias("exclusion_reason")))
     if check:
         check_matching(manifest, F.col("label"), "subject")
-    return manifest, pairs, matching_summary(pairs)
+    out = Matching((manifest, pairs, matching_summary(pairs)))
+    out.families = family_summary(common, edges, limits, pairs, quotas)
+    out.totals = matching_totals(manifest, pairs, out.families, int(goal.target), caps)
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -30,15 +31,22 @@ def write_text(spark: SparkSession, path: str, text: str) -> bool:
     """Writes through a temporary name unless the text is there already; whether it wrote."""
     if read_text(spark, path) == text:
         return False
+    _put(spark, path, text.encode())
+    return True
+
+
+def _put(spark: SparkSession, path: str, raw: bytes) -> None:
+    """The bytes as a file, by a rename over what is there: a reader meets the old file or the new one, at any moment."""
     p, fs = _path(spark, path)
-    part, _ = _path(spark, path + ".part")
+    part, _ = _path(spark, f"{path}.{uuid.uuid4().hex}.part")
     out = fs.create(part, True)
-    out.write(bytearray(text.encode()))
+    out.write(bytearray(raw))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(part, p)
-    return True
+    jvm = spark._jvm
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark._sc._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(part), fs.makeQualified(p), over)
 
 
 def read_json(spark: SparkSession, path: str, default=None):
@@ -186,16 +194,16 @@ def png(pixels) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">2I5B", x.shape[1], x.shape[0], 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
 
 
-def write_png(spark: SparkSession, path: str, pixels) -> None:
-    """Through a temporary name, so a reader never meets half a file."""
+def write_png(spark: SparkSession, path: str, pixels) -> bool:
+    """A gray image, unless a file of the same bytes is there already (its time of change then stays); whether it wrote."""
+    raw = png(pixels)
     p, fs = _path(spark, path)
-    part, _ = _path(spark, path + ".part")
-    out = fs.create(part, True)
-    out.write(bytearray(png(pixels)))
-    out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(part, p)
+    if fs.exists(p) and fs.getFileStatus(p).getLen() == len(raw):
+        there = spark.read.format("binaryFile").load(path).select("content").first()
+        if there and bytes(there.content) == raw:
+            return False
+    _put(spark, path, raw)
+    return True
 
 
 def read_masks(spark: SparkSession, path: str, side: int = 256) -> DataFrame:

@@ -163,3 +163,17 @@ def test_merge_and_removals(spark):
     files = spark.createDataFrame([(p,) for p in ("/w/a", "/w/a/x", "/w/ab", "/w/c", "/w/c/d", "/w/c/d/e", "/w/k/l", "/w/k")], "path string")
     contract = spark.createDataFrame([("/w/a",), ("/w/k/l",)], "path string")
     assert sorted(r.path for r in tables.planned_removals(spark, files, contract).collect()) == ["/w/ab", "/w/c"]
+
+
+def test_unchanged_images_are_left_alone(spark, tmp_path):
+    import os
+
+    from cohortloom.sources import tables
+
+    path, x = str(tmp_path / "m.png"), np.arange(64, dtype=np.uint8).reshape(8, 8)
+    assert tables.write_png(spark, path, x)
+    os.utime(path, (1, 1))
+    assert not tables.write_png(spark, path, x) and os.path.getmtime(path) == 1
+    assert tables.write_png(spark, path, x.T) and os.path.getmtime(path) > 1
+    assert tables.write_text(spark, str(tmp_path / "t.json"), "a") and tables.write_text(spark, str(tmp_path / "t.json"), "b")
+    assert tables.read_text(spark, str(tmp_path / "t.json")) == "b" and not [p for p in os.listdir(tmp_path) if p.endswith(".part")]

@@ -169,7 +169,8 @@ def checkpoints(spark, tmp_path_factory):
 def test_whole_matching(spark, checkpoints, seed, families, subjects, sequences):
     rows = items_of(seed, 260, families, subjects, sequences)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    manifest, pairs, summary = matching.build_matching(df, check=False)
+    made = matching.build_matching(df, check=False)
+    manifest, pairs, summary = made
     want, why = plain([r.asDict() for r in df.collect()])
     assert sorted((r.sick, r.normal, r.stage, r.pair_id) for r in pairs.collect()) == sorted(want)
     assert {r.item: r.exclusion_reason for r in manifest.collect()} == why
@@ -178,6 +179,17 @@ def test_whole_matching(spark, checkpoints, seed, families, subjects, sequences)
         assert told[s] == (1, int(stage == "CORE"), m) and told[m] == (1, int(stage == "CORE"), s)
     assert {(r.family, r.stage): r.pairs for r in summary.collect()}[None, None] == len(want)
     assert any(stage == "EXT" for _, _, stage, _ in want) and any(stage == "CORE" for _, _, stage, _ in want)
+    by = {r.item: r for r in df.collect()}
+    open_ = [i for i, reason in why.items() if reason in ("", "one_to_one_or_capacity_limit", "expanded_target_reached", "above_extended_family_caliper", "no_cross_class_neighbor_in_extended_top_k", "family_not_shared_between_classes")]
+    for r in made.families.collect():
+        own = [by[i] for i in open_ if by[i].family == r.family]
+        assert (r.items_0, r.items_1) == tuple(sum(x.label == c for x in own) for c in (0, 1))
+        assert (r.subjects_0, r.subjects_1) == tuple(len({x.subject for x in own if x.label == c}) for c in (0, 1))
+        counts = [sum(stage == kind and by[s].family == r.family for s, _, stage, _ in want) for kind in ("CORE", "EXT")]
+        assert [r.core_pairs, r.added_pairs] == counts and r.pairs == sum(counts) and r.core_edges <= r.edges and r.core_caliper <= r.extended_caliper
+    t = made.totals.first()
+    assert (t.items, t.eligible, t.pairs, t.selected_0, t.selected_1) == (len(by), len(open_), len(want), len(want), len(want))
+    assert t.core_pairs == sum(stage == "CORE" for _, _, stage, _ in want) and t.share_of_items == 2 * len(want) / len(by) and t.target_achieved == (len(want) >= t.target)
 
 
 def test_invariants(spark):
@@ -206,3 +218,12 @@ def test_blocks_of_neighbours(spark, monkeypatch):
     one = edges()
     monkeypatch.setattr(neighbours, "BLOCK", 7)
     assert edges() == one and one
+
+
+def test_families_take_the_best_of_several_starts(spark, checkpoints):
+    rng = np.random.default_rng(2)
+    rows = [(k, (np.eye(9)[k % 9] * 30 + rng.normal(size=9)).tolist()) for k in range(180)]
+    df = spark.createDataFrame(rows, "item long, v array<double>")
+    got = {r.item: r.family for r in matching.families(df, "v").collect()}
+    assert len(set(got.values())) == matching.family_count(180) == 8
+    assert sum(len({got[k] for k in range(c, 180, 9)}) == 1 for c in range(9)) >= 7  # eight families for nine groups: hardly one is cut
