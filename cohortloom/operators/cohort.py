@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.clean import hash_order
+from ..functions.clean import hash_order, natural_key
 from ..plans.scratch import kept
 from ..roles import Roles
 
@@ -163,3 +163,8 @@ def numbered(rows: DataFrame, order: list[str | Column], name: str) -> DataFrame
     begin = F.broadcast(rows.sparkSession.createDataFrame(starts, "_range int, _start long"))
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
     return ranged.withColumn(name, within).join(begin, "_range").withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_start", *by)
+
+
+def natural_order(items: DataFrame, name: str, key: str, turn: str = "turn") -> DataFrame:
+    """items with their turn (from 1) by name, in which runs of digits count by value, then by key."""
+    return numbered(items, [natural_key(F.col(name)), key], turn)

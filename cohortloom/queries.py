@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .functions.clean import clean_double, elapsed, hash_order, item_token, natural_key, sign_bits, stable_path
+from .functions.clean import clean_double, elapsed, hash_order, item_token, sign_bits, stable_path
 from .operators import audit, cohort, masks, matching, metrics, modeling, neighbours, pooling, quantiles, relations, review, robust, sampling
 from .plans.scratch import kept
 from .plans.store import row_digests
@@ -76,7 +76,7 @@ SELECT p_partkey, row_number() OVER (ORDER BY lpad((p_partkey % 100)::VARCHAR, 2
 FROM part JOIN n USING (p_partkey)""")
 def natural_order(spark, d):
     named = _t(spark, d, "part").select("p_partkey", F.concat(F.lit("img"), (F.col("p_partkey") % 100).cast("string"), F.lit("A"), F.col("p_size").cast("string")).alias("name"))
-    return named.select("p_partkey", F.row_number().over(Window.orderBy(natural_key(F.col("name")), "p_partkey")).alias("turn"))
+    return cohort.natural_order(named, "name", "p_partkey").select("p_partkey", F.col("turn").cast("int").alias("turn"))
 
 
 @query("""
