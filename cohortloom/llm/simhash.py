@@ -136,7 +136,7 @@ HUB_ROUNDS = 2
 #: Hubs that a set meets in a round, those with which it shares most; what it has in common with others is left to the pairs.
 BEST_HUBS = 3
 #: Bits of a parity sketch: how often, odd or even, the hashes of a set begin with each of the numbers below it.
-SKETCH_BITS = 1024
+SKETCH_BITS = 2048
 #: Keys whose members would make more pairs than this are compared in blocks of so many members.
 HOT_PAIRS, BLOCK = 4096, 2048
 
@@ -169,7 +169,7 @@ def text_hash(column: str | Column) -> Column:
 
 def parity_sketch(hashes: np.ndarray) -> np.ndarray:
     """Bits as longs. Those in which two sketches differ are no more than the hashes that one set alone has, whatever the sets share."""
-    odd = np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    odd = np.bincount((hashes >> np.uint64(65 - SKETCH_BITS.bit_length())).astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
