@@ -853,3 +853,24 @@ def mask_predictions(spark, d):
     priors = masks.fold_priors(masks.mask_numbers(first, "item", "packed", 8).join(first.select("item", "fold"), "item"), "fold")
     out = masks.predict_masks(maps, settings, kept(priors), 8)
     return out.select("item", "fold", "valid_initial", "valid_final", "reason_final", "repair_method", "heart_present", *_r("threshold_used", "area_ratio", "uncertainty_score", "prior_deviation"))
+
+
+@query("""WITH s AS (SELECT DISTINCT user_id FROM events WHERE value >= 0), r AS (SELECT DISTINCT user_id FROM events WHERE event_id % 97 = 0) (SELECT user_id FROM s EXCEPT SELECT user_id FROM r) UNION ALL (SELECT user_id FROM r EXCEPT SELECT user_id FROM s)""")
+def cohort_differences(spark, d):
+    modes = {"all": F.col("value") >= 0, "rare": F.col("event_id") % 97 == 0}
+    return pooling.cohort_mismatch(pooling.mode_membership(_t(spark, d, "events"), modes), "user_id", "all", "rare")
+
+
+@query("""
+WITH t AS (SELECT unnest([0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70, 0.75]::DOUBLE[]) AS threshold), p AS (SELECT l_orderkey, threshold, count(*) FILTER (l_tax * 10 > threshold AND l_discount > 0.04) AS both_, count(*) FILTER (l_tax * 10 > threshold) AS guess, count(*) FILTER (l_discount > 0.04) AS truth, count(*) AS n FROM lineitem, t GROUP BY ALL),
+x AS (SELECT threshold, o_custkey AS subject, (truth > 0)::INT AS y, CASE WHEN truth > 0 THEN (2 * both_ + 1e-6) / (guess + truth + 1e-6) ELSE 1 - least(1, guess / n / 0.10) END AS q, (guess > 0)::INT AS valid FROM p JOIN orders ON o_orderkey = l_orderkey),
+a AS (SELECT threshold, subject, avg(q) AS q, count(*) FILTER (y = 1 AND valid = 0) AS bad, count(*) FILTER (y = 1) AS n FROM x GROUP BY ALL), v AS (SELECT threshold, avg(q) AS mean_quality, sum(bad) / greatest(1, sum(n))::DOUBLE AS invalid_rate FROM a GROUP BY 1), z AS (SELECT *, mean_quality - 0.2 * invalid_rate AS score FROM v)
+SELECT unnest(arg_max({'threshold': threshold, 'score': round(score, 9), 'mean_quality': round(mean_quality, 9), 'invalid_rate': round(invalid_rate, 9)}, (round(score, 12), -abs(threshold - 0.5), -threshold))) FROM z""")
+def mask_threshold_search(spark, d):
+    """Lines of an order in the role of pixels: the truth by discount, the guess by tax at each threshold."""
+    lines = _t(spark, d, "lineitem").select("l_orderkey", "l_tax", "l_discount", F.explode(F.array(*map(F.lit, metrics.THRESHOLDS))).alias("threshold"))
+    guess, truth = F.col("l_tax") * 10 > F.col("threshold"), F.col("l_discount") > 0.04
+    found = lines.groupBy(F.col("l_orderkey").alias("o_orderkey"), "threshold").agg(F.count_if(guess & truth).alias("both"), F.count_if(guess).alias("guess"), F.count_if(truth).alias("truth"), F.count("*").alias("n"))
+    rows = found.join(_t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("subject")), "o_orderkey").withColumns({"present": (F.col("truth") > 0).cast("int"), "valid": (F.col("guess") > 0).cast("int")})
+    tried = rows.withColumn("quality", metrics.target_quality(F.col("present"), F.col("both"), F.col("guess") + F.col("truth"), F.col("guess") / F.col("n")))
+    return metrics.grid_search(tried, "threshold", "subject", "present", "quality", "valid").select("threshold", *_r("score", "mean_quality", "invalid_rate"))
