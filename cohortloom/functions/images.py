@@ -33,6 +33,28 @@ def shrink(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return weights(h, height) @ image.astype(float) @ weights(w, width).T
 
 
+#: Fixed value: the slope of the cubic kernel.
+CUBIC = -0.75
+
+
+def enlarge(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Cubic convolution over four neighbours each way, pixel centres aligned, the border repeated."""
+
+    def weights(n: int, m: int) -> np.ndarray:
+        at = (np.arange(m) + 0.5) * n / m - 0.5
+        first = np.floor(at).astype(int)
+        out = np.zeros((m, n))
+        for k in range(-1, 3):
+            d = np.abs(at - (first + k))
+            near = ((CUBIC + 2) * d - (CUBIC + 3)) * d * d + 1
+            far = ((CUBIC * d - 5 * CUBIC) * d + 8 * CUBIC) * d - 4 * CUBIC
+            np.add.at(out, (np.arange(m), np.clip(first + k, 0, n - 1)), np.where(d <= 1, near, np.where(d < 2, far, 0)))
+        return out
+
+    h, w = image.shape
+    return weights(h, height) @ image.astype(float) @ weights(w, width).T
+
+
 #: Fixed values of padding lines: mean and deviation at most, share of values that are dark at least; what may be cut off a side, what must stay.
 DARK_MEAN, DARK_DEVIATION, DARK_VALUE, DARK_SHARE = 12.0, 4.0, 20, 0.98
 SIDE, STAYS = 0.20, 0.60
@@ -64,13 +86,14 @@ def robust_scale(image: np.ndarray) -> np.ndarray:
 
 
 def canvas(image: np.ndarray, size: int = 256, long_side: int = 240) -> tuple[np.ndarray, np.ndarray]:
-    """(image on a square canvas, where it lies)."""
+    """(image on a square canvas, where it lies): shrunk by area or enlarged by cubic convolution, between 0 and 1."""
     h, w = image.shape
     k = long_side / max(h, w)
-    nh, nw = max(1, round(h * k)), max(1, round(w * k))
+    nh, nw = (long_side, max(1, round(w * k))) if h >= w else (max(1, round(h * k)), long_side)
     out, inside = np.zeros((size, size)), np.zeros((size, size), bool)
     y, x = (size - nh) // 2, (size - nw) // 2
-    out[y : y + nh, x : x + nw] = resize(image, nh, nw)
+    fitted = image if (nh, nw) == (h, w) else shrink(image, nh, nw) if k < 1 else enlarge(image, nh, nw)
+    out[y : y + nh, x : x + nw] = np.clip(fitted, 0, 1)
     inside[y : y + nh, x : x + nw] = True
     return out, inside
 
@@ -84,6 +107,13 @@ def standardise(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return robust, raw, content
 
 
+def classifier_views(image: np.ndarray, side: int = 224) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(robust, raw, content) at the side of a classifier: shrunk by area, content by the nearest pixel."""
+    robust, raw, content = standardise(image)
+    at = np.minimum((np.arange(side) * content.shape[0] / side).astype(int), content.shape[0] - 1)
+    return shrink(robust, side, side), shrink(raw, side, side), content[at][:, at]
+
+
 def perceptual_hash(image: np.ndarray) -> str:
     """16 hex digits: the 64 lowest frequencies of a cosine transform, larger than the median of all but the constant one."""
     k, n = np.arange(8)[:, None], np.arange(32)[None, :]

@@ -53,6 +53,13 @@ def default_weight(target: Column, source: Column) -> Column:
     return F.when(target == "NO_HEART_VISIBLE", WEIGHT_ABSENT).when(F.contains(F.lower(source), F.lit("auto")), WEIGHT_AUTO).otherwise(WEIGHT_MANUAL)
 
 
+def all_marks(annotations: DataFrame, masks: DataFrame, key: str) -> DataFrame:
+    """key, target_type, mask_area, found of every item that has an annotation or a mask file, for ``target_audit``. masks: key, area (null: unreadable)."""
+    told = annotations.select(key, "target_type")
+    there = masks.select(key, F.col("area").alias("mask_area"), F.lit(True).alias("found"))
+    return told.join(there, key, "full").select(key, "target_type", "mask_area", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def target_audit(items: DataFrame, marks: DataFrame, key: str) -> DataFrame:
     """ACCEPTED, EXCLUDED or REJECTED for every key of marks.
 

@@ -30,6 +30,14 @@ def with_annotations(rows: DataFrame, annotations: DataFrame, masks: DataFrame,
     return told.withColumns({"target": normal_target(F.col("_told")), "mask_reason": reason}).drop("_told", "_found")
 
 
+def with_sequence(predictions: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
+    """predictions with sequence and index from the manifest; those that it doesn't know lie in their series and folder at index 0. predictions: key, series, path; manifest: key, sequence, index."""
+    known = manifest.select(key, F.nullif(F.col("sequence").cast("string"), F.lit("")).alias("_sequence"), F.col("index").alias("_index"))
+    own = F.concat_ws("::", F.coalesce("series", F.lit("")), F.coalesce(F.nullif(F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.lit("")), F.lit(".")))
+    both = predictions.join(known, key, "left")
+    return both.withColumns({"sequence": F.coalesce("_sequence", own), "index": F.coalesce("_index", F.lit(0))}).drop("_sequence", "_index")
+
+
 def evaluated_targets(accepted: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
     """Accepted targets that have a prediction, with Dice, IoU, precision and recall of pixel counts tp, fp and fn of the predictions."""
     both = accepted.join(predictions, key)

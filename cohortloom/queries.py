@@ -874,3 +874,17 @@ def mask_threshold_search(spark, d):
     rows = found.join(_t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("subject")), "o_orderkey").withColumns({"present": (F.col("truth") > 0).cast("int"), "valid": (F.col("guess") > 0).cast("int")})
     tried = rows.withColumn("quality", metrics.target_quality(F.col("present"), F.col("both"), F.col("guess") + F.col("truth"), F.col("guess") / F.col("n")))
     return metrics.grid_search(tried, "threshold", "subject", "present", "quality", "valid").select("threshold", *_r("score", "mean_quality", "invalid_rate"))
+
+
+@query("SELECT coalesce(l.doc_id, m.doc_id) AS doc_id, CASE WHEN toxic = 1 THEN 'UNUSABLE' WHEN toxic = 0 THEN 'HEART_PRESENT' END AS target_type, mask_area, m.doc_id IS NOT NULL AS found FROM labels l FULL JOIN (SELECT doc_id, doc_id % 7 / 6.0::DOUBLE AS mask_area FROM documents WHERE doc_id % 4 > 0) m ON m.doc_id = l.doc_id")
+def all_marks(spark, d):
+    told = _t(spark, d, "labels").select("doc_id", F.expr("CASE toxic WHEN 1 THEN 'UNUSABLE' WHEN 0 THEN 'HEART_PRESENT' END").alias("target_type"))
+    return audit.all_marks(told, _t(spark, d, "documents").where("doc_id % 4 > 0").select("doc_id", F.expr("doc_id % 7 / 6.0D").alias("area")), "doc_id")
+
+
+@query("SELECT e.event_id, CASE WHEN m.event_id IS NOT NULL THEN user_id::VARCHAR ELSE event_type || '::' || CASE WHEN user_id % 3 = 0 THEN '.' ELSE 'a/' || (user_id % 5) END END AS sequence, coalesce(m.event_id % 1000, 0) AS index FROM events e LEFT JOIN (SELECT event_id FROM events WHERE event_id % 10 > 2) m ON m.event_id = e.event_id")
+def sequences_of_predictions(spark, d):
+    e = _t(spark, d, "events")
+    predictions = e.select("event_id", F.col("event_type").alias("series"), F.expr("CASE WHEN user_id % 3 = 0 THEN 'x.png' ELSE concat('a/', user_id % 5, '/x.png') END").alias("path"))
+    manifest = e.where("event_id % 10 > 2").select("event_id", F.col("user_id").alias("sequence"), (F.col("event_id") % 1000).alias("index"))
+    return relations.with_sequence(predictions, manifest, "event_id").select("event_id", "sequence", "index")

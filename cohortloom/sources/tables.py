@@ -237,3 +237,21 @@ def read_quality(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame({"path": b["origin"], **{n: [f[n] for f in found] for n in names}})
 
     return images.mapInPandas(run, "path string, perceptual_hash string, sharpness double, noise_ratio double, dynamic_range double")
+
+
+def read_views(spark: SparkSession, path: str, side: int = 224) -> DataFrame:
+    """(path, robust, raw, content): the views of the images below a path that a classifier reads, side x side 32-bit numbers each, content as bytes of 0 and 1; null where an image can't be read."""
+    from ..functions.images import classifier_views
+
+    images = read_images(spark, path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            for r in b.to_dict("records"):
+                views = classifier_views(gray(r), side) if r["height"] > 0 else (None,) * 3
+                yield pd.DataFrame({"path": [r["origin"]], **{n: [None if v is None else v.astype(kind).tobytes()] for n, v, kind in zip(("robust", "raw", "content"), views, (np.float32, np.float32, np.uint8), strict=True)}})
+
+    return images.mapInPandas(run, "path string, robust binary, raw binary, content binary")

@@ -48,7 +48,10 @@ def test_quality_metrics():
     assert flat["sharpness"] == 0 and flat["dynamic_range"] == pytest.approx(0, abs=1e-9) and flat["noise_ratio"] == pytest.approx(0, abs=1e-9)
     stripes = np.tile(np.repeat([40, 200], 16), (128, 4)).astype(np.uint8)
     got = images.quality_metrics(stripes)
-    assert got["sharpness"] > 100 and 100 < got["dynamic_range"] <= 160 and got["noise_ratio"] < 0.05
+    # the cubic kernel overshoots at edges by an eighth of the step at most, on both sides
+    assert got["sharpness"] > 100 and 100 < got["dynamic_range"] <= 160 * 1.25 and got["noise_ratio"] < 0.05
+    large = images.quality_metrics(np.tile(np.repeat([40, 200], 64), (512, 4)).astype(np.uint8))  # shrunk by area: no overshoot
+    assert large["sharpness"] > 100 and 100 < large["dynamic_range"] <= 160 and large["noise_ratio"] < 0.05
 
 
 def test_repair_and_prediction():
@@ -177,3 +180,30 @@ def test_unchanged_images_are_left_alone(spark, tmp_path):
     assert tables.write_png(spark, path, x.T) and os.path.getmtime(path) > 1
     assert tables.write_text(spark, str(tmp_path / "t.json"), "a") and tables.write_text(spark, str(tmp_path / "t.json"), "b")
     assert tables.read_text(spark, str(tmp_path / "t.json")) == "b" and not [p for p in os.listdir(tmp_path) if p.endswith(".part")]
+
+
+def test_cubic_kernel_and_views(spark, tmp_path):
+    from cohortloom.functions import images
+    from cohortloom.sources import tables
+
+    rng = np.random.default_rng(6)
+    flat = np.full((7, 5), 0.4)
+    assert np.allclose(images.enlarge(flat, 20, 13), 0.4)  # weights sum to one
+    line = np.arange(12.0)[None, :].repeat(3, 0)
+    grown = images.enlarge(line, 3, 24)
+    assert np.allclose(grown[:, 4:-4], (np.arange(24) + 0.5)[None, 4:-4] / 2 - 0.5, atol=0.05)  # a ramp stays one
+    x = rng.random((1, 9))
+    a, d = -0.75, 0.25  # the second new pixel lies a quarter after the first old one
+    near, far = lambda t: ((a + 2) * t - (a + 3)) * t * t + 1, lambda t: ((a * t - 5 * a) * t + 8 * a) * t - 4 * a
+    assert images.enlarge(x, 1, 18)[0, 1] == pytest.approx(x[0, 0] * near(d) + x[0, 1] * near(1 - d) + x[0, 2] * far(2 - d) + x[0, 0] * far(1 + d))
+    for h, w in ((300, 500), (60, 100), (240, 180), (500, 20)):
+        picture = rng.random((h, w))
+        out, inside = images.canvas(picture)
+        assert out.shape == (256, 256) and inside.any(0).sum() == (240 if w > h else max(1, round(w * 240 / h))) and inside.any(1).sum() == (240 if h >= w else max(1, round(h * 240 / w)))
+        assert (out[~inside] == 0).all() and 0 <= out.min() and out.max() <= 1
+    assert np.array_equal(images.canvas(picture := rng.random((240, 180)))[0][8:248, 38:218], picture)  # of the right size: as it is
+    pixels = rng.integers(0, 256, (90, 70)).astype(np.uint8)
+    tables.write_png(spark, f"{tmp_path}/v.png", pixels)
+    r = tables.read_views(spark, str(tmp_path)).first()
+    for got, want, kind in zip((r.robust, r.raw, r.content), images.classifier_views(pixels), (np.float32, np.float32, np.uint8), strict=True):
+        assert np.allclose(np.frombuffer(got, kind).reshape(224, 224), want, atol=1e-6)
