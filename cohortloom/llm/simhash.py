@@ -17,7 +17,7 @@ edges (a number of rows in proportion to the fingerprints).
 For a similarity (``one_of_each``) 64 bits and three flips are too few: texts whose 5-word shingles have a
 Jaccard similarity of 0.8 differ in about ten bits. There the links are exact: in one order of all shingles, sets of
 at least this similarity share a shingle of their first fifth (prefix filter), and pairs that share one are verified on
-the sets, as 64-bit hashes. Hubs link large groups; pairs that are still unconnected are all verified. Before sets are fetched, parity sketches
+the sets, as 64-bit hashes. Hubs link large groups, then rounds of closest sketches (as in a spanning forest); pairs that are still unconnected are all verified. Before sets are fetched, parity sketches
 rule out pairs that can't be similar (never one that is); where many unconnected members share a shingle they are compared in blocks within tasks.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; a null id
@@ -232,9 +232,12 @@ def prefixes(docs: DataFrame, shingle: int, similarity: float, frequent: np.ndar
 def shared_keys(every: DataFrame) -> DataFrame:
     """key, node, size for the hashes of prefixes that more than one node has, distinct. every: node, size, prefix."""
     keys = every.select("node", "size", F.explode("prefix").alias("key"))
-    of_key = Window.partitionBy("key")
-    several = keys.select("*", F.min("node").over(of_key).alias("p"), F.max("node").over(of_key).alias("q")).where("p <> q")
-    return written(several.select("key", "node", "size").distinct(), "shared-keys")[0]
+    of_key = keys.groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q")
+    # written, so that the join reads an exchange on both sides and Spark can split a hot key
+    several, path = written(of_key.select("key"), "several-nodes")
+    shared, _ = written(keys.join(several.hint("merge"), "key", "left_semi").select("key", "node", "size").distinct(), "shared-keys")
+    dropped(every.sparkSession, path)
+    return shared
 
 
 def likely(met: DataFrame, similarity: float, part: float, best: int | None = None) -> DataFrame:
@@ -263,27 +266,51 @@ def hub_pairs(parted: DataFrame, similarity: float, turn: int) -> DataFrame:
     return likely(parted.join(hubs.hint("merge"), "key").where("part <> hub_part"), similarity, 0.3, BEST_HUBS)
 
 
-def left_pairs(parted: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """(node, hub): all pairs of a key that may be similar and are in different parts.
+def in_parts(keys: DataFrame, found: DataFrame | None) -> DataFrame:
+    """keys with part: the component of the node by the links found, the node itself without one."""
+    if found is None:
+        return keys.withColumn("part", F.col("node"))
+    parts, _ = written(connected_components(found), "parts")
+    joined = keys.join(parts.withColumnRenamed("component", "part"), "node", "left")
+    return joined.select("key", "node", "size", F.coalesce("part", "node").alias("part"))
+
+
+def several_parts(keys: DataFrame, found: DataFrame | None) -> DataFrame:
+    """key, node, size, part, large (the largest part of the key), members, others (those outside it), hot: of the keys whose members are in several parts of the links found."""
+    parted = in_parts(keys, found)
+    of_part = parted.groupBy("key", "part").agg(F.count("*").alias("n"))
+    per = of_part.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("large"), F.count("*").alias("parts"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("others"))
+    large, _ = written(per.where("parts > 1").select("key", "large", "members", "others"), "largest-parts")
+    return written(parted.join(large.hint("merge"), "key").withColumn("hot", F.col("members") * F.col("others") > HOT_PAIRS), "several-parts")[0]
+
+
+def left_pairs(some: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """(node, hub): all pairs of a key of some that may be similar and are in different parts, by their sketches too.
 
     The members of a key outside its largest part meet all of its members, so a large part does not meet itself. Pairs that share a key of
     many such members are compared there, in blocks by their sketches; the others by the hashes that they share.
     """
-    parts = parted.groupBy("key", "part").agg(F.count("*").alias("n"))
-    per = parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("large"), F.count("*").alias("parts"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("others"))
-    large, _ = written(per.where("parts > 1").select("key", "large", "members", "others"), "largest-parts")
-    some, _ = written(parted.join(large.hint("merge"), "key").withColumn("hot", F.col("members") * F.col("others") > HOT_PAIRS), "several-parts")
     cold = some.where("NOT hot")
     few = cold.where("part <> large").select("key", F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("part").alias("hub_part"))
     met = cold.join(few.hint("merge"), "key").where("part <> hub_part AND (part = large OR node < hub)")
     # one row for each common hash, whichever of the two is in the largest part of the key
     pair = F.array_sort(F.array(F.struct("node", "size"), F.struct(F.col("hub").alias("node"), F.col("hub_size").alias("size"))))
     ordered = met.select(pair.alias("x")).select(F.col("x")[0]["node"].alias("node"), F.col("x")[0]["size"].alias("size"), F.col("x")[1]["node"].alias("hub"), F.col("x")[1]["size"].alias("hub_size"))
-    return likely(ordered, similarity, 1).unionByName(block_pairs(some.where("hot"), sketches, similarity)).distinct()
+    return near_sketches(likely(ordered, similarity, 1), sketches, similarity).unionByName(block_pairs(some.where("hot"), sketches, similarity)).distinct()
 
 
-def block_pairs(some: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """(node, hub) of the keys of some (key, node, size, part, large, members, others) whose sketches are near enough, compared block by block."""
+def closest_pairs(some: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """(node, hub): for each node of a hot key the one of another part whose sketch is the closest, if it is near enough."""
+    near = block_pairs(some.where("hot"), sketches, similarity, closest=True)
+    best = near.groupBy("node").agg(F.min_by("hub", F.struct("far", "hub")).alias("hub"))
+    return best.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).distinct()
+
+
+def block_pairs(some: DataFrame, sketches: DataFrame, similarity: float, closest: bool = False) -> DataFrame:
+    """(node, hub) of the keys of some (key, node, size, part, large, members, others) whose sketches are near enough, compared block by block.
+
+    With ``closest`` a node outside the largest part gets its closest of each block alone, with far: the share of their hashes in which the sketches differ.
+    """
     blocks = lambda n: F.ceil(F.col(n) / BLOCK)
     # each row gets its node's sketch: a node has as many rows as its prefix has hashes, so no window is hot
     bits = F.first("bits", ignorenulls=True).over(Window.partitionBy("node"))
@@ -298,20 +325,28 @@ def block_pairs(some: DataFrame, sketches: DataFrame, similarity: float) -> Data
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        found = []
+        found, shares = [], []
         if len(a) and len(b):
             x, y = (np.array(t["bits"].tolist(), np.int64).view(np.uint64) for t in (a, b))
             node, size, part = (b[c].to_numpy() for c in ("node", "size", "part"))
             in_large = part == int(b["large"].iloc[0])
-            for k, (n, m, p) in enumerate(zip(a["node"].tolist(), a["size"].tolist(), a["part"].tolist(), strict=True)):
-                near = np.flatnonzero((part != p) & (in_large | (node < n)) & (np.minimum(size, m) >= np.maximum(size, m) * similarity - 1e-9))
-                apart = np.bitwise_count(y[near] ^ x[k]).sum(1, dtype=np.int64)
-                hit = near[apart <= share * (size[near] + m) + 1e-6]
+            for at, (n, m, p) in enumerate(zip(a["node"].tolist(), a["size"].tolist(), a["part"].tolist(), strict=True)):
+                near = np.flatnonzero((part != p) & (closest | in_large | (node < n)) & (np.minimum(size, m) >= np.maximum(size, m) * similarity - 1e-9))
+                apart = np.bitwise_count(y[near] ^ x[at]).sum(1, dtype=np.int64)
+                fits = apart <= share * (size[near] + m) + 1e-6
+                hit, far = near[fits], apart[fits] / np.maximum(size[near][fits] + m, 1)
+                if closest:
+                    if len(hit):
+                        k = np.lexsort((node[hit], far))[0]
+                        found.append(np.array([[n, node[hit[k]]]]))
+                        shares.append(far[k])
+                    continue
                 found.append(np.stack([np.minimum(node[hit], n), np.maximum(node[hit], n)], 1))
         pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
-        return pd.DataFrame({"node": pairs[:, 0], "hub": pairs[:, 1]})
+        out = pd.DataFrame({"node": pairs[:, 0], "hub": pairs[:, 1]})
+        return out.assign(far=np.array(shares, float)) if closest else out
 
-    return every.unionByName(asks).groupBy("key", "i", "j").applyInPandas(compare, "node long, hub long")
+    return every.unionByName(asks).groupBy("key", "i", "j").applyInPandas(compare, "node long, hub long" + ", far double" * closest)
 
 
 def near_sketches(met: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
@@ -345,23 +380,36 @@ def verified(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def similar_edges(keys: DataFrame, sketches: DataFrame, sets_of, similarity: float) -> DataFrame:
     """(u, v): verified links, enough to connect all nodes that are similar enough. ``sets_of(met)`` gives the sets of the nodes of pairs.
 
-    Rounds of hubs link large groups by few pairs. What they leave unconnected meets in all pairs, so no link is missed.
+    Rounds of hubs link large groups by few pairs. Where a shingle has many members that are still unconnected, each is then linked to the closest by its
+    sketch, in rounds for as long as most of these pairs are links: each round leaves a few of the pairs that stood between parts, so pairs of one group do
+    not all have to be verified. What is left unconnected meets in all pairs, so no link is missed.
     """
+    spark = keys.sparkSession
     found = None
-    for turn in range(HUB_ROUNDS + 1):
-        if found is None:
-            parted = keys.withColumn("part", F.col("node"))
+
+    def linked(met: DataFrame) -> tuple[int, int]:
+        """Verifies the pairs and adds the links; the number of both."""
+        nonlocal found
+        met, met_path = written(met, "met")
+        if not (asked := met.count()):
+            new, _ = written(met.select(F.col("node").alias("u"), F.col("hub").alias("v")), "similar-edges")
         else:
-            parts, _ = written(connected_components(found), "parts")
-            joined = keys.join(parts.withColumnRenamed("component", "part"), "node", "left")
-            parted = joined.select("key", "node", "size", F.coalesce("part", "node").alias("part"))
-        met = hub_pairs(parted, similarity, turn) if turn < HUB_ROUNDS else left_pairs(parted, sketches, similarity)
-        met, met_path = written(near_sketches(met, sketches, similarity), "met")
-        sets, sets_path = sets_of(met)
-        new, _ = written(verified(met, sets, similarity), "similar-edges")
-        for path in (met_path, sets_path):
-            dropped(keys.sparkSession, path)
+            sets, sets_path = sets_of(met)
+            new, _ = written(verified(met, sets, similarity), "similar-edges")
+            dropped(spark, sets_path)
+        dropped(spark, met_path)
         found = new if found is None else found.unionByName(new)
+        return asked, new.count()
+
+    for turn in range(HUB_ROUNDS):
+        linked(near_sketches(hub_pairs(in_parts(keys, found), similarity, turn), sketches, similarity))
+    some = several_parts(keys, found)
+    asked = links = 1
+    while 2 * links > asked:
+        asked, links = linked(closest_pairs(some, sketches, similarity))
+        if links:
+            some = several_parts(keys, found)
+    linked(left_pairs(some, sketches, similarity))
     return found
 
 

@@ -122,7 +122,18 @@ def test_blocks_find_what_pairs_find(spark, monkeypatch):
     assert 10 < len(want) < 150
     monkeypatch.setattr(simhash, "HOT_PAIRS", 20)
     monkeypatch.setattr(simhash, "BLOCK", 16)
+    linked = sum(len(a & b) >= 0.8 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
+    last, plain = [], simhash.left_pairs
+
+    def counted(*args):
+        pairs = plain(*args)
+        last.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(simhash, "left_pairs", counted)
     for hubs in (2, 0):
         monkeypatch.setattr(simhash, "HUB_ROUNDS", hubs)
         kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
         assert kept == want
+    # rounds of closest sketches have linked the group by then
+    assert linked > 300 and max(last) < linked / 4
