@@ -234,23 +234,23 @@ class Encoder:
         return text[1:] if m.dummy_prefix and text.startswith(" ") else text
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, max_words: int = 120_000) -> Encoder:
     """One for each Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(Model(path))
-    return _ENCODERS[path]
+    if (path, max_words) not in _ENCODERS:
+        _ENCODERS[path, max_words] = Encoder(Model(path), max_words)
+    return _ENCODERS[path, max_words]
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, n_ids, ids, round_trip (whether decoding gives the text) for every row."""
+def encode_documents(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", max_words: int = 120_000) -> DataFrame:
+    """id, n_ids, ids, round_trip (whether decoding gives the text) for every row. max_words bounds what a worker remembers, not the result."""
     rows = pick(docs, id=id_column, text=text_column)
     kind = rows.schema["id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(model_path)
+        own = encoder(model_path, max_words)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
