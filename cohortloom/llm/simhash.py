@@ -15,9 +15,9 @@ joins by hint: Spark estimates exploded rows by their source and would broadcast
 edges (a number of rows in proportion to the fingerprints).
 
 For a similarity (``one_of_each``) 64 bits and three flips are too few: texts whose 5-word shingles have a
-Jaccard similarity of 0.8 differ in about ten bits. There the links are exact: in one order of all shingles, sets of
-at least this similarity share a shingle of their first fifth (prefix filter), and pairs that share one are verified on
-the sets, as 64-bit hashes. Hubs link large groups, then rounds of closest sketches (as in a spanning forest); pairs that are still unconnected are all verified. Before sets are fetched, parity sketches
+Jaccard similarity of 0.8 differ in about ten bits. There ball hashing comes first, on the fingerprints of the shingle sets, and its links are
+verified on the sets, as 64-bit hashes. An exact search follows for what it can't reach: in one order of all shingles, sets of
+at least this similarity share a shingle of their first fifth (prefix filter), and pairs that share one are verified. Hubs link large groups, then rounds of closest sketches (as in a spanning forest); pairs that are still unconnected are all verified. Before sets are fetched, parity sketches
 rule out pairs that can't be similar (never one that is); where many unconnected members share a shingle they are compared in blocks within tasks.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; a null id
@@ -41,6 +41,15 @@ from .components import connected_components
 BITS, RADIUS, BYTES_AGREE = 64, 3, 5
 
 
+def majority_bits(hashes: list[int] | np.ndarray) -> int:
+    """The bits set in over half of the 64-bit hashes."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 4096):
+        raw = np.array(hashes[at : at + 4096], ">u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(raw, axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The bits set in over half of the XXH64 (seed 42) of the word shingles; 0 without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -55,11 +64,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         starts = [0, *ends[: n - 1].tolist()]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, 4096):
-        raw = np.array(hashes[at : at + 4096], ">u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(raw, axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    return majority_bits(hashes)
 
 
 def fingerprints(docs: DataFrame, shingle: int, id_column: str, text_column: str) -> DataFrame:
@@ -196,7 +201,7 @@ def frequent_shingles(docs: DataFrame, shingle: int, text_column: str) -> np.nda
 
 
 def prefixes(docs: DataFrame, shingle: int, similarity: float, frequent: np.ndarray, id_column: str, text_column: str) -> DataFrame:
-    """id, h (a hash of the text), node (a digest of the shingle set), size (of the set), prefix (its first hashes in one order of all shingles), bits (its sketch) for every row.
+    """id, h (a hash of the text), node (a digest of the shingle set), size (of the set), prefix (its first hashes in one order of all shingles), bits (its sketch), fp (its fingerprint) for every row.
 
     Two sets that are similar enough share a hash of their prefixes: a prefix leaves out fewer hashes than any such pair shares.
     The order is by hash, with the frequent shingles last.
@@ -211,10 +216,11 @@ def prefixes(docs: DataFrame, shingle: int, similarity: float, frequent: np.ndar
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                nodes, sizes, first, bits = [], [], [], []
+                nodes, sizes, first, bits, fps = [], [], [], [], []
                 for text in piece["text"]:
                     hashes = shingle_set(text.as_py(), shingle)
                     bits.append(parity_sketch(hashes))
+                    fps.append(_as_long(majority_bits(hashes)))
                     nodes.append(_digest(hashes))
                     sizes.append(len(hashes))
                     hashes = hashes.view(np.int64)
@@ -224,9 +230,9 @@ def prefixes(docs: DataFrame, shingle: int, similarity: float, frequent: np.ndar
                         last = np.flatnonzero(hit)
                         hashes = np.concatenate([hashes[~hit], hashes[last[np.argsort(rank[place[last]])]]])
                     first.append(hashes[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1])
-                yield pa.RecordBatch.from_arrays([piece["id"], piece["h"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["id", "h", "node", "size", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([piece["id"], piece["h"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(fps, pa.int64())], names=["id", "h", "node", "size", "prefix", "bits", "fp"])
 
-    return rows.mapInArrow(run, f"id {kind}, h long, node long, size int, prefix array<bigint>, bits array<bigint>")
+    return rows.mapInArrow(run, f"id {kind}, h long, node long, size int, prefix array<bigint>, bits array<bigint>, fp long")
 
 
 def shared_keys(every: DataFrame) -> DataFrame:
@@ -377,10 +383,23 @@ def verified(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared * (1 + similarity) >= similarity * (F.size("hashes") + F.size("hub_hashes")) - 1e-9).select(F.col("node").alias("u"), F.col("hub").alias("v"))
 
 
+def ball_pairs(sketches: DataFrame, similarity: float) -> DataFrame:
+    """(node, hub): sets that ball hashing links by their fingerprints, and those of one fingerprint with the least of them. sketches: node, size, bits, fp."""
+    groups, groups_path = written(sketches.groupBy("fp").agg(F.min("node").alias("hub")), "ball-groups")
+    some, some_path = written(may_link(groups.select("fp")), "may-link")
+    of = lambda fp, name: groups.select(F.col("fp").alias(fp), F.col("hub").alias(name))
+    across = ball_edges(some).join(of("u", "node"), "u").join(of("v", "hub"), "v").select("node", "hub")
+    equal = sketches.select("node", "fp").join(groups, "fp").where("node <> hub").select("node", "hub")
+    pairs, _ = written(near_sketches(across.unionByName(equal), sketches, similarity), "ball-pairs")
+    for path in (groups_path, some_path):
+        dropped(sketches.sparkSession, path)
+    return pairs
+
+
 def similar_edges(keys: DataFrame, sketches: DataFrame, sets_of, similarity: float) -> DataFrame:
     """(u, v): verified links, enough to connect all nodes that are similar enough. ``sets_of(met)`` gives the sets of the nodes of pairs.
 
-    Rounds of hubs link large groups by few pairs. Where a shingle has many members that are still unconnected, each is then linked to the closest by its
+    Ball hashing links what its fingerprints tell. The rest is exact: rounds of hubs link large groups by few pairs. Where a shingle has many members that are still unconnected, each is then linked to the closest by its
     sketch, in rounds for as long as most of these pairs are links: each round leaves a few of the pairs that stood between parts, so pairs of one group do
     not all have to be verified. What is left unconnected meets in all pairs, so no link is missed.
     """
@@ -401,6 +420,7 @@ def similar_edges(keys: DataFrame, sketches: DataFrame, sets_of, similarity: flo
         found = new if found is None else found.unionByName(new)
         return asked, new.count()
 
+    linked(ball_pairs(sketches, similarity))
     for turn in range(HUB_ROUNDS):
         linked(near_sketches(hub_pairs(in_parts(keys, found), similarity, turn), sketches, similarity))
     some = several_parts(keys, found)
@@ -419,7 +439,7 @@ def similar_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     every, path = written(prefixes(some, shingle, similarity, frequent_shingles(some, shingle, text_column), id_column, text_column), "prefixes")
     keys = shared_keys(every)
     nodes, _ = written(every.groupBy("node").agg(F.min(F.struct("id", "h")).alias("least")), "nodes")
-    sketches, sketches_path = written(every.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits")), "sketches")
+    sketches, sketches_path = written(every.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("fp").alias("fp")), "sketches")
     ids, _ = written(every.select("id", "h", "node"), "node-ids")
     dropped(docs.sparkSession, path)
 

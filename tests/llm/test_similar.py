@@ -137,3 +137,16 @@ def test_blocks_find_what_pairs_find(spark, monkeypatch):
         assert kept == want
     # rounds of closest sketches have linked the group by then
     assert linked > 300 and max(last) < linked / 4
+
+
+def test_ball_hashing_links_by_itself(spark, monkeypatch):
+    """The named method is a step of its own: without the exact search after it, copies with one word changed are still linked, and nothing else."""
+    rng, docs = random.Random(3), []
+    for k in range(40):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(4000)]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(edited(words, k % 2, rng) + ["end"]))]
+    for name in ("hub_pairs", "closest_pairs", "left_pairs"):
+        real = getattr(simhash, name)
+        monkeypatch.setattr(simhash, name, lambda *a, real=real: real(*a).limit(0))
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept >= {2 * k for k in range(40)} and len(kept) < 50
