@@ -126,3 +126,18 @@ def test_number_texts_like_twelve_significant_digits(spark):
     assert [r.t for r in df.select(relations.number_text(df.v).alias("t")).collect()] == [format(v, ".12g") for v in values]
     odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (float("-inf"),)], "v double")
     assert [r.t for r in odd.select(relations.number_text(odd.v).alias("t")).collect()] == ["nan"] * 4
+
+
+def test_a_draw_holds_few_bytes_a_subject():
+    """Beside its arrays a task holds one draw: some tens of bytes a subject, not all draws of its block."""
+    import tracemalloc
+
+    m = 200_000
+    order = metrics._Falling(np.arange(m) % 2, np.arange(m) % 1000 / 1000)
+    tracemalloc.start()
+    for draw in range(2):
+        order.auc(np.bincount(metrics._places("bootstrap", draw, m) % m, minlength=m))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * m
+    assert metrics._places("s", 3, 70_000)[[0, 69_999]].tolist() == [int(hashlib.sha256(f"s|3|{k}".encode()).hexdigest()[:12], 16) for k in (0, 69_999)]
