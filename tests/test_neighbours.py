@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortloom.operators import neighbours
 
@@ -55,3 +56,22 @@ def test_odd_rows(spark):
     assert found(spark.createDataFrame(lone, schema), 3) == set()
     equal = [(k, 0, k % 2, [1.0, 1.0]) for k in range(30)]  # ties go by name
     assert found(spark.createDataFrame(equal, schema), 3) == plain(equal, 3)
+
+
+def test_what_leaves_a_cell_is_bounded(spark, monkeypatch):
+    """An item leaves each cell with its k nearest and not each pair of blocks, so rows grow with cells; cells of any size give the same."""
+    monkeypatch.setattr(neighbours, "BLOCK", 8)
+    rng = np.random.default_rng(6)
+    rows = [(i, 0, i % 2, rng.normal(size=6).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "item long, family long, label int, v array<double>")
+    blocks = neighbours.packed_blocks(df, "family", "item", "label", "v")
+    of = lambda c, name: blocks.where(f"side = {c}").select(F.col("block").alias(name))
+    pairs = of(1, "a").crossJoin(of(0, "b"))
+    n = blocks.where("side = 0").count()
+    assert n > 37
+    cells = -(-n // neighbours.CELL)
+    assert neighbours._compared(pairs, blocks, 4, "bigint").count() <= 600 * 4 * cells < 600 * 4 * n / 8
+    want = plain(rows, 4)
+    for size in (3, 1000):
+        monkeypatch.setattr(neighbours, "CELL", size)
+        assert found(df, 4) == want
