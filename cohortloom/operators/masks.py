@@ -73,7 +73,9 @@ def predict_masks(maps: DataFrame, settings: DataFrame, priors: DataFrame, side:
     missing = maps.select("fold").distinct().join(known, "fold", "left_anti").limit(1).collect()
     if missing:
         raise ValueError(f"no settings for fold {missing[0].fold}")
-    rows = maps.select("item", F.col("fold").cast("int").alias("fold"), "probability", "other", "presence").join(F.broadcast(known), "fold")
+    # a small table of maps is much work: it is dealt to as many tasks as a shuffle has
+    dealt = maps.repartition(int(maps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "item")
+    rows = dealt.select("item", F.col("fold").cast("int").alias("fold"), "probability", "other", "presence").join(F.broadcast(known), "fold")
 
     def map_of(raw: bytes | None) -> np.ndarray:
         if raw is None or len(raw) != 4 * side * side:
