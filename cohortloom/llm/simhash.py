@@ -35,8 +35,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import dropped, pick, text_of, written
-from .components import connected_components
+from .common import dropped, pick, settle, text_of, written
+from .components import connected_components, joined_components
 
 BITS, RADIUS, BYTES_AGREE = 64, 3, 5
 
@@ -272,18 +272,17 @@ def hub_pairs(parted: DataFrame, similarity: float, turn: int) -> DataFrame:
     return likely(parted.join(hubs.hint("merge"), "key").where("part <> hub_part"), similarity, 0.3, BEST_HUBS)
 
 
-def in_parts(keys: DataFrame, found: DataFrame | None) -> DataFrame:
-    """keys with part: the component of the node by the links found, the node itself without one."""
-    if found is None:
+def in_parts(keys: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """keys with part: the component of the node by parts (node, component), the node itself without one."""
+    if parts is None:
         return keys.withColumn("part", F.col("node"))
-    parts, _ = written(connected_components(found), "parts")
     joined = keys.join(parts.withColumnRenamed("component", "part"), "node", "left")
     return joined.select("key", "node", "size", F.coalesce("part", "node").alias("part"))
 
 
-def several_parts(keys: DataFrame, found: DataFrame | None) -> DataFrame:
-    """key, node, size, part, large (the largest part of the key), members, others (those outside it), hot: of the keys whose members are in several parts of the links found."""
-    parted = in_parts(keys, found)
+def several_parts(keys: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """key, node, size, part, large (the largest part of the key), members, others (those outside it), hot: of the keys whose members are in several parts."""
+    parted = in_parts(keys, parts)
     of_part = parted.groupBy("key", "part").agg(F.count("*").alias("n"))
     per = of_part.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("large"), F.count("*").alias("parts"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("others"))
     large, _ = written(per.where("parts > 1").select("key", "large", "members", "others"), "largest-parts")
@@ -396,41 +395,45 @@ def ball_pairs(sketches: DataFrame, similarity: float) -> DataFrame:
     return pairs
 
 
-def similar_edges(keys: DataFrame, sketches: DataFrame, sets_of, similarity: float) -> DataFrame:
-    """(u, v): verified links, enough to connect all nodes that are similar enough. ``sets_of(met)`` gives the sets of the nodes of pairs.
+def similar_parts(keys: DataFrame, sketches: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """(node, component) by verified links, enough to connect all nodes that are similar enough. ``sets_of(met)`` gives the sets of the nodes of pairs.
 
     Ball hashing links what its fingerprints tell. The rest is exact: rounds of hubs link large groups by few pairs. Where a shingle has many members that are still unconnected, each is then linked to the closest by its
     sketch, in rounds for as long as most of these pairs are links: each round leaves a few of the pairs that stood between parts, so pairs of one group do
     not all have to be verified. What is left unconnected meets in all pairs, so no link is missed.
     """
     spark = keys.sparkSession
-    found = None
+    parts = None
 
     def linked(met: DataFrame) -> tuple[int, int]:
-        """Verifies the pairs and adds the links; the number of both."""
-        nonlocal found
+        """Verifies the pairs and joins the parts that their links connect; the number of both."""
+        nonlocal parts
         met, met_path = written(met, "met")
-        if not (asked := met.count()):
-            new, _ = written(met.select(F.col("node").alias("u"), F.col("hub").alias("v")), "similar-edges")
-        else:
+        asked = links = met.count()
+        if asked:
             sets, sets_path = sets_of(met)
-            new, _ = written(verified(met, sets, similarity), "similar-edges")
+            new, new_path = written(verified(met, sets, similarity), "similar-edges")
             dropped(spark, sets_path)
+            if links := new.count():
+                parts = joined_components(parts, new)
+            dropped(spark, new_path)
         dropped(spark, met_path)
-        found = new if found is None else found.unionByName(new)
-        return asked, new.count()
+        settle(spark)
+        return asked, links
 
     linked(ball_pairs(sketches, similarity))
     for turn in range(HUB_ROUNDS):
-        linked(near_sketches(hub_pairs(in_parts(keys, found), similarity, turn), sketches, similarity))
-    some = several_parts(keys, found)
+        linked(near_sketches(hub_pairs(in_parts(keys, parts), similarity, turn), sketches, similarity))
+    some = several_parts(keys, parts)
+    settle(spark)
     asked = links = 1
     while 2 * links > asked:
         asked, links = linked(closest_pairs(some, sketches, similarity))
         if links:
-            some = several_parts(keys, found)
+            some = several_parts(keys, parts)
+            settle(spark)
     linked(left_pairs(some, sketches, similarity))
-    return found
+    return parts if parts is not None else sketches.limit(0).select("node", F.col("node").alias("component"))
 
 
 def similar_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -442,6 +445,7 @@ def similar_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     sketches, sketches_path = written(every.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("fp").alias("fp")), "sketches")
     ids, _ = written(every.select("id", "h", "node"), "node-ids")
     dropped(docs.sparkSession, path)
+    settle(docs.sparkSession)
 
     def sets_of(met: DataFrame) -> tuple[DataFrame, str]:
         both = met.select("node").unionByName(met.select(F.col("hub").alias("node"))).distinct()
@@ -449,7 +453,7 @@ def similar_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
         rows = pick(some, _id=id_column, _text=text_column).withColumn("_h", text_hash("_text"))
         return written(shingle_sets(rows.join(wanted, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]), shingle, "_text"), "sets")
 
-    parts, _ = written(connected_components(similar_edges(keys, sketches, sets_of, similarity)), "similar-parts")
+    parts = similar_parts(keys, sketches, sets_of, similarity)
     dropped(docs.sparkSession, sketches_path)
     least = parts.join(nodes, "node").groupBy("component").agg(F.min("least").alias("top"))
     linked = parts.join(least, "component").select("node", "top")
