@@ -75,3 +75,24 @@ def test_what_leaves_a_cell_is_bounded(spark, monkeypatch):
     for size in (3, 1000):
         monkeypatch.setattr(neighbours, "CELL", size)
         assert found(df, 4) == want
+
+
+@pytest.mark.parametrize("most", [1 << 18, 16])
+def test_hashes_far_from_all_known(spark, monkeypatch, most):
+    """Like all pairs, also where groups are dealt to several tasks; no pair becomes a row."""
+    monkeypatch.setattr(neighbours, "HASHES", most)
+    rng = np.random.default_rng(7)
+    known = rng.integers(-(2**63), 2**63 - 1, 60).tolist() + [0, -1, 1]
+    own = rng.integers(-(2**63), 2**63 - 1, 60).tolist() + known[:5] + [None]
+    for k, h in enumerate(known * 3):  # 3 to 9 bits away, also one in each of seven bands
+        bits = [9 * b for b in range(7)] if k % 4 == 0 else rng.choice(64, 3 + k % 7, replace=False).tolist()
+        u = h & (2**64 - 1)
+        for b in bits[: 6 if k % 8 else 7]:
+            u ^= 1 << b
+        own.append(u - 2**64 if u >> 63 else u)
+    rows = spark.createDataFrame([(h, k) for k, h in enumerate(own)], "hash long, item long")
+    far = neighbours.hamming_anti(rows, spark.createDataFrame([(h,) for h in [*known, None]], "hash long"), "hash")
+    want = {k for k, h in enumerate(own) if h is None or all(((h ^ g) & (2**64 - 1)).bit_count() > 6 for g in known)}
+    assert {r.item for r in far.collect()} == want and 60 < len(want) < len(own)
+    assert "_known" not in far._jdf.queryExecution().executedPlan().toString()
+    assert {r.item for r in neighbours.hamming_anti(rows, rows.limit(0), "hash").collect()} == set(range(len(own)))
