@@ -36,6 +36,23 @@ def test_no_rows(spark):
     assert limited.limited_greedy(spark.createDataFrame([], "row string, turn int, keys array<struct<key:string,most:long>>")).count() == 0
 
 
+def test_a_chain_is_not_written_once_a_row(spark, monkeypatch):
+    """Each row shares a key with the one before and the one after it, so nothing but the first open row is sure."""
+    real, written = limited.kept, []
+    monkeypatch.setattr(limited, "kept", lambda df: (kept := real(df), written.append(kept.count()))[0])
+    rows = [(k, k, [(f"k{k}", 1), (f"k{k + 1}", 1)]) for k in range(40)]
+    got = limited.limited_greedy(spark.createDataFrame(rows, "row int, turn int, keys array<struct<key:string,most:long>>"))
+    assert sorted(r.row for r in got.collect()) == [*range(0, 40, 2)] and sum(written) <= 6 * 40
+
+
+def test_first_rows_of_a_bounded_number(spark):
+    rows = [(k + 7, [("k", 9), (f"o{k % 8}", 1)]) for k in range(30)]
+    df = spark.createDataFrame(rows, "place long, keys array<struct<key:string,most:long>>")
+    before = spark.createDataFrame([("o1", 1)], "key string, used long")
+    take = lambda n: [r.place for r in limited.limited_greedy(df, before, "place", n).orderBy("place").collect()]
+    assert take(None) == [7, 9, 10, 11, 12, 13, 14] and take(3) == [7, 9, 10] and not take(0)
+
+
 def test_matching_in_rounds(spark, monkeypatch):
     rows = items_of(4, 160, 2, 2, 1)
     df = spark.createDataFrame(rows, SCHEMA)
