@@ -59,6 +59,7 @@ class Model:
         self.words_apart = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
         #: Two characters side by side in a piece; between others no piece crosses.
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.singles = {p for p in self.ids if len(p) == 1}
         #: Character by character: [further characters, id, score] of each prefix of a piece.
         self.trie: dict = {}
         for piece, (number, score) in self.ids.items():
@@ -90,11 +91,15 @@ def viterbi(model: Model, chars: Iterable[str], window: int | None = None) -> It
     source = iter(chars)
     text = "".join(islice(source, limit))
     more = len(text) == limit
+    if not more:  # all of it lies in the window
+        if text:
+            yield _searched(model, text)
+        return
     never = float("-inf")
     best = [0.0] + [never] * len(text)  # by boundary
     back, piece = [0] * len(best), [-1] * len(best)  # by boundary: where its last piece starts, and its id
-    if more:  # what may grow long is held in arrays, which are smaller and slower
-        best, back, piece = array("d", best), array("q", back), array("i", piece)
+    # what may grow long is held in arrays, which are smaller and slower
+    best, back, piece = array("d", best), array("q", back), array("i", piece)
     at = reach = done = 0
     n, trial = len(text), limit
     while True:
@@ -151,6 +156,41 @@ def viterbi(model: Model, chars: Iterable[str], window: int | None = None) -> It
                 trial = limit
 
 
+def _searched(model: Model, text: str) -> list[int]:
+    """The ids of a text that fits the window: the same search, followed back once from its end, where all paths meet."""
+    trie, singles, longest, unknown, never = model.trie, model.singles, model.max_piece, model.unknown_score, float("-inf")
+    n = len(text)
+    best, back, piece = [0.0] + [never] * n, [0] * (n + 1), [-1] * (n + 1)
+    for at, here in enumerate(best):  # filled ahead of at
+        if here == never or at == n:
+            continue
+        level, end = trie, at
+        for char in text[at : at + longest]:
+            node = level.get(char)
+            if node is None:
+                break
+            level, number, score = node
+            end += 1
+            if number >= 0:
+                score += here
+                if score > best[end]:
+                    best[end] = score
+                    back[end] = at
+                    piece[end] = number
+        if text[at] not in singles and here + unknown > best[at + 1]:
+            best[at + 1], back[at + 1], piece[at + 1] = here + unknown, at, -1
+    out, end = [], n
+    while end:
+        start, number = back[end], piece[end]
+        if number >= 0:
+            out.append(number)
+        else:
+            out.extend(reversed(model.unknown_ids(text[start:end])))
+        end = start
+    out.reverse()
+    return out
+
+
 def _meeting(best: Sequence[float], back: Sequence[int], at: int, reach: int) -> int:
     """The last boundary on the paths to every boundary that can still be continued."""
     alive = {b for b in range(at, reach + 1) if best[b] > float("-inf")}
@@ -190,6 +230,8 @@ class Encoder:
         self.old: dict[str, bytes] = {}
 
     def _stream(self, text: str) -> bytes:
+        if len(text) < 4 * self.model.max_piece:  # as viterbi would
+            return array("I", _searched(self.model, text)).tobytes()
         return array("I", chain.from_iterable(viterbi(self.model, text))).tobytes()
 
     def _word(self, word: str) -> bytes:

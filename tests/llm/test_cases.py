@@ -204,6 +204,13 @@ def test_viterbi_windows_agree(window):
         assert [i for ids in sentencepiece.viterbi(model, text, window) for i in ids] == whole_viterbi(model, text)
 
 
+def test_a_text_that_fits_the_window_is_followed_back_once():
+    model = sentencepiece.Model(tokenizer_file("piece_bpe_32k.model"))
+    for text in ("▁a-b.c", "x日本,y", "\n"):
+        assert [*sentencepiece.viterbi(model, text)] == [whole_viterbi(model, text)]
+    assert [*sentencepiece.viterbi(model, "")] == []
+
+
 def test_words_through_the_search(spark, sf):
     """Remembered words give what the search gives for whole texts."""
     model = sentencepiece.Model(tokenizer_file("piece_bpe_32k.model"))
