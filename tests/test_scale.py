@@ -1,7 +1,7 @@
 """Plans and partitions that keep a step's figures in proportion to its input."""
 
 from cohortloom import queries
-from cohortloom.operators import masks, quantiles
+from cohortloom.operators import masks, matching, quantiles
 from cohortloom.plans.scratch import kept
 from pyspark.sql import functions as F
 
@@ -29,3 +29,11 @@ def test_thresholds_are_made_after_the_join(spark, sf):
     """The plan is told from its end: the explode comes before the join there, so a line or an order is one row up to it."""
     plan = plan_of(queries.QUERIES["mask_threshold_search"](spark, sf))
     assert 0 < plan.index("Generate explode") < plan.index("Join")
+
+
+def test_neighbours_are_found_once_for_a_matching(spark, sf, monkeypatch):
+    """Calipers and core pairs read the edges several times."""
+    real, plans = matching.calipers, []
+    monkeypatch.setattr(matching, "calipers", lambda edges: (plans.append(plan_of(edges)), real(edges))[1])
+    queries.QUERIES["core_matching"](spark, sf)
+    assert plans and not any("CoGroups" in plan for plan in plans)
