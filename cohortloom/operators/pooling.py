@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clean import clean_double
+from ..plans.scratch import kept
 
 
 def hierarchical_mean(rows: DataFrame, by: list[str], subject: str, series: str, vector: str) -> DataFrame:
@@ -82,15 +83,25 @@ def feature_bank(members: DataFrame, embeddings: DataFrame, item: str, subject:
     """(mode, subject, label, x): pooled vectors of each mode. members: as by feature_modes; embeddings: item, region, vector, one a region, used by all its modes.
 
     Raises where a member has no vector or more than one, or a subject has two labels in a mode.
+    Members meet all vectors of their item at once and go by subject once, before vectors become elements; checks and means are made there in one run, and the bank is kept.
     """
-    vectors = embeddings.select(item, "region", F.col(vector).alias(vector)).where(F.col(vector).isNotNull())
-    counted = members.join(vectors.groupBy(item, "region").agg(F.count("*").alias("_vectors")), [item, "region"], "left")
-    per = counted.groupBy("mode", subject).agg(F.min(label).alias(label), (F.min(label) != F.max(label)).alias("_two"), F.count_if(F.coalesce("_vectors", F.lit(0)) != 1).alias("_odd"))
-    bad = per.where("_two OR _odd > 0").limit(1).collect()
+    told = embeddings.where(F.col(item).isNotNull() & F.col(vector).isNotNull()).select(item, F.struct("region", F.col(vector).alias("x")).alias("_told"))
+    every = told.repartition(item).groupBy(item).agg(F.collect_list("_told").alias("_told"))
+    rows = members.select(item, "region", "mode", subject, series, label).repartition(item).join(every, item, "left")
+    own = F.transform(F.filter("_told", lambda t: t["region"] == F.col("region")), lambda t: t["x"])
+    rows = rows.select("mode", subject, series, label, own.alias("_own")).repartition(subject)
+    # an item without a vector stays, with no position, so that it counts
+    flat = rows.select("mode", subject, series, label, (F.coalesce(F.size("_own"), F.lit(0)) != 1).alias("_odd"), F.posexplode_outer(F.get("_own", F.lit(0))).alias("pos", "_x"))
+    odd = F.col("_odd") & (F.coalesce("pos", F.lit(0)) == 0)
+    inner = flat.groupBy("mode", subject, series, "pos").agg(F.avg(F.col("_x").cast("double")).alias("_x"), F.min(label).alias("_least"), F.max(label).alias("_most"), F.count_if(odd).alias("_odd"))
+    checks = [F.min("_least").alias("_least"), F.max("_most").alias("_most"), F.sum("_odd").alias("_odd")]
+    outer = inner.groupBy("mode", subject, "pos").agg(F.avg("_x").alias("_x"), *checks)
+    elements = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "_x"))))
+    bank = kept(outer.groupBy("mode", subject).agg(F.transform(elements, lambda e: e["_x"]).alias("x"), *checks))
+    bad = bank.where("_least <> _most OR _odd > 0").limit(1).collect()
     if bad:
         raise ValueError(f"{bad[0][1]} in {bad[0][0]}: " + (f"{bad[0]._odd} items without one vector" if bad[0]._odd else "two labels"))
-    rows = members.join(vectors, [item, "region"])
-    return pooled_vectors(rows, ["mode"], subject, series, vector).join(per.select("mode", subject, label), ["mode", subject])
+    return bank.where(F.col("mode").isNotNull() & F.col(subject).isNotNull() & (F.size("x") > 0)).select("mode", subject, F.col("_least").alias(label), "x")
 
 
 def mode_counts(members: DataFrame, subject: str, series: str) -> DataFrame:

@@ -110,6 +110,21 @@ def test_feature_bank_raises_instead_of_leaving_out(spark):
         bank(members.unionByName(members.where("item = 3").selectExpr("4L AS item", "subject", "series", "0 AS label", "mode", "region")), vectors)
 
 
+def test_feature_bank_with_odd_rows(spark):
+    """Means of means by position; an item of two modes, one listed twice, vectors of unlike lengths, null components, null and empty keys."""
+    rows = [(1, "p", "s", 0, "m", "full"), (1, "p", "s", 0, "n", "full"), (1, "p", "s", 0, "m", "part"), (2, "p", "s", None, "m", "full"), (3, "p", "t", 0, "m", "full"), (3, "p", "t", 0, "m", "full"), (4, "q", None, 1, "m", "full"), (5, "q", None, 1, "m", "full")]
+    rows += [(1, None, "s", 0, "m", "full"), (6, "r", "s", 1, "m", "full"), (7, "u", "s", None, "m", "full")]
+    members = spark.createDataFrame(rows, "item long, subject string, series string, label int, mode string, region string")
+    told = [(1, "full", [1.0, 2.0]), (1, "part", [4.0, None]), (2, "full", [4.0]), (3, "full", [9.0, 0.0]), (4, "full", [None]), (5, "full", [None]), (6, "full", []), (7, "full", [7.0]), (8, "full", [1.0]), (None, "full", [2.0]), (None, "full", [3.0]), (1, None, [5.0])]
+    vectors = spark.createDataFrame(told, "item long, region string, x array<double>")
+    got = {(r.mode, r.subject): (r.label, r.x) for r in pooling.feature_bank(members, vectors, "item", "subject", "series", "label", "x").collect()}
+    assert got == {("m", "p"): (0, [6.0, 1.0]), ("n", "p"): (0, [1.0, 2.0]), ("m", "q"): (1, [None]), ("m", "u"): (None, [7.0])}
+    for odd in ((9, "w", "s", 1, "m", "full"), (1, "w", "s", 1, "m", None), (None, "w", "s", 1, "m", "full")):
+        more = members.unionByName(spark.createDataFrame([odd, odd], members.schema))
+        with pytest.raises(ValueError, match="w in m: 2 items without one vector"):
+            pooling.feature_bank(more, vectors, "item", "subject", "series", "label", "x")
+
+
 def test_targets_of_no_meaning_are_unlabelled(spark):
     rows = spark.createDataFrame([(k,) for k in range(7)], "item long")
     told = spark.createDataFrame([(0, " none"), (1, "NaN"), (2, "UNLABELED"), (3, ""), (4, None), (5, " heart_present ")], "item long, target_type string")

@@ -1,7 +1,7 @@
 """Plans and partitions that keep a step's figures in proportion to its input."""
 
 from cohortloom import queries
-from cohortloom.operators import masks, matching, quantiles
+from cohortloom.operators import masks, matching, pooling, quantiles
 from cohortloom.plans.scratch import kept
 from pyspark.sql import functions as F
 
@@ -37,3 +37,38 @@ def test_neighbours_are_found_once_for_a_matching(spark, sf, monkeypatch):
     monkeypatch.setattr(matching, "calipers", lambda edges: (plans.append(plan_of(edges)), real(edges))[1])
     queries.QUERIES["core_matching"](spark, sf)
     assert plans and not any("CoGroups" in plan for plan in plans)
+
+
+def rows_shuffled(spark, work):
+    """Rows written to shuffles by all stages of work."""
+    context = spark.sparkContext._jsc.sc()
+    kind = spark.sparkContext._jvm.java.lang.Class.forName("org.apache.spark.status.StageDataWrapper")
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        stages = context.statusStore().store().view(kind).iterator()
+        found = {}
+        while stages.hasNext():
+            stage = stages.next().info()
+            found[stage.stageId()] = stage.shuffleWriteRecords()
+        return found
+
+    before = written()
+    work()
+    return sum(rows for stage, rows in written().items() if stage not in before)
+
+
+def test_members_and_vectors_of_a_bank_are_shuffled_once(spark, sf):
+    """Without broadcasts, as with large tables: events by item twice, members by subject once, and the keys of two flags."""
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name in names:
+            spark.conf.set(name, "-1")
+        members = pooling.feature_modes(queries._flagged(spark, sf)).count()
+        rows = rows_shuffled(spark, lambda: queries.QUERIES["feature_bank"](spark, sf).write.format("noop").mode("overwrite").save())
+    finally:
+        for name, value in old.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    events = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert 0 < rows <= 3 * events + members
