@@ -86,8 +86,10 @@ def feature_bank(members: DataFrame, embeddings: DataFrame, item: str, subject:
     Members meet all vectors of their item at once and go by subject once, before vectors become elements; checks and means are made there in one run, and the bank is kept.
     """
     told = embeddings.where(F.col(item).isNotNull() & F.col(vector).isNotNull()).select(item, F.struct("region", F.col(vector).alias("x")).alias("_told"))
-    every = told.repartition(item).groupBy(item).agg(F.collect_list("_told").alias("_told"))
-    rows = members.select(item, "region", "mode", subject, series, label).repartition(item).join(every, item, "left")
+    # a stated number of parts, which is not made fewer by size: regions and modes may multiply rows after a shuffle
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = told.repartition(parts, item).groupBy(item).agg(F.collect_list("_told").alias("_told"))
+    rows = members.select(item, "region", "mode", subject, series, label).repartition(parts, item).join(every, item, "left")
     own = F.transform(F.filter("_told", lambda t: t["region"] == F.col("region")), lambda t: t["x"])
     rows = rows.select("mode", subject, series, label, own.alias("_own")).repartition(subject)
     # an item without a vector stays, with no position, so that it counts
